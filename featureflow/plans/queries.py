@@ -1,20 +1,51 @@
 """The registered queries: each runs a library job over the driver's tables
 and returns the result as a batch DataFrame (read back from what the job
-wrote under the shared scratch folder)."""
+wrote under the shared scratch folder).  Streams are run with an
+``availableNow`` trigger, so each query processes all of its input."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from featureflow.config import OutputSpec, TableSpec
+from featureflow.config import InputSpec, JobConfig, OutputSpec, TableSpec
+from featureflow.functions.codec import JSON_OPTIONS, decode, encode, key_json, output_topic
+from featureflow.functions.schema import to_struct
+from featureflow.operators.checks import compare_rows
+from featureflow.operators.features import interval_join, trailing_count, windowed_count
+from featureflow.operators.registry import current_for, read_history, register
+from featureflow.operators.status import parse_status
 from featureflow.operators.store import FeatureStore
+from featureflow.plans.jobs import archive_base, archive_job, feature_store, live_job, replay_job
 from featureflow.plans.tables import EVENTS_SCHEMA, ORDERS_SCHEMA, table_path
 from featureflow.session import scratch_dir
-from featureflow.sources.files import table_stream
+from featureflow.sources.files import folder_location, json_line_streams, table_stream
+from featureflow.sources.topics import FileTransport, publish, read_topic_checked, read_topics
 from featureflow.streaming.runner import run_bounded
+from featureflow.streaming.sinks import BATCH_COLUMNS, write_partitioned
 
 RUN = "run0"
 VERSION = 1
+EVENTS = InputSpec("events", EVENTS_SCHEMA)
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(table_path(sf_dir, name))
+
+
+def _run_to_table(spark: SparkSession, df: DataFrame, root: str, mode: str = "append") -> DataFrame:
+    """Run a stream to the end of its input into Parquet; read it back."""
+    out = f"{root}/out"
+
+    def write(batch_df: DataFrame, batch_id: int) -> None:
+        stamped = (batch_df.withColumn("run_id", F.lit(RUN))
+                   .withColumn("batch_id", F.lit(batch_id).cast("long")))
+        write_partitioned(stamped, out, BATCH_COLUMNS)
+
+    run_bounded(df, write, OutputSpec(mode), f"{root}/checkpoint")
+    return spark.read.schema(df.schema).parquet(out).select(*df.columns)
 
 
 def _store_from_table(spark: SparkSession, sf_dir: str, table: str, spec: TableSpec,
@@ -27,10 +58,140 @@ def _store_from_table(spark: SparkSession, sf_dir: str, table: str, spec: TableS
     return store
 
 
+def _events_topic(spark: SparkSession, sf_dir: str, root: str) -> FileTransport:
+    transport = FileTransport(f"{root}/topics")
+    publish(_read(spark, sf_dir, "events"), transport, "events", ["event_id"])
+    return transport
+
+
+# ---------------------------------------------------------------- sources
+
+def topic_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events published as JSON records, decoded by the declared schema."""
+    root = scratch_dir(spark, "topic_decode")
+    transport = _events_topic(spark, sf_dir, root)
+    return decode(transport.read_batch(spark, "events"), EVENTS_SCHEMA)
+
+
+def topic_decode_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a topic record, every tenth one damaged in one of four
+    ways (cut short, wrong type, null value, missing field), streamed and
+    decoded with bad records flagged instead of dropped."""
+    root = scratch_dir(spark, "topic_decode_bad_rows")
+    ev = _read(spark, sf_dir, "events")
+    cols = [F.col(c) for c in ev.columns]
+    full = F.to_json(F.struct(*cols), JSON_OPTIONS)
+    wrong_type = F.to_json(F.struct(*[F.lit("not a number").alias("value") if c == "value"
+                                      else F.col(c) for c in ev.columns]), JSON_OPTIONS)
+    no_user = F.to_json(F.struct(*[F.col(c) for c in ev.columns if c != "user_id"]), JSON_OPTIONS)
+    fault = F.col("event_id") % 10
+    value = (F.when(fault == 0, F.expr("substring(_full, 1, cast(length(_full) / 2 as int))"))
+             .when(fault == 1, wrong_type)
+             .when(fault == 2, F.lit(None).cast("string"))
+             .when(fault == 3, no_user)
+             .otherwise(F.col("_full")))
+    records = (ev.withColumn("_full", full)
+               .select(F.lit("events").alias("topic"), key_json(["event_id"]).alias("key"),
+                       value.alias("value")))
+    transport = FileTransport(f"{root}/topics")
+    transport.write_batch(records)
+    checked = read_topic_checked(spark, EVENTS, transport).drop("timestamp", "_corrupt_record")
+    return _run_to_table(spark, checked, root)
+
+
+def json_files_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as JSON lines into a topic folder, streamed back."""
+    root = scratch_dir(spark, "json_files_stream")
+    base, app = f"{root}/dev", "events_app"
+    (_read(spark, sf_dir, "events").write.options(**JSON_OPTIONS)
+     .json(folder_location(base, app, "events")))
+    [stream] = json_line_streams(spark, base, app, [EVENTS], "7d")
+    return _run_to_table(spark, stream, root)
+
+
+# ---------------------------------------------------------- archive, replay
+
+def _archived(spark: SparkSession, sf_dir: str, label: str) -> tuple[JobConfig, str]:
+    root = scratch_dir(spark, label)
+    transport = _events_topic(spark, sf_dir, root)
+    cfg = JobConfig(app_name="events_app", bucket=root, inputs=[EVENTS], run_id=RUN)
+    archive_job(spark, cfg, EVENTS, transport, bounded=True).awaitTermination()
+    return cfg, root
+
+
+def stream_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events topic -> archive job (identity) -> Parquet archive, read back."""
+    cfg, _ = _archived(spark, sf_dir, "stream_identity")
+    path = folder_location(archive_base(cfg), cfg.app_name, "events")
+    schema = to_struct(EVENTS_SCHEMA)
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+
+
+def _totals_by_type(dfs: list[DataFrame]) -> DataFrame:
+    return dfs[0].groupBy("event_type").agg(
+        F.sum(F.col("value").cast("decimal(18,2)")).alias("total_value"),
+        F.count(F.lit(1)).alias("n_events"))
+
+
+TOTALS_TABLE = TableSpec(["event_type"], [
+    {"name": "event_type", "type": "string"},
+    {"name": "total_value", "type": "decimal(28,2)"},
+    {"name": "n_events", "type": "long"},
+])
+
+
+def archive_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive the events topic, replay the archive through a totals-per-type
+    function in update mode into the feature table, read the latest rows."""
+    cfg, _ = _archived(spark, sf_dir, "archive_replay")
+    rcfg = replace(cfg, run_id="replay0", output=OutputSpec("update"), table=TOTALS_TABLE)
+    replay_job(spark, rcfg, _totals_by_type, bounded=True).awaitTermination()
+    latest = feature_store(rcfg).latest(spark, VERSION, run_id="replay0")
+    return latest.select("event_type", F.col("total_value").cast("double").alias("total_value"),
+                         "n_events")
+
+
+# ------------------------------------------------------------------- sinks
+
+def dual_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live job: events topic -> identity -> versioned topic + feature table;
+    row counts of each sink."""
+    root = scratch_dir(spark, "dual_fanout")
+    transport = _events_topic(spark, sf_dir, root)
+    table = TableSpec(["user_id"], EVENTS_SCHEMA, order_by=["ts", "event_id"])
+    cfg = JobConfig(app_name="fanout", bucket=root, inputs=[EVENTS], table=table, run_id=RUN)
+    live_job(spark, cfg, lambda dfs: dfs[0], transport, bounded=True).awaitTermination()
+    store = feature_store(cfg)
+
+    def counted(df: DataFrame, sink: str) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(sink).alias("sink"), "n_rows")
+
+    topic = transport.read_batch(spark, output_topic(cfg.app_name, cfg.code_version))
+    return (counted(topic, "topic")
+            .unionByName(counted(store.changelog(spark, VERSION), "changelog"))
+            .unionByName(counted(store.latest(spark, VERSION), "latest")))
+
+
+def topic_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest row per user published to the app's versioned topic as JSON
+    key/value records, then read and decoded again."""
+    spec = TableSpec(["user_id"], EVENTS_SCHEMA, order_by=["ts", "event_id"])
+    store = _store_from_table(spark, sf_dir, "events", spec, "topic_encode")
+    topic = output_topic("events_latest", VERSION)
+    transport = FileTransport(f"{store.root}/topics")
+    transport.write_batch(encode(store.latest(spark, VERSION), ["user_id"], topic))
+    return decode(transport.read_batch(spark, topic), EVENTS_SCHEMA, keep=("topic", "key"))
+
+
+# ------------------------------------------------------------ feature table
+
+LATEST_EVENT = TableSpec(["user_id"], EVENTS_SCHEMA, order_by=["ts", "event_id"])
+LATEST_ORDER = TableSpec(["o_custkey"], ORDERS_SCHEMA, order_by=["o_orderdate", "o_orderkey"])
+
+
 def feature_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest event per user, newest by (ts, event_id)."""
-    spec = TableSpec(["user_id"], EVENTS_SCHEMA, order_by=["ts", "event_id"])
-    store = _store_from_table(spark, sf_dir, "events", spec, "feature_latest")
+    store = _store_from_table(spark, sf_dir, "events", LATEST_EVENT, "feature_latest")
     return store.latest(spark, VERSION)
 
 
@@ -43,13 +204,191 @@ def feature_latest_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest order of every customer, read as a full scan of the table."""
-    spec = TableSpec(["o_custkey"], ORDERS_SCHEMA, order_by=["o_orderdate", "o_orderkey"])
-    store = _store_from_table(spark, sf_dir, "orders", spec, "feature_scan")
+    store = _store_from_table(spark, sf_dir, "orders", LATEST_ORDER, "feature_scan")
     return store.scan(spark, VERSION)
 
 
+def feature_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest order for the customers of one market segment; the request's
+    key column is matched to the table's key by position."""
+    store = _store_from_table(spark, sf_dir, "orders", LATEST_ORDER, "feature_lookup")
+    keys = (_read(spark, sf_dir, "customer")
+            .filter(F.col("c_mktsegment") == "BUILDING").select("c_custkey"))
+    return store.lookup(spark, VERSION, keys)
+
+
+def feature_lookup_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest order for every customer key and for as many unknown keys
+    (negative), which come back with null features."""
+    store = _store_from_table(spark, sf_dir, "orders", LATEST_ORDER, "feature_lookup_missing")
+    cust = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    keys = cust.unionByName(cust.select((-F.col("k") - 1).alias("k")))
+    return store.lookup(spark, VERSION, keys)
+
+
+# ----------------------------------------------------------------- features
+
+def rolling_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with its user's event count over the trailing 7 days."""
+    ev = _read(spark, sf_dir, "events")
+    counted = trailing_count(ev, ["user_id"], "ts", "7 days", "event_id", out="n_events_7d")
+    return counted.select("event_id", "user_id", "ts", "n_events_7d")
+
+
+WINDOW_TABLE = TableSpec(["window_start", "user_id"], [
+    {"name": "window_start", "type": "timestamp_ntz"},
+    {"name": "window_end", "type": "timestamp_ntz"},
+    {"name": "user_id", "type": "long"},
+    {"name": "n_events", "type": "long"},
+])
+
+
+def windowed_count_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per user and UTC day, kept by a streaming aggregation in update
+    mode and folded into the feature table."""
+    root = scratch_dir(spark, "windowed_count_stream")
+    store = FeatureStore(f"{root}/store", WINDOW_TABLE)
+    stream = table_stream(spark, table_path(sf_dir, "events"))
+    counts = windowed_count(stream, ["user_id"], "ts", "1 day", watermark="1 day")
+    run_bounded(counts, store.writer(VERSION, RUN), OutputSpec("update"), f"{root}/checkpoint")
+    return store.latest(spark, VERSION, run_id=RUN)
+
+
+INTERACTIONS = ("click", "view")
+
+
+def multi_input_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two topics (interactions, others) into one function that unions them."""
+    root = scratch_dir(spark, "multi_input_union")
+    ev = _read(spark, sf_dir, "events")
+    inter = F.coalesce(F.col("event_type").isin(*INTERACTIONS), F.lit(False))
+    transport = FileTransport(f"{root}/topics")
+    publish(ev.filter(inter), transport, "interactions", ["event_id"])
+    publish(ev.filter(~inter), transport, "others", ["event_id"])
+    inputs = [InputSpec("interactions", EVENTS_SCHEMA), InputSpec("others", EVENTS_SCHEMA)]
+
+    def process(dfs: list[DataFrame]) -> DataFrame:
+        return (dfs[0].withColumn("source", F.lit("interactions"))
+                .unionByName(dfs[1].withColumn("source", F.lit("others"))))
+
+    return _run_to_table(spark, read_topics(spark, inputs, transport, process), root)
+
+
+def multi_input_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two topics (signups, purchases) into a stream-stream interval join:
+    purchases within one day after a signup of the same user."""
+    root = scratch_dir(spark, "multi_input_join")
+    ev = _read(spark, sf_dir, "events")
+    transport = FileTransport(f"{root}/topics")
+    publish(ev.filter(F.col("event_type") == "signup"), transport, "signups", ["event_id"])
+    publish(ev.filter(F.col("event_type") == "purchase"), transport, "purchases", ["event_id"])
+    inputs = [InputSpec("signups", EVENTS_SCHEMA), InputSpec("purchases", EVENTS_SCHEMA)]
+
+    def process(dfs: list[DataFrame]) -> DataFrame:
+        s = dfs[0].select("user_id", F.col("event_id").alias("signup_id"),
+                          F.col("ts").alias("signup_ts"))
+        p = dfs[1].select("user_id", F.col("event_id").alias("purchase_id"),
+                          F.col("ts").alias("purchase_ts"))
+        return interval_join(s, p, ["user_id"], "signup_ts", "purchase_ts",
+                             lower="0 seconds", upper="1 day", watermark="1 day")
+
+    return _run_to_table(spark, read_topics(spark, inputs, transport, process), root)
+
+
+# ------------------------------------------------------- registry, status
+
+ORG = "acme"
+
+
+def _schema_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as schema registrations: app = customer, one request per order."""
+    o = _read(spark, sf_dir, "orders")
+    fields = F.array(
+        F.struct(F.lit("o_orderkey").alias("name"), F.lit("long").alias("type")),
+        F.struct(F.lit("o_orderstatus").alias("name"), F.lit("string").alias("type")),
+        F.struct(F.concat(F.lit("priority_"), F.substring("o_orderpriority", 1, 1)).alias("name"),
+                 F.lit("string").alias("type")))
+    return o.select(F.lit(ORG).alias("org"), F.col("o_custkey").cast("string").alias("app"),
+                    F.col("o_orderkey").alias("request_id"),
+                    F.col("o_orderdate").alias("requested_at"),
+                    F.array(F.lit("o_orderkey")).alias("primary_keys"), fields.alias("fields"))
+
+
+def registry_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request gets the next code version of its app."""
+    root = scratch_dir(spark, "registry_assign")
+    written = register(spark, f"{root}/registry", _schema_requests(spark, sf_dir))
+    return written.select("org", "app", "request_id", "code_version", "avro_schema")
+
+
+def registry_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current version of every customer's app and of as many unknown apps (0)."""
+    root = scratch_dir(spark, "registry_current")
+    register(spark, f"{root}/registry", _schema_requests(spark, sf_dir))
+    cust = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    keys = cust.unionByName(cust.select((-F.col("k") - 1).alias("k")))
+    apps = keys.select(F.lit(ORG).alias("org"), F.col("k").cast("string").alias("app"))
+    return current_for(read_history(spark, f"{root}/registry"), apps)
+
+
+STATES = {"F": "COMPLETED", "O": "RUNNING", "P": "SUBMITTED"}
+STAMP = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+
+
+def job_status_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders packed as nested JSON status documents, then flattened."""
+    o = _read(spark, sf_dir, "orders")
+    state = F.coalesce(*[F.when(F.col("o_orderstatus") == k, F.lit(v)) for k, v in STATES.items()])
+    doc = F.struct(
+        F.struct(F.date_format("o_orderdate", STAMP).alias("creationTimestamp"),
+                 F.struct(F.concat(F.lit("app_"), F.col("o_custkey").cast("string")).alias("app"))
+                 .alias("labels"),
+                 F.concat(F.lit("spark_"), F.col("o_orderkey").cast("string")).alias("name"))
+        .alias("metadata"),
+        F.struct(F.struct(state.alias("state")).alias("applicationState"),
+                 F.col("o_orderkey").alias("sparkApplicationId"),
+                 F.date_format(F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR"), STAMP)
+                 .alias("lastSubmissionAttemptTime"),
+                 F.when(F.col("o_orderstatus") == "F",
+                        F.date_format(F.col("o_orderdate") + F.expr("INTERVAL 1 DAY"), STAMP))
+                 .alias("terminationTime"),
+                 F.substring("o_orderpriority", 1, 1).cast("long").alias("executionAttempts"),
+                 F.lit(1).cast("long").alias("submissionAttempts"))
+        .alias("status"))
+    texts = o.select(F.to_json(doc).alias("document"))
+    return parse_status(texts)
+
+
+def assertion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers against a faulty copy: automobile names lower-cased,
+    negative balances dropped, machinery rows duplicated."""
+    expected = _read(spark, sf_dir, "customer")
+    kept = expected.filter(F.col("c_acctbal") >= 0)
+    faulty = kept.withColumn("c_name", F.when(F.col("c_mktsegment") == "AUTOMOBILE",
+                                              F.lower("c_name")).otherwise(F.col("c_name")))
+    actual = faulty.unionByName(kept.filter(F.col("c_mktsegment") == "MACHINERY"))
+    return compare_rows(actual, expected)
+
+
 REGISTRY = {
+    "topic_decode": topic_decode,
+    "topic_decode_bad_rows": topic_decode_bad_rows,
+    "json_files_stream": json_files_stream,
+    "stream_identity": stream_identity,
+    "archive_replay": archive_replay,
+    "dual_fanout": dual_fanout,
+    "topic_encode": topic_encode,
     "feature_latest": feature_latest,
     "feature_latest_composite": feature_latest_composite,
     "feature_scan": feature_scan,
+    "feature_lookup": feature_lookup,
+    "feature_lookup_missing": feature_lookup_missing,
+    "rolling_count": rolling_count,
+    "windowed_count_stream": windowed_count_stream,
+    "multi_input_union": multi_input_union,
+    "multi_input_join": multi_input_join,
+    "registry_assign": registry_assign,
+    "registry_current": registry_current,
+    "job_status_project": job_status_project,
+    "assertion_report": assertion_report,
 }

@@ -124,9 +124,8 @@ class FeatureStore:
                           *[F.col("_v")[c].alias(c) for c in values],
                           F.col("_v.batch_id").alias("batch_id"))
 
-    def latest(self, spark: SparkSession, code_version: int,
-               run_id: str | None = None) -> DataFrame:
-        """Latest row per primary key, in declared column order."""
+    def _rows(self, spark: SparkSession, code_version: int, run_id: str | None) -> DataFrame:
+        """Changelog rows plus the newest snapshot, minus what it folded in."""
         if not self.order_by and run_id is None:
             raise ValueError("a table without order_by must be read for one run_id")
         rows = self.changelog(spark, code_version, run_id)
@@ -137,6 +136,12 @@ class FeatureStore:
                 F.col("_folded").isNull() | (F.col("batch_id") > F.col("_folded"))
             ).drop("_folded")
             rows = rows.select(snap_rows.columns).unionByName(snap_rows)
+        return rows
+
+    def latest(self, spark: SparkSession, code_version: int,
+               run_id: str | None = None) -> DataFrame:
+        """Latest row per primary key, in declared column order."""
+        rows = self._rows(spark, code_version, run_id)
         return self._newest(rows).select(*[F.col(quote(n)) for n in self.schema.fieldNames()])
 
     def scan(self, spark: SparkSession, code_version: int,
@@ -149,9 +154,10 @@ class FeatureStore:
         """Latest row for each requested key; unknown keys give null features.
 
         ``keys`` is a DataFrame or a list of tuples whose values are matched to
-        the primary keys *by position*.  The key set is first semi-joined
-        into the changelog (Catalyst pushes it below the aggregation), so only
-        rows of requested keys are aggregated.
+        the primary keys *by position*.  The key set is semi-joined into the
+        changelog before the aggregation, so only rows of requested keys are
+        aggregated.  A key list of known small size is broadcast; for a key
+        DataFrame AQE picks the join from measured sizes.
         """
         if keys is None:
             raise ValueError("key values are required")
@@ -169,9 +175,12 @@ class FeatureStore:
             req = spark.createDataFrame(tuples, T.StructType(
                 [T.StructField(f.name, f.dataType) for f in key_fields]))
             small = len(tuples) <= BROADCAST_KEY_LIMIT
-        latest = self.latest(spark, code_version, run_id)
-        wanted = latest.join(F.broadcast(req) if small else req, self.keys, "left_semi")
-        found = F.broadcast(wanted) if small else wanted
+        # Keep only rows of requested keys, then aggregate: the work follows
+        # the key set, not the table.
+        rows = self._rows(spark, code_version, run_id)
+        wanted = rows.join(F.broadcast(req) if small else req, self.keys, "left_semi")
+        latest = self._newest(wanted)
+        found = F.broadcast(latest) if small else latest
         return req.join(found, self.keys, "left").select(
             *[F.col(quote(n)) for n in self.schema.fieldNames()])
 

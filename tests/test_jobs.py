@@ -1,0 +1,179 @@
+from __future__ import annotations
+
+import json
+import os
+import time
+from dataclasses import replace
+
+import pytest
+from pyspark.sql import functions as F
+
+from featureflow.config import FileSpec, InputSpec, JobConfig, OutputSpec, TableSpec
+from featureflow.functions.codec import output_topic
+from featureflow.operators.checks import assert_rows, expected_frame
+from featureflow.plans.jobs import (
+    archive_base,
+    archive_job,
+    build_fixture,
+    dev_job,
+    feature_store,
+    live_job,
+    replay_job,
+)
+from featureflow.plans.tables import EVENTS_SCHEMA, table_path
+from featureflow.sources.files import archive_streams, folder_location
+from featureflow.sources.topics import FileTransport, publish
+from featureflow.streaming.runner import claim_run, run_bounded, start_stream
+from featureflow.streaming.sinks import collect_to_memory, fan_out
+
+from conftest import SF001, rows
+
+EVENTS = InputSpec("events", EVENTS_SCHEMA)
+TABLE = TableSpec(["user_id"], EVENTS_SCHEMA, order_by=["ts", "event_id"])
+
+
+def _events(spark):
+    return spark.read.parquet(table_path(SF001, "events"))
+
+
+def test_live_job_writes_topic_and_table(spark, tmp):
+    t = FileTransport(f"{tmp}/topics")
+    publish(_events(spark), t, "events", ["event_id"])
+    cfg = JobConfig("app", tmp, [EVENTS], table=TABLE, run_id="live1")
+    live_job(spark, cfg, lambda dfs: dfs[0], t, bounded=True).awaitTermination()
+    assert t.read_batch(spark, output_topic("app", 1)).count() == 1000
+    assert feature_store(cfg).latest(spark, 1).count() == _events(spark).select("user_id").distinct().count()
+
+
+def test_archive_then_replay_equals_direct(spark, tmp):
+    t = FileTransport(f"{tmp}/topics")
+    publish(_events(spark), t, "events", ["event_id"])
+    cfg = JobConfig("app", tmp, [EVENTS], table=TABLE, run_id="a1")
+    archive_job(spark, cfg, EVENTS, t, bounded=True).awaitTermination()
+    rcfg = replace(cfg, run_id="replay1")
+    replay_job(spark, rcfg, lambda dfs: dfs[0], bounded=True).awaitTermination()
+    got = feature_store(rcfg).latest(spark, 1, run_id="replay1")
+    from pyspark.sql import Window
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    ev = _events(spark)
+    want = ev.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_replay_does_not_publish_unless_asked(spark, tmp):
+    t = FileTransport(f"{tmp}/topics")
+    publish(_events(spark), t, "events", ["event_id"])
+    cfg = JobConfig("app", tmp, [EVENTS], table=TABLE, run_id="a1")
+    archive_job(spark, cfg, EVENTS, t, bounded=True).awaitTermination()
+    with pytest.raises(ValueError, match="transport"):
+        replay_job(spark, replace(cfg, run_id="r2"), lambda dfs: dfs[0], publish=True)
+    replay_job(spark, replace(cfg, run_id="r3"), lambda dfs: dfs[0], bounded=True,
+               publish=True, transport=t).awaitTermination()
+    assert t.read_batch(spark, output_topic("app", 1)).count() == 1000
+
+
+def test_run_id_belongs_to_one_checkpoint(spark, tmp):
+    claim_run(spark, f"{tmp}/runs", "r1", f"{tmp}/cp1")
+    claim_run(spark, f"{tmp}/runs", "r1", f"{tmp}/cp1")  # resume is fine
+    with pytest.raises(ValueError, match="already belongs"):
+        claim_run(spark, f"{tmp}/runs", "r1", f"{tmp}/cp2")
+    with pytest.raises(ValueError, match="belongs to run"):
+        claim_run(spark, f"{tmp}/runs", "r2", f"{tmp}/cp1")
+
+
+def test_live_and_replay_get_separate_checkpoints(spark, tmp):
+    t = FileTransport(f"{tmp}/topics")
+    publish(_events(spark), t, "events", ["event_id"])
+    cfg = JobConfig("app", tmp, [EVENTS], table=TABLE, run_id="same")
+    live_job(spark, cfg, lambda dfs: dfs[0], t, bounded=True).awaitTermination()
+    archive_job(spark, replace(cfg, run_id="arch"), EVENTS, t, bounded=True).awaitTermination()
+    with pytest.raises(ValueError):
+        replay_job(spark, cfg, lambda dfs: dfs[0])  # run id of the live run
+
+
+def test_max_file_age(spark, tmp):
+    """The age bound does not apply to the first batch; later it skips old files."""
+    base, app = f"{tmp}/arch", "app"
+    folder = folder_location(base, app, "t")
+    schema = [{"name": "n", "type": "long"}]
+    now = time.time()
+
+    def put(n, days_old):
+        before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+        spark.createDataFrame([(n,)], "n long").coalesce(1).write.mode("append").parquet(folder)
+        for f in set(os.listdir(folder)) - before:
+            if f.endswith(".parquet"):
+                stamp = now - days_old * 86400
+                os.utime(os.path.join(folder, f), (stamp, stamp))
+
+    put(1, 0), put(2, 3), put(3, 10)
+    inp = InputSpec("t", schema)
+    out = f"{tmp}/out"
+
+    def run():
+        [s] = archive_streams(spark, base, app, [inp], "2d")
+        run_bounded(s, lambda b, i: b.write.mode("append").parquet(out),
+                    OutputSpec("append"), f"{tmp}/cp")
+
+    run()
+    assert sorted(r.n for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+    put(4, 5), put(5, 0)
+    run()
+    assert sorted(r.n for r in spark.read.parquet(out).collect()) == [1, 2, 3, 5]
+
+
+def test_fan_out_releases_cache_on_failure(spark):
+    df = spark.range(3)
+    seen = []
+
+    def ok(b, i):
+        seen.append(b.count())
+
+    def boom(b, i):
+        raise RuntimeError("sink down")
+
+    with pytest.raises(RuntimeError):
+        fan_out(ok, boom)(df, 0)
+    assert seen == [3]
+    assert not df.is_cached
+
+
+def test_output_mode_checks(spark, tmp):
+    stream = spark.readStream.format("rate").load()
+    with pytest.raises(ValueError, match="output mode"):
+        start_stream(stream, lambda b, i: None, OutputSpec("sometimes"), f"{tmp}/cp1")
+    counts = stream.groupBy("value").count()
+    with pytest.raises(ValueError, match="append"):
+        start_stream(counts, lambda b, i: None, OutputSpec("append"), f"{tmp}/cp2")
+
+
+def _dev_files(spark, tmp, app):
+    folder = folder_location(f"{tmp}/dev", app, "topic1")
+    os.makedirs(folder)
+    with open(f"{folder}/part1.json", "w") as fh:
+        for r in [{"field1": "somevalue"}, {"field1": "other"}]:
+            fh.write(json.dumps(r) + "\n")
+    return JobConfig(app, tmp, [InputSpec("topic1", [{"name": "field1", "type": "string"}])],
+                     files=FileSpec("2d"))
+
+
+def test_build_fixture_then_assert(spark, tmp):
+    cfg = _dev_files(spark, tmp, "fixapp")
+    fixture = build_fixture(spark, cfg, lambda dfs: dfs[0], f"{tmp}/dev")
+    assert sorted(fixture["assertions"], key=lambda d: d["field1"]) == [
+        {"field1": "other"}, {"field1": "somevalue"}]
+    assert sorted(s["field1"] for s in fixture["inputs"][0].sample) == ["other", "somevalue"]
+    expected = expected_frame(spark, fixture["assertions"], cfg.inputs[0].topic_schema)
+    actual = spark.createDataFrame([("somevalue",), ("other",)], "field1 string")
+    assert_rows(actual, expected)
+    with pytest.raises(AssertionError, match="missing"):
+        assert_rows(actual.limit(1), expected)
+
+
+def test_dev_job_console(spark, tmp, capsys):
+    cfg = _dev_files(spark, tmp, "devapp")
+    q = dev_job(spark, cfg, lambda dfs: dfs[0], f"{tmp}/dev", f"{tmp}/cp")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()

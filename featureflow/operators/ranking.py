@@ -14,7 +14,8 @@ would put a hot key, possibly a third of all rows, into one task.  Instead:
 
 The offsets table has at most one row per partition, a size fixed by the
 partition count, so broadcasting it is safe.  Rows and summaries come from
-one pass over one shuffle, checkpointed in the shared checkpoint folder.
+one pass over one shuffle, written once as a table in the shared checkpoint
+folder.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featureflow.functions.schema import quote
+from featureflow.session import scratch_dir
 
 PID = "_pid"
 
@@ -89,25 +91,27 @@ def _scan(batches: Iterator[pa.RecordBatch], keys: Sequence[str], weight: str):
 
 def count_preceding(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                     weight: str, id_cols: Sequence[str], out: str = "n_before",
-                    emit: str | None = None, num_partitions: int | None = None) -> DataFrame:
-    """``(id_cols..., out)``: per row, the sum of ``weight`` over rows of the
-    same ``keys`` that sort strictly before it by ``order`` (ascending, nulls
-    first).  Rows equal on keys and order are ordered arbitrarily among
-    themselves, so give ``order`` a unique tail where that matters.  With
-    ``emit`` (a boolean column) only those rows are returned.
+                    emit: str | None = None, num_partitions: int | None = None,
+                    carry: Sequence[str] = ()) -> DataFrame:
+    """``(keys..., id_cols..., carry..., out)``: per row, the sum of ``weight``
+    over rows of the same ``keys`` that sort strictly before it by ``order``
+    (ascending, nulls first).  Rows equal on keys and order are ordered
+    arbitrarily among themselves, so give ``order`` a unique tail where that
+    matters.  With ``emit`` (a boolean column) only those rows are returned.
+    ``carry`` columns ride along unchanged, which saves joining back.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys, order, id_cols = list(keys), list(order), list(id_cols)
     sort_cols = [*keys, *order]
-    carried = [*dict.fromkeys([*keys, *order, *id_cols, weight] + ([emit] if emit else []))]
+    carried = [*dict.fromkeys([*keys, *order, *id_cols, *carry, weight] + ([emit] if emit else []))]
     base = df.select(*[F.col(quote(c)) for c in carried])
     ranged = (base.repartitionByRange(n, *[F.col(quote(c)) for c in sort_cols])
               .sortWithinPartitions(*[F.col(quote(c)) for c in sort_cols]))
     fields = {f.name: f for f in base.schema.fields}
 
     key_fields = [fields[k] for k in keys]
-    ids_only = [c for c in dict.fromkeys(id_cols) if c not in keys]
+    ids_only = [c for c in dict.fromkeys([*id_cols, *carry]) if c not in keys]
     # One pass emits the rows (_tag 0) and, last, one summary row per
     # partition (_tag 1): first key in the key columns, last key and its
     # local total in the _l columns.
@@ -152,10 +156,12 @@ def count_preceding(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         yield pa.RecordBatch.from_pydict(row, schema=arrow_schema)
 
     # Range bounds are sampled per shuffle, so the rows and the summary must
-    # come from the same shuffle: materialise the pass once in the shared
-    # checkpoint folder (this also survives lost executors).
-    _ensure_checkpoint_dir(spark)
-    passed = ranged.mapInArrow(one_pass, all_schema).checkpoint(eager=True)
+    # come from the same shuffle: write the pass once as a table in the
+    # shared checkpoint folder and read it back (this also cuts the lineage,
+    # so lost executors never re-sample).
+    path = scratch_dir(spark, "ranking")
+    ranged.mapInArrow(one_pass, all_schema).write.parquet(path)
+    passed = spark.read.schema(all_schema).parquet(path)
 
     summ = passed.filter(F.col("_tag") == 1)
     kcols = [f"_k{i}" for i in range(len(keys))]
@@ -180,16 +186,10 @@ def count_preceding(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         cond = cond & F.col(quote(k)).eqNullSafe(F.col(kcols[i]))
     # At most one offset row per partition: a size bound, so broadcast.
     joined = counted.join(F.broadcast(offsets), cond, "left")
-    return joined.select(*[F.col(quote(c)) for c in id_cols],
+    return joined.select(*[F.col(quote(c)) for c in [*keys, *ids_only]],
                          (F.col(out) + F.coalesce(F.col("_off"), F.lit(0))).alias(out))
 
 
-def _ensure_checkpoint_dir(spark) -> None:
-    from featureflow.session import scratch_dir
-    if spark.sparkContext.getCheckpointDir() is None:
-        scratch_dir(spark, "ranking")  # registers the configured (or a fresh) root
-
-
 def _arrow_type(dtype: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
     return to_arrow_type(dtype)

@@ -42,25 +42,26 @@ HISTORY_SCHEMA = T.StructType([
 ])
 
 
-def _json_string(c: Column) -> Column:
-    escaped = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"')
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
-
-
 def schema_text(fields: Column) -> Column:
     """Field list as JSON text, laid out as Python's ``json.dumps`` does:
-    ``[{"name": "a", "type": "string"}, ...]``."""
-    items = F.transform(fields, lambda f: F.concat(
-        F.lit('{"name": '), _json_string(f["name"]),
-        F.lit(', "type": '), _json_string(f["type"]), F.lit("}")))
-    return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+    ``[{"name": "a", "type": "string"}, ...]``.
+
+    ``to_json`` writes the compact form; the three literal replacements add
+    the spaces.  They can only match between values, because inside a JSON
+    string every quote is escaped.  Names are compared as written by
+    ``to_json`` (non-ASCII characters are not turned into ``\\u`` escapes).
+    """
+    compact = F.to_json(fields)
+    spaced = F.replace(compact, F.lit('"},{"name":'), F.lit('"}, {"name":'))
+    spaced = F.replace(spaced, F.lit('{"name":"'), F.lit('{"name": "'))
+    return F.replace(spaced, F.lit('","type":"'), F.lit('", "type": "'))
 
 
 def request_errors(requests: DataFrame) -> Column:
     """Null for a valid request, else why it is refused: every field needs a
     name and a type, names are unique, primary keys are output fields."""
     fields = F.col("fields")
-    names = F.transform(fields, lambda f: f["name"])
+    names = F.col("fields.name")
     return (
         F.when(fields.isNull() | (F.size(fields) == 0), F.lit("schema has no fields"))
         .when(F.exists(fields, lambda f: f["name"].isNull() | f["type"].isNull()),
@@ -107,9 +108,9 @@ def assign_versions(requests: DataFrame, history: DataFrame) -> DataFrame:
     valid = checked.filter(F.col("_error").isNull()).drop("_error")
     ranks = count_preceding(valid.withColumn("_one", F.lit(1).cast("long")), KEYS,
                             ["requested_at", "request_id"], "_one", ["request_id"],
-                            out="_rank")
+                            out="_rank", carry=["requested_at", "primary_keys", "fields"])
     cur = current_versions(history).withColumnRenamed("code_version", "_prev")
-    ranked = valid.join(ranks, ["request_id"]).join(cur, KEYS, "left")
+    ranked = ranks.join(cur, KEYS, "left")
     return ranked.select(
         "org", "app",
         (F.coalesce(F.col("_prev"), F.lit(0)) + F.col("_rank") + 1).cast("int").alias("code_version"),

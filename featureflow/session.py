@@ -52,3 +52,41 @@ def _checkpoint_root(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new, unique folder under the shared checkpoint root."""
     return f"{_checkpoint_root(spark)}/featureflow/{label}-{uuid.uuid4().hex[:12]}"
+
+
+# Small marker files on the shared file system (any Hadoop file system),
+# written and read by the driver without running a Spark job.
+
+def _hadoop_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def read_marker(spark: SparkSession, path: str) -> str | None:
+    """Text of a small file, or None when it does not exist."""
+    fs, p = _hadoop_path(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        data = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)
+    finally:
+        stream.close()
+    return bytes(data).decode("utf-8")
+
+
+def create_marker(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file holding ``text``; False if it already exists."""
+    fs, p = _hadoop_path(spark, path)
+    if fs.exists(p):
+        return False
+    try:
+        out = fs.create(p, False)
+    except Exception:  # lost a race: someone created it first
+        return False
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    return True

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from featureflow.config import OutputSpec
+from featureflow.session import create_marker, read_marker
 
 BatchWriter = Callable[[DataFrame, int], None]
 
@@ -63,32 +64,25 @@ def run_bounded(df: DataFrame, write: BatchWriter, output: OutputSpec,
     return q
 
 
-def _read_marker(spark: SparkSession, path: str) -> dict | None:
-    try:
-        rows = spark.read.schema("run_id string, checkpoint string").json(path).collect()
-    except AnalysisException:
-        return None
-    return rows[0].asDict() if rows else None
-
-
 def claim_run(spark: SparkSession, runs_root: str, run_id: str, checkpoint: str) -> None:
     """Tie ``run_id`` to ``checkpoint`` for good.
 
     Each run counts batch ids from 0, and sinks are partitioned by run id, so
     a run id may only ever belong to one checkpoint: reusing it with a new
     checkpoint would overwrite the earlier run's batches.  Resuming the same
-    checkpoint with the same run id is allowed.
+    checkpoint with the same run id is allowed.  The two markers are created
+    with create-if-absent, so two jobs racing for one run id cannot both win.
     """
     by_run = f"{runs_root.rstrip('/')}/run_id={run_id}"
     by_checkpoint = f"{checkpoint.rstrip('/')}_run"
-    known = _read_marker(spark, by_run)
-    if known is not None and known["checkpoint"] != checkpoint:
-        raise ValueError(f"run id {run_id!r} already belongs to checkpoint {known['checkpoint']}")
-    owner = _read_marker(spark, by_checkpoint)
-    if owner is not None and owner["run_id"] != run_id:
-        raise ValueError(f"checkpoint {checkpoint} belongs to run {owner['run_id']!r}")
-    if known is None or owner is None:
-        marker = spark.createDataFrame([(run_id, checkpoint)], "run_id string, checkpoint string")
-        for path, seen in ((by_run, known), (by_checkpoint, owner)):
-            if seen is None:
-                marker.coalesce(1).write.mode("overwrite").json(path)
+    owner = read_marker(spark, by_checkpoint)
+    if owner is not None and owner != run_id:
+        raise ValueError(f"checkpoint {checkpoint} belongs to run {owner!r}")
+    create_marker(spark, by_run, checkpoint)
+    known = read_marker(spark, by_run)
+    if known != checkpoint:
+        raise ValueError(f"run id {run_id!r} already belongs to checkpoint {known}")
+    create_marker(spark, by_checkpoint, run_id)
+    owner = read_marker(spark, by_checkpoint)
+    if owner != run_id:
+        raise ValueError(f"checkpoint {checkpoint} belongs to run {owner!r}")

@@ -66,3 +66,29 @@ class JobConfig:
     org: str = "default"
     checkpoint_location: str = "checkpoints"
     assertions: list[dict] = field(default_factory=list)
+
+    @classmethod
+    def from_request(cls, body: dict[str, Any], bucket: str, **overrides: Any) -> "JobConfig":
+        """Build a config from a deploy or replay request body: ``inputs``,
+        ``kafka``, ``outputs``, ``table``, optional ``fileinfo``, ``appname``,
+        optional ``code_version`` and ``assertions``.  Other keys (for example
+        the encoded user code) are ignored."""
+        inputs = [InputSpec(i["topic"], i["topic_schema"], list(i.get("sample") or []))
+                  for i in body["inputs"]]
+        table = body.get("table")
+        kafka = body.get("kafka")
+        out = body.get("outputs") or {}
+        files = body.get("fileinfo") or {}
+        args: dict[str, Any] = dict(
+            app_name=body["appname"],
+            bucket=bucket,
+            inputs=inputs,
+            table=TableSpec(table["primary_keys"], table["output_schema"]) if table else None,
+            output=OutputSpec(**out) if out else OutputSpec(),
+            files=FileSpec(**files) if files else FileSpec(),
+            kafka=KafkaSpec(**kafka) if kafka else None,
+            code_version=int(body.get("code_version", 1)),
+            assertions=list(body.get("assertions") or []),
+        )
+        args.update(overrides)
+        return cls(**args)

@@ -5,6 +5,7 @@
 * replay:  archive files -> process -> feature table (publishing optional)
 * dev:     JSON-lines folders -> process -> console
 * fixture: JSON-lines folders -> process -> expected rows + inputs with samples
+* check:   inline samples -> process -> compared with the expected rows
 """
 
 from __future__ import annotations
@@ -13,12 +14,20 @@ import json
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from featureflow.config import InputSpec, JobConfig
-from featureflow.functions.codec import output_topic
+from featureflow.functions.codec import JSON_OPTIONS, output_topic
+from featureflow.operators.checks import assert_rows, compare_rows, expected_frame
 from featureflow.operators.store import FeatureStore
-from featureflow.sources.files import folder_location, json_line_streams, read_json_lines, archive_streams
+from featureflow.sources.files import (
+    archive_streams,
+    folder_location,
+    json_line_streams,
+    read_json_lines,
+    sample_frame,
+)
 from featureflow.sources.topics import read_topics
 from featureflow.streaming.runner import checkpoint_path, claim_run, start_stream
 from featureflow.streaming.sinks import (
@@ -120,11 +129,33 @@ def build_fixture(spark: SparkSession, cfg: JobConfig, process: Process,
     """
     dfs = json_line_streams(spark, base_folder, cfg.app_name, cfg.inputs, cfg.files.max_file_age)
     result = collect_to_memory(process(dfs), cfg.output.mode)
-    assertions = [json.loads(r) for r in result.toJSON().collect()]
+    assertions = _json_rows(result)
     inputs = []
     for inp in cfg.inputs:
         rows = read_json_lines(spark, folder_location(base_folder, cfg.app_name, inp.topic),
                                inp.topic_schema)
-        inputs.append(InputSpec(inp.topic, inp.topic_schema,
-                                [json.loads(r) for r in rows.toJSON().collect()]))
+        inputs.append(InputSpec(inp.topic, inp.topic_schema, _json_rows(rows)))
     return {"assertions": assertions, "inputs": inputs}
+
+
+def _json_rows(df: DataFrame) -> list[dict]:
+    text = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), JSON_OPTIONS))
+    return [json.loads(r[0]) for r in text.collect()]
+
+
+def sample_output(spark: SparkSession, cfg: JobConfig, process: Process) -> DataFrame:
+    """``process`` applied to the inline samples of every input topic."""
+    return process([sample_frame(spark, inp) for inp in cfg.inputs])
+
+
+def check_on_samples(spark: SparkSession, cfg: JobConfig, process: Process,
+                     raise_on_diff: bool = True) -> DataFrame:
+    """Run ``process`` on the samples and compare with ``cfg.assertions``
+    typed by the table's output schema (or the output's own schema).
+    Returns the difference report (empty when the function is right)."""
+    out = sample_output(spark, cfg, process)
+    schema = cfg.table.output_schema if cfg.table is not None else out.schema
+    expected = expected_frame(spark, cfg.assertions, schema)
+    if raise_on_diff:
+        assert_rows(out, expected)
+    return compare_rows(out, expected)

@@ -90,3 +90,9 @@ def create_marker(spark: SparkSession, path: str, text: str) -> bool:
     finally:
         out.close()
     return True
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    """True when ``path`` is a single file (not a folder)."""
+    fs, p = _hadoop_path(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isFile()

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from featureflow.config import InputSpec
 from featureflow.functions.codec import JSON_OPTIONS, decode
 from featureflow.functions.schema import to_struct
+from featureflow.session import is_file
 
 
 def folder_location(base: str, app_name: str, topic: str) -> str:
@@ -66,14 +67,16 @@ def sample_frame(spark: SparkSession, inp: InputSpec) -> DataFrame:
 
 def table_stream(spark: SparkSession, path: str,
                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """Stream a Parquet table that is either one file or a folder of files."""
+    """Stream a Parquet table that is either one file or a folder of files.
+
+    The schema is the table's own (read from Parquet footers, not inferred
+    from data); a single file is streamed from its folder with a file-name
+    filter, so nothing is copied."""
     schema = spark.read.parquet(path).schema
-    files = spark.read.parquet(path).inputFiles()
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    single = len(files) == 1 and files[0].rstrip("/").endswith(path.rstrip("/").split("/")[-1])
-    if single:
+    if is_file(spark, path):
         parent, name = posixpath.split(path.rstrip("/"))
         return reader.option("pathGlobFilter", name).parquet(parent)
     return reader.parquet(path)

@@ -177,3 +177,50 @@ def test_dev_job_console(spark, tmp, capsys):
         q.processAllAvailable()
     finally:
         q.stop()
+
+
+REQUEST = {
+    "pythoncode": "ignored",
+    "inputs": [{"topic": "topic1", "sample": [{"field1": "somevalue"}],
+                "topic_schema": [{"name": "field1", "type": "string"}]}],
+    "assertions": [{"field1": "somevalue"}],
+    "kafka": {"brokers": "broker1,broker2"},
+    "outputs": {"mode": "append", "processing_time": "2 seconds"},
+    "table": {"primary_keys": ["field1"],
+              "output_schema": [{"name": "field1", "type": "string"}]},
+    "appname": "mytestapp",
+}
+
+
+def test_config_from_request_and_sample_check(spark, tmp):
+    from featureflow.plans.jobs import check_on_samples
+    cfg = JobConfig.from_request(REQUEST, bucket=tmp)
+    assert cfg.app_name == "mytestapp" and cfg.kafka.brokers == "broker1,broker2"
+    assert cfg.output == OutputSpec("append", "2 seconds") and cfg.files == FileSpec()
+    assert cfg.table.primary_keys == ["field1"] and cfg.code_version == 1
+    assert check_on_samples(spark, cfg, lambda dfs: dfs[0]).count() == 0
+    with pytest.raises(AssertionError):
+        check_on_samples(spark, cfg, lambda dfs: dfs[0].withColumn("field1", F.lit("other")))
+    replay = JobConfig.from_request(dict(REQUEST, fileinfo={"max_file_age": "2d"},
+                                         code_version=4), bucket=tmp)
+    assert replay.files.max_file_age == "2d" and replay.code_version == 4
+
+
+def test_session_time_zone_does_not_matter(spark, tmp):
+    """Window bounds are UTC days whatever the session zone."""
+    import datetime as dt
+    from featureflow.operators.features import windowed_count
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("America/Los_Angeles", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            src = f"{tmp}/{zone.replace('/', '_')}"
+            spark.createDataFrame([(1, dt.datetime(2024, 3, 10, 23, 30))],
+                                  "u long, ts timestamp_ntz").write.parquet(src)
+            stream = spark.readStream.schema("u long, ts timestamp_ntz").parquet(src)
+            got = collect_to_memory(windowed_count(stream, ["u"], "ts", "1 day", "1 day"),
+                                    mode="update").first()
+            assert got.window_start == dt.datetime(2024, 3, 10)
+            assert got.window_end == dt.datetime(2024, 3, 11)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

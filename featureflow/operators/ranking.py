@@ -101,13 +101,17 @@ def count_preceding(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     ``carry`` columns ride along unchanged, which saves joining back.
     """
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys, order, id_cols = list(keys), list(order), list(id_cols)
     sort_cols = [*keys, *order]
     carried = [*dict.fromkeys([*keys, *order, *id_cols, *carry, weight] + ([emit] if emit else []))]
     base = df.select(*[F.col(quote(c)) for c in carried])
-    ranged = (base.repartitionByRange(n, *[F.col(quote(c)) for c in sort_cols])
-              .sortWithinPartitions(*[F.col(quote(c)) for c in sort_cols]))
+    # Without an explicit count the shuffle uses spark.sql.shuffle.partitions
+    # and AQE may merge small neighbouring partitions; merging keeps the key
+    # order, which is all the offsets below rely on.
+    range_cols = [F.col(quote(c)) for c in sort_cols]
+    parted = (base.repartitionByRange(num_partitions, *range_cols) if num_partitions
+              else base.repartitionByRange(*range_cols))
+    ranged = parted.sortWithinPartitions(*range_cols)
     fields = {f.name: f for f in base.schema.fields}
 
     key_fields = [fields[k] for k in keys]

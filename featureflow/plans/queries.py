@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,15 @@ def _run_to_table(spark: SparkSession, df: DataFrame, root: str, mode: str = "ap
         write_partitioned(stamped, out, BATCH_COLUMNS)
 
     run_bounded(df, write, OutputSpec(mode), f"{root}/checkpoint")
-    return spark.read.schema(df.schema).parquet(out).select(*df.columns)
+    return _read_or_empty(spark, out, df.schema)
+
+
+def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Parquet written by a stream; an input without rows writes nothing."""
+    try:
+        return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
 
 
 def _store_from_table(spark: SparkSession, sf_dir: str, table: str, spec: TableSpec,
@@ -123,8 +132,7 @@ def stream_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events topic -> archive job (identity) -> Parquet archive, read back."""
     cfg, _ = _archived(spark, sf_dir, "stream_identity")
     path = folder_location(archive_base(cfg), cfg.app_name, "events")
-    schema = to_struct(EVENTS_SCHEMA)
-    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+    return _read_or_empty(spark, path, to_struct(EVENTS_SCHEMA))
 
 
 def _totals_by_type(dfs: list[DataFrame]) -> DataFrame:

@@ -224,3 +224,49 @@ def test_session_time_zone_does_not_matter(spark, tmp):
             assert got.window_end == dt.datetime(2024, 3, 11)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_stream_without_rows_gives_empty_result(spark, tmp):
+    from featureflow.plans.queries import _run_to_table
+    src = f"{tmp}/src"
+    spark.createDataFrame([(1,)], "n long").write.parquet(src)
+    stream = spark.readStream.schema("n long").parquet(src).filter("n > 5")
+    out = _run_to_table(spark, stream, f"{tmp}/run")
+    assert out.columns == ["n"] and out.count() == 0
+
+
+def test_failed_batch_is_rerun_without_duplicates_in_the_table(spark, tmp):
+    """A batch that dies after the topic write is re-run on restart: the
+    topic gets the rows twice (at least once), the table once."""
+    from featureflow.plans.jobs import feature_store as store_of
+    from featureflow.streaming.sinks import topic_writer
+    src = f"{tmp}/src"
+    _events(spark).write.parquet(src)
+    t = FileTransport(f"{tmp}/topics")
+    cfg = JobConfig("app", tmp, [EVENTS], table=TABLE, run_id="r")
+    store = store_of(cfg)
+    failed = {"n": 0}
+
+    def flaky(b, i):
+        if failed["n"] == 0:
+            failed["n"] += 1
+            raise RuntimeError("driver lost")
+        store.writer(1, "r")(b, i)
+
+    stream = spark.readStream.schema(_events(spark).schema).parquet(src)
+    write = fan_out(topic_writer(t, "out", store.keys), flaky)
+    with pytest.raises(Exception):
+        run_bounded(stream, write, OutputSpec("append"), f"{tmp}/cp")
+    run_bounded(stream, write, OutputSpec("append"), f"{tmp}/cp")
+    assert store.changelog(spark, 1).count() == 1000
+    assert t.read_batch(spark, "out").count() == 2000
+
+
+def test_archive_batch_rewrite_is_idempotent(spark, tmp):
+    from featureflow.streaming.sinks import archive_writer
+    w = archive_writer(f"{tmp}/arch", "app", "t", "r")
+    df = spark.range(5)
+    w(df, 0)
+    w(df, 0)
+    w(df, 1)
+    assert spark.read.parquet(folder_location(f"{tmp}/arch", "app", "t")).count() == 10

@@ -15,7 +15,7 @@ from __future__ import annotations
 from typing import Any, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,17 +125,18 @@ class FeatureStore:
                           F.col("_v.batch_id").alias("batch_id"))
 
     def _rows(self, spark: SparkSession, code_version: int, run_id: str | None) -> DataFrame:
-        """Changelog rows plus the newest snapshot, minus what it folded in."""
+        """Changelog rows plus the newest snapshot, minus what it folded in.
+
+        The fold points (one per run) become literal partition filters, so
+        after a compaction only the batches written since are listed and read.
+        """
         if not self.order_by and run_id is None:
             raise ValueError("a table without order_by must be read for one run_id")
         rows = self.changelog(spark, code_version, run_id)
         snap = self._snapshot(spark, code_version, run_id)
         if snap is not None:
             snap_rows, folded = snap
-            rows = rows.join(F.broadcast(folded), ["run_id"], "left").filter(
-                F.col("_folded").isNull() | (F.col("batch_id") > F.col("_folded"))
-            ).drop("_folded")
-            rows = rows.select(snap_rows.columns).unionByName(snap_rows)
+            rows = rows.filter(_after(folded)).select(snap_rows.columns).unionByName(snap_rows)
         return rows
 
     def latest(self, spark: SparkSession, code_version: int,
@@ -186,7 +187,7 @@ class FeatureStore:
 
     # ----------------------------------------------------------- compaction
     def _snapshot(self, spark: SparkSession, code_version: int, run_id: str | None):
-        """Newest complete snapshot: (rows, per-run last folded batch)."""
+        """Newest complete snapshot: (rows, {run_id: last folded batch})."""
         base = f"{self.snapshot_path}/code_version={code_version}"
         marks = self._read_marks(spark, base)
         if marks is None:
@@ -194,10 +195,10 @@ class FeatureStore:
         snap_id = marks.agg(F.max("snapshot_id")).first()[0]
         if snap_id is None:
             return None
-        folded = marks.filter(F.col("snapshot_id") == snap_id).select(
-            "run_id", F.col("last_batch").alias("_folded"))
-        if run_id is not None:
-            folded = folded.filter(F.col("run_id") == run_id)
+        # one row per run: small by construction
+        folded = {r.run_id: r.last_batch for r in
+                  marks.filter(F.col("snapshot_id") == snap_id).collect()
+                  if run_id is None or r.run_id == run_id}
         snap = spark.read.schema(T.StructType(list(self.schema.fields) + [
             T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType())
         ])).parquet(f"{base}/snapshot_id={snap_id}/rows")
@@ -233,15 +234,12 @@ class FeatureStore:
             F.max("batch_id").alias("last_batch")).collect()]
         if not last:
             return prev or 0
-        upto = spark.createDataFrame(last, "run_id string, last_batch long")
-        rows = log.join(F.broadcast(upto), ["run_id"]).filter(
-            F.col("batch_id") <= F.col("last_batch")).drop("last_batch")
+        upto = dict(last)
+        rows = log.filter(_up_to(upto))
         old = self._snapshot(spark, code_version, None)
         if old is not None:
             old_rows, folded = old
-            rows = rows.join(F.broadcast(folded), ["run_id"], "left").filter(
-                F.col("_folded").isNull() | (F.col("batch_id") > F.col("_folded"))
-            ).drop("_folded").select(old_rows.columns).unionByName(old_rows)
+            rows = rows.filter(_after(folded)).select(old_rows.columns).unionByName(old_rows)
         values = [f.name for f in self.schema.fields if f.name not in self.keys]
         payload = F.struct(*[F.col(quote(c)) for c in values], F.col("batch_id"))
         ordering = F.struct(*[F.col(quote(c)) for c in self._ordering()])
@@ -252,7 +250,23 @@ class FeatureStore:
                                "run_id", F.col("_v.batch_id").alias("batch_id"))
         newest.write.mode("overwrite").parquet(f"{base}/snapshot_id={snap_id}/rows")
         # The marks are written last: a snapshot without marks is never read.
-        (upto.withColumn("snapshot_id", F.lit(snap_id).cast("long"))
-         .select("snapshot_id", "run_id", "last_batch")
+        (spark.createDataFrame([(snap_id, r, b) for r, b in last],
+                               "snapshot_id long, run_id string, last_batch long")
          .coalesce(1).write.mode("append").json(f"{base}/marks"))
         return snap_id
+
+
+def _after(folded: dict[str, int]) -> Column:
+    """Rows of batches after their run's fold point (runs not folded: all)."""
+    cond = ~F.col("run_id").isin(list(folded)) if folded else F.lit(True)
+    for run, last in folded.items():
+        cond = cond | ((F.col("run_id") == F.lit(run)) & (F.col("batch_id") > F.lit(last)))
+    return cond
+
+
+def _up_to(points: dict[str, int]) -> Column:
+    """Rows of batches up to their run's fold point."""
+    cond = F.lit(False)
+    for run, last in points.items():
+        cond = cond | ((F.col("run_id") == F.lit(run)) & (F.col("batch_id") <= F.lit(last)))
+    return cond

@@ -6,6 +6,7 @@
 * dev:     JSON-lines folders -> process -> console
 * fixture: JSON-lines folders -> process -> expected rows + inputs with samples
 * check:   inline samples -> process -> compared with the expected rows
+* compact: feature table changelog -> snapshot (scheduled maintenance)
 """
 
 from __future__ import annotations
@@ -159,3 +160,12 @@ def check_on_samples(spark: SparkSession, cfg: JobConfig, process: Process,
     if raise_on_diff:
         assert_rows(out, expected)
     return compare_rows(out, expected)
+
+
+def compaction_job(spark: SparkSession, cfg: JobConfig) -> int:
+    """Fold the app's feature table (this code version) into a new snapshot.
+
+    Meant to run on a schedule beside the live job (single writer of
+    snapshots); reads then cost keys + batches since the last compaction.
+    """
+    return feature_store(cfg).compact(spark, cfg.code_version)

@@ -122,3 +122,23 @@ def test_multi_batch_stream_matches_batch(spark, tmp):
     # A restart on the same checkpoint processes nothing new and adds nothing.
     run_bounded(stream, store.writer(1, "r"), OutputSpec("append"), f"{tmp}/cp")
     assert store.changelog(spark, 1).count() == ev.count()
+
+
+def test_reads_after_compaction_prune_folded_batches(spark, tmp):
+    store = FeatureStore(tmp, TableSpec(["k"], SCHEMA, order_by=["t"]))
+    for b in range(3):
+        store.write_batch(_df(spark, [(b, b, "v")]), 1, "r", b)
+    store.compact(spark, 1)
+    store.write_batch(_df(spark, [(9, 9, "new")]), 1, "r", 3)
+    latest = store.latest(spark, 1)
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        latest.explain("formatted")
+    scans = buf.getvalue().split("Scan parquet")[1:]
+    log_scan = [sc for sc in scans if "/changelog" in sc.split("ReadSchema")[0]]
+    assert log_scan and "batch_id" in log_scan[0].split("PartitionFilters")[1].split("\n")[0]
+    assert sorted(r.k for r in latest.collect()) == [0, 1, 2, 9]
+    assert rows(store.lookup(spark, 1, [(9,), (1,)])) == [
+        {"k": 1, "t": 1, "v": "v"}, {"k": 9, "t": 9, "v": "new"}]

@@ -46,6 +46,7 @@ ORACLES: dict[str, str] = {
         SELECT 'events_latest_v1' AS topic, '{{"user_id":' || user_id || '}}' AS key, {EVENT_COLS}
         FROM ({LATEST_EVENT})""",
     "feature_latest": f"SELECT {EVENT_COLS} FROM ({LATEST_EVENT})",
+    "feature_latest_compacted": f"SELECT {EVENT_COLS} FROM ({LATEST_EVENT})",
     "feature_latest_composite": f"""
         SELECT {EVENT_COLS} FROM (
           SELECT *, row_number() OVER (PARTITION BY user_id, event_type

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from featureflow.config import InputSpec, JobConfig, OutputSpec, TableSpec
 from featureflow.functions.codec import JSON_OPTIONS, decode, encode, key_json, output_topic
 from featureflow.functions.schema import to_struct
+from featureflow.functions.time import epoch_micros
 from featureflow.operators.checks import compare_rows
 from featureflow.operators.features import interval_join, trailing_count, windowed_count
 from featureflow.operators.registry import current_for, read_history, register
@@ -203,6 +204,24 @@ def feature_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest(spark, VERSION)
 
 
+def feature_latest_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events arrive in two halves (split at the median time), each as
+    several micro-batches of one stream restarted on its checkpoint; the
+    table is compacted between the halves.  The latest view must not change."""
+    root = scratch_dir(spark, "feature_latest_compacted")
+    ev = _read(spark, sf_dir, "events")
+    us = epoch_micros(F.col("ts"), ev.schema["ts"].dataType)
+    [median] = ev.select(us.alias("_us")).approxQuantile("_us", [0.5], 0.001)
+    src = f"{root}/src"
+    store = FeatureStore(f"{root}/store", LATEST_EVENT)
+    for half in (us < F.lit(median), us >= F.lit(median)):
+        ev.filter(half).repartitionByRange(2, "ts").write.mode("append").parquet(src)
+        stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", "1").parquet(src)
+        run_bounded(stream, store.writer(VERSION, RUN), OutputSpec("append"), f"{root}/checkpoint")
+        store.compact(spark, VERSION)
+    return store.latest(spark, VERSION)
+
+
 def feature_latest_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest event per (user, event type)."""
     spec = TableSpec(["user_id", "event_type"], EVENTS_SCHEMA, order_by=["ts", "event_id"])
@@ -388,6 +407,7 @@ REGISTRY = {
     "topic_encode": topic_encode,
     "feature_latest": feature_latest,
     "feature_latest_composite": feature_latest_composite,
+    "feature_latest_compacted": feature_latest_compacted,
     "feature_scan": feature_scan,
     "feature_lookup": feature_lookup,
     "feature_lookup_missing": feature_lookup_missing,

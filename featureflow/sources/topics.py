@@ -39,21 +39,30 @@ def kafka_options(kafka: KafkaSpec) -> dict[str, str]:
     return opts
 
 
-def kafka_source_options(kafka: KafkaSpec, topic: str,
-                         starting_offsets: str = "latest") -> dict[str, str]:
-    return {**kafka_options(kafka), "subscribe": topic, "startingOffsets": starting_offsets}
+def kafka_source_options(kafka: KafkaSpec, topic: str, starting_offsets: str = "latest",
+                         max_offsets_per_trigger: int | None = None) -> dict[str, str]:
+    """Options of one topic subscription.  ``max_offsets_per_trigger`` bounds
+    a micro-batch, so catching up after downtime runs as many sized batches
+    instead of one huge one."""
+    opts = {**kafka_options(kafka), "subscribe": topic, "startingOffsets": starting_offsets}
+    if max_offsets_per_trigger:
+        opts["maxOffsetsPerTrigger"] = str(max_offsets_per_trigger)
+    return opts
 
 
 class KafkaTransport:
     """Topics on a Kafka cluster (needs the Spark Kafka connector)."""
 
-    def __init__(self, kafka: KafkaSpec, starting_offsets: str = "latest"):
+    def __init__(self, kafka: KafkaSpec, starting_offsets: str = "latest",
+                 max_offsets_per_trigger: int | None = None):
         self.kafka = kafka
         self.starting_offsets = starting_offsets
+        self.max_offsets_per_trigger = max_offsets_per_trigger
 
     def read_stream(self, spark: SparkSession, topic: str) -> DataFrame:
         raw = (spark.readStream.format("kafka")
-               .options(**kafka_source_options(self.kafka, topic, self.starting_offsets))
+               .options(**kafka_source_options(self.kafka, topic, self.starting_offsets,
+                                               self.max_offsets_per_trigger))
                .load())
         return raw.select(
             F.col("topic"), F.col("key").cast("string").alias("key"),

@@ -131,3 +131,8 @@ def test_batch_equals_stream(spark):
     batch = process([spark.read.parquet(table_path(SF01, "events"))])
     stream = collect_to_memory(process([table_stream(spark, table_path(SF01, "events"))]))
     assert batch.exceptAll(stream).count() == 0 and stream.exceptAll(batch).count() == 0
+
+
+def test_kafka_batch_bound():
+    opts = kafka_source_options(KafkaSpec("b"), "t", max_offsets_per_trigger=500000)
+    assert opts["maxOffsetsPerTrigger"] == "500000" and opts["subscribe"] == "t"

@@ -2,6 +2,7 @@
 
 * live:    topics -> process -> publish to the versioned topic + feature table
 * archive: one topic -> identity -> Parquet archive
+* quarantine: one topic -> records that do not decode -> Parquet
 * replay:  archive files -> process -> feature table (publishing optional)
 * dev:     JSON-lines folders -> process -> console
 * fixture: JSON-lines folders -> process -> expected rows + inputs with samples
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from featureflow.config import InputSpec, JobConfig
-from featureflow.functions.codec import JSON_OPTIONS, output_topic
+from featureflow.config import InputSpec, JobConfig, OutputSpec
+from featureflow.functions.codec import BAD, CORRUPT, JSON_OPTIONS, REASON, output_topic
 from featureflow.operators.checks import assert_rows, compare_rows, expected_frame
 from featureflow.operators.store import FeatureStore
 from featureflow.sources.files import (
@@ -29,7 +30,7 @@ from featureflow.sources.files import (
     read_json_lines,
     sample_frame,
 )
-from featureflow.sources.topics import read_topics
+from featureflow.sources.topics import read_topic_checked, read_topics
 from featureflow.streaming.runner import checkpoint_path, claim_run, start_stream
 from featureflow.streaming.sinks import (
     archive_writer,
@@ -62,13 +63,15 @@ def _runs_root(cfg: JobConfig, kind: str) -> str:
 
 
 def live_job(spark: SparkSession, cfg: JobConfig, process: Process, transport,
-             bounded: bool = False) -> StreamingQuery:
+             bounded: bool = False, drop_bad: bool = False) -> StreamingQuery:
     """Topics -> process -> (versioned output topic, feature table).
 
     Each micro-batch is cached once and written to both sinks; the topic is
-    at-least-once, the feature table idempotent per batch id.
+    at-least-once, the feature table idempotent per batch id.  With
+    ``drop_bad`` undecodable records are kept from ``process`` (run
+    ``quarantine_job`` beside it to keep them).
     """
-    df = read_topics(spark, cfg.inputs, transport, process)
+    df = read_topics(spark, cfg.inputs, transport, process, drop_bad=drop_bad)
     store = feature_store(cfg)
     topic = output_topic(cfg.app_name, cfg.code_version)
     write = fan_out(topic_writer(transport, topic, store.keys),
@@ -90,6 +93,24 @@ def archive_job(spark: SparkSession, cfg: JobConfig, inp: InputSpec, transport,
     return start_stream(df, write, cfg.output, cp, bounded)
 
 
+def quarantine_job(spark: SparkSession, cfg: JobConfig, inp: InputSpec, transport,
+                   bounded: bool = False) -> StreamingQuery:
+    """A topic's records that do not decode (null value, malformed JSON,
+    wrong types), with the raw text and the reason, appended per batch to
+    ``bucket/quarantine/app/topic``."""
+    checked = read_topic_checked(spark, inp, transport)
+    bad = checked.filter(F.col(BAD)).select("key", "timestamp", REASON, CORRUPT)
+    cp = checkpoint_path(cfg.bucket, cfg.checkpoint_location, cfg.app_name,
+                         cfg.code_version, f"quarantine-{inp.topic}")
+    claim_run(spark, _runs_root(cfg, f"quarantine-{inp.topic}"), cfg.run_id, cp)
+    write = archive_writer(quarantine_base(cfg), cfg.app_name, inp.topic, cfg.run_id)
+    return start_stream(bad, write, OutputSpec("append", cfg.output.processing_time), cp, bounded)
+
+
+def quarantine_base(cfg: JobConfig) -> str:
+    return f"{cfg.bucket.rstrip('/')}/quarantine"
+
+
 def replay_job(spark: SparkSession, cfg: JobConfig, process: Process,
                bounded: bool = True, publish: bool = False, transport=None,
                max_files_per_trigger: int | None = None) -> StreamingQuery:

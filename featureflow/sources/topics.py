@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featureflow.config import InputSpec, KafkaSpec
-from featureflow.functions.codec import decode, decode_checked, encode
+from featureflow.functions.codec import decode, decode_checked, encode, split_bad
 
 RAW_COLUMNS = ("topic", "key", "value", "timestamp")
 RAW_SCHEMA = "key string, value string, timestamp timestamp"
@@ -107,11 +107,17 @@ def publish(df: DataFrame, transport, topic: str, key_cols: Sequence[str]) -> No
 
 
 def read_topics(spark: SparkSession, inputs: Sequence[InputSpec], transport,
-                process: Process | None = None):
+                process: Process | None = None, drop_bad: bool = False):
     """Subscribe to every input topic, decode each with its own schema and
     hand the list, in input order, to ``process``.  Without ``process`` the
-    decoded list itself is returned."""
-    dfs = [decode(transport.read_stream(spark, i.topic), i.topic_schema) for i in inputs]
+    decoded list itself is returned.  With ``drop_bad`` records that do not
+    decode (see ``quarantine_job``) are left out instead of arriving as
+    all-null rows."""
+    if drop_bad:
+        dfs = [split_bad(decode_checked(transport.read_stream(spark, i.topic),
+                                        i.topic_schema))[0] for i in inputs]
+    else:
+        dfs = [decode(transport.read_stream(spark, i.topic), i.topic_schema) for i in inputs]
     return process(dfs) if process is not None else dfs
 
 

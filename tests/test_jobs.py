@@ -270,3 +270,22 @@ def test_archive_batch_rewrite_is_idempotent(spark, tmp):
     w(df, 0)
     w(df, 1)
     assert spark.read.parquet(folder_location(f"{tmp}/arch", "app", "t")).count() == 10
+
+
+def test_quarantine_and_drop_bad(spark, tmp):
+    from featureflow.plans.jobs import quarantine_base, quarantine_job
+    t = FileTransport(f"{tmp}/topics")
+    schema = [{"name": "a", "type": "long"}]
+    raw = spark.createDataFrame([("t", "1", '{"a": 1}'), ("t", "2", '{"a": "x"}'),
+                                 ("t", "3", None), ("t", "4", '{"a": 4')],
+                                "topic string, key string, value string")
+    t.write_batch(raw)
+    inp = InputSpec("t", schema)
+    table = TableSpec(["a"], schema)
+    cfg = JobConfig("qapp", tmp, [inp], table=table, run_id="q1")
+    quarantine_job(spark, cfg, inp, t, bounded=True).awaitTermination()
+    bad = spark.read.parquet(folder_location(quarantine_base(cfg), "qapp", "t"))
+    assert sorted((r.key, r._bad_reason) for r in bad.collect()) == [
+        ("2", "malformed"), ("3", "null value"), ("4", "malformed")]
+    live_job(spark, cfg, lambda dfs: dfs[0], t, bounded=True, drop_bad=True).awaitTermination()
+    assert [r.a for r in feature_store(cfg).latest(spark, 1, run_id="q1").collect()] == [1]

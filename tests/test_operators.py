@@ -6,7 +6,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from featureflow.config import OutputSpec
 from featureflow.operators.checks import compare_rows
 from featureflow.operators.features import interval_join, interval_micros, trailing_count, windowed_count
 from featureflow.operators.ranking import count_preceding
@@ -20,7 +19,6 @@ from featureflow.operators.registry import (
     rejected,
 )
 from featureflow.operators.status import flatten_status, parse_status, STATUS_SCHEMA
-from featureflow.streaming.sinks import collect_to_memory
 
 from conftest import rows
 

@@ -155,10 +155,10 @@ class FeatureStore:
         """Latest row for each requested key; unknown keys give null features.
 
         ``keys`` is a DataFrame or a list of tuples whose values are matched to
-        the primary keys *by position*.  The key set is semi-joined into the
-        changelog before the aggregation, so only rows of requested keys are
-        aggregated.  A key list of known small size is broadcast; for a key
-        DataFrame AQE picks the join from measured sizes.
+        the primary keys *by position*.  A key list of bounded length is
+        broadcast into the changelog before aggregating, so only rows of the
+        requested keys are aggregated; a key DataFrame (any size) is joined
+        to the aggregated view instead, which stays balanced under hot keys.
         """
         if keys is None:
             raise ValueError("key values are required")
@@ -176,12 +176,17 @@ class FeatureStore:
             req = spark.createDataFrame(tuples, T.StructType(
                 [T.StructField(f.name, f.dataType) for f in key_fields]))
             small = len(tuples) <= BROADCAST_KEY_LIMIT
-        # Keep only rows of requested keys, then aggregate: the work follows
-        # the key set, not the table.
         rows = self._rows(spark, code_version, run_id)
-        wanted = rows.join(F.broadcast(req) if small else req, self.keys, "left_semi")
-        latest = self._newest(wanted)
-        found = F.broadcast(latest) if small else latest
+        if small:
+            # A bounded key list: broadcast it into the changelog first, so only
+            # rows of requested keys are read past the scan and aggregated.
+            latest = self._newest(rows.join(F.broadcast(req), self.keys, "left_semi"))
+            found = F.broadcast(latest)  # at most one row per requested key
+        else:
+            # A key table of any size: aggregate first (partial aggregation
+            # before the shuffle keeps a hot key to one row per task), then
+            # join one row per key; AQE picks the join from measured sizes.
+            found = self._newest(rows)
         return req.join(found, self.keys, "left").select(
             *[F.col(quote(n)) for n in self.schema.fieldNames()])
 

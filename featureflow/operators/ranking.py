@@ -52,7 +52,12 @@ def _same_as_previous(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
     for k in keys:
         col = batch.column(k)
         cur, prev = col.slice(1), col.slice(0, n - 1)
-        eq = pc.fill_null(pc.equal(cur, prev), False)
+        try:
+            eq = pc.fill_null(pc.equal(cur, prev), False)
+        except pa.ArrowNotImplementedError:  # nested keys: compare as values
+            a, b = cur.to_pylist(), prev.to_pylist()
+            same[1:] &= np.fromiter((x == y for x, y in zip(a, b)), dtype=bool, count=n - 1)
+            continue
         both_null = pc.and_(pc.is_null(cur), pc.is_null(prev))
         same[1:] &= pc.or_(eq, both_null).to_numpy(zero_copy_only=False)
     return same

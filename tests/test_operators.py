@@ -235,3 +235,11 @@ def test_compare_rows_with_maps(spark):
     act = spark.createDataFrame([(1, {"a": 2})], "k long, m map<string,int>")
     assert sorted(r.side for r in compare_rows(act, exp).collect()) == ["extra", "missing"]
     assert compare_rows(exp, exp).count() == 0
+
+
+def test_count_preceding_nested_key(spark):
+    df = spark.createDataFrame([((1, "a"), i) for i in range(6)] + [((2, "b"), i) for i in range(3)],
+                               "k struct<x:long,y:string>, o long").withColumn("w", F.lit(1).cast("long"))
+    out = count_preceding(df, ["k"], ["o"], "w", ["o"], num_partitions=3)
+    got = sorted((r.k.x, r.o, r.n_before) for r in out.collect())
+    assert got == sorted([(1, i, i) for i in range(6)] + [(2, i, i) for i in range(3)])

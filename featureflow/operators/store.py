@@ -90,10 +90,11 @@ class FeatureStore:
         write_partitioned(stamped, self.changelog_path, PARTITIONS)
 
     # ----------------------------------------------------------------- read
-    def _read(self, spark: SparkSession, path: str, extra: Sequence[T.StructField]) -> DataFrame:
+    def _read(self, spark: SparkSession, base: str, path: str,
+              extra: Sequence[T.StructField]) -> DataFrame:
         schema = T.StructType(list(self.schema.fields) + list(extra))
         try:
-            return spark.read.schema(schema).option("basePath", path).parquet(path)
+            return spark.read.schema(schema).option("basePath", base).parquet(path)
         except AnalysisException as exc:
             if "PATH_NOT_FOUND" not in str(exc) and "Path does not exist" not in str(exc):
                 raise
@@ -101,8 +102,13 @@ class FeatureStore:
 
     def changelog(self, spark: SparkSession, code_version: int,
                   run_id: str | None = None) -> DataFrame:
-        """All written rows of one code version (partition-pruned)."""
-        log = self._read(spark, self.changelog_path, META_FIELDS)
+        """All written rows of one code version (and run).  Only that
+        version's (run's) folder is listed; partition values still come
+        from the paths."""
+        path = f"{self.changelog_path}/code_version={code_version}"
+        if run_id is not None:
+            path += f"/run_id={run_id}"
+        log = self._read(spark, self.changelog_path, path, META_FIELDS)
         log = log.filter(F.col("code_version") == F.lit(code_version))
         if run_id is not None:
             log = log.filter(F.col("run_id") == F.lit(run_id))

@@ -37,7 +37,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def _run_to_table(spark: SparkSession, df: DataFrame, root: str, mode: str = "append") -> DataFrame:
+def _run_to_table(spark: SparkSession, df: DataFrame, root: str, mode: str = "append",
+                  final_no_data_batch: bool = True) -> DataFrame:
     """Run a stream to the end of its input into Parquet; read it back."""
     out = f"{root}/out"
 
@@ -46,7 +47,7 @@ def _run_to_table(spark: SparkSession, df: DataFrame, root: str, mode: str = "ap
                    .withColumn("batch_id", F.lit(batch_id).cast("long")))
         write_partitioned(stamped, out, BATCH_COLUMNS)
 
-    run_bounded(df, write, OutputSpec(mode), f"{root}/checkpoint")
+    run_bounded(df, write, OutputSpec(mode), f"{root}/checkpoint", final_no_data_batch)
     return _read_or_empty(spark, out, df.schema)
 
 
@@ -319,7 +320,9 @@ def multi_input_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         return interval_join(s, p, ["user_id"], "signup_ts", "purchase_ts",
                              lower="0 seconds", upper="1 day", watermark="1 day")
 
-    return _run_to_table(spark, read_topics(spark, inputs, transport, process), root)
+    # An inner join emits nothing on the watermark-only batch after the data.
+    return _run_to_table(spark, read_topics(spark, inputs, transport, process), root,
+                         final_no_data_batch=False)
 
 
 # ------------------------------------------------------- registry, status

@@ -56,10 +56,32 @@ def start_stream(df: DataFrame, write: BatchWriter, output: OutputSpec,
         raise ValueError(f"stream cannot run in {mode!r} mode: {exc}") from exc
 
 
+NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
 def run_bounded(df: DataFrame, write: BatchWriter, output: OutputSpec,
-                checkpoint: str) -> StreamingQuery:
-    """Run over all available input, wait for the end, raise on failure."""
-    q = start_stream(df, write, output, checkpoint, bounded=True)
+                checkpoint: str, final_no_data_batch: bool = True) -> StreamingQuery:
+    """Run over all available input, wait for the end, raise on failure.
+
+    After the last data, Spark runs one more batch to advance the watermark.
+    It emits closed windows and outer-join rows; for queries that emit
+    nothing on it (inner joins, update mode) ``final_no_data_batch=False``
+    skips it.  The setting is applied only while this query starts (a query
+    keeps its own copy of the session settings).
+    """
+    spark = df.sparkSession
+    if final_no_data_batch:
+        q = start_stream(df, write, output, checkpoint, bounded=True)
+    else:
+        before = spark.conf.get(NO_DATA_BATCHES, None)
+        spark.conf.set(NO_DATA_BATCHES, "false")
+        try:
+            q = start_stream(df, write, output, checkpoint, bounded=True)
+        finally:
+            if before is None:
+                spark.conf.unset(NO_DATA_BATCHES)
+            else:
+                spark.conf.set(NO_DATA_BATCHES, before)
     q.awaitTermination()
     return q
 

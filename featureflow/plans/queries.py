@@ -278,7 +278,10 @@ def windowed_count_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = FeatureStore(f"{root}/store", WINDOW_TABLE)
     stream = table_stream(spark, table_path(sf_dir, "events"))
     counts = windowed_count(stream, ["user_id"], "ts", "1 day", watermark="1 day")
-    run_bounded(counts, store.writer(VERSION, RUN), OutputSpec("update"), f"{root}/checkpoint")
+    # Update mode emits each change as it happens; the watermark-only batch
+    # after the data would only drop expired state.
+    run_bounded(counts, store.writer(VERSION, RUN), OutputSpec("update"), f"{root}/checkpoint",
+                final_no_data_batch=False)
     return store.latest(spark, VERSION, run_id=RUN)
 
 

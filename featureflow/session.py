@@ -96,3 +96,12 @@ def is_file(spark: SparkSession, path: str) -> bool:
     """True when ``path`` is a single file (not a folder)."""
     fs, p = _hadoop_path(spark, path)
     return fs.exists(p) and fs.getFileStatus(p).isFile()
+
+
+def ensure_dir(spark: SparkSession, path: str) -> str:
+    """Create ``path`` (and parents) if missing, so a file stream can start
+    before its first file arrives."""
+    fs, p = _hadoop_path(spark, path)
+    if not fs.exists(p):
+        fs.mkdirs(p)
+    return path

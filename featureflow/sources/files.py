@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from featureflow.config import InputSpec
 from featureflow.functions.codec import JSON_OPTIONS, decode
 from featureflow.functions.schema import to_struct
-from featureflow.session import is_file
+from featureflow.session import ensure_dir, is_file
 
 
 def folder_location(base: str, app_name: str, topic: str) -> str:
@@ -34,7 +34,7 @@ def archive_streams(spark: SparkSession, base: str, app_name: str,
                   .option("maxFileAge", max_file_age))
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-        out.append(reader.parquet(folder_location(base, app_name, inp.topic)))
+        out.append(reader.parquet(ensure_dir(spark, folder_location(base, app_name, inp.topic))))
     return out
 
 
@@ -48,7 +48,7 @@ def json_line_streams(spark: SparkSession, base: str, app_name: str,
                   .options(**JSON_OPTIONS).option("maxFileAge", max_file_age))
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-        out.append(reader.json(folder_location(base, app_name, inp.topic)))
+        out.append(reader.json(ensure_dir(spark, folder_location(base, app_name, inp.topic))))
     return out
 
 

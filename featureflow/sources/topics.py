@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from featureflow.config import InputSpec, KafkaSpec
 from featureflow.functions.codec import decode, decode_checked, encode, split_bad
+from featureflow.session import ensure_dir
 
 RAW_COLUMNS = ("topic", "key", "value", "timestamp")
 RAW_SCHEMA = "key string, value string, timestamp timestamp"
@@ -87,7 +88,7 @@ class FileTransport:
         reader = spark.readStream.schema(RAW_SCHEMA)
         if self.max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", str(self.max_files_per_trigger))
-        raw = reader.parquet(self.folder(topic))
+        raw = reader.parquet(ensure_dir(spark, self.folder(topic)))
         return raw.select(F.lit(topic).alias("topic"), "key", "value", "timestamp")
 
     def read_batch(self, spark: SparkSession, topic: str) -> DataFrame:

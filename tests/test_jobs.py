@@ -288,3 +288,16 @@ def test_quarantine_and_drop_bad(spark, tmp):
         ("2", "malformed"), ("3", "null value"), ("4", "malformed")]
     live_job(spark, cfg, lambda dfs: dfs[0], t, bounded=True, drop_bad=True).awaitTermination()
     assert [r.a for r in feature_store(cfg).latest(spark, 1, run_id="q1").collect()] == [1]
+
+
+def test_live_job_starts_before_data_arrives(spark, tmp):
+    t = FileTransport(f"{tmp}/topics")
+    cfg = JobConfig("early", tmp, [EVENTS], table=TABLE, run_id="e1")
+    q = live_job(spark, cfg, lambda dfs: dfs[0], t)
+    try:
+        q.processAllAvailable()
+        publish(_events(spark), t, "events", ["event_id"])
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert feature_store(cfg).changelog(spark, 1).count() == 1000

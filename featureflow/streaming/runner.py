@@ -2,7 +2,9 @@
 
 Every sink here is a ``foreachBatch`` function ``(batch_df, batch_id)``, so a
 micro-batch is written with the batch writers (Parquet, Kafka) and a
-re-executed batch id overwrites instead of duplicating.
+re-executed batch id overwrites instead of duplicating.  A writer must compute
+the whole batch: for stateful queries (aggregations, joins) that is when the
+state of the batch is committed, and Spark checks it.
 """
 
 from __future__ import annotations

@@ -59,10 +59,19 @@ def topic_writer(transport, topic: str, key_cols: Sequence[str]) -> BatchWriter:
 
 
 def console_writer(num_rows: int = 20) -> BatchWriter:
-    """Show each micro-batch (development)."""
+    """Show each micro-batch (development).
+
+    The whole batch is computed first: ``show`` alone reads only a few
+    partitions, and a stateful query must run every partition of a batch
+    for its state to be committed."""
     def write(batch_df: DataFrame, batch_id: int) -> None:
-        print(f"-------- batch {batch_id} --------")
-        batch_df.show(num_rows, truncate=False)
+        batch_df.persist()
+        try:
+            n = batch_df.count()
+            print(f"-------- batch {batch_id}: {n} rows --------")
+            batch_df.show(num_rows, truncate=False)
+        finally:
+            batch_df.unpersist()
     return write
 
 

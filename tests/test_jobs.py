@@ -301,3 +301,12 @@ def test_live_job_starts_before_data_arrives(spark, tmp):
     finally:
         q.stop()
     assert feature_store(cfg).changelog(spark, 1).count() == 1000
+
+
+def test_console_writer_on_a_stateful_stream(spark, tmp, capsys):
+    from featureflow.streaming.sinks import console_writer
+    src = f"{tmp}/src"
+    _events(spark).write.parquet(src)
+    counts = spark.readStream.schema(_events(spark).schema).parquet(src).groupBy("event_type").count()
+    run_bounded(counts, console_writer(3), OutputSpec("update"), f"{tmp}/cp")
+    assert "batch 0: 5 rows" in capsys.readouterr().out

@@ -243,3 +243,22 @@ def test_count_preceding_nested_key(spark):
     out = count_preceding(df, ["k"], ["o"], "w", ["o"], num_partitions=3)
     got = sorted((r.k.x, r.o, r.n_before) for r in out.collect())
     assert got == sorted([(1, i, i) for i in range(6)] + [(2, i, i) for i in range(3)])
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_trailing_count_random_against_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    base = dt.datetime(2024, 1, 1)
+    data = []
+    for i in range(1500):
+        u = 0 if rnd.random() < 0.4 else rnd.randint(1, 6)   # a hot user
+        t = base + dt.timedelta(minutes=rnd.randint(0, 600) * 5)  # many ties
+        data.append((i, u, t))
+    df = spark.createDataFrame(data, "id long, u long, ts timestamp_ntz")
+    got = {r.id: r.n for r in trailing_count(df, ["u"], "ts", "2 hours", "id", out="n").collect()}
+    width = dt.timedelta(hours=2)
+    by_user = {}
+    for _, u, t in data:
+        by_user.setdefault(u, []).append(t)
+    want = {i: sum(1 for s in by_user[u] if t - width <= s <= t) for i, u, t in data}
+    assert got == want

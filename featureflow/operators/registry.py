@@ -105,17 +105,18 @@ def assign_versions(requests: DataFrame, history: DataFrame) -> DataFrame:
     """History rows for the valid requests: previous version + rank of the
     request among the app's requests by ``(requested_at, request_id)``."""
     checked = requests.withColumn("_error", request_errors(requests))
-    valid = checked.filter(F.col("_error").isNull()).drop("_error")
-    ranks = count_preceding(valid.withColumn("_one", F.lit(1).cast("long")), KEYS,
-                            ["requested_at", "request_id"], "_one", ["request_id"],
-                            out="_rank", carry=["requested_at", "primary_keys", "fields"])
+    valid = (checked.filter(F.col("_error").isNull())
+             .select(*KEYS, "request_id", "requested_at", "primary_keys",
+                     schema_text(F.col("fields")).alias("avro_schema"),
+                     F.lit(1).cast("long").alias("_one")))
+    ranks = count_preceding(valid, KEYS, ["requested_at", "request_id"], "_one", ["request_id"],
+                            out="_rank", carry=["requested_at", "primary_keys", "avro_schema"])
     cur = current_versions(history).withColumnRenamed("code_version", "_prev")
     ranked = ranks.join(cur, KEYS, "left")
     return ranked.select(
         "org", "app",
         (F.coalesce(F.col("_prev"), F.lit(0)) + F.col("_rank") + 1).cast("int").alias("code_version"),
-        "request_id", "requested_at", "primary_keys",
-        schema_text(F.col("fields")).alias("avro_schema"))
+        "request_id", "requested_at", "primary_keys", "avro_schema")
 
 
 def rejected(requests: DataFrame) -> DataFrame:

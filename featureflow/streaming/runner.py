@@ -9,6 +9,7 @@ state of the batch is committed, and Spark checks it.
 
 from __future__ import annotations
 
+import threading
 from typing import Callable
 
 from pyspark.errors import AnalysisException
@@ -59,6 +60,7 @@ def start_stream(df: DataFrame, write: BatchWriter, output: OutputSpec,
 
 
 NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+_START_LOCK = threading.Lock()
 
 
 def run_bounded(df: DataFrame, write: BatchWriter, output: OutputSpec,
@@ -72,18 +74,21 @@ def run_bounded(df: DataFrame, write: BatchWriter, output: OutputSpec,
     keeps its own copy of the session settings).
     """
     spark = df.sparkSession
-    if final_no_data_batch:
-        q = start_stream(df, write, output, checkpoint, bounded=True)
-    else:
-        before = spark.conf.get(NO_DATA_BATCHES, None)
-        spark.conf.set(NO_DATA_BATCHES, "false")
-        try:
+    # Starts are serialised so that a query started from another thread
+    # never picks up the temporary setting.
+    with _START_LOCK:
+        if final_no_data_batch:
             q = start_stream(df, write, output, checkpoint, bounded=True)
-        finally:
-            if before is None:
-                spark.conf.unset(NO_DATA_BATCHES)
-            else:
-                spark.conf.set(NO_DATA_BATCHES, before)
+        else:
+            before = spark.conf.get(NO_DATA_BATCHES, None)
+            spark.conf.set(NO_DATA_BATCHES, "false")
+            try:
+                q = start_stream(df, write, output, checkpoint, bounded=True)
+            finally:
+                if before is None:
+                    spark.conf.unset(NO_DATA_BATCHES)
+                else:
+                    spark.conf.set(NO_DATA_BATCHES, before)
     q.awaitTermination()
     return q
 

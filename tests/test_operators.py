@@ -262,3 +262,25 @@ def test_trailing_count_random_against_brute_force(spark, seed):
         by_user.setdefault(u, []).append(t)
     want = {i: sum(1 for s in by_user[u] if t - width <= s <= t) for i, u, t in data}
     assert got == want
+
+
+def test_hot_key_is_spread_over_partitions(spark):
+    """The pass table of count_preceding: a key with half of all rows lands
+    in several partitions and no partition is much larger than the mean."""
+    import glob
+    import os
+
+    from featureflow.session import _checkpoint_root
+    df = spark.range(0, 40000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 97).alias("k"),
+        F.col("id").alias("o"), F.lit(1).cast("long").alias("w"))
+    before = set(glob.glob(f"{_checkpoint_root(spark)}/featureflow/ranking-*"))
+    count_preceding(df, ["k"], ["o"], "w", ["o"], num_partitions=8)
+    [path] = set(glob.glob(f"{_checkpoint_root(spark)}/featureflow/ranking-*")) - before
+    sizes = {r["_pid"]: r["n"] for r in spark.read.parquet(path).filter("_tag = 0")
+             .groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
+    hot = {r["_pid"] for r in spark.read.parquet(path).filter("_tag = 0 and k = 0")
+           .select("_pid").distinct().collect()}
+    assert len(hot) >= 3
+    assert max(sizes.values()) <= 2 * (sum(sizes.values()) / len(sizes))
+    assert os.path.isdir(path)

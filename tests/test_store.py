@@ -142,3 +142,12 @@ def test_reads_after_compaction_prune_folded_batches(spark, tmp):
     assert sorted(r.k for r in latest.collect()) == [0, 1, 2, 9]
     assert rows(store.lookup(spark, 1, [(9,), (1,)])) == [
         {"k": 1, "t": 1, "v": "v"}, {"k": 9, "t": 9, "v": "new"}]
+
+
+def test_latest_aggregates_partially_before_the_shuffle(spark, tmp):
+    store = FeatureStore(tmp, TableSpec(["k"], SCHEMA, order_by=["t"]))
+    store.write_batch(_df(spark, [(1, i, "v") for i in range(100)]), 1, "r", 0)
+    plan = store.latest(spark, 1)._jdf.queryExecution().executedPlan().toString()
+    partial = plan.find("partial_max_by")
+    exchange = plan.find("Exchange hashpartitioning(k")
+    assert partial > exchange > 0  # printed top-down: the partial step sits under the shuffle

@@ -28,11 +28,11 @@ _UNIT_MICROS = {
     "day": 86_400_000_000,
     "week": 604_800_000_000,
 }
-_INTERVAL = re.compile(r"^\s*(\d+)\s*([a-z]+?)s?\s*$")
+_INTERVAL = re.compile(r"^\s*(-?\d+)\s*([a-z]+?)s?\s*$")
 
 
 def interval_micros(text: str) -> int:
-    """``"7 days"`` -> microseconds (fixed-length units only)."""
+    """``"7 days"`` -> microseconds (fixed-length units only; may be negative)."""
     m = _INTERVAL.match(text.lower())
     if not m or m.group(2) not in _UNIT_MICROS:
         raise ValueError(f"unsupported interval {text!r}")
@@ -109,7 +109,11 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
     key is thereby split by time instead of landing in one task.
     """
     lo, hi = interval_micros(lower), interval_micros(upper)
+    if hi < lo:
+        raise ValueError(f"upper bound {upper!r} is below lower bound {lower!r}")
     width = interval_micros(bucket) if bucket else max(hi - lo, 1)
+    if width <= 0:
+        raise ValueError("bucket width must be positive")
     lt_type, rt_type = left.schema[left_time].dataType, right.schema[right_time].dataType
     L = left.withColumn("_lt", to_instant(F.col(quote(left_time)), lt_type))
     R = right.withColumn("_rt", to_instant(F.col(quote(right_time)), rt_type))

@@ -284,3 +284,18 @@ def test_hot_key_is_spread_over_partitions(spark):
     assert len(hot) >= 3
     assert max(sizes.values()) <= 2 * (sum(sizes.values()) / len(sizes))
     assert os.path.isdir(path)
+
+
+def test_interval_join_around_the_left_time(spark):
+    rnd = random.Random(9)
+    left = [(i, rnd.randint(1, 2), _ts(1) + dt.timedelta(minutes=rnd.randint(0, 600))) for i in range(80)]
+    right = [(i, rnd.randint(1, 2), _ts(1) + dt.timedelta(minutes=rnd.randint(0, 600))) for i in range(80)]
+    L = spark.createDataFrame(left, "lid long, u long, lt timestamp_ntz")
+    R = spark.createDataFrame(right, "rid long, u long, rt timestamp_ntz")
+    got = sorted((r.lid, r.rid) for r in interval_join(L, R, ["u"], "lt", "rt", "-1 hour", "30 minutes").collect())
+    want = sorted((a, b) for a, u1, t1 in left for b, u2, t2 in right
+                  if u1 == u2 and t1 - dt.timedelta(hours=1) <= t2 <= t1 + dt.timedelta(minutes=30))
+    assert got == want
+    assert interval_micros("-1 hour") == -3_600_000_000
+    with pytest.raises(ValueError):
+        interval_join(L, R, ["u"], "lt", "rt", "1 hour", "0 seconds")

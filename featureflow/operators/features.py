@@ -55,6 +55,8 @@ def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, width: str,
     hot keys across partitions.  Rows with a null time get a null count.
     """
     w_us = interval_micros(width)
+    if w_us < 0:
+        raise ValueError("width must not be negative")
     t = F.col(quote(ts))
     probes = F.array(
         F.struct((t - _micros_interval(w_us)).alias("_t"), F.lit(0).alias("_kind")),
@@ -76,8 +78,11 @@ def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, width: str,
 
 
 def windowed_count(stream: DataFrame, keys: Sequence[str], ts: str, window: str,
-                   watermark: str, out: str = "n_events") -> DataFrame:
-    """Counts per tumbling event-time window and key, for update mode.
+                   watermark: str, out: str = "n_events", slide: str | None = None) -> DataFrame:
+    """Counts per event-time window and key (tumbling, or sliding by
+    ``slide``: "30 days" windows every "1 day" give a daily-refreshed
+    30-day count).  Use update mode to see counts as they change, append
+    mode to get each window once it is closed by the watermark.
 
     ``ts`` may be wall-clock ``timestamp_ntz``; it is turned into an instant
     for the watermark and the window, and window bounds come back as
@@ -85,7 +90,8 @@ def windowed_count(stream: DataFrame, keys: Sequence[str], ts: str, window: str,
     """
     dtype = stream.schema[ts].dataType
     timed = stream.withColumn("_et", to_instant(F.col(quote(ts)), dtype)).withWatermark("_et", watermark)
-    agg = timed.groupBy(F.window("_et", window).alias("_win"),
+    win = F.window("_et", window, slide) if slide else F.window("_et", window)
+    agg = timed.groupBy(win.alias("_win"),
                         *[F.col(quote(k)) for k in keys]).agg(F.count(F.lit(1)).alias(out))
     start = F.col("_win.start")
     end = F.col("_win.end")

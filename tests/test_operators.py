@@ -299,3 +299,22 @@ def test_interval_join_around_the_left_time(spark):
     assert interval_micros("-1 hour") == -3_600_000_000
     with pytest.raises(ValueError):
         interval_join(L, R, ["u"], "lt", "rt", "1 hour", "0 seconds")
+
+
+def test_sliding_windowed_count_in_append_mode(spark, tmp):
+    from featureflow.streaming.sinks import collect_to_memory
+    src = f"{tmp}/src"
+    schema = "u long, ts timestamp_ntz"
+    spark.createDataFrame([(1, _ts(1, 1)), (1, _ts(2, 1)), (1, _ts(3, 1))], schema).write.parquet(src)
+    stream = spark.readStream.schema(schema).parquet(src)
+    counts = windowed_count(stream, ["u"], "ts", "2 days", watermark="0 seconds", slide="1 day")
+    got = collect_to_memory(counts, mode="append")
+    # the watermark ends at the last event (Jan 3 01:00): only windows that
+    # end by then are closed and emitted in append mode
+    assert rows(got, "window_start") == [
+        {"window_start": dt.datetime(2023, 12, 31), "window_end": _ts(2), "u": 1, "n_events": 1},
+        {"window_start": _ts(1), "window_end": _ts(3), "u": 1, "n_events": 2},
+    ]
+    with pytest.raises(ValueError):
+        trailing_count(spark.createDataFrame([(1, 1, _ts(1))], "id long, u long, ts timestamp_ntz"),
+                       ["u"], "ts", "-1 day", "id")

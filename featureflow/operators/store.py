@@ -63,6 +63,9 @@ class FeatureStore:
         unknown = [c for c in self.order_by if c not in self.schema.fieldNames()]
         if unknown:
             raise ValueError(f"order_by columns {unknown} are not output fields")
+        unordered = [c for c in self.order_by if not _orderable(self.schema[c].dataType)]
+        if unordered:
+            raise ValueError(f"order_by columns {unordered} cannot be ordered (maps)")
 
     # ---------------------------------------------------------------- write
     @property

@@ -151,3 +151,13 @@ def test_latest_aggregates_partially_before_the_shuffle(spark, tmp):
     partial = plan.find("partial_max_by")
     exchange = plan.find("Exchange hashpartitioning(k")
     assert partial > exchange > 0  # printed top-down: the partial step sits under the shuffle
+
+
+def test_table_spec_validation(tmp):
+    with pytest.raises(ValueError, match="not output fields"):
+        FeatureStore(tmp, TableSpec(["k"], SCHEMA, order_by=["nope"]))
+    with pytest.raises(ValueError, match="cannot be ordered"):
+        FeatureStore(tmp, TableSpec(["k"], SCHEMA + [{"name": "m", "type": "map<string,int>"}],
+                                    order_by=["m"]))
+    with pytest.raises(ValueError, match="not output fields"):
+        FeatureStore(tmp, TableSpec(["missing"], SCHEMA))

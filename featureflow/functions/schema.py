@@ -60,6 +60,8 @@ def validate_fields(schema: Any) -> list[dict]:
 
 
 def parse_type(type_name: str) -> T.DataType:
+    """Avro primitive names directly; any other name with Spark's DDL parser
+    (needs an active session, as every job has)."""
     name = type_name.strip()
     low = name.lower()
     if low in AVRO_PRIMITIVES:

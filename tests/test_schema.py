@@ -34,7 +34,7 @@ def test_record_form_unwraps():
     ("timestamp_ntz", T.TimestampNTZType()), ("decimal(10,2)", T.DecimalType(10, 2)),
     ("array<string>", T.ArrayType(T.StringType())),
 ])
-def test_type_names(name, expected):
+def test_type_names(spark, name, expected):
     assert parse_type(name) == expected
 
 
@@ -43,7 +43,7 @@ def test_null_type_refused():
         parse_type("null")
 
 
-def test_unknown_type_refused():
+def test_unknown_type_refused(spark):
     with pytest.raises(ValueError, match="unknown type"):
         parse_type("no_such_type")
 
@@ -71,7 +71,7 @@ def test_primary_keys_subset():
         check_primary_keys([], fields)
 
 
-def test_field_list_roundtrip():
+def test_field_list_roundtrip(spark):
     s = to_struct([{"name": "a", "type": "string"}, {"name": "b", "type": "long"}])
     assert to_struct(field_list(s)) == s
 

@@ -153,7 +153,7 @@ def test_latest_aggregates_partially_before_the_shuffle(spark, tmp):
     assert partial > exchange > 0  # printed top-down: the partial step sits under the shuffle
 
 
-def test_table_spec_validation(tmp):
+def test_table_spec_validation(spark, tmp):
     with pytest.raises(ValueError, match="not output fields"):
         FeatureStore(tmp, TableSpec(["k"], SCHEMA, order_by=["nope"]))
     with pytest.raises(ValueError, match="cannot be ordered"):

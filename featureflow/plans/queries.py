@@ -168,8 +168,7 @@ def dual_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     row counts of each sink."""
     root = scratch_dir(spark, "dual_fanout")
     transport = _events_topic(spark, sf_dir, root)
-    table = TableSpec(["user_id"], EVENTS_SCHEMA, order_by=["ts", "event_id"])
-    cfg = JobConfig(app_name="fanout", bucket=root, inputs=[EVENTS], table=table, run_id=RUN)
+    cfg = JobConfig(app_name="fanout", bucket=root, inputs=[EVENTS], table=LATEST_EVENT, run_id=RUN)
     live_job(spark, cfg, lambda dfs: dfs[0], transport, bounded=True).awaitTermination()
     store = feature_store(cfg)
 
@@ -185,8 +184,7 @@ def dual_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topic_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest row per user published to the app's versioned topic as JSON
     key/value records, then read and decoded again."""
-    spec = TableSpec(["user_id"], EVENTS_SCHEMA, order_by=["ts", "event_id"])
-    store = _store_from_table(spark, sf_dir, "events", spec, "topic_encode")
+    store = _store_from_table(spark, sf_dir, "events", LATEST_EVENT, "topic_encode")
     topic = output_topic("events_latest", VERSION)
     transport = FileTransport(f"{store.root}/topics")
     transport.write_batch(encode(store.latest(spark, VERSION), ["user_id"], topic))

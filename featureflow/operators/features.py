@@ -43,37 +43,46 @@ def _micros_interval(us: int) -> Column:
     return F.expr(f"INTERVAL '{us / 1_000_000:.6f}' SECOND")
 
 
-def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, width: str,
-                   id_col: str, out: str = "n_events") -> DataFrame:
+def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, width: str | Sequence[str],
+                   id_col: str, out: str | Sequence[str] = "n_events") -> DataFrame:
     """Every row of ``df`` plus ``out``: rows of the same key with time in
     ``[ts - width, ts]`` (the row itself and ties included), as a SQL range
-    window would give.  ``id_col`` must identify rows uniquely.
-
-    For each row two probes are placed, at ``ts - width`` (before ties) and at
-    ``ts`` (after ties); the count is the difference of the running counts at
-    the probes.  Running counts come from ``count_preceding``, which splits
-    hot keys across partitions.  Rows with a null time get a null count.
+    window would give.  ``id_col`` must identify rows uniquely.  Several
+    widths (with as many output names) are computed in the same pass.
+
+    For each row one probe is placed at ``ts`` (after ties) and one at
+    ``ts - width`` (before ties) per width; each count is the difference of
+    the running counts at two probes.  Running counts come from
+    ``count_preceding``, which splits hot keys across partitions, so one sort
+    serves every width.  Rows with a null time get null counts.
     """
-    w_us = interval_micros(width)
-    if w_us < 0:
+    widths = [width] if isinstance(width, str) else list(width)
+    outs = [out] if isinstance(out, str) else list(out)
+    if len(widths) != len(outs):
+        raise ValueError("give one output name per width")
+    w_us = [interval_micros(w) for w in widths]
+    if any(w < 0 for w in w_us):
         raise ValueError("width must not be negative")
     t = F.col(quote(ts))
     probes = F.array(
-        F.struct((t - _micros_interval(w_us)).alias("_t"), F.lit(0).alias("_kind")),
-        F.struct(t.alias("_t"), F.lit(1).alias("_kind")),
-        F.struct(t.alias("_t"), F.lit(2).alias("_kind")),
+        *[F.struct((t - _micros_interval(us)).alias("_t"), F.lit(0).alias("_kind"),
+                   F.lit(i).alias("_idx")) for i, us in enumerate(w_us)],
+        F.struct(t.alias("_t"), F.lit(1).alias("_kind"), F.lit(-1).alias("_idx")),
+        F.struct(t.alias("_t"), F.lit(2).alias("_kind"), F.lit(-1).alias("_idx")),
     )
     rows = (df.filter(t.isNotNull())
             .select(*[F.col(quote(k)) for k in keys], F.col(quote(id_col)),
                     F.explode(probes).alias("_p"))
             .select(*[F.col(quote(k)) for k in keys], F.col(quote(id_col)),
-                    "_p._t", "_p._kind")
+                    "_p._t", "_p._kind", "_p._idx")
             .withColumn("_w", (F.col("_kind") == 1).cast("long"))
             .withColumn("_emit", F.col("_kind") != 1))
-    counted = count_preceding(rows, keys, ["_t", "_kind"], "_w", [id_col, "_kind"],
+    counted = count_preceding(rows, keys, ["_t", "_kind"], "_w", [id_col, "_kind", "_idx"],
                               out="_n", emit="_emit")
-    signed = F.when(F.col("_kind") == 2, F.col("_n")).otherwise(-F.col("_n"))
-    per_row = counted.groupBy(quote(id_col)).agg(F.sum(signed).alias(out))
+    upper = F.max(F.when(F.col("_kind") == 2, F.col("_n")))
+    per_row = counted.groupBy(quote(id_col)).agg(*[
+        (upper - F.max(F.when((F.col("_kind") == 0) & (F.col("_idx") == i), F.col("_n"))))
+        .alias(o) for i, o in enumerate(outs)])
     return df.join(per_row, [id_col], "left")
 
 

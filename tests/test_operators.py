@@ -318,3 +318,17 @@ def test_sliding_windowed_count_in_append_mode(spark, tmp):
     with pytest.raises(ValueError):
         trailing_count(spark.createDataFrame([(1, 1, _ts(1))], "id long, u long, ts timestamp_ntz"),
                        ["u"], "ts", "-1 day", "id")
+
+
+def test_trailing_count_several_widths_in_one_pass(spark):
+    rnd = random.Random(21)
+    data = [(i, rnd.randint(0, 3), _ts(1) + dt.timedelta(hours=rnd.randint(0, 400)))
+            for i in range(800)]
+    df = spark.createDataFrame(data, "id long, u long, ts timestamp_ntz")
+    got = {r.id: (r.n1, r.n7) for r in
+           trailing_count(df, ["u"], "ts", ["1 day", "7 days"], "id", out=["n1", "n7"]).collect()}
+    def count(u, t, days):
+        return sum(1 for _, uu, s in data if uu == u and t - dt.timedelta(days=days) <= s <= t)
+    assert got == {i: (count(u, t, 1), count(u, t, 7)) for i, u, t in data}
+    with pytest.raises(ValueError):
+        trailing_count(df, ["u"], "ts", ["1 day", "7 days"], "id", out="n")

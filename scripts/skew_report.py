@@ -1,8 +1,9 @@
 """Measure task balance under a hot key from Spark's event log.
 
-Runs the 7-day trailing count over `events` with half of all rows moved to
-one user, twice: with `trailing_count` (range-partitioned running counts)
-and with a plain window partitioned by user.  The event log (written to a
+Moves half of all rows to one key and runs each hot-key path of the library
+next to the plain formulation: the 7-day trailing count (vs a window by
+user), schema-version assignment (vs row_number by app), the latest-row view
+and the interval join (day buckets vs one bucket per user).  The event log (written to a
 fresh scratch folder) gives, per approach, the largest share of shuffle
 records that a single task read.  A development tool; prints one JSON line.
 """
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from featureflow.functions.time import epoch_micros  # noqa: E402
 from featureflow.config import TableSpec  # noqa: E402
 from featureflow.operators.features import interval_join, trailing_count  # noqa: E402
+from featureflow.operators.registry import HISTORY_SCHEMA, assign_versions  # noqa: E402
 from featureflow.operators.store import FeatureStore  # noqa: E402
 from featureflow.plans.tables import EVENTS_SCHEMA  # noqa: E402
 
@@ -57,7 +59,19 @@ def main() -> None:
         "user_id", F.col("event_id").alias("s_id"), F.col("ts").alias("s_ts"))
     buys = hot.filter(F.col("event_type") == "purchase").select(
         "user_id", F.col("event_id").alias("p_id"), F.col("ts").alias("p_ts"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    requests = orders.select(
+        F.lit("acme").alias("org"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.lit("hot")).otherwise(
+            F.col("o_custkey").cast("string")).alias("app"),
+        F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("requested_at"),
+        F.array(F.lit("k")).alias("primary_keys"),
+        F.array(F.struct(F.lit("k").alias("name"), F.lit("long").alias("type"))).alias("fields"))
+    no_history = spark.createDataFrame([], HISTORY_SCHEMA)
+    per_app = Window.partitionBy("org", "app").orderBy("requested_at", "request_id")
     runs = {
+        "registry_versions": lambda: assign_versions(requests, no_history),
+        "registry_window_by_app": lambda: requests.withColumn("v", F.row_number().over(per_app)),
         "trailing_count": lambda: trailing_count(hot, ["user_id"], "ts", "7 days", "event_id",
                                                  out="n"),
         "trailing_window_by_key": lambda: hot.withColumn("n", F.count(F.lit(1)).over(by_key)),

@@ -310,3 +310,27 @@ def test_console_writer_on_a_stateful_stream(spark, tmp, capsys):
     counts = spark.readStream.schema(_events(spark).schema).parquet(src).groupBy("event_type").count()
     run_bounded(counts, console_writer(3), OutputSpec("update"), f"{tmp}/cp")
     assert "batch 0: 5 rows" in capsys.readouterr().out
+
+
+def test_replay_in_update_mode_over_several_batches(spark, tmp):
+    """Totals per type kept by a streaming aggregation over a multi-batch
+    replay: the table's latest rows (newest batch wins) are the final totals."""
+    ev = _events(spark)
+    t = FileTransport(f"{tmp}/topics", max_files_per_trigger=1)
+    for part in range(5):  # five files in the topic -> five archive batches
+        publish(ev.filter(F.col("event_id") % 5 == part), t, "events", ["event_id"])
+    totals = TableSpec(["event_type"], [{"name": "event_type", "type": "string"},
+                                        {"name": "n", "type": "long"}])
+    cfg = JobConfig("rapp", tmp, [EVENTS], table=totals, run_id="a")
+    archive_job(spark, cfg, EVENTS, t, bounded=True).awaitTermination()
+    rcfg = replace(cfg, run_id="r", output=OutputSpec("update"))
+
+    def process(dfs):
+        return dfs[0].groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+    replay_job(spark, rcfg, process, bounded=True, max_files_per_trigger=1).awaitTermination()
+    store = feature_store(rcfg)
+    assert store.changelog(spark, 1, run_id="r").select("batch_id").distinct().count() >= 5
+    got = {r.event_type: r.n for r in store.latest(spark, 1, run_id="r").collect()}
+    want = {r.event_type: r["count"] for r in ev.groupBy("event_type").count().collect()}
+    assert got == want

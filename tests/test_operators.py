@@ -332,3 +332,13 @@ def test_trailing_count_several_widths_in_one_pass(spark):
     assert got == {i: (count(u, t, 1), count(u, t, 7)) for i, u, t in data}
     with pytest.raises(ValueError):
         trailing_count(df, ["u"], "ts", ["1 day", "7 days"], "id", out="n")
+
+
+def test_current_records(spark, tmp):
+    from featureflow.operators.registry import current_records
+    register_schema(spark, tmp, "o", "a", ["x"], [{"name": "x", "type": "string"}])
+    register_schema(spark, tmp, "o", "a", ["x"], [{"name": "x", "type": "string"},
+                                                  {"name": "y", "type": "long"}])
+    [rec] = current_records(read_history(spark, tmp)).collect()
+    assert (rec.org, rec.app, rec.code_version, rec.primary_keys) == ("o", "a", 2, ["x"])
+    assert rec.avro_schema == '[{"name": "x", "type": "string"}, {"name": "y", "type": "long"}]'

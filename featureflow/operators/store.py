@@ -34,6 +34,8 @@ PARTITIONS = [f.name for f in META_FIELDS]
 # Key lists above this many tuples are not broadcast by ``lookup``; AQE then
 # decides from measured sizes.
 BROADCAST_KEY_LIMIT = 100_000
+# Key lists up to this many tuples are also pushed to the scan as IN filters.
+PUSHDOWN_KEY_LIMIT = 1_000
 
 
 def _orderable(dtype: T.DataType) -> bool:
@@ -188,7 +190,14 @@ class FeatureStore:
         rows = self._rows(spark, code_version, run_id)
         if small:
             # A bounded key list: broadcast it into the changelog first, so only
-            # rows of requested keys are read past the scan and aggregated.
+            # rows of requested keys are read past the scan and aggregated.  A
+            # short list also becomes literal IN filters, which reach the
+            # Parquet scan and skip files and row groups by their key ranges
+            # (snapshots are written clustered by key).
+            if len(tuples) <= PUSHDOWN_KEY_LIMIT:
+                for i, k in enumerate(self.keys):
+                    values = sorted({t[i] for t in tuples if t[i] is not None}, key=repr)
+                    rows = rows.filter(F.col(quote(k)).isin(values))
             latest = self._newest(rows.join(F.broadcast(req), self.keys, "left_semi"))
             found = F.broadcast(latest)  # at most one row per requested key
         else:
@@ -262,7 +271,10 @@ class FeatureStore:
         newest = newest.select(*[F.col(quote(k)) for k in self.keys],
                                *[F.col("_v")[c].alias(c) for c in values],
                                "run_id", F.col("_v.batch_id").alias("batch_id"))
-        newest.write.mode("overwrite").parquet(f"{base}/snapshot_id={snap_id}/rows")
+        # Clustered by key, so key filters of lookups skip files and row groups.
+        key_cols = [F.col(quote(k)) for k in self.keys]
+        (newest.repartitionByRange(*key_cols).sortWithinPartitions(*key_cols)
+         .write.mode("overwrite").parquet(f"{base}/snapshot_id={snap_id}/rows"))
         # The marks are written last: a snapshot without marks is never read.
         (spark.createDataFrame([(snap_id, r, b) for r, b in last],
                                "snapshot_id long, run_id string, last_batch long")

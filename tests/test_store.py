@@ -161,3 +161,19 @@ def test_table_spec_validation(spark, tmp):
                                     order_by=["m"]))
     with pytest.raises(ValueError, match="not output fields"):
         FeatureStore(tmp, TableSpec(["missing"], SCHEMA))
+
+
+def test_short_key_lists_reach_the_scan(spark, tmp):
+    import contextlib
+    import io
+    store = FeatureStore(tmp, TableSpec(["k"], SCHEMA, order_by=["t"]))
+    store.write_batch(_df(spark, [(i, i, "v") for i in range(100)]), 1, "r", 0)
+    store.compact(spark, 1)
+    got = store.lookup(spark, 1, [(7,), (8,), (1000,)])
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        got.explain("formatted")
+    pushed = [l for l in buf.getvalue().splitlines() if l.startswith("PushedFilters")]
+    assert any("In(k, [" in l for l in pushed), pushed
+    assert rows(got) == [{"k": 7, "t": 7, "v": "v"}, {"k": 8, "t": 8, "v": "v"},
+                         {"k": 1000, "t": None, "v": None}]

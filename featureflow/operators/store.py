@@ -244,25 +244,29 @@ class FeatureStore:
         The snapshot keeps, per run, the newest row of every key and records
         the last batch folded in for each run.  Older snapshots and the
         changelog are left in place; readers take the newest snapshot plus
-        the batches beyond it.  Single writer.
+        the batches beyond it.  Only the previous snapshot and the batches
+        written since are read; with no new batches nothing is written and
+        the previous id is returned.  Single writer.
         """
         base = f"{self.snapshot_path}/code_version={code_version}"
         marks = self._read_marks(spark, base)
         prev = marks.agg(F.max("snapshot_id")).first()[0] if marks is not None else None
         snap_id = (prev or 0) + 1
-        log = self.changelog(spark, code_version)
-        # Fix the fold point first (one row per run), then fold only up to
+        old = self._snapshot(spark, code_version, None)
+        folded = old[1] if old is not None else {}
+        # Only batches after the previous fold point are listed and read.
+        new_log = self.changelog(spark, code_version).filter(_after(folded))
+        # Fix the new fold point first (one row per run), then fold only up to
         # it: batches that land meanwhile stay in the changelog for readers.
-        last = [tuple(r) for r in log.groupBy("run_id").agg(
-            F.max("batch_id").alias("last_batch")).collect()]
+        last = {r.run_id: r.last_batch for r in new_log.groupBy("run_id").agg(
+            F.max("batch_id").alias("last_batch")).collect()}
         if not last:
             return prev or 0
-        upto = dict(last)
-        rows = log.filter(_up_to(upto))
-        old = self._snapshot(spark, code_version, None)
+        rows = new_log.filter(_up_to(last))
         if old is not None:
-            old_rows, folded = old
-            rows = rows.filter(_after(folded)).select(old_rows.columns).unionByName(old_rows)
+            old_rows = old[0]
+            rows = rows.select(old_rows.columns).unionByName(old_rows)
+        upto = {**folded, **last}
         values = [f.name for f in self.schema.fields if f.name not in self.keys]
         payload = F.struct(*[F.col(quote(c)) for c in values], F.col("batch_id"))
         ordering = F.struct(*[F.col(quote(c)) for c in self._ordering()])
@@ -276,7 +280,7 @@ class FeatureStore:
         (newest.repartitionByRange(*key_cols).sortWithinPartitions(*key_cols)
          .write.mode("overwrite").parquet(f"{base}/snapshot_id={snap_id}/rows"))
         # The marks are written last: a snapshot without marks is never read.
-        (spark.createDataFrame([(snap_id, r, b) for r, b in last],
+        (spark.createDataFrame([(snap_id, r, b) for r, b in upto.items()],
                                "snapshot_id long, run_id string, last_batch long")
          .coalesce(1).write.mode("append").json(f"{base}/marks"))
         return snap_id

@@ -177,3 +177,14 @@ def test_short_key_lists_reach_the_scan(spark, tmp):
     assert any("In(k, [" in l for l in pushed), pushed
     assert rows(got) == [{"k": 7, "t": 7, "v": "v"}, {"k": 8, "t": 8, "v": "v"},
                          {"k": 1000, "t": None, "v": None}]
+
+
+def test_compaction_without_new_batches_is_a_no_op(spark, tmp):
+    store = FeatureStore(tmp, TableSpec(["k"], SCHEMA, order_by=["t"]))
+    assert store.compact(spark, 1) == 0
+    store.write_batch(_df(spark, [(1, 1, "a")]), 1, "r", 0)
+    assert store.compact(spark, 1) == 1
+    assert store.compact(spark, 1) == 1
+    store.write_batch(_df(spark, [(1, 2, "b")]), 1, "r", 1)
+    assert store.compact(spark, 1) == 2
+    assert rows(store.latest(spark, 1)) == [{"k": 1, "t": 2, "v": "b"}]

@@ -242,7 +242,8 @@ class FeatureStore:
         """Fold everything written so far into a new snapshot and return its id.
 
         The snapshot keeps, per run, the newest row of every key and records
-        the last batch folded in for each run.  Older snapshots and the
+        the last batch folded in for each run (all but the run's newest
+        batch, which its stream may still rewrite).  Older snapshots and the
         changelog are left in place; readers take the newest snapshot plus
         the batches beyond it.  Only the previous snapshot and the batches
         written since are read; with no new batches nothing is written and
@@ -258,8 +259,11 @@ class FeatureStore:
         new_log = self.changelog(spark, code_version).filter(_after(folded))
         # Fix the new fold point first (one row per run), then fold only up to
         # it: batches that land meanwhile stay in the changelog for readers.
-        last = {r.run_id: r.last_batch for r in new_log.groupBy("run_id").agg(
+        # A run's newest batch is left out: its stream may still re-run it
+        # (a batch is committed to the checkpoint only after its write).
+        newest_batch = {r.run_id: r.last_batch for r in new_log.groupBy("run_id").agg(
             F.max("batch_id").alias("last_batch")).collect()}
+        last = {run: b - 1 for run, b in newest_batch.items() if b - 1 > folded.get(run, -1)}
         if not last:
             return prev or 0
         rows = new_log.filter(_up_to(last))

@@ -183,8 +183,42 @@ def test_compaction_without_new_batches_is_a_no_op(spark, tmp):
     store = FeatureStore(tmp, TableSpec(["k"], SCHEMA, order_by=["t"]))
     assert store.compact(spark, 1) == 0
     store.write_batch(_df(spark, [(1, 1, "a")]), 1, "r", 0)
+    assert store.compact(spark, 1) == 0  # the newest batch is never folded
+    store.write_batch(_df(spark, [(1, 2, "b")]), 1, "r", 1)
     assert store.compact(spark, 1) == 1
     assert store.compact(spark, 1) == 1
-    store.write_batch(_df(spark, [(1, 2, "b")]), 1, "r", 1)
+    store.write_batch(_df(spark, [(1, 0, "c")]), 1, "r", 1)  # the stream re-runs batch 1
+    store.write_batch(_df(spark, [(2, 5, "d")]), 1, "r", 2)
     assert store.compact(spark, 1) == 2
-    assert rows(store.latest(spark, 1)) == [{"k": 1, "t": 2, "v": "b"}]
+    assert rows(store.latest(spark, 1)) == [{"k": 1, "t": 1, "v": "a"}, {"k": 2, "t": 5, "v": "d"}]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_writes_compactions_and_reads_match_a_model(spark, tmp, seed):
+    import random
+    rnd = random.Random(seed)
+    store = FeatureStore(tmp, TableSpec(["k"], SCHEMA, order_by=["t"]))
+    model: dict[tuple[str, int], list[tuple]] = {}  # (run, batch) -> rows
+    next_batch = {"a": 0, "b": 0}
+    for _ in range(7):
+        op = rnd.choice(["write", "write", "rewrite", "compact"])
+        if op == "compact":
+            store.compact(spark, 1)
+        else:
+            run = rnd.choice(["a", "b"])
+            if op == "rewrite" and next_batch[run] > 0:
+                batch = next_batch[run] - 1  # a stream re-runs only its newest batch
+            else:
+                batch = next_batch[run]
+                next_batch[run] += 1
+            data = [(rnd.randint(0, 5), rnd.randint(0, 9), rnd.choice("xyz")) for _ in range(6)]
+            store.write_batch(_df(spark, data), 1, run, batch)
+            model[(run, batch)] = data
+        newest: dict[int, tuple] = {}
+        for (run, batch), data in model.items():
+            for k, t, v in data:
+                cand = (t, batch, v)
+                if k not in newest or cand > newest[k]:
+                    newest[k] = cand
+        want = [{"k": k, "t": t, "v": v} for k, (t, _, v) in sorted(newest.items())]
+        assert rows(store.latest(spark, 1), "k") == want, op

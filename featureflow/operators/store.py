@@ -12,6 +12,7 @@ proportional to the number of keys plus the newest batches.
 
 from __future__ import annotations
 
+import json
 from typing import Any, Sequence
 
 from pyspark.errors import AnalysisException
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 
 from featureflow.config import TableSpec
 from featureflow.functions.schema import check_primary_keys, conform, quote, to_struct
+from featureflow.session import create_marker, list_dirs, read_marker
 from featureflow.streaming.runner import BatchWriter
 from featureflow.streaming.sinks import write_partitioned
 
@@ -30,6 +32,7 @@ META_FIELDS = [
     T.StructField("batch_id", T.LongType()),
 ]
 PARTITIONS = [f.name for f in META_FIELDS]
+FOLD_POINTS = "_fold_points.json"
 
 # Key lists above this many tuples are not broadcast by ``lookup``; AQE then
 # decides from measured sizes.
@@ -146,7 +149,7 @@ class FeatureStore:
         rows = self.changelog(spark, code_version, run_id)
         snap = self._snapshot(spark, code_version, run_id)
         if snap is not None:
-            snap_rows, folded = snap
+            snap_rows, folded, _ = snap
             rows = rows.filter(_after(folded)).select(snap_rows.columns).unionByName(snap_rows)
         return rows
 
@@ -209,34 +212,32 @@ class FeatureStore:
             *[F.col(quote(n)) for n in self.schema.fieldNames()])
 
     # ----------------------------------------------------------- compaction
+    def _snapshot_ids(self, spark: SparkSession, base: str) -> list[int]:
+        ids = [int(d.split("=", 1)[1]) for d in list_dirs(spark, base)
+               if d.startswith("snapshot_id=")]
+        return sorted(ids, reverse=True)
+
     def _snapshot(self, spark: SparkSession, code_version: int, run_id: str | None):
-        """Newest complete snapshot: (rows, {run_id: last folded batch})."""
-        base = f"{self.snapshot_path}/code_version={code_version}"
-        marks = self._read_marks(spark, base)
-        if marks is None:
-            return None
-        snap_id = marks.agg(F.max("snapshot_id")).first()[0]
-        if snap_id is None:
-            return None
-        # one row per run: small by construction
-        folded = {r.run_id: r.last_batch for r in
-                  marks.filter(F.col("snapshot_id") == snap_id).collect()
-                  if run_id is None or r.run_id == run_id}
-        snap = spark.read.schema(T.StructType(list(self.schema.fields) + [
-            T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType())
-        ])).parquet(f"{base}/snapshot_id={snap_id}/rows")
-        if run_id is not None:
-            snap = snap.filter(F.col("run_id") == run_id)
-        cols = [*self.schema.fieldNames(), "code_version", "run_id", "batch_id"]
-        snap = snap.withColumn("code_version", F.lit(code_version).cast("int")).select(*cols)
-        return snap, folded
+        """Newest complete snapshot: (rows, {run_id: last folded batch}, id).
 
-    def _read_marks(self, spark: SparkSession, base: str):
-        try:
-            return spark.read.schema(
-                "snapshot_id long, run_id string, last_batch long").json(f"{base}/marks")
-        except AnalysisException:
-            return None
+        Found by listing folders and reading one marker file; no Spark job.
+        A snapshot is complete once its fold-point file exists."""
+        base = f"{self.snapshot_path}/code_version={code_version}"
+        for snap_id in self._snapshot_ids(spark, base):
+            text = read_marker(spark, f"{base}/snapshot_id={snap_id}/{FOLD_POINTS}")
+            if text is None:
+                continue
+            folded = {r: int(b) for r, b in json.loads(text).items()
+                      if run_id is None or r == run_id}
+            snap = spark.read.schema(T.StructType(list(self.schema.fields) + [
+                T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType())
+            ])).parquet(f"{base}/snapshot_id={snap_id}/rows")
+            if run_id is not None:
+                snap = snap.filter(F.col("run_id") == run_id)
+            cols = [*self.schema.fieldNames(), "code_version", "run_id", "batch_id"]
+            snap = snap.withColumn("code_version", F.lit(code_version).cast("int")).select(*cols)
+            return snap, folded, snap_id
+        return None
 
     def compact(self, spark: SparkSession, code_version: int) -> int:
         """Fold everything written so far into a new snapshot and return its id.
@@ -250,11 +251,10 @@ class FeatureStore:
         the previous id is returned.  Single writer.
         """
         base = f"{self.snapshot_path}/code_version={code_version}"
-        marks = self._read_marks(spark, base)
-        prev = marks.agg(F.max("snapshot_id")).first()[0] if marks is not None else None
-        snap_id = (prev or 0) + 1
         old = self._snapshot(spark, code_version, None)
         folded = old[1] if old is not None else {}
+        prev = old[2] if old is not None else None
+        snap_id = max([prev or 0, *self._snapshot_ids(spark, base)]) + 1
         # Only batches after the previous fold point are listed and read.
         new_log = self.changelog(spark, code_version).filter(_after(folded))
         # Fix the new fold point first (one row per run), then fold only up to
@@ -283,10 +283,9 @@ class FeatureStore:
         key_cols = [F.col(quote(k)) for k in self.keys]
         (newest.repartitionByRange(*key_cols).sortWithinPartitions(*key_cols)
          .write.mode("overwrite").parquet(f"{base}/snapshot_id={snap_id}/rows"))
-        # The marks are written last: a snapshot without marks is never read.
-        (spark.createDataFrame([(snap_id, r, b) for r, b in upto.items()],
-                               "snapshot_id long, run_id string, last_batch long")
-         .coalesce(1).write.mode("append").json(f"{base}/marks"))
+        # The fold points are written last: a snapshot without them is never read.
+        create_marker(spark, f"{base}/snapshot_id={snap_id}/{FOLD_POINTS}",
+                      json.dumps(upto, sort_keys=True))
         return snap_id
 
 

@@ -105,3 +105,11 @@ def ensure_dir(spark: SparkSession, path: str) -> str:
     if not fs.exists(p):
         fs.mkdirs(p)
     return path
+
+
+def list_dirs(spark: SparkSession, path: str) -> list[str]:
+    """Names of the sub-folders of ``path`` (empty when it does not exist)."""
+    fs, p = _hadoop_path(spark, path)
+    if not fs.exists(p):
+        return []
+    return [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from featureflow.config import TableSpec
 from featureflow.functions.schema import check_primary_keys, conform, quote, to_struct
-from featureflow.session import create_marker, list_dirs, read_marker
+from featureflow.session import create_marker, delete_dir, list_dirs, read_marker
 from featureflow.streaming.runner import BatchWriter
 from featureflow.streaming.sinks import write_partitioned
 
@@ -239,6 +239,36 @@ class FeatureStore:
             return snap, folded, snap_id
         return None
 
+    def expire(self, spark: SparkSession, code_version: int) -> int:
+        """Delete what no reader can need any more; return the folders removed.
+
+        Kept: the newest and the previous complete snapshot, and every
+        changelog batch after the previous snapshot's fold points, so
+        readers that started on either snapshot still find their rows.
+        Removed: older snapshots and the batches the previous snapshot had
+        already folded in.  Safe to repeat.
+        """
+        base = f"{self.snapshot_path}/code_version={code_version}"
+        complete = []
+        for snap_id in self._snapshot_ids(spark, base):
+            text = read_marker(spark, f"{base}/snapshot_id={snap_id}/{FOLD_POINTS}")
+            if text is not None:
+                complete.append((snap_id, {r: int(b) for r, b in json.loads(text).items()}))
+        if len(complete) < 2:
+            return 0
+        keep_from, folded = complete[1]
+        removed = 0
+        for snap_id in self._snapshot_ids(spark, base):
+            if snap_id < keep_from:
+                removed += delete_dir(spark, f"{base}/snapshot_id={snap_id}", self.root)
+        log = f"{self.changelog_path}/code_version={code_version}"
+        for run, last in folded.items():
+            run_dir = f"{log}/run_id={run}"
+            for d in list_dirs(spark, run_dir):
+                if d.startswith("batch_id=") and int(d.split("=", 1)[1]) <= last:
+                    removed += delete_dir(spark, f"{run_dir}/{d}", self.root)
+        return removed
+
     def compact(self, spark: SparkSession, code_version: int) -> int:
         """Fold everything written so far into a new snapshot and return its id.
 

@@ -183,10 +183,16 @@ def check_on_samples(spark: SparkSession, cfg: JobConfig, process: Process,
     return compare_rows(out, expected)
 
 
-def compaction_job(spark: SparkSession, cfg: JobConfig) -> int:
+def compaction_job(spark: SparkSession, cfg: JobConfig, expire: bool = False) -> int:
     """Fold the app's feature table (this code version) into a new snapshot.
 
     Meant to run on a schedule beside the live job (single writer of
     snapshots); reads then cost keys + batches since the last compaction.
+    With ``expire`` it then deletes what no reader can need any more
+    (``FeatureStore.expire``).
     """
-    return feature_store(cfg).compact(spark, cfg.code_version)
+    store = feature_store(cfg)
+    snap_id = store.compact(spark, cfg.code_version)
+    if expire:
+        store.expire(spark, cfg.code_version)
+    return snap_id

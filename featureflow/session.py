@@ -113,3 +113,13 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(p):
         return []
     return [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
+
+
+def delete_dir(spark: SparkSession, path: str, inside: str) -> bool:
+    """Delete folder ``path`` recursively; refuses anything not strictly
+    below ``inside``."""
+    root = inside.rstrip("/") + "/"
+    if not path.startswith(root) or len(path) <= len(root):
+        raise ValueError(f"refusing to delete {path!r} outside {inside!r}")
+    fs, p = _hadoop_path(spark, path)
+    return bool(fs.delete(p, True)) if fs.exists(p) else False

@@ -222,3 +222,30 @@ def test_random_writes_compactions_and_reads_match_a_model(spark, tmp, seed):
                     newest[k] = cand
         want = [{"k": k, "t": t, "v": v} for k, (t, _, v) in sorted(newest.items())]
         assert rows(store.latest(spark, 1), "k") == want, op
+
+
+def test_expire_keeps_what_readers_need(spark, tmp):
+    import os
+    store = FeatureStore(f"{tmp}/table", TableSpec(["k"], SCHEMA, order_by=["t"]))
+    for b in range(3):
+        store.write_batch(_df(spark, [(b, b, "v")]), 1, "r", b)
+    assert store.compact(spark, 1) == 1           # folds batches 0-1
+    assert store.expire(spark, 1) == 0             # only one snapshot: keep all
+    for b in range(3, 6):
+        store.write_batch(_df(spark, [(b, b, "v")]), 1, "r", b)
+    assert store.compact(spark, 1) == 2           # folds batches 2-4
+    want = rows(store.latest(spark, 1))
+    assert store.expire(spark, 1) == 2             # batches 0 and 1
+    log = f"{tmp}/table/changelog/code_version=1/run_id=r"
+    assert sorted(os.listdir(log)) == [f"batch_id={b}" for b in range(2, 6)]
+    assert rows(store.latest(spark, 1)) == want
+    store.write_batch(_df(spark, [(9, 9, "v")]), 1, "r", 6)
+    assert store.compact(spark, 1) == 3
+    assert store.expire(spark, 1) == 4             # snapshot 1 and batches 2-4
+    assert sorted(os.listdir(f"{tmp}/table/snapshots/code_version=1")) == [
+        "snapshot_id=2", "snapshot_id=3"]
+    assert rows(store.latest(spark, 1), "k") == sorted(
+        want + [{"k": 9, "t": 9, "v": "v"}], key=lambda r: r["k"])
+    from featureflow.session import delete_dir
+    with pytest.raises(ValueError):
+        delete_dir(spark, f"{tmp}/elsewhere", f"{tmp}/table")

@@ -31,21 +31,31 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None under Spark Connect."""
+    try:
+        return spark.sparkContext
+    except Exception:
+        return None
+
+
 def _checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment and points at shared storage;
     it is read, never replaced.  Only when it is unset (a bare local session,
-    as in tests) a fresh folder is created and registered.
+    as in tests) a fresh folder is created and registered as the context's
+    checkpoint folder (the setting itself cannot change at runtime).
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
+    sc = _context(spark)
+    if not root and sc is not None:
+        root = sc.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="featureflow-")
-        spark.conf.set(CHECKPOINT_CONF, root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        if sc is None:
+            raise ValueError(f"{CHECKPOINT_CONF} must name a shared folder")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="featureflow-"))
+        root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 

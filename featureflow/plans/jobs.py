@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from featureflow.config import InputSpec, JobConfig, OutputSpec
 from featureflow.functions.codec import BAD, CORRUPT, JSON_OPTIONS, REASON, output_topic
+from featureflow.functions.schema import conform
 from featureflow.operators.checks import assert_rows, compare_rows, expected_frame
 from featureflow.operators.store import FeatureStore
 from featureflow.sources.files import (
@@ -73,6 +74,7 @@ def live_job(spark: SparkSession, cfg: JobConfig, process: Process, transport,
     """
     df = read_topics(spark, cfg.inputs, transport, process, drop_bad=drop_bad)
     store = feature_store(cfg)
+    conform(df, store.schema)  # fail at start, not at the first batch
     topic = output_topic(cfg.app_name, cfg.code_version)
     write = fan_out(topic_writer(transport, topic, store.keys),
                     store.writer(cfg.code_version, cfg.run_id))
@@ -123,6 +125,7 @@ def replay_job(spark: SparkSession, cfg: JobConfig, process: Process,
                           cfg.files.max_file_age, max_files_per_trigger)
     df = process(dfs)
     store = feature_store(cfg)
+    conform(df, store.schema)  # fail at start, not at the first batch
     writers = [store.writer(cfg.code_version, cfg.run_id)]
     if publish:
         if transport is None:

@@ -334,3 +334,12 @@ def test_replay_in_update_mode_over_several_batches(spark, tmp):
     got = {r.event_type: r.n for r in store.latest(spark, 1, run_id="r").collect()}
     want = {r.event_type: r["count"] for r in ev.groupBy("event_type").count().collect()}
     assert got == want
+
+
+def test_live_job_checks_the_output_schema_at_start(spark, tmp):
+    t = FileTransport(f"{tmp}/topics")
+    wrong = TableSpec(["user_id"], [{"name": "user_id", "type": "long"},
+                                    {"name": "not_produced", "type": "string"}])
+    cfg = JobConfig("bad", tmp, [EVENTS], table=wrong, run_id="b1")
+    with pytest.raises(ValueError, match="not_produced"):
+        live_job(spark, cfg, lambda dfs: dfs[0], t)

@@ -59,10 +59,22 @@ def _same_as_previous(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
             same[1:] &= np.fromiter((x == y for x, y in zip(a, b)), dtype=bool, count=n - 1)
             continue
         both_null = pc.and_(pc.is_null(cur), pc.is_null(prev))
-        same[1:] &= pc.or_(eq, both_null).to_numpy(zero_copy_only=False)
+        equal = pc.or_(eq, both_null)
+        if pa.types.is_floating(col.type):  # Spark groups NaN with NaN
+            both_nan = pc.fill_null(pc.and_(pc.is_nan(cur), pc.is_nan(prev)), False)
+            equal = pc.or_(equal, both_nan)
+        same[1:] &= equal.to_numpy(zero_copy_only=False)
     return same
 
 
+def _same_key(a: tuple, b: tuple) -> bool:
+    """Key tuples equal as Spark groups them (None == None, NaN == NaN)."""
+    return len(a) == len(b) and all(
+        x == y or (x is None and y is None)
+        or (isinstance(x, float) and isinstance(y, float) and x != x and y != y)
+        for x, y in zip(a, b))
+
+
 def _key_at(batch: pa.RecordBatch, keys: Sequence[str], i: int) -> tuple:
     return tuple(batch.column(k)[i].as_py() for k in keys)
 
@@ -82,7 +94,7 @@ def _scan(batches: Iterator[pa.RecordBatch], keys: Sequence[str], weight: str):
         w = batch.column(weight).to_numpy(zero_copy_only=False).astype(np.int64)
         new = ~_same_as_previous(batch, keys)
         first = _key_at(batch, keys, 0)
-        new[0] = not (state["seen"] and first == state["key"])
+        new[0] = not (state["seen"] and _same_key(first, state["key"]))
         pre = np.cumsum(w) - w
         start = np.maximum.accumulate(np.where(new, np.arange(n), -1))
         before = np.where(start >= 0, pre - pre[np.maximum(start, 0)], pre + state["run"])

@@ -342,3 +342,15 @@ def test_current_records(spark, tmp):
     [rec] = current_records(read_history(spark, tmp)).collect()
     assert (rec.org, rec.app, rec.code_version, rec.primary_keys) == ("o", "a", 2, ["x"])
     assert rec.avro_schema == '[{"name": "x", "type": "string"}, {"name": "y", "type": "long"}]'
+
+
+def test_count_preceding_nan_keys_group_together(spark):
+    nan = float("nan")
+    data = [(nan if i % 3 == 0 else float(i % 2), i) for i in range(60)]
+    df = spark.createDataFrame(data, "k double, o long").withColumn("w", F.lit(1).cast("long"))
+    got = {r.o: r.n_before for r in
+           count_preceding(df, ["k"], ["o"], "w", ["o"], num_partitions=4).collect()}
+    def key(k):
+        return "nan" if k != k else k
+    want = {o: sum(1 for kk, oo in data if key(kk) == key(k) and oo < o) for k, o in data}
+    assert got == want

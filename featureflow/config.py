@@ -73,6 +73,12 @@ class JobConfig:
         ``kafka``, ``outputs``, ``table``, optional ``fileinfo``, ``appname``,
         optional ``code_version`` and ``assertions``.  Other keys (for example
         the encoded user code) are ignored."""
+        missing = [k for k in ("appname", "inputs") if k not in body]
+        if missing:
+            raise ValueError(f"request needs {missing}")
+        bad = [n for n, i in enumerate(body["inputs"]) if "topic" not in i or "topic_schema" not in i]
+        if bad:
+            raise ValueError(f"inputs {bad} need 'topic' and 'topic_schema'")
         inputs = [InputSpec(i["topic"], i["topic_schema"], list(i.get("sample") or []))
                   for i in body["inputs"]]
         table = body.get("table")

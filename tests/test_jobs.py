@@ -343,3 +343,10 @@ def test_live_job_checks_the_output_schema_at_start(spark, tmp):
     cfg = JobConfig("bad", tmp, [EVENTS], table=wrong, run_id="b1")
     with pytest.raises(ValueError, match="not_produced"):
         live_job(spark, cfg, lambda dfs: dfs[0], t)
+
+
+def test_request_errors_name_the_missing_fields(tmp):
+    with pytest.raises(ValueError, match="appname"):
+        JobConfig.from_request({"inputs": []}, bucket=tmp)
+    with pytest.raises(ValueError, match="topic_schema"):
+        JobConfig.from_request({"appname": "a", "inputs": [{"topic": "t"}]}, bucket=tmp)

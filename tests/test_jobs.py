@@ -350,3 +350,17 @@ def test_request_errors_name_the_missing_fields(tmp):
         JobConfig.from_request({"inputs": []}, bucket=tmp)
     with pytest.raises(ValueError, match="topic_schema"):
         JobConfig.from_request({"appname": "a", "inputs": [{"topic": "t"}]}, bucket=tmp)
+
+
+def test_compaction_job_with_expiry(spark, tmp):
+    import os
+    from featureflow.plans.jobs import compaction_job
+    cfg = JobConfig("capp", tmp, [EVENTS], table=TABLE, run_id="c1")
+    store = feature_store(cfg)
+    ev = _events(spark)
+    for b in range(4):
+        store.write_batch(ev.filter(F.col("event_id") % 4 == b), 1, "c1", b)
+        compaction_job(spark, cfg, expire=True)
+    log = f"{store.changelog_path}/code_version=1/run_id=c1"
+    assert sorted(os.listdir(log)) == ["batch_id=2", "batch_id=3"]
+    assert store.latest(spark, 1).count() == ev.select("user_id").distinct().count()

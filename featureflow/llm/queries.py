@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, packing, token_files
+from . import common, packing, simhash, token_files
 
 #: Vocabulary file of the token queries (a parameter of the operators).
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,13 +20,18 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, end_id=0, capacity=2048)
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.shared_folder(spark, "token-files")
     files = token_files.write_token_files(table(spark, sf_dir, "documents"), folder, TOKENIZER, end_id=2)
     return token_files.read_token_files(spark, files)
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op8_token_files)}
+QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op6_simhash_near_dedup, op8_token_files)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {}

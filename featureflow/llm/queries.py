@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, packing, secrets, simhash, token_files
+from . import common, decontamination, packing, secrets, simhash, token_files, warc
 
 #: Vocabulary file of the token queries (a parameter of the operators).
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -91,8 +91,29 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, files)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"), least=1000)
+
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+), g AS (
+  SELECT payload_digest, payload_bytes, max(page_id) AS largest FROM p WHERE payload_bytes >= 1000 GROUP BY ALL
+), r AS (
+  SELECT p.*, largest IS NOT NULL AND page_id IS DISTINCT FROM largest AS again, largest
+  FROM p LEFT JOIN g USING (payload_digest, payload_bytes)
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN largest END AS refers_to
+FROM r
+"""
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op5_best_fit_packing, op6_simhash_near_dedup, op7_decontamination, op8_token_files)}
+    op1_secret_scan, op5_best_fit_packing, op6_simhash_near_dedup, op7_decontamination, op8_token_files,
+    op10_warc)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op7_decontamination": OP7_SQL}
+ORACLES: dict[str, str] = {"op7_decontamination": OP7_SQL, "op10_warc": OP10_SQL}

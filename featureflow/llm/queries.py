@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, packing, secrets, simhash, token_files, warc
+from . import common, decontamination, language, packing, secrets, simhash, token_files, toxicity, warc
 
 #: Vocabulary file of the token queries (a parameter of the operators).
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,17 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Documents scored at this or over are taken for toxic.
+TOXIC_AT = 0.3
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, index).select(
+        "doc_id", "held_out", "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), "evidence")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, end_id=0, capacity=2048)
 
@@ -91,6 +102,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, files)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"), least=1000)
 
@@ -112,8 +128,8 @@ FROM r
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op5_best_fit_packing, op6_simhash_near_dedup, op7_decontamination, op8_token_files,
-    op10_warc)}
+    op1_secret_scan, op3_toxicity, op5_best_fit_packing, op6_simhash_near_dedup, op7_decontamination, op8_token_files,
+    op9_language_id, op10_warc)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {"op7_decontamination": OP7_SQL, "op10_warc": OP10_SQL}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, language, packing, secrets, simhash, token_files, toxicity, warc
+from . import common, decontamination, language, packing, quality, secrets, simhash, token_files, toxicity, warc
 
 #: Vocabulary file of the token queries (a parameter of the operators).
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 #: Documents scored at this or over are taken for toxic.
 TOXIC_AT = 0.3
 
@@ -128,7 +134,7 @@ FROM r
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op3_toxicity, op5_best_fit_packing, op6_simhash_near_dedup, op7_decontamination, op8_token_files,
+    op1_secret_scan, op2_quality_rules, op3_toxicity, op5_best_fit_packing, op6_simhash_near_dedup, op7_decontamination, op8_token_files,
     op9_language_id, op10_warc)}
 
 #: DuckDB SQL of the queries that SQL can express.

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, language, packing, quality, secrets, simhash, token_files, toxicity, warc
+from . import common, decontamination, language, packing, pii, quality, secrets, simhash, token_files, toxicity, warc
 
 #: Vocabulary file of the token queries (a parameter of the operators).
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +50,17 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), "evidence")
 
 
+#: Key of the surrogates; a deployment passes its own secret.
+PII_KEY = "surrogates"
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    done = pii.with_surrogates(docs, PII_KEY)
+    counts = [F.size(F.filter("_pii_kinds", lambda k: k == F.lit(t))).cast("long").alias(f"n_{t}") for t in pii.TYPES]
+    return done.select("doc_id", "text", *counts)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, end_id=0, capacity=2048)
 
@@ -134,7 +145,7 @@ FROM r
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op2_quality_rules, op3_toxicity, op5_best_fit_packing, op6_simhash_near_dedup, op7_decontamination, op8_token_files,
+    op1_secret_scan, op2_quality_rules, op3_toxicity, op4_pii_surrogates, op5_best_fit_packing, op6_simhash_near_dedup, op7_decontamination, op8_token_files,
     op9_language_id, op10_warc)}
 
 #: DuckDB SQL of the queries that SQL can express.

@@ -83,6 +83,12 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def drop_folder(uri: str) -> None:
+    """Delete a folder that ``shared_folder`` made, once its files are used."""
+    fs, path = file_system(uri)
+    fs.delete_dir(path)
+
+
 class AtomicFile:
     """A file that appears under its name only when it is whole.  A task that
     is run again (lost executor, speculation) replaces it by an equal one."""

@@ -269,8 +269,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """``docs`` with the smallest id of every group only (one row of it, if
-    the id is repeated)."""
-    keepers = near_duplicates(docs, shingle, distance).select(F.col("component_id").alias("_keep")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_keep"))
-    return docs.join(keepers, same, "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with the smallest id of every group only.  An id names one
+    document: of rows that share it one stays.  Rows without an id cannot be
+    named and stay."""
+    found = near_duplicates(docs.where(F.col("doc_id").isNotNull()), shingle, distance)
+    keepers = found.select(F.col("component_id").alias("doc_id")).distinct()
+    kept = docs.join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))

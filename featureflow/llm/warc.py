@@ -258,4 +258,5 @@ def archive(pages: DataFrame, least: int = 1000) -> DataFrame:
     raw, whole = common.shared_folder(spark, "warc-monolithic"), common.shared_folder(spark, "warc")
     files = write_monolithic(with_record_types(pages, least), raw)
     normalise(spark, raw, files, whole)
+    common.drop_folder(raw)
     return read_records(spark, whole, files)

@@ -2,35 +2,30 @@
 
 A byte-level BPE with the usual pre-tokenizer never joins anything across a
 space that stands before a non-space, nor across a newline between two
-non-spaces.  Texts are therefore cut there, the ids of each piece are cached,
-and only pieces that are not cached go to the library (many at a time, as one
-text, or word by word).  The ids equal those of one ``encode`` call on the whole text.
+non-spaces.  Texts are therefore cut there; the ids of each piece are cached,
+and a piece that is not cached goes to the library: to its model, if it is one
+word of Latin letters with or without marks after it, else to ``encode``.  The
+ids equal those of one ``encode`` call on the whole text.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import struct
+from array import array
+from string import punctuation
 
 import numpy as np
 
-#: Cached pieces; beyond this the cache starts anew (memory stays bounded).
-CACHE_PIECES = 400_000
-#: Pieces that go to the library as one text.
-JOINED_PIECES = 100
-#: Words of letters below this character, and these marks after them, are cut
-#: into pre-tokens here; all else is left to the library.
-LATIN_END = "\u0250"
-MARKS = ".,;:!?"
+#: Cached pieces; beyond this longer ones are dropped (memory stays bounded).
+CACHE_PIECES = 600_000
+SHORT = 8
+#: Words of letters below this character are cut into pre-tokens here.
+LATIN_END = "ɐ"
 
 _BOUNDARY = re.compile(r"(?= \S)")
 
 
-def pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 def byte_symbols() -> dict[int, str]:
     """Characters that stand for bytes in a byte-level vocabulary: printable
     Latin-1 characters for themselves, the other bytes from U+0100 on."""
@@ -39,6 +34,53 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+class _Pieces(dict):
+    """Ids by piece, learned when first asked for.  ``x`` stands for " x",
+    "\\nx" for itself, and "\\rx" for "x" (the beginning of a text)."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+        self.model_tokens = tokenizer.model.tokenize
+        self.symbols = byte_symbols()
+        self.space = self.symbols[ord(" ")]
+        self.newline = self.whole("\n")
+        self.tails: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        lead = piece[0]
+        word = piece[1:] if lead == "\n" else piece
+        letters = word.rstrip(punctuation)
+        if not letters.isalpha() or not (letters.isascii() or max(letters) < LATIN_END):
+            ids = self.whole(piece if lead == "\n" else piece[1:] if lead == "\r" else " " + piece)
+        elif len(letters) < len(word):
+            # A letter and a mark are never in one pre-token; marks are one.
+            tail = word[len(letters):]
+            if tail not in self.tails:
+                self.tails[tail] = self.whole(tail)
+            ids = self[piece[:len(piece) - len(tail)]] + self.tails[tail]
+        else:
+            symbols = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.symbols)
+            if lead != "\n":
+                symbols = self.space + symbols
+            ids = array("I", [t.id for t in self.model_tokens(symbols)]).tobytes()
+            if lead == "\n":
+                ids = self.newline + ids
+        self[piece] = ids
+        return ids
+
+    def shrink(self) -> None:
+        """Short pieces are the frequent ones: they stay, if they are few."""
+        short = {p: ids for p, ids in self.items() if len(p) <= SHORT}
+        self.clear()
+        self.tails.clear()
+        if 2 * len(short) < CACHE_PIECES:
+            self.update(short)
+
+
 class Encoder:
     """``encode(texts)`` gives little-endian unsigned 32-bit ids as bytes."""
 
@@ -48,96 +90,26 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache_pieces = cache_pieces
-        self.cache: dict[str, bytes] = {}
-        self.newline = self._ids("\n")
-        if len(self.newline) != 4 or self._ids(" a\nb\n c") != b"".join(
-                map(self._ids, (" a", "\n", "b", "\n", " c"))):
+        self.pieces = _Pieces(self.tokenizer)
+        whole, newline = self.pieces.whole, self.pieces.newline
+        if len(newline) != 4 or whole(" a!\nb\n c") != b"".join(map(whole, (" a", "!", "\n", "b", "\n", " c"))):
             raise ValueError(f"{path} is not a byte-level vocabulary with a newline token")
-        self.symbols = byte_symbols()
-        self.marks = {m: self._ids(m) for m in MARKS}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, piece: str) -> bytes:
-        """Ids of a piece that is one pre-token (Latin letters only)."""
-        if piece[0] == "\n":
-            lead, word = self.newline, piece[1:]
-        else:
-            lead, word = b"", " " + piece
-        symbols = word.encode().decode("latin-1").translate(self.symbols)
-        return lead + pack_ids([t.id for t in self.tokenizer.model.tokenize(symbols)])
-
-    def _learn(self, pieces) -> None:
-        """Cache pieces: ``x`` stands for " x", and "\\nx" for itself."""
-        cache, other = self.cache, []
-        for piece in pieces:
-            word = piece[1:] if piece[0] == "\n" else piece
-            if word.isalpha() and max(word) < LATIN_END:
-                cache[piece] = self._word(piece)
-            elif word[-1] in MARKS and word[:-1].isalpha() and max(word) < LATIN_END:
-                # A letter and a mark are never in one pre-token.
-                base = piece[:-1]
-                if base not in cache:
-                    cache[base] = self._word(base)
-                cache[piece] = cache[base] + self.marks[piece[-1]]
-            else:
-                other.append(piece)
-        # Others are joined with a newline before each " x", so that a newline
-        # id starts every piece.
-        mark = int(np.frombuffer(self.newline, "<u4")[0])
-        groups = [other[k:k + JOINED_PIECES] for k in range(0, len(other), JOINED_PIECES)]
-        codes = self.tokenizer.encode_batch_fast(
-            ["".join([p if p[0] == "\n" else "\n " + p for p in g]) for g in groups],
-            add_special_tokens=False)
-        for group, code in zip(groups, codes):
-            ids = np.array(code.ids, "<u4")
-            raw = ids.tobytes()
-            starts = (np.flatnonzero(ids == mark) * 4).tolist()
-            for piece, first, end in zip(group, starts, [*starts[1:], len(raw)]):
-                cache[piece] = raw[first if piece[0] == "\n" else first + 4:end]
-
-    def _irregular(self, text: str) -> bytes:
-        """Texts with runs of white space, or white space other than spaces
-        and newlines: cut before " x" only, each piece by a call of its own."""
-        out = []
-        for k, piece in enumerate(_BOUNDARY.split(text)):
-            key = "\r" + piece if k == 0 else piece
-            if key not in self.cache:
-                self.cache[key] = self._ids(piece)
-            out.append(self.cache[key])
-        return b"".join(out)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.cache) > self.cache_pieces:
-            self.cache = {}
-        get = self.cache.get
-        cut: list[list[str] | None] = []
-        found: list[list[bytes | None]] = []
-        missing: set[str] = set()
-        for text in texts:
-            flat = text.replace("\n", " ") if text else " "
-            # Regular: every white space is one space or newline between others.
-            if flat[0] == " " or flat[-1] == " " or "  " in flat or not flat.isprintable():
-                cut.append(None)
-                found.append([])
-                continue
-            pieces = ("\n" + text).replace("\n", " \n").split(" ")[1:]
-            ids = list(map(get, pieces))
-            if None in ids:
-                missing.update([p for p, i in zip(pieces, ids) if i is None])
-            cut.append(pieces)
-            found.append(ids)
-        self._learn(missing)
-        out = []
-        for text, pieces, ids in zip(texts, cut, found):
-            if pieces is None:
-                out.append(self._irregular(text) if text else b"")
-                continue
-            if None in ids:
-                ids = list(map(get, pieces))
-            out.append(b"".join(ids)[4:])  # without the newline put before the text
-        return out
+        return [self.encode_one(t) if t else b"" for t in texts]
+
+    def encode_one(self, text: str) -> bytes:
+        if len(self.pieces) > self.cache_pieces:
+            self.pieces.shrink()
+        get = self.pieces.__getitem__
+        flat = text.replace("\n", " ")
+        # Regular: every white space is one space or newline between others.
+        if flat[0] == " " or flat[-1] == " " or "  " in flat or not flat.isprintable():
+            first, *rest = _BOUNDARY.split(text)
+            return get("\r" + first) + b"".join([get(p[1:]) for p in rest])
+        pieces = ("\n" + text).replace("\n", " \n").split(" ")
+        del pieces[0]
+        return b"".join(map(get, pieces))[4:]  # without the newline put before the text
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -33,7 +33,6 @@ table gives no rows; other columns are ignored or kept, whatever their names.
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,30 +102,23 @@ def _moved(c: Column, by: Column) -> Column:
     return out
 
 
-def _keyed(half: Column, other: Column, tweak: Column, n: int) -> Column:
+def _keyed(half: Column, other: Column, tweak: Column, n: Column) -> Column:
     """``half`` (characters), each moved by a number that depends on the key,
     the round, its place and the other half."""
     return _let(F.array_join(other, ""), lambda o: F.transform(
-        half, lambda c, i: _moved(c, _number(tweak, F.lit(str(n)), i.cast("string"), o))))
+        half, lambda c, i: _moved(c, _number(tweak, n.cast("string"), i.cast("string"), o))))
 
 
 def permuted(chars: Column, tweak: Column) -> Column:
     """Characters permuted by a Feistel network; distinct sequences of equal
-    classes stay distinct, for one tweak."""
+    classes stay distinct, for one tweak.  The halves change places after each
+    of an even number of rounds."""
     cut = F.floor(F.size(chars) / 2).cast("int")
-    halves = _let(chars, lambda c: F.struct(
-        F.slice(c, F.lit(1), cut).alias("a"), F.slice(c, cut + 1, F.size(c) - cut).alias("b")))
-    for n in range(ROUNDS):
-        if n % 2:
-            step = lambda h, n=n: F.struct(h["a"].alias("a"), _keyed(h["b"], h["a"], tweak, n).alias("b"))
-        else:
-            step = lambda h, n=n: F.struct(_keyed(h["a"], h["b"], tweak, n).alias("a"), h["b"].alias("b"))
-        halves = _bound(halves, step)
-    return _let(halves, lambda h: F.concat(h["a"], h["b"]))
-
-
-def _bound(value: Column, step) -> Column:
-    return F.transform(F.array(value), lambda h: step(h))[0]
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(ROUNDS)),
+        F.struct(F.slice(chars, F.lit(1), cut).alias("a"), F.slice(chars, cut + 1, F.size(chars) - cut).alias("b")),
+        lambda h, n: F.struct(h["b"].alias("a"), _keyed(h["a"], h["b"], tweak, n).alias("b")),
+        lambda h: F.concat(h["a"], h["b"]))
 
 
 def _lower(c: Column) -> Column:
@@ -139,8 +131,8 @@ def _normal(text: Column) -> Column:
 
 
 def _recased(new: Column, old: Column) -> Column:
-    """Characters of ``new`` in the letter case of ``old``."""
-    return F.array_join(F.zip_with(new, old, lambda n, o: F.when(
+    """Characters of ``new`` in the letter case of ``old`` (as many of it)."""
+    return F.array_join(F.zip_with(new, F.slice(old, F.lit(1), F.size(new)), lambda n, o: F.when(
         (o != F.lower(o)) & (F.char_length(F.upper(n)) == 1), F.upper(n)).otherwise(n)), "")
 
 
@@ -176,34 +168,21 @@ def _national(text: Column) -> Column:
     return F.when(F.length(digits) >= 10, F.substring(digits, -10, 10)).otherwise(rest)
 
 
-# Surrogates by type: m is the matched text, tweak holds key, type and attempt.
-
-def _email(m: Column, tweak: Column) -> Column:
-    body, top = F.regexp_extract(m, r"(?s)^(.*)(\.[^.]*)$", 1), F.regexp_extract(m, r"(?s)^(.*)(\.[^.]*)$", 2)
-    return F.concat(_recased(permuted(_normal(body), tweak), _chars(body)), top)
-
-
-def _phone(m: Column, tweak: Column) -> Column:
-    return _filled(m, permuted(_chars(_national(m)), tweak))
-
-
-def _all_digits(m: Column, tweak: Column) -> Column:
-    return _filled(m, permuted(_chars(_digits(m)), tweak))
-
-
-def _card(m: Column, tweak: Column) -> Column:
-    body = _let(_digits(m), lambda d: F.array_join(permuted(_chars(F.substr(d, F.lit(1), F.length(d) - 1)), tweak), ""))
-    return _let(body, lambda b: _filled(m, _chars(F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0")))) % 10).cast("string")))))
+def _top_level(m: Column) -> Column:
+    return F.regexp_extract(m, r"(\.[^.]*)$", 1)
 
 
 def _ip(m: Column, tweak: Column) -> Column:
-    part = lambda k: F.split(m, r"\.")[k].cast("long")
-    halves = F.struct((part(0) * 256 + part(1)).alias("a"), (part(2) * 256 + part(3)).alias("b"))
-    for n in range(ROUNDS):
-        halves = _bound(halves, lambda h, n=n: F.struct(
-            h["b"].alias("a"), ((h["a"] + _number(tweak, F.lit(str(n)), h["b"].cast("string"))) % 65536).alias("b")))
-    return _let(halves, lambda h: F.concat_ws(
-        ".", *[x.cast("string") for half in ("a", "b") for x in (F.floor(h[half] / 256), h[half] % 256)]))
+    def part(k: int) -> Column:
+        return F.split(m, r"\.")[k].cast("long")
+
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(ROUNDS)),
+        F.struct((part(0) * 256 + part(1)).alias("a"), (part(2) * 256 + part(3)).alias("b")),
+        lambda h, n: F.struct(
+            h["b"].alias("a"), ((h["a"] + _number(tweak, n.cast("string"), h["b"].cast("string"))) % 65536).alias("b")),
+        lambda h: F.concat_ws(".", *[
+            x.cast("string") for half in ("a", "b") for x in (F.floor(h[half] / 256), h[half] % 256)]))
 
 
 def _listed(name: Column, tweak: Column) -> Column:
@@ -222,25 +201,52 @@ def _title_of(m: Column) -> Column:
     return F.regexp_extract(m, rf"^((?:{'|'.join(TITLES)})\.? )?", 1)
 
 
-def _word(name: Column, tweak: Column) -> Column:
-    return _recased(permuted(_normal(name), tweak), _chars(name))
-
-
-def _name(m: Column, tweak: Column) -> Column:
-    title = _title_of(m)
-    words = F.split(F.substr(m, F.length(title) + 1, F.length(m)), " ")
+def _words(m: Column) -> Column:
+    """The words of a name, without its title."""
+    return F.split(F.substr(m, F.length(_title_of(m)) + 1, F.length(m)), " ")
 
-    def of(words: Column) -> Column:
-        given, surname = words[0], F.element_at(words, -1)
-        # An unlisted given name keeps its last letter, which often marks gender.
-        unlisted = F.concat(_word(F.substr(given, F.lit(1), F.length(given) - 1), F.concat(tweak, F.lit("given"))), F.substring(given, -1, 1))
-        first = F.when(F.size(words) > 1, F.concat(F.coalesce(_listed(given, tweak), unlisted), F.lit(" "))).otherwise(F.lit(""))
-        return F.concat(first, _word(surname, tweak))
 
-    return F.concat(title, _let(words, of))
+def _parts(m: Column, kind: Column) -> Column:
+    """What is permuted, as arrays of characters: the body of an entity; of a
+    name its surname and its given name, whose last letter often marks gender
+    and stays."""
+    digits = _digits(m)
+    given = _words(m)[0]
+    return (
+        F.when(kind == "email", F.array(_normal(F.substr(m, F.lit(1), F.length(m) - F.length(_top_level(m))))))
+        .when(kind == "phone", F.array(_chars(_national(m))))
+        .when(kind == "card", F.array(_chars(F.substr(digits, F.lit(1), F.length(digits) - 1))))
+        .when(kind == "ssn", F.array(_chars(digits)))
+        .when(kind == "name", F.array(
+            _normal(F.element_at(_words(m), -1)), _normal(F.substr(given, F.lit(1), F.length(given) - 1))))
+        .otherwise(F.array().cast("array<array<string>>")))
+
+
+def _assembled(m: Column, kind: Column, parts: Column, tweak: Column) -> Column:
+    """The surrogate in the format of ``m`` from its permuted parts."""
+    def card(body: Column) -> Column:
+        check = (10 - _luhn(F.concat(body, F.lit("0")))) % 10
+        return _chars(F.concat(body, check.cast("string")))
+
+    first = F.get(parts, F.lit(0))
+    given = _words(m)[0]
+    unlisted = F.concat(_recased(F.get(parts, F.lit(1)), _chars(given)), F.substring(given, -1, 1))
+    named = F.concat(
+        _title_of(m),
+        F.when(F.size(_words(m)) > 1, F.concat(F.coalesce(_listed(given, tweak), unlisted), F.lit(" "))).otherwise(""),
+        _recased(first, _chars(F.element_at(_words(m), -1))))
+    digits = F.when(kind == "card", card(F.array_join(first, ""))).otherwise(first)
+    return (
+        F.when(kind == "email", F.concat(_recased(first, _chars(m)), _top_level(m)))
+        .when(kind == "ip", _ip(m, tweak))
+        .when(kind == "name", named)
+        .otherwise(_filled(m, digits)))
 
 
-_SURROGATES = {"email": _email, "phone": _phone, "ip": _ip, "card": _card, "ssn": _all_digits, "name": _name}
+def surrogate(m: Column, kind: Column, key: str, attempt: Column) -> Column:
+    tweak = F.concat_ws("\x1f", F.lit(key), kind, attempt.cast("string"))
+    parts = F.transform(_parts(m, kind), lambda p, i: permuted(p, F.concat(tweak, i.cast("string"))))
+    return _let(parts, lambda p: _assembled(m, kind, p, tweak))
 
 
 def entity_type(m: Column) -> Column:
@@ -264,11 +270,6 @@ def normalised(m: Column, kind: Column) -> Column:
         .otherwise(m))
 
 
-def surrogate(m: Column, kind: Column, key: str, attempt: Column) -> Column:
-    tweak = F.concat_ws("\x1f", F.lit(key), kind, attempt.cast("string"))
-    return reduce(lambda out, t: F.when(kind == t, _SURROGATES[t](m, tweak)).otherwise(out), TYPES, m)
-
-
 def _candidates(text: Column) -> Column:
     return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 

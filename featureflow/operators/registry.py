@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from featureflow.functions.schema import check_primary_keys, validate_fields
 from featureflow.operators.ranking import count_preceding
+from featureflow.session import is_missing_path
 
 KEYS = ["org", "app"]
 FIELD = T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.StringType())])
@@ -84,7 +85,9 @@ _STORED = T.StructType(HISTORY_SCHEMA.fields + [T.StructField("write_id", T.Stri
 def read_history(spark: SparkSession, registry_root: str) -> DataFrame:
     try:
         stored = spark.read.schema(_STORED).parquet(_history_path(registry_root))
-    except AnalysisException:
+    except AnalysisException as exc:
+        if not is_missing_path(exc):
+            raise
         return spark.createDataFrame([], HISTORY_SCHEMA)
     return stored.drop("write_id")
 

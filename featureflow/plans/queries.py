@@ -22,11 +22,11 @@ from featureflow.operators.status import parse_status
 from featureflow.operators.store import FeatureStore
 from featureflow.plans.jobs import archive_base, archive_job, feature_store, live_job, replay_job
 from featureflow.plans.tables import EVENTS_SCHEMA, ORDERS_SCHEMA, table_path
-from featureflow.session import scratch_dir
+from featureflow.session import is_missing_path, scratch_dir
 from featureflow.sources.files import folder_location, json_line_streams, table_stream
 from featureflow.sources.topics import FileTransport, publish, read_topic_checked, read_topics
 from featureflow.streaming.runner import run_bounded
-from featureflow.streaming.sinks import BATCH_COLUMNS, write_partitioned
+from featureflow.streaming.sinks import write_batch_folder
 
 RUN = "run0"
 VERSION = 1
@@ -43,9 +43,7 @@ def _run_to_table(spark: SparkSession, df: DataFrame, root: str, mode: str = "ap
     out = f"{root}/out"
 
     def write(batch_df: DataFrame, batch_id: int) -> None:
-        stamped = (batch_df.withColumn("run_id", F.lit(RUN))
-                   .withColumn("batch_id", F.lit(batch_id).cast("long")))
-        write_partitioned(stamped, out, BATCH_COLUMNS)
+        write_batch_folder(batch_df, out, {"run_id": RUN, "batch_id": batch_id})
 
     run_bounded(df, write, OutputSpec(mode), f"{root}/checkpoint", final_no_data_batch)
     return _read_or_empty(spark, out, df.schema)
@@ -55,7 +53,9 @@ def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     """Parquet written by a stream; an input without rows writes nothing."""
     try:
         return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
-    except AnalysisException:
+    except AnalysisException as exc:
+        if not is_missing_path(exc):
+            raise
         return spark.createDataFrame([], schema)
 
 

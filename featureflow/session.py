@@ -43,16 +43,18 @@ def _checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment and points at shared storage;
-    it is read, never replaced.  Only when it is unset (a bare local session,
-    as in tests) a fresh folder is created and registered as the context's
-    checkpoint folder (the setting itself cannot change at runtime).
+    it is read, never replaced.  Only a local session (as in tests) may leave
+    it unset: a fresh folder of this machine is then registered as the
+    context's checkpoint folder (the setting itself cannot change at runtime).
+    On any other master a machine's own folder would hide files from the
+    other machines, so that is an error.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     sc = _context(spark)
     if not root and sc is not None:
         root = sc.getCheckpointDir()
     if not root:
-        if sc is None:
+        if sc is None or not sc.master.split("[")[0] == "local":
             raise ValueError(f"{CHECKPOINT_CONF} must name a shared folder")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="featureflow-"))
         root = sc.getCheckpointDir()
@@ -87,21 +89,40 @@ def read_marker(spark: SparkSession, path: str) -> str | None:
 
 
 def create_marker(spark: SparkSession, path: str, text: str) -> bool:
-    """Create a small file holding ``text``; False if it already exists."""
+    """Create a small file holding ``text``; False if it already exists.
+
+    The text is written under a temporary name and renamed, so a file under
+    ``path`` is always whole, whatever happens to its writer.  Any failure
+    other than losing to another writer is raised."""
     fs, p = _hadoop_path(spark, path)
     if fs.exists(p):
         return False
-    try:
-        out = fs.create(p, False)
-    except Exception:  # lost a race: someone created it first
-        return False
+    jvm = spark.sparkContext._jvm
+    temporary = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(temporary, False)
     try:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
+    hadoop = jvm.org.apache.hadoop.fs
+    context = hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    no_overwrite = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    try:
+        context.rename(fs.makeQualified(temporary), fs.makeQualified(p), no_overwrite)
+    except Exception:
+        fs.delete(temporary, False)
+        if fs.exists(p):  # another writer was first
+            return False
+        raise
     return True
 
 
+def is_missing_path(exc: Exception) -> bool:
+    """True when a read failed because nothing has been written there yet;
+    any other failure is not an empty table."""
+    return "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc)
+
+
 def is_file(spark: SparkSession, path: str) -> bool:
     """True when ``path`` is a single file (not a folder)."""
     fs, p = _hadoop_path(spark, path)

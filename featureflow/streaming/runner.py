@@ -38,6 +38,10 @@ def validate_output(output: OutputSpec) -> str:
     return mode
 
 
+NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+_START_LOCK = threading.RLock()
+
+
 def start_stream(df: DataFrame, write: BatchWriter, output: OutputSpec,
                  checkpoint: str, bounded: bool = False,
                  query_name: str | None = None) -> StreamingQuery:
@@ -53,14 +57,19 @@ def start_stream(df: DataFrame, write: BatchWriter, output: OutputSpec,
     w = w.trigger(availableNow=True) if bounded else w.trigger(processingTime=output.processing_time)
     if query_name:
         w = w.queryName(query_name)
-    try:
-        return w.start()
-    except AnalysisException as exc:
-        raise ValueError(f"stream cannot run in {mode!r} mode: {exc}") from exc
+    # Every start takes the lock, so none picks up a setting that another
+    # thread holds changed while its own query starts.
+    with _START_LOCK:
+        try:
+            return w.start()
+        except AnalysisException as exc:
+            raise ValueError(f"stream cannot run in {mode!r} mode: {exc}") from exc
 
 
-NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
-_START_LOCK = threading.Lock()
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that the watermark dropped as late, over the recent progress of a
+    query: zero means that every row it read was counted."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
 
 
 def run_bounded(df: DataFrame, write: BatchWriter, output: OutputSpec,
@@ -74,8 +83,6 @@ def run_bounded(df: DataFrame, write: BatchWriter, output: OutputSpec,
     keeps its own copy of the session settings).
     """
     spark = df.sparkSession
-    # Starts are serialised so that a query started from another thread
-    # never picks up the temporary setting.
     with _START_LOCK:
         if final_no_data_batch:
             q = start_stream(df, write, output, checkpoint, bounded=True)

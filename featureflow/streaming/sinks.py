@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from typing import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from featureflow.config import OutputSpec
 from featureflow.functions.codec import encode
 from featureflow.sources.files import folder_location
 from featureflow.streaming.runner import BatchWriter, validate_output
 
-BATCH_COLUMNS = ("run_id", "batch_id")
-
 
 def fan_out(*writers: BatchWriter) -> BatchWriter:
     """Cache one micro-batch and hand it to several writers in order.
@@ -32,11 +30,18 @@ def fan_out(*writers: BatchWriter) -> BatchWriter:
     return write
 
 
-def write_partitioned(df: DataFrame, path: str, partition_cols: Sequence[str]) -> None:
-    """Replace exactly the partitions present in ``df`` (dynamic overwrite),
-    so writing the same batch again replaces it instead of adding rows."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*partition_cols).parquet(path))
+_PARTITION_VALUE = re.compile(r"^[A-Za-z0-9][A-Za-z0-9._-]*$")
+
+
+def write_batch_folder(df: DataFrame, path: str, partition: dict[str, str | int]) -> None:
+    """Replace one partition folder ``path/name=value/...`` by the rows of
+    ``df``: writing the same batch again replaces it instead of adding rows,
+    and writing no rows empties it."""
+    bad = [v for v in partition.values() if not _PARTITION_VALUE.match(str(v))]
+    if bad:
+        raise ValueError(f"{bad} cannot name a folder: use letters, digits, '.', '_' and '-'")
+    folder = "/".join([path.rstrip("/"), *(f"{k}={v}" for k, v in partition.items())])
+    df.drop(*partition).write.mode("overwrite").parquet(folder)
 
 
 def archive_writer(base: str, app_name: str, topic: str, run_id: str) -> BatchWriter:
@@ -44,9 +49,7 @@ def archive_writer(base: str, app_name: str, topic: str, run_id: str) -> BatchWr
     path = folder_location(base, app_name, topic)
 
     def write(batch_df: DataFrame, batch_id: int) -> None:
-        stamped = (batch_df.withColumn("run_id", F.lit(run_id))
-                   .withColumn("batch_id", F.lit(batch_id).cast("long")))
-        write_partitioned(stamped, path, BATCH_COLUMNS)
+        write_batch_folder(batch_df, path, {"run_id": run_id, "batch_id": batch_id})
     return write
 
 

@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import os
+from datetime import date, datetime, timezone
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
 from featureflow.config import OutputSpec, TableSpec
-from featureflow.operators.store import FeatureStore
+from featureflow.operators.store import FOLD_POINTS, FeatureStore
 from featureflow.plans.tables import EVENTS_SCHEMA, table_path
 from featureflow.streaming.runner import run_bounded
 
@@ -43,13 +47,92 @@ def test_versions_are_separate(spark, tmp):
     assert rows(store.latest(spark, 2))[0]["v"] == "v2"
 
 
-def test_without_order_batch_id_decides_and_run_is_required(spark, tmp):
+def test_without_order_the_last_write_wins_over_all_runs(spark, tmp):
     store = FeatureStore(tmp, TableSpec(["k"], SCHEMA))
     store.write_batch(_df(spark, [(1, 9, "old")]), 1, "r", 0)
     store.write_batch(_df(spark, [(1, 1, "new")]), 1, "r", 1)
     assert rows(store.latest(spark, 1, run_id="r")) == [{"k": 1, "t": 1, "v": "new"}]
-    with pytest.raises(ValueError, match="run_id"):
-        store.latest(spark, 1)
+    # A replay writes after the live run; its batch ids start from 0 again.
+    store.write_batch(_df(spark, [(1, 0, "replayed"), (2, 0, "two")]), 1, "replay", 0)
+    assert [r["v"] for r in rows(store.latest(spark, 1), "k")] == ["replayed", "two"]
+    store.write_batch(_df(spark, [(1, 2, "live again")]), 1, "r", 2)
+    assert [r["v"] for r in rows(store.latest(spark, 1), "k")] == ["live again", "two"]
+    # Writing a batch again keeps its rank; writing it empty clears it.
+    store.write_batch(_df(spark, [(1, 0, "replayed"), (2, 0, "two")]), 1, "replay", 0)
+    assert [r["v"] for r in rows(store.latest(spark, 1), "k")] == ["live again", "two"]
+    store.write_batch(_df(spark, []), 1, "r", 2)
+    store.write_batch(_df(spark, []), 1, "replay", 0)
+    assert rows(store.latest(spark, 1)) == [{"k": 1, "t": 1, "v": "new"}]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles"])
+@pytest.mark.parametrize("kind,value,as_text", [
+    ("int", 42, "42"), ("long", 2**40, str(2**40)), ("string", "a'b", "a'b"), ("boolean", True, "true"),
+    ("float", 0.1, "0.1"), ("double", 0.1, "0.1"), ("decimal(10,2)", Decimal("1.25"), "1.25"),
+    ("date", date(2024, 3, 10), "2024-03-10"),
+    ("timestamp_ntz", datetime(2024, 3, 10, 2, 30), "2024-03-10 02:30:00"),
+    ("timestamp", datetime(2024, 3, 10, 12, 30, tzinfo=timezone.utc), "2024-03-10T12:30:00Z"),
+    ("bytes", b"xyz", "xyz"),
+])
+def test_lookup_is_the_same_for_lists_frames_and_any_length(spark, tmp, kind, value, as_text, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        store = FeatureStore(tmp, TableSpec(["k"], [{"name": "k", "type": kind}, {"name": "v", "type": "long"}], order_by=["v"]))
+        written = spark.createDataFrame([(as_text, 1), (as_text, 2)], "k string, v long").select(
+            F.col("k").cast(store.schema["k"].dataType).alias("k"), "v")
+        store.write_batch(written, 1, "r", 0)
+        frame = spark.createDataFrame([(as_text,)], "k string")
+        asked = [frame, [(value,)], [value], [(as_text,)], [(value,)] * 3 + [(None,)]]
+        for keys in asked:
+            found = [r["v"] for r in store.lookup(spark, 1, keys).collect()]
+            n = keys.count() if isinstance(keys, type(frame)) else len(keys)
+            assert sorted(found, key=str) == sorted([2] * min(n, 3) + [None] * (n > 3), key=str), keys
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_lookup_with_many_keys_equals_a_short_one(spark, tmp):
+    store = FeatureStore(tmp, TableSpec(["k"], SCHEMA, order_by=["t"]))
+    store.write_batch(_df(spark, [(k, 1, f"v{k}") for k in range(2000)]), 1, "r", 0)
+    many = {r["k"]: r["v"] for r in store.lookup(spark, 1, list(range(-500, 1500))).collect()}
+    assert many == {k: f"v{k}" if k >= 0 else None for k in range(-500, 1500)}
+    plan = store.lookup(spark, 1, [1, 2])._jdf.queryExecution().optimizedPlan().toString()
+    # The request is joined below the aggregation, not after it.
+    assert plan.index("Aggregate") < plan.index("LeftSemi")
+
+
+def test_a_damaged_marker_leaves_the_previous_snapshot(spark, tmp):
+    store = FeatureStore(tmp, TableSpec(["k"], SCHEMA, order_by=["t"]))
+    for b in range(3):
+        store.write_batch(_df(spark, [(b, b, "x")]), 1, "r", b)
+    first = store.compact(spark, 1)
+    broken = f"{store.snapshot_path}/code_version=1/snapshot_id={first + 1}"
+    for text in ("", "{", "[]", '{"r": 1}'):
+        os.makedirs(f"{broken}/rows", exist_ok=True)
+        with open(f"{broken}/{FOLD_POINTS}", "w") as f:
+            f.write(text)
+        assert sorted(r["k"] for r in rows(store.latest(spark, 1))) == [0, 1, 2]
+
+
+def test_compaction_rewrites_only_touched_buckets(spark, tmp):
+    store = FeatureStore(tmp, TableSpec(["k"], SCHEMA, order_by=["t"]))
+    store.write_batch(_df(spark, [(k, 0, "old") for k in range(500)]), 1, "r", 0)
+    store.write_batch(_df(spark, [(1, 1, "new")]), 1, "r", 1)
+    store.write_batch(_df(spark, [(2, 0, "late")]), 1, "r", 2)
+    one = store.compact(spark, 1)
+    store.write_batch(_df(spark, [(3, 5, "newer")]), 1, "r", 3)
+    store.write_batch(_df(spark, [(4, 5, "kept in the log")]), 1, "r", 4)
+    two = store.compact(spark, 1)
+    base = f"{store.snapshot_path}/code_version=1"
+    written = [len([d for d in os.listdir(f"{base}/snapshot_id={i}/rows") if d.startswith("_bucket=")]) for i in (one, two)]
+    assert written[0] > 50 and written[1] <= 2
+    got = {r["k"]: r["v"] for r in rows(store.latest(spark, 1))}
+    assert got == {k: {1: "new", 2: "old", 3: "newer", 4: "kept in the log"}.get(k, "old") for k in range(500)} | {
+        2: "late" if got[2] == "late" else "old"}
+    # The first snapshot still holds buckets of the second one.
+    store.expire(spark, 1)
+    assert {r["k"]: r["v"] for r in rows(store.latest(spark, 1))} == got
 
 
 def test_ties_in_one_batch_are_deterministic(spark, tmp):
@@ -241,9 +324,9 @@ def test_expire_keeps_what_readers_need(spark, tmp):
     assert rows(store.latest(spark, 1)) == want
     store.write_batch(_df(spark, [(9, 9, "v")]), 1, "r", 6)
     assert store.compact(spark, 1) == 3
-    assert store.expire(spark, 1) == 4             # snapshot 1 and batches 2-4
+    assert store.expire(spark, 1) == 3             # batches 2-4; snapshot 1 holds buckets of 2 and 3
     assert sorted(os.listdir(f"{tmp}/table/snapshots/code_version=1")) == [
-        "snapshot_id=2", "snapshot_id=3"]
+        "snapshot_id=1", "snapshot_id=2", "snapshot_id=3"]
     assert rows(store.latest(spark, 1), "k") == sorted(
         want + [{"k": 9, "t": 9, "v": "v"}], key=lambda r: r["k"])
     from featureflow.session import delete_dir

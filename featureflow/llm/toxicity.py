@@ -41,11 +41,12 @@ from . import common
 
 #: Bounds of what the model is fitted on and holds.
 EXAMPLES = 8_192
-TERMS = 2_000
+TERMS = 1_000
 CHI_SQUARE = 15.0
 LEAST_EXAMPLES = 5  # with a term
 #: Index and vote.
 BLOCK = 64
+FIRST_BLOCKS = 4  # scored together; twice as many each time after
 NEIGHBOURS = 25
 PRIOR = 1.0  # examples that the base rate counts as
 #: Beginnings of words that are terms too, in characters.
@@ -113,24 +114,18 @@ class Index:
     base_rate: float
     no_term_rate: float
     steps: tuple[np.ndarray, np.ndarray] | None = None
-    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # examples, weights, block starts
-    maxima: np.ndarray | None = None  # term x block
+    postings: np.ndarray | None = None  # term x block x example of the block: weights
+    maxima: np.ndarray | None = None  # term x block: the largest of them
     toxic: np.ndarray | None = None
     names: list[int] = field(default_factory=list)
 
     def add(self, vectors: list[list[tuple[int, float]]], toxic: list[bool], names: list[int]) -> None:
         self.toxic, self.names = np.array(toxic, bool), names
-        blocks = -(-len(vectors) // BLOCK)
-        by_term: list[tuple[list[int], list[float]]] = [([], []) for _ in self.idf]
-        self.maxima = np.zeros((len(self.idf), blocks))
+        self.postings = np.zeros((len(self.idf), -(-len(vectors) // BLOCK), BLOCK))
         for e, vector in enumerate(vectors):
             for t, w in vector:
-                by_term[t][0].append(e)
-                by_term[t][1].append(w)
-                self.maxima[t, e // BLOCK] = max(self.maxima[t, e // BLOCK], w)
-        for examples, weights in by_term:
-            own = np.array(examples, np.int64)
-            self.postings.append((own, np.array(weights), np.searchsorted(own, np.arange(blocks + 1) * BLOCK)))
+                self.postings[t, e // BLOCK, e % BLOCK] = w
+        self.maxima = self.postings.max(axis=2)
 
     def vector(self, counts: dict[int, int], words: int) -> list[tuple[int, float]]:
         """Unit TF-IDF vector; the last term is every word."""
@@ -142,20 +137,26 @@ class Index:
     def nearest(self, query: list[tuple[int, float]], k: int = NEIGHBOURS, but: int = -1) -> list[tuple[float, int]]:
         """(similarity, example) of the k nearest, nearest first, ties by
         example; only examples that share a term."""
-        bound = sum(w * self.maxima[t] for t, w in query)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-9:
+        terms = [t for t, _ in query]
+        weights = np.array([w for _, w in query])
+        bound = weights @ self.maxima[terms]
+        order = np.argsort(-bound, kind="stable")
+        examples, similar = np.zeros(0, np.int64), np.zeros(0)
+        done, step = 0, FIRST_BLOCKS
+        while done < len(order):
+            if len(similar) == k and bound[order[done]] < similar[-1] - 1e-8:
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in query:
-                examples, weights, starts = self.postings[t]
-                a, z = starts[b], starts[b + 1]
-                scores[examples[a:z] - b * BLOCK] += w * weights[a:z]
+            blocks = order[done:done + step]
+            done, step = done + step, 2 * step
+            scores = np.tensordot(weights, self.postings[np.ix_(terms, blocks)], axes=1)
             # Rounded, so that equal similarities are ties whatever their terms.
-            got = [(-round(float(scores[e]), 9), b * BLOCK + e) for e in np.flatnonzero(scores).tolist()]
-            best = sorted(best + [g for g in got if g[1] != but])[:k]
-        return [(-s, e) for s, e in best]
+            scores = np.round(scores, 9).ravel()
+            own = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            found = (scores > 0) & (own != but)
+            examples, similar = np.concatenate([examples, own[found]]), np.concatenate([similar, scores[found]])
+            best = np.lexsort((examples, -similar))[:k]
+            examples, similar = examples[best], similar[best]
+        return list(zip(similar.tolist(), examples.tolist()))
 
     def vote(self, neighbours: list[tuple[float, int]]) -> float:
         weights = [1 / (1.1 - s) for s, _ in neighbours]

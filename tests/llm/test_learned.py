@@ -107,9 +107,7 @@ def test_toxicity_query(spark):
 def test_nearest_examples_are_exact(spark):
     docs, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
     index = toxicity.learn(docs, labels)
-    dense = np.zeros((len(index.names), len(index.idf)))
-    for t, (examples, weights, _) in enumerate(index.postings):
-        dense[examples, t] = weights
+    dense = index.postings.reshape(len(index.idf), -1).T[:len(index.names)]
     assert len(dense) > toxicity.BLOCK
     for e in range(len(dense)):
         query = [(t, dense[e, t]) for t in np.flatnonzero(dense[e])]

@@ -27,11 +27,11 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,7 +53,6 @@ PRIOR = 1.0  # examples that the base rate counts as
 STEMS = (5, 6, 7, 8)
 #: Weight of the term that every word is, against 1 + log((1 + n) / (1 + df)).
 EVERY_WORD = 0.03
-_REMEMBERED = 200_000  # words whose terms a task remembers
 _WORD_BYTES = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
 
@@ -68,26 +67,25 @@ def terms_of_word(word: str) -> list[str]:
 
 
 class Terms:
-    """Counts of the vocabulary's terms in texts."""
+    """Counts of the vocabulary's terms in texts, by an automaton over them:
+    a word stands between spaces, a beginning after one."""
 
     def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary = vocabulary
-        self.of_word: dict[bytes, tuple[int, ...]] = {}
+        self.automaton = ahocorasick.Automaton()
+        for term, t in vocabulary.items():
+            spelled = f" {term[:-1]}" if term.endswith("-") else f" {term} "
+            self.automaton.add_word(spelled.encode().decode("latin-1"), t)
+        if vocabulary:
+            self.automaton.make_automaton()
 
     def count(self, text: str | None) -> tuple[dict[int, int], int]:
         """(times by term, words)."""
-        words = (text or "").lower().encode().translate(_WORD_BYTES).split()
-        if len(self.of_word) > _REMEMBERED:
-            self.of_word.clear()
-        known, out = self.of_word, {}
-        for word, n in Counter(words).items():
-            terms = known.get(word)
-            if terms is None:
-                found = (self.vocabulary.get(t) for t in terms_of_word(word.decode()))
-                terms = known[word] = tuple(t for t in found if t is not None)
-            for t in terms:
-                out[t] = out.get(t, 0) + n
-        return out, len(words)
+        plain = f" {text or ''} ".lower().encode().translate(_WORD_BYTES)
+        out: dict[int, int] = {}
+        if len(self.automaton):
+            for _, t in self.automaton.iter(plain.decode("latin-1")):
+                out[t] = out.get(t, 0) + 1
+        return out, len(plain.split())
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -12,14 +12,14 @@ class InputSpec:
 
     topic: str
     topic_schema: Any  # list of {"name", "type"} or {"fields": [...]}
-    sample: list[dict] = field(default_factory=list)
+    sample: list[dict] | str = field(default_factory=list)  # or a folder of JSON lines
 
 
 @dataclass(frozen=True)
 class KafkaSpec:
     brokers: str
-    confluent_api_key: str | None = None
-    confluent_secret: str | None = None
+    confluent_api_key: str | None = field(default=None, repr=False)
+    confluent_secret: str | None = field(default=None, repr=False)
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,7 @@ class JobConfig:
     run_id: str = "run0"
     org: str = "default"
     checkpoint_location: str = "checkpoints"
-    assertions: list[dict] = field(default_factory=list)
+    assertions: list[dict] | str = field(default_factory=list)  # or a folder of JSON lines
 
     @classmethod
     def from_request(cls, body: dict[str, Any], bucket: str, **overrides: Any) -> "JobConfig":
@@ -89,7 +89,7 @@ class JobConfig:
             app_name=body["appname"],
             bucket=bucket,
             inputs=inputs,
-            table=TableSpec(table["primary_keys"], table["output_schema"]) if table else None,
+            table=TableSpec(table["primary_keys"], table["output_schema"], table.get("order_by")) if table else None,
             output=OutputSpec(**out) if out else OutputSpec(),
             files=FileSpec(**files) if files else FileSpec(),
             kafka=KafkaSpec(**kafka) if kafka else None,

@@ -8,7 +8,7 @@ microseconds instead.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,9 +36,3 @@ def to_instant(c: Column, dtype: T.DataType) -> Column:
 def to_wall_clock(c: Column) -> Column:
     """Instant (``timestamp``) -> UTC wall clock as ``timestamp_ntz``."""
     return F.timestamp_add("MICROSECOND", F.unix_micros(c), _epoch_ntz())
-
-
-def with_instant(df: DataFrame, ts_col: str, out: str) -> DataFrame:
-    """Add ``out`` as the instant of ``ts_col`` (either timestamp type)."""
-    dtype = df.schema[ts_col].dataType
-    return df.withColumn(out, to_instant(F.col(ts_col), dtype))

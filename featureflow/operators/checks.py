@@ -10,49 +10,90 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featureflow.functions.schema import conform, quote, to_struct
+from featureflow.functions.schema import quote
+from featureflow.sources.files import json_frame
+
+
+def _groupable(value: Column, dtype: T.DataType) -> Column:
+    """A value that can be grouped: maps, at any depth, as entries sorted by
+    key, so equal maps are equal whatever the order of their entries."""
+    if isinstance(dtype, T.MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(
+            _groupable(e["key"], dtype.keyType).alias("key"), _groupable(e["value"], dtype.valueType).alias("value")))
+        return F.array_sort(entries)
+    if isinstance(dtype, T.ArrayType) and _has_map(dtype):
+        return F.transform(value, lambda e: _groupable(e, dtype.elementType))
+    if isinstance(dtype, T.StructType) and _has_map(dtype):
+        fields = [_groupable(value[f.name], f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
+
+
+def _has_map(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.MapType):
+        return True
+    if isinstance(dtype, T.ArrayType):
+        return _has_map(dtype.elementType)
+    return isinstance(dtype, T.StructType) and any(_has_map(f.dataType) for f in dtype.fields)
 
 
 def _comparable(df: DataFrame) -> DataFrame:
-    """Maps cannot be grouped; compare them as JSON text."""
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(quote(f.name))
-        if isinstance(f.dataType, T.MapType):
-            c = F.to_json(c)
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+    return df.select(*[_groupable(F.col(quote(f.name)), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def _aligned(actual: DataFrame, expected: DataFrame) -> DataFrame:
+    """``actual`` in ``expected``'s column order and types, with ``_exact``:
+    false for rows of which a value does not survive the change of type."""
+    if set(actual.columns) != set(expected.columns) or len(actual.columns) != len(expected.columns):
+        raise ValueError(f"output columns {actual.columns} are not the expected {expected.columns}")
+    exact, cols = F.lit(True), []
+    for f in expected.schema.fields:
+        value, have = F.col(quote(f.name)), actual.schema[f.name].dataType
+        if have != f.dataType:
+            there = value.try_cast(f.dataType)
+            if isinstance(have, T.AtomicType) and isinstance(f.dataType, T.AtomicType):
+                exact = exact & there.try_cast(have).eqNullSafe(value)
+            value = there
+        cols.append(value.alias(f.name))
+    return actual.select(*cols, exact.alias(EXACT))
+
+
+EXACT = "_exact"
 
 
 def compare_rows(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """Rows of ``expected`` missing from ``actual`` (``side = 'missing'``) and
     rows of ``actual`` not expected (``side = 'extra'``), with ``n_rows``.
-    ``actual`` is aligned to ``expected``'s columns and types first."""
+
+    Both must have the same columns.  ``actual`` is cast to ``expected``'s
+    types; a row with a value that the cast changes (1.9 to a whole number)
+    equals no expected row.  Maps are reported as sorted entries."""
     cols = expected.columns
-    exp = _comparable(expected)
-    act = _comparable(conform(actual, expected.schema))
+    exp = _comparable(expected).withColumn(EXACT, F.lit(True))
+    aligned = _aligned(actual, expected)
+    act = _comparable(aligned)
     tagged = exp.withColumn("_d", F.lit(1).cast("long")).unionByName(
         act.withColumn("_d", F.lit(-1).cast("long")))
-    net = tagged.groupBy(*[F.col(quote(c)) for c in cols]).agg(F.sum("_d").alias("_net"))
+    net = tagged.groupBy(*[F.col(quote(c)) for c in cols], EXACT).agg(F.sum("_d").alias("_net"))
     return net.filter(F.col("_net") != 0).select(
         *[F.col(quote(c)) for c in cols],
         F.when(F.col("_net") > 0, F.lit("missing")).otherwise(F.lit("extra")).alias("side"),
         F.abs(F.col("_net")).alias("n_rows"))
 
 
-def expected_frame(spark: SparkSession, rows: list[dict], schema: Any) -> DataFrame:
-    """Expected rows given as dicts of scalars, typed by the output schema."""
-    struct = to_struct(schema)
-    data = [tuple(r.get(f.name) for f in struct.fields) for r in rows]
-    return spark.createDataFrame(data, struct)
+def expected_frame(spark: SparkSession, rows: list[dict] | str, schema: Any) -> DataFrame:
+    """Expected rows, as JSON objects or a folder of JSON lines, typed by the
+    output schema.  A value that is not of its field's type fails."""
+    return json_frame(spark, rows, schema)
 
 
 def assert_rows(actual: DataFrame, expected: DataFrame, show: int = 20) -> None:
-    """Raise ``AssertionError`` listing up to ``show`` differing rows."""
+    """Raise ``AssertionError`` listing differing rows (``show`` of them in the
+    message; the comparison covers all)."""
     report = compare_rows(actual, expected)
     sample = report.limit(show).collect()
     if sample:

@@ -44,17 +44,21 @@ def _micros_interval(us: int) -> Column:
 
 
 def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, width: str | Sequence[str],
-                   id_col: str, out: str | Sequence[str] = "n_events") -> DataFrame:
+                   id_col: str | None = None, out: str | Sequence[str] = "n_events") -> DataFrame:
     """Every row of ``df`` plus ``out``: rows of the same key with time in
     ``[ts - width, ts]`` (the row itself and ties included), as a SQL range
-    window would give.  ``id_col`` must identify rows uniquely.  Several
-    widths (with as many output names) are computed in the same pass.
+    window would give.  Several widths (with as many output names) are
+    computed in the same pass.  Rows are told apart by a number of their own,
+    so repeated rows, repeated ids and null ids are counted like any other
+    (``id_col`` is not needed and kept for callers that name it).
 
     For each row one probe is placed at ``ts`` (after ties) and one at
     ``ts - width`` (before ties) per width; each count is the difference of
     the running counts at two probes.  Running counts come from
     ``count_preceding``, which splits hot keys across partitions, so one sort
-    serves every width.  Rows with a null time get null counts.
+    serves every width.  The row itself rides on its probe after ties, so the
+    input is read once and nothing is joined back.  Rows with a null time get
+    null counts.
     """
     widths = [width] if isinstance(width, str) else list(width)
     outs = [out] if isinstance(out, str) else list(out)
@@ -63,27 +67,32 @@ def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, width: str | Seq
     w_us = [interval_micros(w) for w in widths]
     if any(w < 0 for w in w_us):
         raise ValueError("width must not be negative")
+    names = [f"_key{i}" for i in range(len(keys))]
     t = F.col(quote(ts))
+    last = F.struct(t.alias("_t"), F.lit(2).alias("_kind"), F.lit(-1).alias("_idx"))
     probes = F.array(
         *[F.struct((t - _micros_interval(us)).alias("_t"), F.lit(0).alias("_kind"),
                    F.lit(i).alias("_idx")) for i, us in enumerate(w_us)],
         F.struct(t.alias("_t"), F.lit(1).alias("_kind"), F.lit(-1).alias("_idx")),
-        F.struct(t.alias("_t"), F.lit(2).alias("_kind"), F.lit(-1).alias("_idx")),
+        last,
     )
-    rows = (df.filter(t.isNotNull())
-            .select(*[F.col(quote(k)) for k in keys], F.col(quote(id_col)),
-                    F.explode(probes).alias("_p"))
-            .select(*[F.col(quote(k)) for k in keys], F.col(quote(id_col)),
-                    "_p._t", "_p._kind", "_p._idx")
+    # Numbered before the probes are made: all probes of a row share its number.
+    rows = (df.withColumn("_row", F.monotonically_increasing_id())
+            .select(*[F.col(quote(k)).alias(n) for k, n in zip(keys, names)], "_row",
+                    F.struct(*[F.col(quote(c)) for c in df.columns]).alias("_all"),
+                    F.explode(F.when(t.isNotNull(), probes).otherwise(F.array(last))).alias("_p"))
+            .select(*names, "_row", "_p._t", "_p._kind", "_p._idx",
+                    F.when(F.col("_p._kind") == 2, F.col("_all")).alias("_all"))
             .withColumn("_w", (F.col("_kind") == 1).cast("long"))
             .withColumn("_emit", F.col("_kind") != 1))
-    counted = count_preceding(rows, keys, ["_t", "_kind"], "_w", [id_col, "_kind", "_idx"],
-                              out="_n", emit="_emit")
+    counted = count_preceding(rows, names, ["_t", "_kind"], "_w", ["_row", "_kind", "_idx"],
+                              out="_n", emit="_emit", carry=["_all"])
     upper = F.max(F.when(F.col("_kind") == 2, F.col("_n")))
-    per_row = counted.groupBy(quote(id_col)).agg(*[
+    per_row = counted.groupBy("_row").agg(F.first("_all", ignorenulls=True).alias("_all"), *[
         (upper - F.max(F.when((F.col("_kind") == 0) & (F.col("_idx") == i), F.col("_n"))))
-        .alias(o) for i, o in enumerate(outs)])
-    return df.join(per_row, [id_col], "left")
+        .alias(f"_out{i}") for i in range(len(outs))])
+    return per_row.select(*[F.col("_all")[c].alias(c) for c in df.columns],
+                          *[F.col(f"_out{i}").alias(o) for i, o in enumerate(outs)])
 
 
 def windowed_count(stream: DataFrame, keys: Sequence[str], ts: str, window: str,

@@ -153,7 +153,8 @@ def count_preceding(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             cols = {PID: pa.array(np.full(n, pid, dtype=np.int32)),
                     "_tag": pa.array(np.zeros(n, dtype=np.int32))}
             for c in [*keys, *ids_only]:
-                cols[c] = batch.column(c)
+                column, want = batch.column(c), arrow_schema.field(c).type
+                cols[c] = column if column.type == want else column.cast(want)
             cols[out] = pa.array(before, type=pa.int64())
             for i, f in enumerate(key_fields):
                 cols[f"_l_{i}"] = pa.nulls(n, type=arrow_schema.field(f"_l_{i}").type)

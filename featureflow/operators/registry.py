@@ -11,6 +11,7 @@ in one task.  The history is append-only Parquet; one writer at a time.
 from __future__ import annotations
 
 import datetime as _dt
+import json
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -23,6 +24,9 @@ from featureflow.operators.ranking import count_preceding
 from featureflow.session import is_missing_path
 
 KEYS = ["org", "app"]
+# The history is kept in folders by app, so that one app's rows are found.
+APP_BUCKET = "app_bucket"
+APP_BUCKETS = 64
 FIELD = T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.StringType())])
 REQUEST_SCHEMA = T.StructType([
     T.StructField("org", T.StringType()),
@@ -50,7 +54,9 @@ def schema_text(fields: Column) -> Column:
     ``to_json`` writes the compact form; the three literal replacements add
     the spaces.  They can only match between values, because inside a JSON
     string every quote is escaped.  Names are compared as written by
-    ``to_json`` (non-ASCII characters are not turned into ``\\u`` escapes).
+    ``to_json`` (non-ASCII characters are not turned into ``\\u`` escapes;
+    ``register_schema``, which has the schema as a Python value, writes
+    ``json.dumps`` of it).
     """
     compact = F.to_json(fields)
     spaced = F.replace(compact, F.lit('"},{"name":'), F.lit('"}, {"name":'))
@@ -79,7 +85,20 @@ def _history_path(registry_root: str) -> str:
     return f"{registry_root.rstrip('/')}/history"
 
 
-_STORED = T.StructType(HISTORY_SCHEMA.fields + [T.StructField("write_id", T.StringType())])
+_STORED = T.StructType(HISTORY_SCHEMA.fields + [
+    T.StructField(APP_BUCKET, T.IntegerType()), T.StructField("write_id", T.StringType())])
+
+
+def _app_bucket() -> Column:
+    return F.pmod(F.xxhash64(*KEYS), F.lit(APP_BUCKETS)).cast("int")
+
+
+def _append(rows: DataFrame, registry_root: str) -> str:
+    """Append history rows, in folders by app bucket and write; the write's id."""
+    write_id = uuid.uuid4().hex
+    (rows.withColumn(APP_BUCKET, _app_bucket()).withColumn("write_id", F.lit(write_id))
+     .write.mode("append").partitionBy(APP_BUCKET, "write_id").parquet(_history_path(registry_root)))
+    return write_id
 
 
 def read_history(spark: SparkSession, registry_root: str) -> DataFrame:
@@ -89,7 +108,21 @@ def read_history(spark: SparkSession, registry_root: str) -> DataFrame:
         if not is_missing_path(exc):
             raise
         return spark.createDataFrame([], HISTORY_SCHEMA)
-    return stored.drop("write_id")
+    return stored.drop("write_id", APP_BUCKET)
+
+
+def history_of(spark: SparkSession, registry_root: str, org: str, app: str) -> DataFrame:
+    """The history of one app; only the folders of its bucket are read."""
+    one = spark.range(1).select(F.lit(org).alias("org"), F.lit(app).alias("app"))
+    bucket = one.select(_app_bucket()).first()[0]
+    try:
+        stored = spark.read.schema(_STORED).parquet(_history_path(registry_root))
+    except AnalysisException as exc:
+        if not is_missing_path(exc):
+            raise
+        return spark.createDataFrame([], HISTORY_SCHEMA)
+    mine = (F.col(APP_BUCKET) == bucket) & (F.col("org") == org) & (F.col("app") == app)
+    return stored.filter(mine).drop("write_id", APP_BUCKET)
 
 
 def current_versions(history: DataFrame) -> DataFrame:
@@ -107,7 +140,7 @@ def current_records(history: DataFrame) -> DataFrame:
 
 def current_for(history: DataFrame, apps: DataFrame) -> DataFrame:
     """Current version for each requested ``(org, app)``, 0 when unknown."""
-    cur = current_versions(history)
+    cur = current_versions(history.join(apps.select(*KEYS).distinct(), KEYS, "left_semi"))
     return apps.select(*KEYS).join(cur, KEYS, "left").select(
         *KEYS, F.coalesce(F.col("code_version"), F.lit(0)).cast("int").alias("code_version"))
 
@@ -122,7 +155,9 @@ def assign_versions(requests: DataFrame, history: DataFrame) -> DataFrame:
                      F.lit(1).cast("long").alias("_one")))
     ranks = count_preceding(valid, KEYS, ["requested_at", "request_id"], "_one", ["request_id"],
                             out="_rank", carry=["requested_at", "primary_keys", "avro_schema"])
-    cur = current_versions(history).withColumnRenamed("code_version", "_prev")
+    # Only the histories of the apps that ask are grouped.
+    asked = valid.select(*KEYS).distinct()
+    cur = current_versions(history.join(asked, KEYS, "left_semi")).withColumnRenamed("code_version", "_prev")
     ranked = ranks.join(cur, KEYS, "left")
     return ranked.select(
         "org", "app",
@@ -139,12 +174,9 @@ def register(spark: SparkSession, registry_root: str, requests: DataFrame) -> Da
     """Assign versions, append them to the history and return the written
     rows (read back, so later reads see exactly what was stored)."""
     assigned = assign_versions(requests, read_history(spark, registry_root))
-    write_id = uuid.uuid4().hex
-    path = _history_path(registry_root)
-    (assigned.withColumn("write_id", F.lit(write_id))
-     .write.mode("append").partitionBy("write_id").parquet(path))
-    return (spark.read.schema(_STORED).parquet(path)
-            .filter(F.col("write_id") == write_id).drop("write_id"))
+    write_id = _append(assigned, registry_root)
+    return (spark.read.schema(_STORED).parquet(_history_path(registry_root))
+            .filter(F.col("write_id") == write_id).drop("write_id", APP_BUCKET))
 
 
 def register_schema(spark: SparkSession, registry_root: str, org: str, app: str,
@@ -157,16 +189,10 @@ def register_schema(spark: SparkSession, registry_root: str, org: str, app: str,
     fields = validate_fields(schema)
     check_primary_keys(primary_keys, fields)
     now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    req = spark.createDataFrame(
-        [(org, app, 0, now, list(primary_keys), [(f["name"], f["type"]) for f in fields])],
-        REQUEST_SCHEMA)
     # One request: its version is simply the current one plus one.
-    history = read_history(spark, registry_root)
-    prev = (history.filter((F.col("org") == org) & (F.col("app") == app))
-            .agg(F.max("code_version")).first()[0]) or 0
-    row = req.select("org", "app", F.lit(prev + 1).cast("int").alias("code_version"),
-                     "request_id", "requested_at", "primary_keys",
-                     schema_text(F.col("fields")).alias("avro_schema"))
-    (row.withColumn("write_id", F.lit(uuid.uuid4().hex))
-     .write.mode("append").partitionBy("write_id").parquet(_history_path(registry_root)))
-    return prev + 1
+    history = history_of(spark, registry_root, org, app)
+    version = (history.agg(F.max("code_version")).first()[0] or 0) + 1
+    row = spark.createDataFrame(
+        [(org, app, version, 0, now, list(primary_keys), json.dumps(fields))], HISTORY_SCHEMA)
+    _append(row, registry_root)
+    return version

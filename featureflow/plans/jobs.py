@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,18 +25,18 @@ from featureflow.functions.codec import BAD, CORRUPT, JSON_OPTIONS, REASON, outp
 from featureflow.functions.schema import conform
 from featureflow.operators.checks import assert_rows, compare_rows, expected_frame
 from featureflow.operators.store import FeatureStore
+from featureflow.session import ensure_dir, scratch_dir
 from featureflow.sources.files import (
     archive_streams,
     folder_location,
+    json_frame,
     json_line_streams,
-    read_json_lines,
     sample_frame,
 )
 from featureflow.sources.topics import read_topic_checked, read_topics
-from featureflow.streaming.runner import checkpoint_path, claim_run, start_stream
+from featureflow.streaming.runner import checkpoint_path, claim_run, run_bounded, start_stream
 from featureflow.streaming.sinks import (
     archive_writer,
-    collect_to_memory,
     fan_out,
     run_console,
     topic_writer,
@@ -74,7 +75,7 @@ def live_job(spark: SparkSession, cfg: JobConfig, process: Process, transport,
     """
     df = read_topics(spark, cfg.inputs, transport, process, drop_bad=drop_bad)
     store = feature_store(cfg)
-    conform(df, store.schema)  # fail at start, not at the first batch
+    df = conform(df, store.schema)  # fail at start; both sinks get the declared columns
     topic = output_topic(cfg.app_name, cfg.code_version)
     write = fan_out(topic_writer(transport, topic, store.keys),
                     store.writer(cfg.code_version, cfg.run_id))
@@ -86,8 +87,11 @@ def live_job(spark: SparkSession, cfg: JobConfig, process: Process, transport,
 
 def archive_job(spark: SparkSession, cfg: JobConfig, inp: InputSpec, transport,
                 bounded: bool = False) -> StreamingQuery:
-    """One raw topic, decoded with its schema, appended to its Parquet archive."""
-    df = read_topics(spark, [inp], transport, identity)
+    """One raw topic, decoded with its schema, appended to its Parquet archive
+    with each record's key and time.  Nothing is lost: a record that does not
+    decode keeps its raw text and the reason beside its null fields."""
+    checked = read_topic_checked(spark, inp, transport)
+    df = checked.drop(BAD).withColumnsRenamed({"key": "_key", "timestamp": "_timestamp"})
     cp = checkpoint_path(cfg.bucket, cfg.checkpoint_location, cfg.app_name,
                          cfg.code_version, f"archive-{inp.topic}")
     claim_run(spark, _runs_root(cfg, f"archive-{inp.topic}"), cfg.run_id, cp)
@@ -125,7 +129,7 @@ def replay_job(spark: SparkSession, cfg: JobConfig, process: Process,
                           cfg.files.max_file_age, max_files_per_trigger)
     df = process(dfs)
     store = feature_store(cfg)
-    conform(df, store.schema)  # fail at start, not at the first batch
+    df = conform(df, store.schema)  # fail at start; both sinks get the declared columns
     writers = [store.writer(cfg.code_version, cfg.run_id)]
     if publish:
         if transport is None:
@@ -145,27 +149,45 @@ def dev_job(spark: SparkSession, cfg: JobConfig, process: Process, base_folder:
     return run_console(process(dfs), checkpoint, cfg.output)
 
 
-def build_fixture(spark: SparkSession, cfg: JobConfig, process: Process,
-                  base_folder: str) -> dict:
-    """Run ``process`` over the JSON-lines folders and return
-    ``{"assertions": output rows, "inputs": inputs with their rows as samples}``.
+def write_fixture(spark: SparkSession, cfg: JobConfig, process: Process,
+                  base_folder: str, out: str) -> JobConfig:
+    """Run ``process`` over the JSON-lines folders and write its output rows to
+    ``out/assertions`` as JSON lines.  Returns the job with these assertions
+    and with its inputs' own folders as samples, for ``check_on_samples``."""
+    dfs = json_line_streams(spark, base_folder, cfg.app_name, cfg.inputs, cfg.files.max_file_age)
+    result = process(dfs)
+    mode = cfg.output.mode.lower()
 
-    A development tool for small sample files: the result is collected.
-    """
+    def write(batch_df: DataFrame, batch_id: int) -> None:
+        # In complete mode a batch holds the whole result and replaces it.
+        at = 0 if mode == "complete" else batch_id
+        batch_df.write.mode("overwrite").options(**JSON_OPTIONS).json(f"{out}/assertions/batch_id={at}")
+
+    run_bounded(result, write, cfg.output, f"{out}/checkpoint")
+    inputs = [InputSpec(i.topic, i.topic_schema, folder_location(base_folder, cfg.app_name, i.topic))
+              for i in cfg.inputs]
+    return replace(cfg, inputs=inputs, assertions=ensure_dir(spark, f"{out}/assertions"))
+
+
+def build_fixture(spark: SparkSession, cfg: JobConfig, process: Process,
+                  base_folder: str, max_rows: int = 10_000) -> dict:
+    """``{"assertions": output rows, "inputs": inputs with their rows as
+    samples}`` as Python values, for a request body.  A tool for small sample
+    files: more than ``max_rows`` rows are refused (use ``write_fixture``)."""
+    made = write_fixture(spark, cfg, process, base_folder, scratch_dir(spark, "fixture"))
     dfs = json_line_streams(spark, base_folder, cfg.app_name, cfg.inputs, cfg.files.max_file_age)
-    result = collect_to_memory(process(dfs), cfg.output.mode)
-    assertions = _json_rows(result)
-    inputs = []
-    for inp in cfg.inputs:
-        rows = read_json_lines(spark, folder_location(base_folder, cfg.app_name, inp.topic),
-                               inp.topic_schema)
-        inputs.append(InputSpec(inp.topic, inp.topic_schema, _json_rows(rows)))
-    return {"assertions": assertions, "inputs": inputs}
-
-
-def _json_rows(df: DataFrame) -> list[dict]:
-    text = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), JSON_OPTIONS))
-    return [json.loads(r[0]) for r in text.collect()]
+    schema = process(dfs).schema
+
+    def read(path: str, schema) -> list[dict]:
+        df = json_frame(spark, path, schema)
+        text = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), JSON_OPTIONS))
+        found = [json.loads(r[0]) for r in text.limit(max_rows + 1).collect()]
+        if len(found) > max_rows:
+            raise ValueError(f"more than {max_rows} rows in {path}: use write_fixture")
+        return found
+
+    inputs = [InputSpec(i.topic, i.topic_schema, read(i.sample, i.topic_schema)) for i in made.inputs]
+    return {"assertions": read(made.assertions, schema), "inputs": inputs}
 
 
 def sample_output(spark: SparkSession, cfg: JobConfig, process: Process) -> DataFrame:

@@ -17,20 +17,30 @@ LATEST_ORDER = """
                                    ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
       FROM orders) WHERE rn = 1"""
 
-ORACLES: dict[str, str] = {
-    "topic_decode": f"SELECT {EVENT_COLS} FROM events",
-    "topic_decode_bad_rows": """
-        SELECT '{"event_id":' || event_id || '}' AS key,
+# Decoded fields of the damaged records: none, or all but the user.
+DAMAGED_FIELDS = """
                CASE WHEN event_id % 10 IN (0, 1, 2) THEN NULL ELSE event_id END AS event_id,
                CASE WHEN event_id % 10 IN (0, 1, 2) THEN NULL ELSE ts END AS ts,
                CASE WHEN event_id % 10 IN (0, 1, 2, 3) THEN NULL ELSE user_id END AS user_id,
                CASE WHEN event_id % 10 IN (0, 1, 2) THEN NULL ELSE event_type END AS event_type,
                CASE WHEN event_id % 10 IN (0, 1, 2) THEN NULL ELSE value END AS value,
                CASE WHEN event_id % 10 IN (0, 1, 2) THEN NULL ELSE props END AS props,
-               event_id % 10 IN (0, 1, 2) AS _is_bad,
                CASE WHEN event_id % 10 = 2 THEN 'null value'
-                    WHEN event_id % 10 IN (0, 1) THEN 'malformed' END AS _bad_reason
+                    WHEN event_id % 10 IN (0, 1) THEN 'malformed' END AS _bad_reason,
+               CASE event_id % 10
+                    WHEN 0 THEN '{"event_id":' || event_id || ',"ts":"2024-'
+                    WHEN 1 THEN '{"event_id":' || event_id || ',"value":"not a number"}' END
+                 AS _corrupt_record"""
+
+ORACLES: dict[str, str] = {
+    "topic_decode": f"SELECT {EVENT_COLS} FROM events",
+    "topic_decode_bad_rows": f"""
+        SELECT '{{"event_id":' || event_id || '}}' AS key, {DAMAGED_FIELDS},
+               event_id % 10 IN (0, 1, 2) AS _is_bad
         FROM events""",
+    "archive_bad_rows": f"""
+        SELECT '{{"event_id":' || event_id || '}}' AS key, {DAMAGED_FIELDS} FROM events""",
+    "json_files_failfast": f"SELECT {EVENT_COLS} FROM events",
     "json_files_stream": f"SELECT {EVENT_COLS} FROM events",
     "stream_identity": f"SELECT {EVENT_COLS} FROM events",
     "archive_replay": """
@@ -38,10 +48,10 @@ ORACLES: dict[str, str] = {
                CAST(SUM(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total_value,
                count(*) AS n_events
         FROM events GROUP BY event_type""",
-    "dual_fanout": """
-        SELECT 'topic' AS sink, count(*) AS n_rows FROM events
-        UNION ALL SELECT 'changelog', count(*) FROM events
-        UNION ALL SELECT 'latest', count(DISTINCT user_id) FROM events""",
+    "dual_fanout": f"""
+        SELECT 'topic' AS sink, {EVENT_COLS} FROM events
+        UNION ALL SELECT 'changelog', {EVENT_COLS} FROM events
+        UNION ALL SELECT 'latest', {EVENT_COLS} FROM ({LATEST_EVENT})""",
     "topic_encode": f"""
         SELECT 'events_latest_v1' AS topic, '{{"user_id":' || user_id || '}}' AS key, {EVENT_COLS}
         FROM ({LATEST_EVENT})""",
@@ -64,6 +74,16 @@ ORACLES: dict[str, str] = {
         SELECT l.o_orderkey, k.k AS o_custkey, l.o_orderstatus, l.o_totalprice,
                l.o_orderdate, l.o_orderpriority
         FROM k LEFT JOIN ({LATEST_ORDER}) l ON l.o_custkey = k.k""",
+    "feature_lookup_list": f"""
+        WITH k AS (SELECT c_custkey AS k FROM customer
+                   WHERE c_mktsegment = 'MACHINERY' AND c_nationkey = 3 UNION ALL SELECT -1)
+        SELECT l.o_orderkey, k.k AS o_custkey, l.o_orderstatus, l.o_totalprice,
+               l.o_orderdate, l.o_orderpriority
+        FROM k LEFT JOIN ({LATEST_ORDER}) l ON l.o_custkey = k.k""",
+    "feature_last_write": """
+        SELECT event_id, ts, user_id, event_type,
+               CASE WHEN event_type = 'purchase' THEN -value ELSE value END AS value, props
+        FROM events""",
     "rolling_count": """
         SELECT event_id, user_id, ts,
                count(*) OVER (PARTITION BY user_id ORDER BY ts
@@ -123,11 +143,11 @@ ORACLES: dict[str, str] = {
                            ELSE c_name END AS c_name,
                       c_nationkey, c_acctbal, c_mktsegment FROM kept
                UNION ALL SELECT * FROM kept WHERE c_mktsegment = 'MACHINERY'),
-             tagged AS (SELECT *, 1 AS d FROM customer
-                        UNION ALL SELECT *, -1 AS d FROM actual)
+             tagged AS (SELECT *, 1 AS d, TRUE AS exact FROM customer
+                        UNION ALL SELECT *, -1 AS d, c_mktsegment <> 'FURNITURE' FROM actual)
         SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment,
                CASE WHEN sum(d) > 0 THEN 'missing' ELSE 'extra' END AS side,
                CAST(abs(sum(d)) AS BIGINT) AS n_rows
-        FROM tagged GROUP BY c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment
+        FROM tagged GROUP BY c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, exact
         HAVING sum(d) <> 0""",
 }

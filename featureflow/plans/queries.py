@@ -10,9 +10,10 @@ from dataclasses import replace
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from featureflow.config import InputSpec, JobConfig, OutputSpec, TableSpec
-from featureflow.functions.codec import JSON_OPTIONS, decode, encode, key_json, output_topic
+from featureflow.functions.codec import CORRUPT, JSON_OPTIONS, REASON, decode, encode, key_json, output_topic
 from featureflow.functions.schema import to_struct
 from featureflow.functions.time import epoch_micros
 from featureflow.operators.checks import compare_rows
@@ -23,7 +24,7 @@ from featureflow.operators.store import FeatureStore
 from featureflow.plans.jobs import archive_base, archive_job, feature_store, live_job, replay_job
 from featureflow.plans.tables import EVENTS_SCHEMA, ORDERS_SCHEMA, table_path
 from featureflow.session import is_missing_path, scratch_dir
-from featureflow.sources.files import folder_location, json_line_streams, table_stream
+from featureflow.sources.files import folder_location, json_line_streams, read_json_lines, table_stream
 from featureflow.sources.topics import FileTransport, publish, read_topic_checked, read_topics
 from featureflow.streaming.runner import run_bounded
 from featureflow.streaming.sinks import write_batch_folder
@@ -84,32 +85,52 @@ def topic_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(transport.read_batch(spark, "events"), EVENTS_SCHEMA)
 
 
-def topic_decode_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as a topic record, every tenth one damaged in one of four
-    ways (cut short, wrong type, null value, missing field), streamed and
-    decoded with bad records flagged instead of dropped."""
-    root = scratch_dir(spark, "topic_decode_bad_rows")
-    ev = _read(spark, sf_dir, "events")
-    cols = [F.col(c) for c in ev.columns]
-    full = F.to_json(F.struct(*cols), JSON_OPTIONS)
-    wrong_type = F.to_json(F.struct(*[F.lit("not a number").alias("value") if c == "value"
-                                      else F.col(c) for c in ev.columns]), JSON_OPTIONS)
+def _damaged(ev: DataFrame) -> DataFrame:
+    """Events as topic records, four in ten damaged, each in another way: cut
+    short, wrong type, null value, missing field."""
+    full = F.to_json(F.struct(*[F.col(c) for c in ev.columns]), JSON_OPTIONS)
     no_user = F.to_json(F.struct(*[F.col(c) for c in ev.columns if c != "user_id"]), JSON_OPTIONS)
+    start = F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"))
     fault = F.col("event_id") % 10
-    value = (F.when(fault == 0, F.expr("substring(_full, 1, cast(length(_full) / 2 as int))"))
-             .when(fault == 1, wrong_type)
+    value = (F.when(fault == 0, F.concat(start, F.lit(',"ts":"2024-')))
+             .when(fault == 1, F.concat(start, F.lit(',"value":"not a number"}')))
              .when(fault == 2, F.lit(None).cast("string"))
              .when(fault == 3, no_user)
-             .otherwise(F.col("_full")))
-    records = (ev.withColumn("_full", full)
-               .select(F.lit("events").alias("topic"), key_json(["event_id"]).alias("key"),
-                       value.alias("value")))
+             .otherwise(full))
+    return ev.select(F.lit("events").alias("topic"), key_json(["event_id"]).alias("key"), value.alias("value"))
+
+
+def topic_decode_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a topic record, four in ten damaged, streamed and
+    decoded with bad records flagged, and their raw text kept."""
+    root = scratch_dir(spark, "topic_decode_bad_rows")
     transport = FileTransport(f"{root}/topics")
-    transport.write_batch(records)
-    checked = read_topic_checked(spark, EVENTS, transport).drop("timestamp", "_corrupt_record")
+    transport.write_batch(_damaged(_read(spark, sf_dir, "events")))
+    checked = read_topic_checked(spark, EVENTS, transport).drop("timestamp")
     return _run_to_table(spark, checked, root)
 
 
+def archive_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged and whole events through the archive job: every record is in
+    the archive, the damaged ones with their raw text and the reason."""
+    root = scratch_dir(spark, "archive_bad_rows")
+    transport = FileTransport(f"{root}/topics")
+    transport.write_batch(_damaged(_read(spark, sf_dir, "events")))
+    cfg = JobConfig(app_name="events_app", bucket=root, inputs=[EVENTS], run_id=RUN)
+    archive_job(spark, cfg, EVENTS, transport, bounded=True).awaitTermination()
+    kept = T.StructType([T.StructField("_key", T.StringType()), *to_struct(EVENTS_SCHEMA).fields,
+                         T.StructField(REASON, T.StringType()), T.StructField(CORRUPT, T.StringType())])
+    rows = _read_or_empty(spark, folder_location(archive_base(cfg), cfg.app_name, "events"), kept)
+    return rows.withColumnRenamed("_key", "key")
+
+
+def json_files_failfast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as JSON lines, read as a batch; a bad line would fail."""
+    path = f"{scratch_dir(spark, 'json_files_failfast')}/events"
+    _read(spark, sf_dir, "events").write.options(**JSON_OPTIONS).json(path)
+    return read_json_lines(spark, path, EVENTS_SCHEMA)
+
+
 def json_files_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as JSON lines into a topic folder, streamed back."""
     root = scratch_dir(spark, "json_files_stream")
@@ -165,20 +186,20 @@ def archive_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dual_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live job: events topic -> identity -> versioned topic + feature table;
-    row counts of each sink."""
+    the rows of each sink."""
     root = scratch_dir(spark, "dual_fanout")
     transport = _events_topic(spark, sf_dir, root)
     cfg = JobConfig(app_name="fanout", bucket=root, inputs=[EVENTS], table=LATEST_EVENT, run_id=RUN)
     live_job(spark, cfg, lambda dfs: dfs[0], transport, bounded=True).awaitTermination()
     store = feature_store(cfg)
 
-    def counted(df: DataFrame, sink: str) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(sink).alias("sink"), "n_rows")
+    def of(df: DataFrame, sink: str) -> DataFrame:
+        return df.select(F.lit(sink).alias("sink"), *[f["name"] for f in EVENTS_SCHEMA])
 
     topic = transport.read_batch(spark, output_topic(cfg.app_name, cfg.code_version))
-    return (counted(topic, "topic")
-            .unionByName(counted(store.changelog(spark, VERSION), "changelog"))
-            .unionByName(counted(store.latest(spark, VERSION), "latest")))
+    return (of(decode(topic, EVENTS_SCHEMA), "topic")
+            .unionByName(of(store.changelog(spark, VERSION), "changelog"))
+            .unionByName(of(store.latest(spark, VERSION), "latest")))
 
 
 def topic_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +234,8 @@ def feature_latest_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     [median] = ev.select(us.alias("_us")).approxQuantile("_us", [0.5], 0.001)
     src = f"{root}/src"
     store = FeatureStore(f"{root}/store", LATEST_EVENT)
-    for half in (us < F.lit(median), us >= F.lit(median)):
+    early = F.coalesce(us < F.lit(median), F.lit(True))  # and rows without a time
+    for half in (early, ~early):
         ev.filter(half).repartitionByRange(2, "ts").write.mode("append").parquet(src)
         stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", "1").parquet(src)
         run_bounded(stream, store.writer(VERSION, RUN), OutputSpec("append"), f"{root}/checkpoint")
@@ -252,6 +274,34 @@ def feature_lookup_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.lookup(spark, VERSION, keys)
 
 
+def feature_lookup_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest order for a list of keys, given as text: the customers of one
+    nation and market segment, and one unknown key."""
+    store = _store_from_table(spark, sf_dir, "orders", LATEST_ORDER, "feature_lookup_list")
+    asked = (_read(spark, sf_dir, "customer")
+             .filter((F.col("c_mktsegment") == "MACHINERY") & (F.col("c_nationkey") == 3))
+             .select("c_custkey").collect())  # the request: a few keys
+    return store.lookup(spark, VERSION, [(str(r[0]),) for r in asked] + [("-1",)])
+
+
+EVENT_VALUES = TableSpec(["event_id"], EVENTS_SCHEMA)
+
+
+def feature_last_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table without ``order_by``: a live run writes all events, a replay of
+    the archive then writes purchases again with another value.  Read over
+    both runs, the last write of every key wins."""
+    cfg, root = _archived(spark, sf_dir, "feature_last_write")
+    live = replace(cfg, table=EVENT_VALUES, run_id="live0")
+    live_job(spark, live, lambda dfs: dfs[0], FileTransport(f"{root}/topics"), bounded=True).awaitTermination()
+
+    def corrected(dfs: list[DataFrame]) -> DataFrame:
+        return dfs[0].filter(F.col("event_type") == "purchase").withColumn("value", -F.col("value"))
+
+    replay_job(spark, replace(live, run_id="replay0"), corrected, bounded=True).awaitTermination()
+    return feature_store(live).latest(spark, VERSION)
+
+
 # ----------------------------------------------------------------- features
 
 def rolling_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,6 +311,16 @@ def rolling_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("event_id", "user_id", "ts", "n_events_7d")
 
 
+def _time_slices(ev: DataFrame, n: int = 4) -> list[DataFrame]:
+    """Events in ``n`` parts by time (rows without a time in the first), as
+    they would arrive in micro-batches."""
+    us = epoch_micros(F.col("ts"), ev.schema["ts"].dataType)
+    cuts = ev.select(us.alias("_us")).approxQuantile("_us", [k / n for k in range(1, n)], 0.001)
+    part = sum(((us >= F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    part = F.coalesce(part, F.lit(0))
+    return [ev.filter(part == k) for k in range(n)]
+
+
 WINDOW_TABLE = TableSpec(["window_start", "user_id"], [
     {"name": "window_start", "type": "timestamp_ntz"},
     {"name": "window_end", "type": "timestamp_ntz"},
@@ -271,15 +331,19 @@ WINDOW_TABLE = TableSpec(["window_start", "user_id"], [
 
 def windowed_count_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per user and UTC day, kept by a streaming aggregation in update
-    mode and folded into the feature table."""
+    mode and folded into the feature table; the events arrive in four parts,
+    each a micro-batch of the stream restarted on its checkpoint."""
     root = scratch_dir(spark, "windowed_count_stream")
     store = FeatureStore(f"{root}/store", WINDOW_TABLE)
-    stream = table_stream(spark, table_path(sf_dir, "events"))
-    counts = windowed_count(stream, ["user_id"], "ts", "1 day", watermark="1 day")
-    # Update mode emits each change as it happens; the watermark-only batch
-    # after the data would only drop expired state.
-    run_bounded(counts, store.writer(VERSION, RUN), OutputSpec("update"), f"{root}/checkpoint",
-                final_no_data_batch=False)
+    ev = _read(spark, sf_dir, "events")
+    for part in _time_slices(ev):
+        part.write.mode("append").parquet(f"{root}/src")
+        stream = spark.readStream.schema(ev.schema).parquet(f"{root}/src")
+        counts = windowed_count(stream, ["user_id"], "ts", "1 day", watermark="1 day")
+        # Update mode emits each change as it happens; the watermark-only batch
+        # after the data would only drop expired state.
+        run_bounded(counts, store.writer(VERSION, RUN), OutputSpec("update"), f"{root}/checkpoint",
+                    final_no_data_batch=False)
     return store.latest(spark, VERSION, run_id=RUN)
 
 
@@ -305,12 +369,12 @@ def multi_input_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def multi_input_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two topics (signups, purchases) into a stream-stream interval join:
-    purchases within one day after a signup of the same user."""
+    purchases within one day after a signup of the same user.  The records
+    arrive in four parts, each a micro-batch of the stream restarted on its
+    checkpoint, so pairs meet through the join's state."""
     root = scratch_dir(spark, "multi_input_join")
     ev = _read(spark, sf_dir, "events")
     transport = FileTransport(f"{root}/topics")
-    publish(ev.filter(F.col("event_type") == "signup"), transport, "signups", ["event_id"])
-    publish(ev.filter(F.col("event_type") == "purchase"), transport, "purchases", ["event_id"])
     inputs = [InputSpec("signups", EVENTS_SCHEMA), InputSpec("purchases", EVENTS_SCHEMA)]
 
     def process(dfs: list[DataFrame]) -> DataFrame:
@@ -321,9 +385,13 @@ def multi_input_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         return interval_join(s, p, ["user_id"], "signup_ts", "purchase_ts",
                              lower="0 seconds", upper="1 day", watermark="1 day")
 
-    # An inner join emits nothing on the watermark-only batch after the data.
-    return _run_to_table(spark, read_topics(spark, inputs, transport, process), root,
-                         final_no_data_batch=False)
+    for part in _time_slices(ev):
+        publish(part.filter(F.col("event_type") == "signup"), transport, "signups", ["event_id"])
+        publish(part.filter(F.col("event_type") == "purchase"), transport, "purchases", ["event_id"])
+        # An inner join emits nothing on the watermark-only batch after the data.
+        joined = _run_to_table(spark, read_topics(spark, inputs, transport, process), root,
+                               final_no_data_batch=False)
+    return joined
 
 
 # ------------------------------------------------------- registry, status
@@ -346,9 +414,15 @@ def _schema_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every request gets the next code version of its app."""
+    """Every request gets the next code version of its app.  The requests come
+    in two waves (by time), so the second continues a history."""
     root = scratch_dir(spark, "registry_assign")
-    written = register(spark, f"{root}/registry", _schema_requests(spark, sf_dir))
+    requests = _schema_requests(spark, sf_dir)
+    us = epoch_micros(F.col("requested_at"), requests.schema["requested_at"].dataType)
+    [median] = requests.select(us.alias("_us")).approxQuantile("_us", [0.5], 0.001)
+    early = F.coalesce(us < F.lit(median), F.lit(True))
+    written = register(spark, f"{root}/registry", requests.filter(early)).unionByName(
+        register(spark, f"{root}/registry", requests.filter(~early)))
     return written.select("org", "app", "request_id", "code_version", "avro_schema")
 
 
@@ -392,12 +466,17 @@ def job_status_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assertion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers against a faulty copy: automobile names lower-cased,
-    negative balances dropped, machinery rows duplicated."""
+    negative balances dropped, machinery rows duplicated, keys as text (the
+    same values) and nation keys with a fraction in one segment."""
     expected = _read(spark, sf_dir, "customer")
     kept = expected.filter(F.col("c_acctbal") >= 0)
     faulty = kept.withColumn("c_name", F.when(F.col("c_mktsegment") == "AUTOMOBILE",
                                               F.lower("c_name")).otherwise(F.col("c_name")))
     actual = faulty.unionByName(kept.filter(F.col("c_mktsegment") == "MACHINERY"))
+    nation = F.col("c_nationkey").cast("double")
+    actual = actual.withColumns({
+        "c_custkey": F.col("c_custkey").cast("string"),
+        "c_nationkey": F.when(F.col("c_mktsegment") == "FURNITURE", nation + 0.5).otherwise(nation)})
     return compare_rows(actual, expected)
 
 
@@ -405,6 +484,8 @@ REGISTRY = {
     "topic_decode": topic_decode,
     "topic_decode_bad_rows": topic_decode_bad_rows,
     "json_files_stream": json_files_stream,
+    "json_files_failfast": json_files_failfast,
+    "archive_bad_rows": archive_bad_rows,
     "stream_identity": stream_identity,
     "archive_replay": archive_replay,
     "dual_fanout": dual_fanout,
@@ -415,6 +496,8 @@ REGISTRY = {
     "feature_scan": feature_scan,
     "feature_lookup": feature_lookup,
     "feature_lookup_missing": feature_lookup_missing,
+    "feature_lookup_list": feature_lookup_list,
+    "feature_last_write": feature_last_write,
     "rolling_count": rolling_count,
     "windowed_count_stream": windowed_count_stream,
     "multi_input_union": multi_input_union,

@@ -20,14 +20,6 @@ ORDERS_SCHEMA = [
     {"name": "o_orderpriority", "type": "string"},
 ]
 
-CUSTOMER_SCHEMA = [
-    {"name": "c_custkey", "type": "long"},
-    {"name": "c_name", "type": "string"},
-    {"name": "c_nationkey", "type": "int"},
-    {"name": "c_acctbal", "type": "double"},
-    {"name": "c_mktsegment", "type": "string"},
-]
-
 
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"

@@ -6,15 +6,19 @@ the driver except inline samples, which are small by contract.
 
 from __future__ import annotations
 
+import base64
 import json
 import posixpath
+from datetime import datetime
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from featureflow.config import InputSpec
-from featureflow.functions.codec import JSON_OPTIONS, decode
-from featureflow.functions.schema import to_struct
+from featureflow.functions.codec import JSON_OPTIONS, REASON
+from featureflow.functions.schema import quote, to_struct
 from featureflow.session import ensure_dir, is_file
 
 
@@ -27,14 +31,18 @@ def archive_streams(spark: SparkSession, base: str, app_name: str,
                     inputs: Sequence[InputSpec], max_file_age: str,
                     max_files_per_trigger: int | None = None) -> list[DataFrame]:
     """Stream each topic's Parquet archive, ignoring files older than
-    ``max_file_age`` (after the first batch, as Spark's file source does)."""
+    ``max_file_age`` (after the first batch, as Spark's file source does).
+    Records that did not decode are kept in the archive with their raw text
+    and left out here."""
     out = []
     for inp in inputs:
-        reader = (spark.readStream.schema(to_struct(inp.topic_schema))
+        struct = to_struct(inp.topic_schema)
+        reader = (spark.readStream.schema(T.StructType([*struct.fields, T.StructField(REASON, T.StringType())]))
                   .option("maxFileAge", max_file_age))
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-        out.append(reader.parquet(ensure_dir(spark, folder_location(base, app_name, inp.topic))))
+        rows = reader.parquet(ensure_dir(spark, folder_location(base, app_name, inp.topic)))
+        out.append(rows.filter(F.col(REASON).isNull()).drop(REASON))
     return out
 
 
@@ -58,11 +66,29 @@ def read_json_lines(spark: SparkSession, path: str, schema) -> DataFrame:
             .option("mode", "FAILFAST").json(path))
 
 
+def _json_value(value):
+    """What ``json.dumps`` has no form for, as text."""
+    if isinstance(value, datetime):
+        return value.isoformat(timespec="microseconds")
+    if isinstance(value, (bytes, bytearray)):
+        return base64.b64encode(value).decode("ascii")
+    return str(value)
+
+
+def json_frame(spark: SparkSession, rows: list[dict] | str, schema) -> DataFrame:
+    """JSON objects, inline or as a folder of JSON lines, as rows of the
+    declared schema.  Times are read in any ISO form; a value that is not of
+    its field's type fails the read."""
+    struct, options = to_struct(schema), {"mode": "FAILFAST"}
+    if isinstance(rows, str):
+        return spark.read.schema(struct).options(**options).json(rows).select(*map(quote, struct.fieldNames()))
+    texts = spark.createDataFrame([(json.dumps(r, default=_json_value),) for r in rows], "value string")
+    return texts.select(F.from_json("value", struct, options).alias("_v")).select("_v.*")
+
+
 def sample_frame(spark: SparkSession, inp: InputSpec) -> DataFrame:
-    """Inline sample rows of a topic, decoded by the same codec as the topic."""
-    texts = [(json.dumps(row, default=str),) for row in inp.sample]
-    raw = spark.createDataFrame(texts, "value string")
-    return decode(raw, inp.topic_schema)
+    """Sample rows of a topic (inline, or a folder of JSON lines)."""
+    return json_frame(spark, inp.sample, inp.topic_schema)
 
 
 def table_stream(spark: SparkSession, path: str,

@@ -17,7 +17,6 @@ from featureflow.config import InputSpec, KafkaSpec
 from featureflow.functions.codec import decode, decode_checked, encode, split_bad
 from featureflow.session import ensure_dir
 
-RAW_COLUMNS = ("topic", "key", "value", "timestamp")
 RAW_SCHEMA = "key string, value string, timestamp timestamp"
 
 Process = Callable[[list[DataFrame]], DataFrame]

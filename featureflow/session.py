@@ -11,9 +11,15 @@ from pyspark.sql import SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+# State of large keyed streams on disk; set STATE_STORE_CONF to it.
+STATE_STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app_name: str = "featureflow") -> SparkSession:
-    """A local session with AQE on and the UI off (tests, bench)."""
+                  app_name: str = "featureflow", rocksdb: bool = False) -> SparkSession:
+    """A local session with AQE on and the UI off (tests, bench).  ``rocksdb``
+    keeps the state of streams in RocksDB instead of on the heap."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app_name)
@@ -28,6 +34,8 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if rocksdb:
+        spark.conf.set(STATE_STORE_CONF, ROCKSDB)
     return spark
 
 
@@ -62,8 +70,24 @@ def _checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new, unique folder under the shared checkpoint root."""
-    return f"{_checkpoint_root(spark)}/featureflow/{label}-{uuid.uuid4().hex[:12]}"
+    """A new, unique folder under the shared checkpoint root.  It is noted, so
+    that ``clear_scratch`` can delete it."""
+    path = f"{_checkpoint_root(spark)}/featureflow/{label}-{uuid.uuid4().hex[:12]}"
+    sc = _context(spark)
+    if sc is not None:
+        _SCRATCH.setdefault(id(sc), []).append(path)
+    return path
+
+
+_SCRATCH: dict[int, list[str]] = {}
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders that this driver has made so far; their
+    number.  Call it when the results that were read from them are consumed."""
+    paths = _SCRATCH.pop(id(_context(spark)), [])
+    root = _checkpoint_root(spark)
+    return sum(delete_dir(spark, p, f"{root}/featureflow") for p in paths)
 
 
 # Small marker files on the shared file system (any Hadoop file system),

@@ -118,8 +118,19 @@ def test_topic_and_table_get_the_declared_columns(spark, tmp):
     assert [json.loads(r[0]) for r in published] == [{"a": 1}]
 
 
-def test_late_rows_are_counted(spark, tmp):
-    """A file that arrives after the watermark has passed it."""
+@pytest.mark.parametrize("rocksdb", [False, True])
+def test_late_rows_are_counted(spark, tmp, rocksdb):
+    """A file that arrives after the watermark has passed it; the same with
+    either state store."""
+    if rocksdb:
+        spark.conf.set(session.STATE_STORE_CONF, session.ROCKSDB)
+    try:
+        check_late_rows(spark, tmp)
+    finally:
+        spark.conf.unset(session.STATE_STORE_CONF)
+
+
+def check_late_rows(spark, tmp):
     ts = "timestamp_ntz"
     for k, day in enumerate((20, 21, 1)):
         spark.createDataFrame([(1, datetime(2024, 1, day))], f"u long, ts {ts}").write.mode("append").parquet(f"{tmp}/src")
@@ -204,6 +215,15 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
         session.scratch_dir(unset, "x")
 
 
+def test_scratch_is_cleared(spark):
+    df = spark.createDataFrame([(k % 3, datetime(2024, 1, 1)) for k in range(9)], "u long, ts timestamp_ntz")
+    assert trailing_count(df, ["u"], "ts", "1 day").count() == 9
+    made = [p for p in session._SCRATCH[id(spark.sparkContext)] if "/ranking-" in p]
+    assert made and session.clear_scratch(spark) >= 1
+    assert not any(session.list_dirs(spark, p) or session.is_file(spark, p) for p in made)
+    assert session.clear_scratch(spark) == 0
+
+
 def test_markers_are_whole_and_written_once(spark, tmp):
     assert session.create_marker(spark, f"{tmp}/m/x", "one") and not session.create_marker(spark, f"{tmp}/m/x", "two")
     assert session.read_marker(spark, f"{tmp}/m/x") == "one"

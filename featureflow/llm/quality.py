@@ -5,7 +5,8 @@ string functions are used, row by row, so nothing is shuffled.  ``learn_rules``
 covers the labelled statistics one rule at a time, as in incremental reduced
 error pruning: a rule grows by the threshold condition of the largest
 information gain on a growing set, and is cut back where a pruning set says so;
-the rows that it covers are removed.  Every step is one grouped count over
+the rows that it covers are removed.  Thresholds end in the middle between the
+labelled values next to them.  Every step is one grouped count over
 binned statistics (rows x statistics to bins x statistics), so the driver only
 sees counts, whatever the number of labelled rows.  ``verdict`` writes the list
 as one conditional expression, in order.
@@ -20,7 +21,7 @@ rows; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -234,7 +235,26 @@ def learn_rules(statistics: DataFrame, labels: DataFrame) -> list[Rule]:
             k = edges[c.feature].index(c.threshold)
             inside = inside & (F.col(c.feature) > k if c.above else F.col(c.feature) <= k)
         bins = bins.where(~inside)
-    return rules
+    return _centred(rules, rows)
+
+
+def _centred(rules: list[Rule], rows: DataFrame) -> list[Rule]:
+    """The rules with each threshold in the middle between the labelled values
+    next to it: the same on these rows, and as far from them as can be."""
+    conditions = list(dict.fromkeys(c for r in rules for c in r.conditions))
+    if not conditions:
+        return rules
+    sides = []
+    for k, c in enumerate(conditions):
+        value = F.col(c.feature)
+        sides += [F.max(F.when(value <= c.threshold, value)).alias(f"below{k}"),
+                  F.min(F.when(value > c.threshold, value)).alias(f"above{k}")]
+    found = rows.agg(*sides).first()
+    moved = {}
+    for k, c in enumerate(conditions):
+        below, above = found[f"below{k}"], found[f"above{k}"]
+        moved[c] = c if below is None or above is None else replace(c, threshold=(below + above) / 2)
+    return [Rule(tuple(moved[c] for c in r.conditions)) for r in rules]
 
 
 def verdict(rules: list[Rule]) -> Column:

@@ -65,13 +65,14 @@ def _runs_root(cfg: JobConfig, kind: str) -> str:
 
 
 def live_job(spark: SparkSession, cfg: JobConfig, process: Process, transport,
-             bounded: bool = False, drop_bad: bool = False) -> StreamingQuery:
+             bounded: bool = False, drop_bad: bool = True) -> StreamingQuery:
     """Topics -> process -> (versioned output topic, feature table).
 
     Each micro-batch is cached once and written to both sinks; the topic is
-    at-least-once, the feature table idempotent per batch id.  With
-    ``drop_bad`` undecodable records are kept from ``process`` (run
-    ``quarantine_job`` beside it to keep them).
+    at-least-once, the feature table idempotent per batch id.  Undecodable
+    records do not reach ``process`` (the archive and ``quarantine_job`` keep
+    them with their raw text), so they never become rows with null keys;
+    ``drop_bad=False`` lets them through as all-null rows.
     """
     df = read_topics(spark, cfg.inputs, transport, process, drop_bad=drop_bad)
     store = feature_store(cfg)

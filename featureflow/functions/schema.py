@@ -118,7 +118,9 @@ def conform(df: DataFrame, schema: Any) -> DataFrame:
     """Select the declared fields in declared order, cast to declared types.
 
     A declared field missing from ``df`` is an error; extra columns are
-    dropped.  Casting is JVM-side and keeps the plan in codegen.
+    dropped.  A fraction that a whole-number field cannot hold fails the job
+    instead of being cut off.  Casting is JVM-side and keeps the plan in
+    codegen.
     """
     struct = to_struct(schema)
     have = set(df.columns)
@@ -129,7 +131,12 @@ def conform(df: DataFrame, schema: Any) -> DataFrame:
     cols = []
     for f in struct.fields:
         c = F.col(quote(f.name))
-        if current[f.name] != f.dataType:
-            c = c.cast(f.dataType)
+        have = current[f.name]
+        if have != f.dataType:
+            whole = c.cast(f.dataType)
+            if isinstance(have, T.FractionalType) and isinstance(f.dataType, T.IntegralType):
+                lost = F.concat(F.lit(f"{f.name}: no whole number: "), c.cast("string"))
+                whole = F.when(c.isNull() | (whole.cast(have) == c), whole).otherwise(F.raise_error(lost).cast(f.dataType))
+            c = whole
         cols.append(c.alias(f.name))
     return df.select(*cols)

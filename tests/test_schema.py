@@ -88,3 +88,11 @@ def test_conform_missing_field(spark):
     df = spark.range(1).select(F.col("id").alias("a"))
     with pytest.raises(ValueError, match="missing declared fields"):
         conform(df, [{"name": "a", "type": "long"}, {"name": "b", "type": "long"}])
+
+
+def test_conform_refuses_to_cut_off_a_fraction(spark):
+    schema = [{"name": "x", "type": "int"}]
+    whole = spark.createDataFrame([(2.0,), (None,), (-3.0,)], "x double")
+    assert [r.x for r in conform(whole, schema).collect()] == [2, None, -3]
+    with pytest.raises(Exception, match="no whole number: 1.9"):
+        conform(spark.createDataFrame([(1.9,)], "x double"), schema).collect()

@@ -256,23 +256,29 @@ def links(fps: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
     return edges.union(second.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable) for every row."""
-    rows = common.stored(fingerprints(docs, shingle), "fingerprints")
+def components(rows: DataFrame, distance: int = 3) -> DataFrame:
+    """fp, component_id for every distinct fingerprint of ``rows`` (doc_id,
+    fp; a stored table); component_id is the smallest doc_id of its group."""
     groups = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-groups")
     roots = connected_components(links(groups, distance)).select(F.col("node").alias("fp"), "root")
     linked = groups.join(roots, "fp")
     smallest = linked.groupBy("root").agg(F.min("first").alias("least"))
     named = linked.join(smallest, "root").select("fp", "least")
-    component = groups.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(component, "fp").select("doc_id", "fp", "component_id")
+    return groups.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id reachable) for every row."""
+    rows = common.stored(fingerprints(docs, shingle), "fingerprints")
+    return rows.join(components(rows, distance), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     """``docs`` with the smallest id of every group only.  An id names one
     document: of rows that share it one stays.  Rows without an id cannot be
     named and stay."""
-    found = near_duplicates(docs.where(F.col("doc_id").isNotNull()), shingle, distance)
-    keepers = found.select(F.col("component_id").alias("doc_id")).distinct()
+    rows = common.stored(fingerprints(docs.where(F.col("doc_id").isNotNull()), shingle), "fingerprints")
+    # One row per distinct fingerprint, so copies of a text never meet.
+    keepers = components(rows, distance).select(F.col("component_id").alias("doc_id")).distinct()
     kept = docs.join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))

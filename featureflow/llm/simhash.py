@@ -270,7 +270,10 @@ def components(rows: DataFrame, distance: int = 3) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable) for every row."""
     rows = common.stored(fingerprints(docs, shingle), "fingerprints")
-    return rows.join(components(rows, distance), "fp").select("doc_id", "fp", "component_id")
+    # Stored, so that the join has nothing but its two shuffles below it and
+    # Spark can split the partition of a fingerprint that many copies share.
+    named = common.stored(components(rows, distance), "fingerprint-components")
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -58,6 +59,24 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", chars: int = BATCH_
         yield first, out
 
 
+#: Bytes of a text that are cut into words at once.
+WORD_CHUNK = 1 << 22
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_chunks(raw: bytes, size: int | None = None) -> Iterator[list[bytes]]:
+    """The words of ``raw`` between ASCII white space, in lists, so that a very
+    long text never has all its words in memory as objects."""
+    size, at = size or WORD_CHUNK, 0
+    while at < len(raw):
+        end = len(raw)
+        if at + size < end:
+            found = _SPACE.search(raw, at + size)
+            end = found.start() if found else end
+        yield raw[at:end].split()
+        at = end
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: lineage is
     cut, and a lost executor costs no recomputation of what came before."""

@@ -52,8 +52,12 @@ BLOCK_CHARS = 16 << 20
 _END, _GAP = 0, 1  # symbols that no window has
 
 
+def word_chunks_of(text: str | None) -> Iterator[list[bytes]]:
+    return common.word_chunks((text or "").encode().translate(_WORD_BYTES))
+
+
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(_WORD_BYTES).split()
+    return [w for chunk in word_chunks_of(text) for w in chunk]
 
 
 class WaveletTree:
@@ -196,7 +200,7 @@ def search_shard(texts: list[str | None], windows: Windows) -> list[Hit]:
     hits = [Hit(0, [], set()) for _ in texts]
     if not windows.patterns:
         for hit, text in zip(hits, texts):
-            hit.n_words = len(words_of(text))
+            hit.n_words = sum(map(len, word_chunks_of(text)))
         return hits
     least, longest = min(windows.lengths), max(windows.lengths)
     spans: dict[int, list[np.ndarray]] = {}
@@ -231,9 +235,9 @@ def search_shard(texts: list[str | None], windows: Windows) -> list[Hit]:
         held = 0
 
     for d, text in enumerate(texts):
-        words = words_of(text)
-        hits[d].n_words = len(words)
-        symbols = np.fromiter(map(windows.vocabulary.get, words, repeat(0)), np.int64, len(words))
+        symbols = np.concatenate([np.zeros(0, np.int64), *(
+            np.fromiter(map(windows.vocabulary.get, words, repeat(0)), np.int64, len(words)) for words in word_chunks_of(text))])
+        hits[d].n_words = len(symbols)
         for a, b in _runs(symbols, least):
             # Very long runs are cut with an overlap of a window less one word.
             while True:

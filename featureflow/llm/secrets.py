@@ -31,7 +31,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -153,9 +152,12 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
             found.append((start, _HEX, m.end()))
     if not found:
         return []
-    if len(raw) != len(text):
-        points = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-        found = [(int(points[a]), k, int(points[b])) for a, k, b in found]
+    if len(raw) != len(text):  # bytes to code points, from one place to the next
+        points, at, n = {}, 0, 0
+        for place in sorted({p for a, _, b in found for p in (a, b)}):
+            n += len(raw[at:place].decode())
+            points[place], at = n, place
+        found = [(points[a], k, points[b]) for a, k, b in found]
     return [(KINDS[k].name, a, b) for a, k, b in sorted(found)]
 
 

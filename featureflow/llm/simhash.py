@@ -48,18 +48,21 @@ _ROWS = 1 << 15
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """Unsigned 64-bit fingerprint of a whole text."""
     # bytes.split() cuts at exactly the six ASCII white-space characters.
-    words = (text or "").encode().translate(LOWER).split()
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        shingles = [b" ".join(words)]
-    else:
+    ones, n = np.zeros(64, np.int64), 0
+    words: list[bytes] = []
+    for chunk in common.word_chunks((text or "").encode().translate(LOWER)):
+        words += chunk
+        if len(words) < shingle:
+            continue
         shingles = map(b" ".join, zip(*(words[k:] for k in range(shingle))))
-    hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(42))), np.uint8).reshape(-1, 8)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), _ROWS):
-        ones += np.unpackbits(hashes[at:at + _ROWS], axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+        hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(42))), np.uint8).reshape(-1, 8)
+        for at in range(0, len(hashes), _ROWS):
+            ones += np.unpackbits(hashes[at:at + _ROWS], axis=1).sum(0, dtype=np.int64)
+        n += len(hashes)
+        words = words[len(words) - shingle + 1:]
+    if not n:  # fewer words than a shingle
+        return xxhash.xxh64_intdigest(b" ".join(words), 42) if words else 0
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:

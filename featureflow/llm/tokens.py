@@ -20,6 +20,8 @@ import numpy as np
 #: Cached pieces; beyond this longer ones are dropped (memory stays bounded).
 CACHE_PIECES = 600_000
 SHORT = 8
+#: Characters of a text that are cut into pieces at once.
+CHUNK = 1 << 22
 #: Words of letters below this character are cut into pre-tokens here.
 LATIN_END = "ɐ"
 
@@ -84,12 +86,12 @@ class _Pieces(dict):
 class Encoder:
     """``encode(texts)`` gives little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES, chunk: int = CHUNK):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache_pieces = cache_pieces
+        self.cache_pieces, self.chunk = cache_pieces, chunk
         self.pieces = _Pieces(self.tokenizer)
         whole, newline = self.pieces.whole, self.pieces.newline
         if len(newline) != 4 or whole(" a!\nb\n c") != b"".join(map(whole, (" a", "!", "\n", "b", "\n", " c"))):
@@ -99,15 +101,31 @@ class Encoder:
         return [self.encode_one(t) if t else b"" for t in texts]
 
     def encode_one(self, text: str) -> bytes:
+        if len(text) <= self.chunk:
+            return self._part(text, True)
+        # A very long text in parts, each after the first beginning with " x".
+        out, at = [], 0
+        while at < len(text):
+            cut = _BOUNDARY.search(text, at + self.chunk)
+            end = cut.start() if cut else len(text)
+            out.append(self._part(text[at:end], at == 0))
+            at = end
+        return b"".join(out)
+
+    def _part(self, text: str, begins: bool) -> bytes:
+        """Ids of a text, or of a part of one that begins with " x"."""
         if len(self.pieces) > self.cache_pieces:
             self.pieces.shrink()
         get = self.pieces.__getitem__
-        flat = text.replace("\n", " ")
+        body = text if begins else text[1:]
+        flat = body.replace("\n", " ")
         # Regular: every white space is one space or newline between others.
         if flat[0] == " " or flat[-1] == " " or "  " in flat or not flat.isprintable():
-            first, *rest = _BOUNDARY.split(text)
-            return get("\r" + first) + b"".join([get(p[1:]) for p in rest])
-        pieces = ("\n" + text).replace("\n", " \n").split(" ")
+            first, *rest = _BOUNDARY.split(body)
+            return get("\r" + first if begins else first) + b"".join([get(p[1:]) for p in rest])
+        if not begins:
+            return b"".join(map(get, body.replace("\n", " \n").split(" ")))
+        pieces = ("\n" + body).replace("\n", " \n").split(" ")
         del pieces[0]
         return b"".join(map(get, pieces))[4:]  # without the newline put before the text
 

@@ -85,7 +85,8 @@ class Terms:
         if len(self.automaton):
             for _, t in self.automaton.iter(plain.decode("latin-1")):
                 out[t] = out.get(t, 0) + 1
-        return out, len(plain.split())
+        space = np.frombuffer(plain, np.uint8) == 0x20
+        return out, int(np.count_nonzero(space[:-1] & ~space[1:]))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -129,6 +129,8 @@ ITEMS = [(1, "quick brown fox jumps the quick brown fox jumps over"), (2, "repea
 @pytest.mark.parametrize("symbols", [D.INDEX_SYMBOLS, 50])
 def test_decontamination_edge_cases(spark, edge, empty, monkeypatch, block, symbols):
     monkeypatch.setattr(D, "BLOCK_CHARS", block)
+    if symbols == 50:
+        monkeypatch.setattr(D.common, "WORD_CHUNK", 40)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     shard = [t for _, t in EDGE_TEXTS if t is None or len(t) < 10_000] + [LONG[:20_000]]
     monkeypatch.setattr(D, "INDEX_SYMBOLS", symbols)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from featureflow.llm import simhash
+from featureflow.llm import common, simhash
 from featureflow.llm.components import connected_components
 from featureflow.llm.queries import op6_simhash_near_dedup
 
@@ -57,6 +57,13 @@ def check(rows, texts):
     assert sorted(rows, key=str) == want
 
 
+@pytest.mark.parametrize("size", [1, 5, 30])
+def test_fingerprints_of_long_texts_in_chunks(monkeypatch, texts, size):
+    monkeypatch.setattr(common, "WORD_CHUNK", size)
+    for text in [*list(texts.values())[:20], "", "a", "a b", "a b c", " x\x0by\n"]:
+        assert simhash.fingerprint(text[:2000]) == brute_fingerprint(text[:2000])
+
+
 def test_query_equals_brute_force(spark, texts):
     rows = op6_simhash_near_dedup(spark, SF).collect()
     assert all(len(r["fingerprint"]) == 16 for r in rows)

@@ -20,6 +20,7 @@ from featureflow.llm.tokens import Encoder
 from .conftest import EDGE_TEXTS, SF
 
 ENCODER = Encoder(TOKENIZER, cache_pieces=500)
+IN_PARTS = Encoder(TOKENIZER, chunk=7)
 LIBRARY = Tokenizer.from_file(TOKENIZER)
 
 
@@ -39,6 +40,7 @@ PARTS = st.sampled_from([" ", "  ", "\n", "\t", "\r", "a", "Bc", "é", "'s", "'"
 @given(st.lists(PARTS, max_size=25).map("".join))
 def test_ids_equal_the_library(text):
     assert encoded(text) == ids(text)
+    assert IN_PARTS.encode([text]) == ENCODER.encode([text])
 
 
 def test_ids_of_documents_equal_the_library(texts):

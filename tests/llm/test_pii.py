@@ -92,7 +92,7 @@ def test_distinct_entities_stay_distinct(spark, make):
 def test_collisions_are_resolved(spark):
     """Letters outside the classes are no permutation: some surrogates collide
     at first and are moved until none does."""
-    han = [chr(0x4E00 + k) for k in range(300)]
+    han = [chr(0x4E00 + k) for k in range(120)]
     mails = [f"{a}@ab.com" for a in han]
     df = spark.createDataFrame([(k, f"x {m} y") for k, m in enumerate(mails)], "doc_id long, text string")
     moved = pii.exceptions(df, KEY)

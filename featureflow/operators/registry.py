@@ -94,9 +94,12 @@ def _app_bucket() -> Column:
 
 
 def _append(rows: DataFrame, registry_root: str) -> str:
-    """Append history rows, in folders by app bucket and write; the write's id."""
+    """Append history rows, in folders by app bucket and write; the write's id.
+    Rows are ranged by bucket, so a task writes few files, and a bucket with a
+    hot app is split by version."""
     write_id = uuid.uuid4().hex
     (rows.withColumn(APP_BUCKET, _app_bucket()).withColumn("write_id", F.lit(write_id))
+     .repartitionByRange(APP_BUCKET, "code_version")
      .write.mode("append").partitionBy(APP_BUCKET, "write_id").parquet(_history_path(registry_root)))
     return write_id
 

@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples, exact TF-IDF cosine.
 
-Examples are a bounded sample of labelled documents (``EXAMPLES``, chosen by a
-hash of the id).  Terms are words and beginnings of words that differ
+Examples are a bounded sample of the distinct texts of labelled documents
+(``EXAMPLES``, chosen by a hash of the text); everything is counted over them, so
+copies weigh nothing.  Terms are words and beginnings of words that differ
 significantly between toxic and other examples (chi-square at least
 ``CHI_SQUARE``, at most ``TERMS``, the strongest first).  All words together are
 one more term, of low weight, so that the share of marked words counts.  Texts
@@ -20,8 +21,8 @@ The evidence is the nearest examples with their similarity and label, and the
 terms found.
 
 Defined results: null and empty texts have no term; without any example the
-score is 0; a document with several labels is toxic if any says so; null ids
-and null labels are never learned from; repeated rows are scored alike; other
+score is 0; a document with several labels is toxic if any says so, a text of
+several documents if half of them are; null ids and null labels are never learned from; repeated rows are scored alike; other
 columns are ignored, whatever their names.
 """
 
@@ -182,21 +183,27 @@ class Index:
 
 
 def labelled_examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, toxic, text of the bounded sample of rows that may be learned
-    from.  At most ``EXAMPLES`` ids are broadcast, the texts stay in place."""
-    chosen = (
+    """doc_id (the smallest), toxic, text of the bounded sample of distinct
+    texts that may be learned from.  At most ``EXAMPLES`` rows are broadcast,
+    the texts stay in place."""
+    marked = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~common.held_out())
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    hashed = F.sha2("text", 256).alias("hash")
+    # Copies are counted by the hash of their text before any is left out.
+    chosen = (
+        texts.select("doc_id", hashed).join(marked, "doc_id")
+        .groupBy("hash").agg(F.min("doc_id").alias("doc_id"), (2 * F.count_if("toxic") >= F.count("*")).alias("toxic"))
+        .orderBy("hash").limit(EXAMPLES)
+    )
+    return texts.select("doc_id", "text", hashed).join(F.broadcast(chosen), ["doc_id", "hash"]).dropDuplicates(["hash"]).drop("hash")
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Index | None:
     common.ship_package(docs.sparkSession)
-    examples = common.stored(
-        labelled_examples(docs, labels).dropDuplicates(["doc_id"]), "toxicity-examples")  # at most EXAMPLES
+    examples = common.stored(labelled_examples(docs, labels), "toxicity-examples")  # at most EXAMPLES
     size = examples.agg(F.count("*").alias("n"), F.count_if("toxic").alias("toxic")).first()
     n, toxic = size["n"], size["toxic"]
     if not n:
@@ -209,8 +216,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Index | None:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(terms, pa.string()), pa.array([is_toxic] * len(terms), pa.bool_())], ["term", "toxic"])
 
-    # Equal texts count once, so that copies do not make their words terms.
-    counted = examples.dropDuplicates(["text", "toxic"]).mapInArrow(terms_of, "term string, toxic boolean").groupBy("term").agg(
+    counted = examples.mapInArrow(terms_of, "term string, toxic boolean").groupBy("term").agg(
         F.count("*").alias("df"), F.count_if("toxic").alias("a"))
     a, df = F.col("a").cast("double"), F.col("df").cast("double")
     expected = (a * (n - toxic) - (df - a) * toxic)

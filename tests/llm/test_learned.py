@@ -142,6 +142,27 @@ def test_toxicity_never_learns_from_held_out_rows(spark, edge, empty):
     assert toxicity.learn(docs, odd) is not None
 
 
+def test_copies_do_not_change_what_is_learned(spark, monkeypatch):
+    """A third of the labelled rows are copies of one clean and of one toxic text."""
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(["vile"] * (k % 3 == 0) + ["w%d" % w for w in rng.integers(60, size=12)]), int(k % 3 == 0)) for k in range(400)]
+    own = [r for r in rows if not is_held_out(r[0])]
+    assert len({r[1] for r in own}) == len(own)
+    clean, marked = next(r for r in own if not r[2]), next(r for r in own if r[2])
+    copies = [(1_000 + k, *(marked if k % 2 else clean)[1:]) for k in range(200)]
+
+    def learned(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        return toxicity.learn(df.drop("toxic"), df.drop("text"))
+
+    one, many = learned(rows), learned(rows + copies)
+    assert "vile" in one.vocabulary and one.vocabulary == many.vocabulary and not set("w%d" % w for w in range(60)) & set(one.vocabulary)
+    assert np.array_equal(one.idf, many.idf) and one.names == many.names and one.base_rate == many.base_rate
+    monkeypatch.setattr(toxicity, "EXAMPLES", 50)
+    df = spark.createDataFrame(rows + copies, "doc_id long, text string, toxic int")
+    assert toxicity.labelled_examples(df.drop("toxic"), df.drop("text")).select("text").distinct().count() == 50
+
+
 def test_terms_are_counted_as_words_and_beginnings():
     vocabulary = {"vile": 0, "vilen-": 1, "éñabç-": 2, "a": 3}
     counts = toxicity.Terms(vocabulary).count("Vile vile, VILENESS vilen-vile a a a; Éñabçd éñabç éñab")

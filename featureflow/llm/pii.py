@@ -7,10 +7,12 @@ Feistel network over the two halves, each character moved within its own class
 (digits, and vowels, consonants and accented letters of its script), so format,
 script, length and letter case are those of the original.
 
-* email: all letters and digits but those of the top-level domain
-* phone: the last ten digits (seven to nine, if there are fewer); a country
-  code and the punctuation stay
-* ip: the 32-bit address, so every part stays between 0 and 255
+* email: all letters and digits but those of the top-level domain; punctuation
+  before the first of them is no part of the address
+* phone: the digits after country code and trunk prefix (0, or a leading 1);
+  these and the punctuation stay
+* ip: the 32-bit address, so every part stays between 0 and 255; of IPv6 the 128
+  bits, however they are abbreviated, written in full
 * card: all digits but the last, which keeps the Luhn sum right
 * ssn: all digits
 * name (after a title, or a listed given name before a capitalised word): a
@@ -53,14 +55,31 @@ _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 _TITLED = rf"(?<!{_LETTER})(?:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME})?(?!{_LETTER})"
 _KNOWN = rf"(?<!{_LETTER})(?:{'|'.join(n for g in GIVEN for n in g)}) {_NAME}(?!{_LETTER})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_HEX = "[0-9A-Fa-f]{1,4}"
+_IPV6 = rf"(?=[A-Fa-f:]*\d)(?:{_HEX}(?::{_HEX}){{7}}|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)"
+#: Country codes of one and two digits; all others have three.
+_COUNTRY = r"(?:\+|00)(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+_PHONES = (
+    # 3-3-4, after a country code or a leading 1
+    r"(?:\+\d{1,3}[ .-]?|1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\p{L}\p{N}])",
+    # international, with a trunk zero or area code in brackets
+    r"(?:\+|00(?=[1-9]))\d{1,3}[ ./-]?(?:\(\d{1,5}\)[ ./-]?)?(?:\d[ ./-]?)?\d{2,4}(?:[ ./-]?\d{2,4}){1,4}(?![\p{L}\p{N}])",
+    # national, with trunk zero: pairs, or an area code and groups, or bare
+    r"0[1-9](?:[ .-]\d{2}){4}(?![\p{L}\p{N}])",
+    r"(?=\(?0(?:[ ./()-]{0,2}\d){8,11})(?:0[1-9]\d{1,4}[ ./-]|\(0[1-9]\d{0,4}\)[ /-]?)\d{2,8}(?:[ ./-]\d{2,8}){0,4}(?![\p{L}\p{N}])",
+    # national of nine digits in groups, no part of a longer grouped number
+    r"(?<!\d[ ,])(?:[6-9]\d\d(?:[ -]\d{3}){2}|[89]\d\d(?:[ -]\d\d){3}|[89]\d[ -]\d{3}(?:[ -]\d\d){2})(?![\p{L}\p{N}]|[ .,-]\d)",
+    # bare: trunk zero, or ten digits of North America
+    r"(?:0[1-9]\d{8,9}|1?[2-9]\d{9})(?![\p{L}\p{N}]|\.\d)",
+)
 #: One expression for all candidates.  Runs are only entered at their start
 #: and taken possessively, so the time is in proportion to the text.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}-]++\.)+[\p{L}]{2,24}(?![\p{L}\p{N}])",
-    "phone": r"(?<![\p{L}\p{N}+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\p{L}\p{N}])"
-             r"|(?<![\p{L}\p{N}+.-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?![\p{L}\p{N}])",
-    "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.\d)",
-    "card": r"(?<![\p{L}\p{N}-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?![\p{L}\p{N}])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[._%+-]*+[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}-]++\.)+[\p{L}]{2,24}(?![\p{L}\p{N}])",
+    "phone": rf"(?<![\p{{L}}\p{{N}}+-]|\p{{N}}\.)(?:{'|'.join(_PHONES)})",
+    "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.\d)"
+          rf"|(?<![\p{{L}}\p{{N}}:]){_IPV6}(?![\p{{L}}\p{{N}}]|:[\p{{L}}\p{{N}}:]|\.\d)",
+    "card": r"(?<![\p{L}\p{N}-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19})(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "name": rf"{_TITLED}|{_KNOWN}",
 }
@@ -75,6 +94,7 @@ CLASSES = (
     "0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "àáâãäåæçèéêëìíîïñòóôõöøœùúûüýÿß",
     "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρσςτφχψ",
 )
+_HEX_DIGITS = "0123456789abcdef"
 
 
 def _let(value: Column, body) -> Column:
@@ -102,14 +122,18 @@ def _moved(c: Column, by: Column) -> Column:
     return out
 
 
-def _keyed(half: Column, other: Column, tweak: Column, n: Column) -> Column:
+def _hex_moved(c: Column, by: Column) -> Column:
+    return F.substr(F.lit(_HEX_DIGITS), ((F.instr(F.lit(_HEX_DIGITS), c) - 1 + by) % 16 + 1).cast("int"), F.lit(1))
+
+
+def _keyed(half: Column, other: Column, tweak: Column, n: Column, moved=_moved) -> Column:
     """``half`` (characters), each moved by a number that depends on the key,
     the round, its place and the other half."""
     return _let(F.array_join(other, ""), lambda o: F.transform(
-        half, lambda c, i: _moved(c, _number(tweak, n.cast("string"), i.cast("string"), o))))
+        half, lambda c, i: moved(c, _number(tweak, n.cast("string"), i.cast("string"), o))))
 
 
-def permuted(chars: Column, tweak: Column) -> Column:
+def permuted(chars: Column, tweak: Column, moved=_moved) -> Column:
     """Characters permuted by a Feistel network; distinct sequences of equal
     classes stay distinct, for one tweak.  The halves change places after each
     of an even number of rounds."""
@@ -117,7 +141,7 @@ def permuted(chars: Column, tweak: Column) -> Column:
     return F.aggregate(
         F.sequence(F.lit(1), F.lit(ROUNDS)),
         F.struct(F.slice(chars, F.lit(1), cut).alias("a"), F.slice(chars, cut + 1, F.size(chars) - cut).alias("b")),
-        lambda h, n: F.struct(h["b"].alias("a"), _keyed(h["a"], h["b"], tweak, n).alias("b")),
+        lambda h, n: F.struct(h["b"].alias("a"), _keyed(h["a"], h["b"], tweak, n, moved).alias("b")),
         lambda h: F.concat(h["a"], h["b"]))
 
 
@@ -161,11 +185,19 @@ def _luhn(digits: Column) -> Column:
 
 
 def _national(text: Column) -> Column:
-    """The digits of a phone number that are permuted: the last ten; of
-    shorter ones those after the country code."""
-    digits = _digits(text)
-    rest = _digits(F.regexp_replace(text, r"^\+\d{1,3}[ .-]", ""))
-    return F.when(F.length(digits) >= 10, F.substring(digits, -10, 10)).otherwise(rest)
+    """The digits of a phone number that are permuted: without country code
+    and trunk prefix, so that they are the same with and without them."""
+    local = F.regexp_replace(text, rf"^{_COUNTRY}", "")
+    return F.regexp_replace(F.regexp_replace(_digits(local), r"^1(?=\d{10}$)", ""), r"^0", "")
+
+
+def _lead(m: Column) -> Column:
+    """Punctuation before the first letter or digit of an email."""
+    return F.regexp_extract(m, r"^([._%+-]*)", 1)
+
+
+def _address(m: Column) -> Column:
+    return F.substr(m, F.length(_lead(m)) + 1, F.length(m))
 
 
 def _top_level(m: Column) -> Column:
@@ -185,6 +217,22 @@ def _ip(m: Column, tweak: Column) -> Column:
             x.cast("string") for half in ("a", "b") for x in (F.floor(h[half] / 256), h[half] % 256)]))
 
 
+def _ipv6(m: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address; of what is none, not 32."""
+    def digits(part: Column) -> Column:
+        return F.array_join(F.transform(F.filter(F.split(part, ":"), lambda x: x != ""), lambda x: F.lpad(x, 4, "0")), "")
+
+    halves = F.split(F.lower(m), "::")
+    first, last = digits(halves[0]), F.coalesce(digits(F.get(halves, F.lit(1))), F.lit(""))
+    left = F.lit(32) - F.length(first) - F.length(last)
+    return F.concat(first, F.when(F.contains(m, F.lit("::")) & (left > 0), F.repeat(F.lit("0"), left)).otherwise(""), last)
+
+
+def _ipv6_moved(m: Column, tweak: Column) -> Column:
+    full = F.regexp_replace(F.array_join(permuted(_chars(_ipv6(m)), tweak, _hex_moved), ""), "(.{4})(?=.)", "$1:")
+    return F.when(m.rlike("[A-F]"), F.upper(full)).otherwise(full)
+
+
 def _listed(name: Column, tweak: Column) -> Column:
     """Another listed name of the gender and script; null if not listed."""
     out = F.lit(None).cast("string")
@@ -213,7 +261,8 @@ def _parts(m: Column, kind: Column) -> Column:
     digits = _digits(m)
     given = _words(m)[0]
     return (
-        F.when(kind == "email", F.array(_normal(F.substr(m, F.lit(1), F.length(m) - F.length(_top_level(m))))))
+        F.when(kind == "email", F.array(_normal(F.substr(
+            m, F.length(_lead(m)) + 1, F.length(m) - F.length(_lead(m)) - F.length(_top_level(m))))))
         .when(kind == "phone", F.array(_chars(_national(m))))
         .when(kind == "card", F.array(_chars(F.substr(digits, F.lit(1), F.length(digits) - 1))))
         .when(kind == "ssn", F.array(_chars(digits)))
@@ -237,8 +286,8 @@ def _assembled(m: Column, kind: Column, parts: Column, tweak: Column) -> Column:
         _recased(first, _chars(F.element_at(_words(m), -1))))
     digits = F.when(kind == "card", card(F.array_join(first, ""))).otherwise(first)
     return (
-        F.when(kind == "email", F.concat(_recased(first, _chars(m)), _top_level(m)))
-        .when(kind == "ip", _ip(m, tweak))
+        F.when(kind == "email", F.concat(_lead(m), _recased(first, _chars(_address(m))), _top_level(m)))
+        .when(kind == "ip", F.when(F.contains(m, F.lit(":")), _ipv6_moved(m, tweak)).otherwise(_ip(m, tweak)))
         .when(kind == "name", named)
         .otherwise(_filled(m, digits)))
 
@@ -253,9 +302,9 @@ def entity_type(m: Column) -> Column:
     """Type of a candidate; null if it fails its check."""
     return (
         F.when(F.contains(m, F.lit("@")), "email")
-        .when(m.rlike(rf"^{PATTERNS['ip']}$"), "ip")
+        .when(m.rlike(rf"^(?:{PATTERNS['ip']})$"), F.when(~F.contains(m, F.lit(":")) | (F.length(_ipv6(m)) == 32), "ip"))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(m.rlike(r"^(\d{13,19}|\d{4}([ -]\d{4}){3})$"), F.when(_luhn(_digits(m)) == 0, "card"))
+        .when(m.rlike(r"^(\d{13,19}|\d{4}([ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})$"), F.when(_luhn(_digits(m)) == 0, "card"))
         .when(m.rlike(r"\d"), "phone")
         .otherwise("name"))
 
@@ -263,7 +312,8 @@ def entity_type(m: Column) -> Column:
 def normalised(m: Column, kind: Column) -> Column:
     """What equal entities share: case and punctuation aside."""
     return (
-        F.when(kind.isin("email"), F.array_join(_normal(m), ""))
+        F.when(kind.isin("email"), F.array_join(_normal(_address(m)), ""))
+        .when(kind.isin("ip") & F.contains(m, F.lit(":")), _ipv6(m))
         .when(kind.isin("phone"), _national(m))
         .when(kind.isin("ssn", "card"), _digits(m))
         .when(kind.isin("name"), F.substr(m, F.length(_title_of(m)) + 1, F.length(m)))

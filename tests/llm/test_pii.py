@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import random
 import re
 from collections import Counter
@@ -53,6 +54,46 @@ def test_clean_texts_stay(spark):
     assert replaced(spark, clean) == [(t, []) for t in clean]
 
 
+@pytest.mark.parametrize("kind,shapes", [
+    ("phone", ["01 23 45 67 89", "030 1234567", "0170 1234567", "0170/1234567", "912 345 678", "912 34 56 78", "91 234 56 78",
+               "+44 (0)20 7946 0958", "020 7946 0958", "+33 1 23 45 67 89", "+49 30 1234567", "0049 30 1234567", "(030) 1234567",
+               "1-800-555-1234", "1 (800) 555-1234", "5551234567", "15552345678", "0612345678"]),
+    ("card", ["3782 822463 10005", "3782-822463-10005", "3056 930902 5904"]),
+    ("email", ["_john@x.com", "...john@x.com", "-john@x.com", "_.-john@x.com"]),
+])
+def test_shapes_of_a_type(spark, kind, shapes):
+    for m, (text, kinds) in zip(shapes, replaced(spark, [f"see {m}, ok" for m in shapes])):
+        got = text.removeprefix("see ").removesuffix(", ok")
+        assert kinds == [kind] and got != m and shape(got) == shape(m), (m, text)
+        assert kind != "card" or luhn(re.sub(r"\D", "", got))
+
+
+def test_spellings_of_one_phone_or_email(spark):
+    out = replaced(spark, ["+33 1 23 45 67 89, 01 23 45 67 89, +33123456789, +33 (0)1 23 45 67 89", "1-800-555-1234, 800-555-1234, +1 800 555 1234",
+                           "john@x.com, ...john@x.com, -john@x.com"])
+    phones = [[re.sub(r"\D", "", m) for m in text.split(", ")] for text, _ in out[:2]]
+    assert len({m[-9:] for m in phones[0]}) == 1 and phones[0][0][:2] == "33" and phones[0][1][0] == "0"
+    assert len({m[-10:] for m in phones[1]}) == 1 and phones[1][0][0] == "1"
+    assert len({m.lstrip(".-") for m in out[2][0].split(", ")}) == 1
+
+
+def test_ipv6(spark):
+    (text, kinds), (other, _), (mapped, _) = replaced(spark, [
+        "2001:db8::1, 2001:0DB8:0:0:0:0:0:1, ::1, fe80::", "2001:db8::2: seen", "::ffff:10.1.2.3"])
+    out = text.split(", ")
+    assert kinds == ["ip"] * 4 and all(ipaddress.ip_address(m).version == 6 for m in out)
+    assert out[0] == out[1].lower() and out[1].upper() == out[1] and len({m.lower() for m in out} | {other.removesuffix(": seen")}) == 4
+    assert mapped.startswith("::ffff:") and "10.1.2.3" not in mapped
+    clean = ["std::vector a::b at 12:30:45, 00:1a:2b:3c:4d:5e", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5::6:7:8:9"]
+    assert replaced(spark, clean) == [(t, []) for t in clean]
+
+
+def test_numbers_that_are_no_phones(spark):
+    clean = ["912 345 678 901 people", "5 912 345 678", "1700000000 seconds", "01.02.2024 and 01-02-2024", "3.5551234567", "0.123456789",
+             "4111 1111 1111 1112", "3782 822463 10006", "id 123456789", "page 012 345"]
+    assert replaced(spark, clean) == [(t, []) for t in clean]
+
+
 def test_coreference_and_keys(spark):
     texts = ["foo.55@mail4.example.com FOO.55@mail4.example.com", "+1 (017) 555-7713 and +1 017-555-7713",
              "4111 1111 1111 1111 4111111111111111", "Mr. Smith, Mr. John Smith, John Smith, Mary Smith, Mary Jones"]

@@ -15,10 +15,13 @@ script, length and letter case are those of the original.
   bits, however they are abbreviated, written in full
 * card: all digits but the last, which keeps the Luhn sum right
 * ssn: all digits
-* name (after a title, or a listed given name before a capitalised word): a
-  listed given name becomes another of its gender and script; other given names
-  are permuted but for the last letter, which often marks gender; the surname
-  is permuted, alike for all who bear it
+* name (after titles, or a listed given name before a capitalised word, with
+  initials): a listed given name becomes another of its gender and script; after
+  a title that tells the gender, others become a listed one; after other titles
+  they are permuted but for the last letter, which often marks gender; initials
+  are permuted, and so is the surname, alike for all who bear it.  Further
+  mentions of its given name or surname alone in the same text, as written or in
+  capitals, are replaced likewise (by what the first name with it got)
 
 Equal entities (after normalising case and punctuation) have equal surrogates
 everywhere, without a table.  Permutations keep distinct entities distinct;
@@ -48,12 +51,17 @@ FEMALE_CYRILLIC = "Анна Вера Елена Ирина Мария Нина 
 MALE_CYRILLIC = "Алексей Андрей Борис Виктор Иван Михаил Павел Сергей".split()
 GIVEN = (FEMALE, MALE, FEMALE_CYRILLIC, MALE_CYRILLIC)
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Señor Señora Sr Sra Г-н Г-жа".split()
+TITLE_MALE = "Mr Herr Monsieur Señor Sr Г-н".split()
 TITLE_FEMALE = "Mrs Ms Miss Frau Madame Mme Señora Sra Г-жа".split()
 
 _LETTER = r"\p{L}"
 _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
-_TITLED = rf"(?<!{_LETTER})(?:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME})?(?!{_LETTER})"
-_KNOWN = rf"(?<!{_LETTER})(?:{'|'.join(n for g in GIVEN for n in g)}) {_NAME}(?!{_LETTER})"
+_INITIAL = r"\p{Lu}\."
+_TITLE = rf"(?:{'|'.join(TITLES)})\.? "
+_TITLED = rf"(?<!{_LETTER})(?:{_TITLE})+(?:{_INITIAL} ?){{0,3}}{_NAME}(?:(?: {_INITIAL}){{0,3}} {_NAME})?(?!{_LETTER})"
+_KNOWN = rf"(?<!{_LETTER})(?:{'|'.join(n for g in GIVEN for n in g)})(?: {_INITIAL}){{0,3}} {_NAME}(?!{_LETTER})"
+#: Capitalised words, which may be further mentions of a name.
+_MENTION = rf"(?<!{_LETTER})\p{{Lu}}{_LETTER}++(?:-{_LETTER}++)*+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _HEX = "[0-9A-Fa-f]{1,4}"
 _IPV6 = rf"(?=[A-Fa-f:]*\d)(?:{_HEX}(?::{_HEX}){{7}}|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)"
@@ -246,18 +254,46 @@ def _listed(name: Column, tweak: Column) -> Column:
 
 
 def _title_of(m: Column) -> Column:
-    return F.regexp_extract(m, rf"^((?:{'|'.join(TITLES)})\.? )?", 1)
+    return F.regexp_extract(m, rf"^((?:{_TITLE})*)", 1)
 
 
 def _words(m: Column) -> Column:
-    """The words of a name, without its title."""
-    return F.split(F.substr(m, F.length(_title_of(m)) + 1, F.length(m)), " ")
+    """The words of a name, without its titles."""
+    return F.split(F.regexp_replace(F.substr(m, F.length(_title_of(m)) + 1, F.length(m)), r"\.(?=\p{L})", ". "), " ")
+
+
+def _middle(m: Column) -> Column:
+    """Initials between the given name (or first initial) and the surname."""
+    return F.array_join(F.slice(_words(m), F.lit(2), F.greatest(F.size(_words(m)) - 2, F.lit(0))), " ")
+
+
+def _gender(m: Column) -> Column:
+    """Gender that a title tells for a given name that is not listed: f, m or empty."""
+    given = _words(m)[0]
+
+    def titled(own: list[str]) -> Column:
+        return m.rlike(rf"^(?:{_TITLE})*(?:{'|'.join(own)})\.? ")
+
+    open_ = (F.size(_words(m)) > 1) & ~given.isin(*(n for g in GIVEN for n in g)) & ~F.endswith(given, F.lit("."))
+    return F.when(open_ & titled(TITLE_FEMALE), "f").when(open_ & titled(TITLE_MALE), "m").otherwise("")
+
+
+def _drawn(m: Column, tweak: Column) -> Column:
+    """A listed name of the title's gender and the given name's script; null
+    without such a title."""
+    given, out = _words(m)[0], F.lit(None).cast("string")
+    for k, group in enumerate(GIVEN):
+        names = F.array(*map(F.lit, group))
+        at = (_number(tweak, F.lit("drawn"), given) % len(group)).cast("int")
+        script = given.rlike(r"\p{IsCyrillic}") == F.lit(k >= 2)
+        out = F.when((_gender(m) == ("f", "m")[k % 2]) & script, F.get(names, at)).otherwise(out)
+    return out
 
 
 def _parts(m: Column, kind: Column) -> Column:
     """What is permuted, as arrays of characters: the body of an entity; of a
-    name its surname and its given name, whose last letter often marks gender
-    and stays."""
+    name its surname, its given name, whose last letter often marks gender and
+    stays, and its initials."""
     digits = _digits(m)
     given = _words(m)[0]
     return (
@@ -267,7 +303,8 @@ def _parts(m: Column, kind: Column) -> Column:
         .when(kind == "card", F.array(_chars(F.substr(digits, F.lit(1), F.length(digits) - 1))))
         .when(kind == "ssn", F.array(_chars(digits)))
         .when(kind == "name", F.array(
-            _normal(F.element_at(_words(m), -1)), _normal(F.substr(given, F.lit(1), F.length(given) - 1))))
+            _normal(F.element_at(_words(m), -1)), _normal(F.substr(given, F.lit(1), F.length(given) - 1)),
+            _normal(_middle(m))))
         .otherwise(F.array().cast("array<array<string>>")))
 
 
@@ -282,7 +319,8 @@ def _assembled(m: Column, kind: Column, parts: Column, tweak: Column) -> Column:
     unlisted = F.concat(_recased(F.get(parts, F.lit(1)), _chars(given)), F.substring(given, -1, 1))
     named = F.concat(
         _title_of(m),
-        F.when(F.size(_words(m)) > 1, F.concat(F.coalesce(_listed(given, tweak), unlisted), F.lit(" "))).otherwise(""),
+        F.when(F.size(_words(m)) > 1, F.concat(F.coalesce(_listed(given, tweak), _drawn(m, tweak), unlisted), F.lit(" "))).otherwise(""),
+        F.when(F.size(_words(m)) > 2, F.concat(_recased(F.get(parts, F.lit(2)), _chars(_middle(m))), F.lit(" "))).otherwise(""),
         _recased(first, _chars(F.element_at(_words(m), -1))))
     digits = F.when(kind == "card", card(F.array_join(first, ""))).otherwise(first)
     return (
@@ -316,7 +354,7 @@ def normalised(m: Column, kind: Column) -> Column:
         .when(kind.isin("ip") & F.contains(m, F.lit(":")), _ipv6(m))
         .when(kind.isin("phone"), _national(m))
         .when(kind.isin("ssn", "card"), _digits(m))
-        .when(kind.isin("name"), F.substr(m, F.length(_title_of(m)) + 1, F.length(m)))
+        .when(kind.isin("name"), F.concat(F.array_join(_words(m), " "), _gender(m)))
         .otherwise(m))
 
 
@@ -353,6 +391,34 @@ def exceptions(docs: DataFrame, key: str) -> DataFrame | None:
     return None if moved.isEmpty() else moved
 
 
+def _own_words(named: Column) -> Column:
+    """Struct of arrays: given names and surnames of a text's names, as written
+    and in capitals, and what stands for them."""
+    def of(x: Column) -> Column:
+        def pair(old: Column, new: Column) -> Column:
+            return F.struct(old.alias("old"), new.alias("new"))
+
+        def pairs(w: Column) -> Column:
+            own = [(F.element_at(w["old"], k), F.element_at(w["new"], k)) for k in (-1, 1)]
+            return F.array(*(pair(*p) for p in own), *(pair(F.upper(o), F.upper(n)) for o, n in own))
+
+        return _let(pair(_words(x["m"]), _words(x["new"])), pairs)
+
+    return _let(F.array_distinct(F.flatten(F.transform(named, of))), lambda p: F.struct(
+        F.transform(p, lambda x: x["old"]).alias("old"), F.transform(p, lambda x: x["new"]).alias("new")))
+
+
+def _mentions_replaced(gap: Column, words: Column) -> Column:
+    """``gap`` (text between entities) with ``words`` replaced, each as a whole
+    or as a part of a hyphenated word."""
+    def of(w: Column) -> Column:
+        return F.get(words["new"], (F.array_position(words["old"], w) - 1).cast("int"))
+
+    new = F.transform(F.regexp_extract_all(gap, F.lit(_MENTION), F.lit(0)), lambda w: F.coalesce(
+        of(w), F.array_join(F.transform(F.split(w, "-"), lambda x: F.coalesce(of(x), x)), "-")))
+    return F.array_join(F.zip_with(F.split(gap, _MENTION, -1), new, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
+
+
 def _replaced(text: Column, key: str, attempts: Column | None) -> Column:
     """(new text, kinds of the entities replaced) of a text."""
 
@@ -362,12 +428,15 @@ def _replaced(text: Column, key: str, attempts: Column | None) -> Column:
             if attempts is not None:
                 name = F.concat_ws("\x1f", kind, normalised(m, kind))
                 attempt = F.coalesce(F.try_element_at(attempts, name), F.lit(0))
-            return F.struct(kind.alias("kind"), F.when(kind.isNull(), m).otherwise(surrogate(m, kind, key, attempt)).alias("new"))
+            return F.struct(m.alias("m"), kind.alias("kind"), F.when(kind.isNull(), m).otherwise(surrogate(m, kind, key, attempt)).alias("new"))
 
         return _let(entity_type(m), of)
 
     def whole(found: Column) -> Column:
         gaps = F.split(text, _ANY, -1)
+        named = F.filter(found, lambda x: F.coalesce(x["kind"] == "name", F.lit(False)))
+        gaps = F.when(F.size(named) > 0, _let(_own_words(named), lambda words: F.transform(
+            gaps, lambda g: _mentions_replaced(g, words)))).otherwise(gaps)
         return F.struct(
             F.array_join(F.zip_with(gaps, found, lambda g, x: F.concat(g, F.coalesce(x["new"], F.lit("")))), "").alias("text"),
             F.filter(F.transform(found, lambda x: x["kind"]), lambda k: k.isNotNull()).alias("kinds"))

@@ -116,6 +116,36 @@ def test_script_and_gender(spark):
     assert all("а" <= c.lower() <= "ё" for c in first.split()[2])
 
 
+def test_initials_titles_and_gender(spark):
+    out = replaced(spark, ["John Q. Smith", "Dr. J. Smith", "Mrs Jennifer Smith", "Herr Ottokar Schmidt", "Prof. Dr. Anna B. C. Weber", "Г-жа Зинаида Петрова",
+                           "Mrs J. Smith"])
+    assert all(kinds == ["name"] for _, kinds in out)
+    john, doctor, mrs, herr, prof, russian, initial = (t.split(" ") for t, _ in out)
+    assert john[0] in pii.MALE and re.fullmatch(r"[A-Z]\.", john[1]) and john[2] == doctor[2] == mrs[2] == initial[2] != "Smith"
+    assert doctor[0] == "Dr." and re.fullmatch(r"[A-Z]\.", doctor[1]) and re.fullmatch(r"[A-Z]\.", initial[1])
+    assert mrs[1] in pii.FEMALE and herr[1] in pii.MALE and russian[1] in pii.FEMALE_CYRILLIC
+    assert prof[:2] == ["Prof.", "Dr."] and prof[2] in pii.FEMALE and len(prof) == 6 and prof[5] != "Weber"
+
+
+def test_further_mentions_in_the_same_text(spark):
+    text, other, swapped = (t for t, _ in replaced(spark, [
+        "Anna Schmidt came. Schmidt's car, SCHMIDT, Schmidt-Haus; Anna left. Schmidtke and anna stayed.", "Schmidt and Anna",
+        "Anna Schmidt, Maria Weber: Anna, Maria, Weber, Schmidt"]))
+    given, surname = text.split(" ")[:2]
+    assert given in pii.FEMALE and given != "Anna" and surname != "Schmidt"
+    assert text == (f"{given} {surname} came. {surname}'s car, {surname.upper()}, {surname}-Haus; {given} left. Schmidtke and anna stayed.")
+    assert other == "Schmidt and Anna"
+    names, mentions = swapped.split(": ")
+    (a, b), (c, d) = (x.split(" ") for x in names.split(", "))
+    assert mentions.split(", ") == [a, c, d, b]
+
+
+def test_names_drawn_for_a_title_stay_distinct(spark):
+    own = [f"Mrs {a}{b}la Smith" for a in "BCDFGHKL" for b in "aeiou"]
+    out = [t for t, _ in replaced(spark, own)]
+    assert len(set(out)) == len(own) and all(t.split(" ")[1] in pii.FEMALE for t in out)
+
+
 @pytest.mark.parametrize("make", [
     lambda r: ".".join(str(r.randrange(256)) for _ in range(4)),
     lambda r: f"{r.randrange(1000):03}-{r.randrange(100):02}-{r.randrange(10000):04}",

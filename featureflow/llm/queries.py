@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, language, packing, pii, quality, secrets, simhash, token_files, toxicity, warc
+from . import collocations, common, decontamination, language, packing, pii, quality, secrets, simhash, token_files, toxicity, warc
 
 #: Vocabulary file of the token queries (a parameter of the operators).
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -144,9 +144,51 @@ FROM r
 """
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), longest=4, least=30, scale=2_000_000, share=80, top=2000)
+
+
+OP11_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+), total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, g, count(*) AS f
+  FROM (SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: list_slice(w, i, i + k - 1))) AS g
+        FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)
+  GROUP BY lang, g HAVING count(*) >= 30
+), cuts AS (
+  SELECT c.lang, c.g, c.f AS a, k, x.f AS l, y.f AS r,
+    CAST(2000000::HUGEINT * c.f // (x.f + y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1) c
+  JOIN f x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, k)
+  JOIN f y ON y.lang = c.lang AND y.g = list_slice(c.g, k + 1, len(c.g))
+), low AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), cover AS (
+  SELECT lang, g, max(f) AS f
+  FROM (SELECT lang, f, unnest(list_transform(range(1, len(g) - n + 2), lambda i: list_slice(g, i, i + n - 1))) AS g
+        FROM f, (SELECT unnest([2, 3]) AS n) WHERE len(g) > n)
+  GROUP BY lang, g
+), kept AS (
+  SELECT low.* FROM low LEFT JOIN cover USING (lang, g)
+  WHERE cover.f IS NULL OR 100::HUGEINT * cover.f < 80::HUGEINT * low.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank,
+  array_to_string(g, ' ') AS phrase, a, l, r, n, score
+FROM kept JOIN total USING (lang)
+QUALIFY rank <= 2000
+"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_quality_rules, op3_toxicity, op4_pii_surrogates, op5_best_fit_packing, op6_simhash_near_dedup, op7_decontamination, op8_token_files,
-    op9_language_id, op10_warc)}
+    op9_language_id, op10_warc, op11_phrase_collocations)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op7_decontamination": OP7_SQL, "op10_warc": OP10_SQL}
+ORACLES: dict[str, str] = {"op7_decontamination": OP7_SQL, "op10_warc": OP10_SQL,
+                           "op11_phrase_collocations": OP11_SQL}

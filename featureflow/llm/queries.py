@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, common, decontamination, language, packing, pii, quality, secrets, simhash, token_files, toxicity, warc
+from . import collocations, common, conversations, decontamination, language, multi_length, packing, pii, quality, secrets, simhash, token_files, toxicity, warc
 
 #: Vocabulary file of the token queries (a parameter of the operators).
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -185,10 +185,89 @@ QUALIFY rank <= 2000
 """
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, repaired = conversations.repair(table(spark, sf_dir, "conversations"))
+    return found.join(conversations.digests(repaired), "key", "left").select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+#: Damage, faults and edits stated plainly: the least (cost, audit) by state, row
+#: after row; insertions before a row and at the end are listed by state.
+OP12_SQL = """
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(
+      coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)), 4294967295::BIGINT) % 20 AS kind
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS again
+  FROM src WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    left(role, 1) AS c, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS mark
+  FROM damaged
+), rows AS (
+  SELECT *, CASE WHEN mark = '' THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN mark NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair
+  FROM placed
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM rows GROUP BY conv_id
+), inserted(p, r, lines) AS (
+  VALUES (0, 0, []::VARCHAR[]), (0, 2, ['user:']), (0, 3, ['user:', 'assistant:']), (1, 1, []), (1, 2, ['user:']),
+    (1, 3, ['user:', 'assistant:']), (2, 2, []), (2, 3, ['assistant:']), (3, 3, []), (3, 2, ['user:'])
+), moves(r, c, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+edits AS (
+  SELECT conv_id, i, r, q, 'K' AS edit, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS cost, [role || ':' || text] AS lines
+  FROM rows JOIN moves USING (c) WHERE fault IN ('', 'truncated')
+  UNION ALL
+  SELECT conv_id, i, r, q, 'R', CASE fault WHEN 'truncated' THEN 6 ELSE 3 END, [CASE m.c WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || text]
+  FROM rows, (SELECT * FROM moves WHERE c <> 's') m WHERE fault IN ('', 'truncated')
+  UNION ALL
+  SELECT conv_id, i, r, r, 'D', 4, []::VARCHAR[] FROM rows, (SELECT unnest([0, 1, 2, 3]) AS r)
+), best(conv_id, i, state, cost, audit, lines) AS (
+  SELECT conv_id, 0::BIGINT, 0, 0::BIGINT, '', []::VARCHAR[] FROM counted
+  UNION ALL
+  SELECT * FROM (
+    SELECT b.conv_id, e.i, e.q, b.cost + 3 * len(s.lines) + e.cost AS cost, b.audit || repeat('I', len(s.lines)) || e.edit AS audit,
+      list_concat(list_concat(b.lines, s.lines), e.lines)
+    FROM best b JOIN inserted s ON s.p = b.state
+    JOIN edits e ON e.conv_id IS NOT DISTINCT FROM b.conv_id AND e.i = b.i + 1 AND e.r = s.r
+    QUALIFY row_number() OVER (PARTITION BY b.conv_id, e.q ORDER BY b.cost + 3 * len(s.lines) + e.cost,
+      b.audit || repeat('I', len(s.lines)) || e.edit) = 1)
+), done AS (
+  SELECT b.conv_id, b.cost + 3 * len(s.lines) AS cost, b.audit || repeat('I', len(s.lines)) AS audit, list_concat(b.lines, s.lines) AS lines
+  FROM best b JOIN counted n ON n.conv_id IS NOT DISTINCT FROM b.conv_id AND n.n = b.i JOIN inserted s ON s.p = b.state
+  WHERE s.r IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY b.conv_id ORDER BY b.cost + 3 * len(s.lines), b.audit || repeat('I', len(s.lines))) = 1
+)
+SELECT o.conv_id, coalesce(n.gaps, 0) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate,
+  coalesce(n.truncated, 0) AS truncated, coalesce(n.illegal, 0) AS illegal, coalesce(d.cost, 0) AS cost, coalesce(d.audit, '') AS audit,
+  sha256(coalesce(array_to_string(d.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted n ON n.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+def op13_multi_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_length.pack_multi_length(table(spark, sf_dir, "documents"), TOKENIZER, end_id=0, sizes=(1024, 512, 256, 128))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_quality_rules, op3_toxicity, op4_pii_surrogates, op5_best_fit_packing, op6_simhash_near_dedup, op7_decontamination, op8_token_files,
-    op9_language_id, op10_warc, op11_phrase_collocations)}
+    op9_language_id, op10_warc, op11_phrase_collocations, op12_conversation_repair, op13_multi_length_packing)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {"op7_decontamination": OP7_SQL, "op10_warc": OP10_SQL,
-                           "op11_phrase_collocations": OP11_SQL}
+                           "op11_phrase_collocations": OP11_SQL, "op12_conversation_repair": OP12_SQL}

@@ -4,6 +4,7 @@
 * archive: one topic -> identity -> Parquet archive
 * quarantine: one topic -> records that do not decode -> Parquet
 * replay:  archive files -> process -> feature table (publishing optional)
+* fold:    archive batches -> files by date (scheduled maintenance)
 * dev:     JSON-lines folders -> process -> console
 * fixture: JSON-lines folders -> process -> expected rows + inputs with samples
 * check:   inline samples -> process -> compared with the expected rows
@@ -12,7 +13,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Collection
 from dataclasses import replace
 from typing import Callable
 
@@ -23,18 +26,18 @@ from pyspark.sql.streaming import StreamingQuery
 from featureflow.config import InputSpec, JobConfig, OutputSpec
 from featureflow.functions.codec import BAD, CORRUPT, JSON_OPTIONS, REASON, output_topic
 from featureflow.functions.schema import conform
+from featureflow.operators.archive import NO_DATE, TIME, TopicArchive
 from featureflow.operators.checks import assert_rows, compare_rows, expected_frame
 from featureflow.operators.store import FeatureStore
-from featureflow.session import ensure_dir, scratch_dir
+from featureflow.session import create_marker, ensure_dir, read_marker, scratch_dir
 from featureflow.sources.files import (
-    archive_streams,
     folder_location,
     json_frame,
     json_line_streams,
     sample_frame,
 )
 from featureflow.sources.topics import read_topic_checked, read_topics
-from featureflow.streaming.runner import checkpoint_path, claim_run, run_bounded, start_stream
+from featureflow.streaming.runner import BatchWriter, checkpoint_path, claim_run, run_bounded, start_stream
 from featureflow.streaming.sinks import (
     archive_writer,
     fan_out,
@@ -118,29 +121,96 @@ def quarantine_base(cfg: JobConfig) -> str:
     return f"{cfg.bucket.rstrip('/')}/quarantine"
 
 
-def replay_job(spark: SparkSession, cfg: JobConfig, process: Process,
-               bounded: bool = True, publish: bool = False, transport=None,
-               max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Archived topics -> process -> feature table (and the topic if asked).
+def topic_archive(cfg: JobConfig, inp: InputSpec, time_column: str = TIME, **options) -> TopicArchive:
+    """The archive of one of the app's topics."""
+    return TopicArchive(archive_base(cfg), cfg.app_name, inp, time_column, **options)
 
-    Uses its own checkpoint and run id, so it never overwrites batches of the
-    live run in the shared feature table.
-    """
-    dfs = archive_streams(spark, archive_base(cfg), cfg.app_name, cfg.inputs,
-                          cfg.files.max_file_age, max_files_per_trigger)
-    df = process(dfs)
+
+def fold_archive_job(spark: SparkSession, cfg: JobConfig, time_column: str = TIME, expire: bool = False,
+                     ended: Collection[str] = ()) -> dict[str, int]:
+    """Fold the new batches of every topic's archive into files by date; the
+    number of each topic's manifest.  Meant to run on a schedule beside archive
+    and replay jobs; with ``expire`` it then deletes what no reader needs."""
+    done = {}
+    for inp in cfg.inputs:
+        archive = topic_archive(cfg, inp, time_column)
+        done[inp.topic] = archive.compact(spark, ended).number
+        if expire:
+            archive.expire(spark)
+    return done
+
+
+def _replay_writer(spark: SparkSession, cfg: JobConfig, publish: bool, transport) -> tuple[FeatureStore, BatchWriter]:
     store = feature_store(cfg)
-    df = conform(df, store.schema)  # fail at start; both sinks get the declared columns
     writers = [store.writer(cfg.code_version, cfg.run_id)]
     if publish:
         if transport is None:
             raise ValueError("publishing a replay needs a transport")
         topic = output_topic(cfg.app_name, cfg.code_version)
         writers.insert(0, topic_writer(transport, topic, store.keys))
+    return store, fan_out(*writers)
+
+
+def _pins(cp: str) -> str:
+    """Name by which a replay pins manifests: that of its checkpoint."""
+    return hashlib.sha256(cp.encode()).hexdigest()[:24]
+
+
+def replay_job(spark: SparkSession, cfg: JobConfig, process: Process,
+               bounded: bool = True, publish: bool = False, transport=None,
+               max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Archived topics -> process -> feature table (and the topic if asked).
+
+    Uses its own checkpoint and run id, so it never overwrites batches of the
+    live run in the shared feature table.  It is bound to the manifests that it
+    started with (``end_replay`` sets them free), so it may run, stop and go on
+    while its archive is folded.
+    """
     cp = checkpoint_path(cfg.bucket, cfg.checkpoint_location, cfg.app_name,
                          cfg.code_version, "replay")
+    options = {"maxFileAge": cfg.files.max_file_age}
+    if max_files_per_trigger:
+        options["maxFilesPerTrigger"] = str(max_files_per_trigger)
+    archives = [topic_archive(cfg, inp) for inp in cfg.inputs]
+    df = process([a.stream(spark, a.pin(spark, _pins(cp)), options) for a in archives])
+    store, write = _replay_writer(spark, cfg, publish, transport)
+    df = conform(df, store.schema)  # fail at start; both sinks get the declared columns
+    claim_run(spark, _runs_root(cfg, f"v{cfg.code_version}"), cfg.run_id, cp)
+    return start_stream(df, write, cfg.output, cp, bounded)
+
+
+def ordered_replay_job(spark: SparkSession, cfg: JobConfig, process: Process, time_column: str = TIME,
+                       publish: bool = False, transport=None) -> list[StreamingQuery]:
+    """Replay a folded archive in time order, a date at a time on one
+    checkpoint, and at last the batches that are not folded yet.  Whatever the
+    order of files, no row of a date is behind the watermark of an earlier one.
+    It runs to the end of what the archive has; the queries that ran."""
+    cp = checkpoint_path(cfg.bucket, cfg.checkpoint_location, cfg.app_name,
+                         cfg.code_version, "ordered-replay")
     claim_run(spark, _runs_root(cfg, f"v{cfg.code_version}"), cfg.run_id, cp)
-    return start_stream(df, fan_out(*writers), cfg.output, cp, bounded)
+    archives = [topic_archive(cfg, inp, time_column) for inp in cfg.inputs]
+    pinned = [a.pin(spark, _pins(cp)) for a in archives]
+    names = {n for a, m in zip(archives, pinned) for n in a.slices(m)}
+    store, write = _replay_writer(spark, cfg, publish, transport)
+    done = []
+    # Rows without a time first, dates in order, raw batches last.
+    for name in sorted(names, key=lambda n: (n == "", n != NO_DATE, n)):
+        marker = f"{cp}_slices/{name or 'raw'}"
+        if name and read_marker(spark, marker) is not None:
+            continue  # done before a restart
+        # The first batch of a start takes all files of the slice, also old ones.
+        df = process([a.stream_slice(spark, m, name, {"maxFileAge": "36500d"}) for a, m in zip(archives, pinned)])
+        done.append(run_bounded(conform(df, store.schema), write, cfg.output, cp))
+        create_marker(spark, marker, cfg.run_id)
+    return done
+
+
+def end_replay(spark: SparkSession, cfg: JobConfig) -> None:
+    """Set free the manifests that the app's replays are bound to."""
+    for job in ("replay", "ordered-replay"):
+        cp = checkpoint_path(cfg.bucket, cfg.checkpoint_location, cfg.app_name, cfg.code_version, job)
+        for inp in cfg.inputs:
+            topic_archive(cfg, inp).unpin(spark, _pins(cp))
 
 
 def dev_job(spark: SparkSession, cfg: JobConfig, process: Process, base_folder: str,

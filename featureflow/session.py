@@ -170,6 +170,16 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     return [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
 
 
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in ``path`` (empty when it does not exist), without
+    those still being written."""
+    fs, p = _hadoop_path(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [st.getPath().getName() for st in fs.listStatus(p) if st.isFile()]
+    return [n for n in names if not n.startswith((".", "_")) and not n.endswith(".tmp")]
+
+
 def delete_dir(spark: SparkSession, path: str, inside: str) -> bool:
     """Delete folder ``path`` recursively; refuses anything not strictly
     below ``inside``."""

@@ -1,45 +1,49 @@
-"""Connected components of a graph given as edges, by alternating stars.
+"""Connected components of a graph given as edges.
 
-Every round points nodes at the smallest node of their neighbourhood (large
-star: the larger neighbours; small star: the smaller ones), by a grouped
-minimum and a join, so no neighbourhood is gathered in one place.  Rounds grow
-with the logarithm of the longest path; each is stored before the next.
+An edge (u, v) with u > v says that v is a parent of u.  A round makes the least
+parent of each node the parent of its other parents too (which joins them), and
+then points every edge to its parent's parent.  The graph is flat when no
+node has two parents and no parent is a child; a round counts what is not flat as
+it writes, so there is no job that only looks.
+
+A node has few parents (one per task that found it), so they meet in a window;
+a root may have any number of children, which only meet it in a join that Spark
+can split.  Rounds grow with the logarithm of the longest path.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    both = e.union(e.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least).distinct()
-
-
-def _state(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _round(e: DataFrame, seen: Observation) -> DataFrame:
+    parents = W.partitionBy("u").orderBy("v")
+    ranked = e.select("u", "v", F.first("v").over(parents).alias("least"), F.lag("v").over(parents).alias("before"))
+    first, new = F.col("before").isNull(), F.col("v") != F.col("before")
+    joined = ranked.where(first | new).select(
+        F.when(first, F.col("u")).otherwise(F.col("v")).alias("u"), F.col("least").alias("v"), (~first).alias("several"))
+    above = joined.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("up"))
+    return (
+        joined.join(above, "v", "left")
+        .observe(seen, F.count_if(F.col("several") | F.col("up").isNotNull()).alias("open"))
+        .select("u", F.coalesce("up", "v").alias("v"))
+    )
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """node, root for every node of ``edges`` (two long columns, either order,
-    repeats allowed); root is the smallest node of its component."""
+    """node, root for every node of ``edges`` (two long columns, a stored table,
+    either order, repeats allowed); root is the smallest node of its component."""
     a, b = (F.col(c) for c in edges.columns)
-    e = common.stored(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), label)
-    state = _state(e)
-    while state[0]:
-        e = common.stored(_small_star(_large_star(e)), label)
-        before, state = state, _state(e)
-        if state == before:
+    e = edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    while True:
+        seen = Observation()
+        e = common.stored(_round(e, seen), label)
+        if not seen.get["open"]:
             break
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
+    flat = e.distinct()
+    return flat.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

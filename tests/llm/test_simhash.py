@@ -77,7 +77,63 @@ def test_edge_cases(edge, empty):
     kept = simhash.keep_one(edge)
     assert kept.columns == edge.columns
     ids = sorted((r["doc_id"] for r in kept.collect()), key=str)
-    assert ids == sorted([1, 2, 6, None, None, 8, 9, 10, 11], key=str)
+    # One row of every group, named or not: the null text without an id is in
+    # the group of the empty texts.
+    assert ids == sorted([1, 2, 6, None, 8, 9, 10, 11], key=str)
+
+
+def test_one_row_of_every_group_stays(spark):
+    """Rows that share an id, or have none, are told apart by their texts."""
+    rows = [(1, "alpha beta gamma delta epsilon", "a"), (1, "quite another text with other words in it", "b"),
+            (2, "and a third one that is like neither of them", "c"), (None, "alpha beta gamma delta epsilon", "d"),
+            (None, "nobody named this text and it has no copy", "e"), (None, "nobody named this text and it has no copy", "e"),
+            (1, "quite another text with other words in it", "f"), (3, "", "g"), (None, None, "h"), (4, None, "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = sorted((tuple(r) for r in simhash.keep_one(df).collect()), key=str)
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[1] or "", []).append(r)
+    assert len(kept) == len(groups)
+    for r in kept:
+        own = groups.pop(r[1] or "")
+        assert r in own and (r[0] is not None or all(x[0] is None for x in own))
+        assert r[0] == min((x[0] for x in own if x[0] is not None), default=None)
+    assert sorted((tuple(r) for r in simhash.keep_one(df.orderBy("source")).collect()), key=str) == kept
+
+
+@pytest.mark.parametrize("linked", [False, True])
+def test_cost_of_a_dense_bucket(linked):
+    """Fifty thousand fingerprints in one bucket: far from all pairs compared."""
+    rng = np.random.default_rng(7)
+    if linked:
+        centre = np.uint64(rng.integers(0, 1 << 63))
+        fps = np.full(50_000, centre, np.uint64)
+        for _ in range(3):
+            fps ^= np.uint64(1) << rng.integers(32, 64, len(fps)).astype(np.uint64)
+    else:
+        fps = rng.integers(0, 1 << 32, 50_000, dtype=np.uint64) << np.uint64(32)
+    fps, compared = np.unique(fps), 0
+
+    class Counted(simhash.Ring):
+        def near(self, one, others, start):
+            nonlocal compared
+            compared += len(others)
+            return super().near(one, others, start)
+
+    found = Counted(3).forest(fps, 0)
+    forest = simhash._Forest()
+    for a, b in found:
+        forest.join(a, b)
+    groups = brute_groups(fps[:300].tolist()) if not linked else None
+    if linked:
+        assert len({forest.find(k) for k in range(len(fps))}) == 1
+    else:
+        whole = {k: forest.find(k) for k in range(300)}
+        for a in range(300):
+            for b in range(a):
+                if groups[int(fps[a])] == groups[int(fps[b])]:
+                    assert whole[a] == whole[b]
+    assert compared < len(fps) ** 2 / 8
 
 
 def dense(seed, centres, each, most):

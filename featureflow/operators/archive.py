@@ -177,20 +177,32 @@ class TopicArchive:
             return raw
         return self._decoded(raw)
 
-    def slices(self, manifest: Manifest) -> list[str]:
-        """Names of the parts of a replay in time order: the dates folded, then
-        the raw batches that are not (an empty name)."""
-        return [*manifest.between(None, None), ""]
-
-    def stream_slice(self, spark: SparkSession, manifest: Manifest, name: str, options: dict[str, str]) -> DataFrame:
+    def slices(self, manifest: Manifest, slice_rows: int) -> list[list[str]]:
+        """Parts of a replay in time order: runs of dates that together have
+        ``slice_rows`` rows at most (or one date), then the raw batches that are
+        not folded in (an empty list)."""
+        out: list[list[str]] = []
+        held = 0
+        for d in manifest.between(None, None):
+            n = sum(rows for _, rows in manifest.dates[d])
+            if not out or held + n > slice_rows:
+                out.append([])
+                held = 0
+            out[-1].append(d)
+            held += n
+        return [*out, []]
+
+    def stream_slice(self, spark: SparkSession, manifest: Manifest, dates: list[str], options: dict[str, str]) -> DataFrame:
         """Decoded rows of one slice."""
-        if name:
-            held = ",".join(g for g, _ in manifest.dates.get(name, [])) or "none"
-            path = f"{self.folded}/data/{_GENERATION}={{{held}}}/{_DATE}={name}"
-            if held == "none":
-                path = ensure_dir(spark, f"{self.folded}/no-data")
-            return self._decoded(self._stream(spark, path, self.record, options))
-        return self._decoded(self._stream(spark, self.raw, self._raw_schema(), options).where(self._after(manifest.folded)))
+        if not dates:
+            return self._decoded(self._stream(spark, self.raw, self._raw_schema(), options).where(self._after(manifest.folded)))
+        own = {d: manifest.dates[d] for d in dates if d in manifest.dates}
+        root, generations = f"{self.folded}/data", sorted({g for held in own.values() for g, _ in held})
+        if not own:
+            return self._decoded(self._stream(spark, f"{self.folded}/no-data", self.record, options))
+        path = f"{root}/{_GENERATION}={{{','.join(generations)}}}/{_DATE}={{{','.join(sorted(own))}}}"
+        rows = self._stream(spark, path, self._folded_schema(), {**options, "basePath": root})
+        return self._decoded(rows.where(self._held(own)))
 
     def _stream(self, spark: SparkSession, path: str, schema: T.StructType, options: dict[str, str]) -> DataFrame:
         if "{" not in path:

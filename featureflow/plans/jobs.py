@@ -26,7 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 from featureflow.config import InputSpec, JobConfig, OutputSpec
 from featureflow.functions.codec import BAD, CORRUPT, JSON_OPTIONS, REASON, output_topic
 from featureflow.functions.schema import conform
-from featureflow.operators.archive import NO_DATE, TIME, TopicArchive
+from featureflow.operators.archive import TIME, Manifest, TopicArchive
 from featureflow.operators.checks import assert_rows, compare_rows, expected_frame
 from featureflow.operators.store import FeatureStore
 from featureflow.session import create_marker, ensure_dir, read_marker, scratch_dir
@@ -180,28 +180,34 @@ def replay_job(spark: SparkSession, cfg: JobConfig, process: Process,
 
 
 def ordered_replay_job(spark: SparkSession, cfg: JobConfig, process: Process, time_column: str = TIME,
-                       publish: bool = False, transport=None) -> list[StreamingQuery]:
-    """Replay a folded archive in time order, a date at a time on one
-    checkpoint, and at last the batches that are not folded yet.  Whatever the
-    order of files, no row of a date is behind the watermark of an earlier one.
-    It runs to the end of what the archive has; the queries that ran."""
+                       slice_rows: int = 50_000_000, publish: bool = False, transport=None) -> list[StreamingQuery]:
+    """Replay a folded archive in time order on one checkpoint: dates, of which
+    as many make a micro-batch as have ``slice_rows`` rows together, and at last
+    the batches that are not folded yet.  Whatever the order of files, no row
+    is behind the watermark of an earlier slice.  It runs to the end of what the
+    archive has; the queries that ran."""
     cp = checkpoint_path(cfg.bucket, cfg.checkpoint_location, cfg.app_name,
                          cfg.code_version, "ordered-replay")
     claim_run(spark, _runs_root(cfg, f"v{cfg.code_version}"), cfg.run_id, cp)
     archives = [topic_archive(cfg, inp, time_column) for inp in cfg.inputs]
     pinned = [a.pin(spark, _pins(cp)) for a in archives]
-    names = {n for a, m in zip(archives, pinned) for n in a.slices(m)}
+    rows: dict[str, int] = {}
+    for m in pinned:
+        for d, held in m.dates.items():
+            rows[d] = rows.get(d, 0) + sum(n for _, n in held)
+    # The slices of all topics together: the same dates at the same time.
+    together = Manifest(dates={d: [("", n)] for d, n in rows.items()})
     store, write = _replay_writer(spark, cfg, publish, transport)
     done = []
-    # Rows without a time first, dates in order, raw batches last.
-    for name in sorted(names, key=lambda n: (n == "", n != NO_DATE, n)):
-        marker = f"{cp}_slices/{name or 'raw'}"
-        if name and read_marker(spark, marker) is not None:
+    for dates in archives[0].slices(together, slice_rows):
+        marker = f"{cp}_slices/{dates[-1]}" if dates else ""
+        if marker and read_marker(spark, marker) is not None:
             continue  # done before a restart
         # The first batch of a start takes all files of the slice, also old ones.
-        df = process([a.stream_slice(spark, m, name, {"maxFileAge": "36500d"}) for a, m in zip(archives, pinned)])
+        df = process([a.stream_slice(spark, m, dates, {"maxFileAge": "36500d"}) for a, m in zip(archives, pinned)])
         done.append(run_bounded(conform(df, store.schema), write, cfg.output, cp))
-        create_marker(spark, marker, cfg.run_id)
+        if marker:
+            create_marker(spark, marker, cfg.run_id)
     return done
 
 

@@ -28,10 +28,19 @@ DAMAGED_FIELDS = """
                CASE WHEN event_id % 10 = 2 THEN 'null value'
                     WHEN event_id % 10 IN (0, 1) THEN 'malformed' END AS _bad_reason,
                CASE event_id % 10
-                    WHEN 0 THEN '{"event_id":' || event_id || ',"ts":"2024-'
-                    WHEN 1 THEN '{"event_id":' || event_id || ',"value":"not a number"}' END
+                    WHEN 0 THEN left({record}, length({record}) // 2)
+                    WHEN 1 THEN {wrong} END
                  AS _corrupt_record"""
 
+
+def _record(value: str) -> str:
+    """An event as a JSON record."""
+    return f"""('{{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '","user_id":' || user_id
+               || ',"event_type":' || to_json(event_type) || ',"value":' || {value} || ',"props":' || to_json(props) || '}}')"""
+
+
+DAMAGED_FIELDS = DAMAGED_FIELDS.format(record=_record("value"), wrong=_record("'\"not a number\"'"))
+
 ORACLES: dict[str, str] = {
     "topic_decode": f"SELECT {EVENT_COLS} FROM events",
     "topic_decode_bad_rows": f"""
@@ -48,6 +57,16 @@ ORACLES: dict[str, str] = {
                CAST(SUM(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total_value,
                count(*) AS n_events
         FROM events GROUP BY event_type""",
+    "archive_folded_replay": """
+        SELECT phase, event_type,
+               CAST(SUM(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total_value,
+               count(*) AS n_events
+        FROM events, (SELECT unnest(['before', 'during', 'after']) AS phase) GROUP BY phase, event_type""",
+    "archive_ordered_windows": """
+        SELECT date_trunc('day', ts) AS window_start,
+               date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
+               user_id, count(*) AS n_events
+        FROM events GROUP BY ALL""",
     "dual_fanout": f"""
         SELECT 'topic' AS sink, {EVENT_COLS} FROM events
         UNION ALL SELECT 'changelog', {EVENT_COLS} FROM events
@@ -76,10 +95,11 @@ ORACLES: dict[str, str] = {
         FROM k LEFT JOIN ({LATEST_ORDER}) l ON l.o_custkey = k.k""",
     "feature_lookup_list": f"""
         WITH k AS (SELECT c_custkey AS k FROM customer
-                   WHERE c_mktsegment = 'MACHINERY' AND c_nationkey = 3 UNION ALL SELECT -1)
+                   WHERE c_mktsegment = 'MACHINERY' AND c_nationkey = 3
+                   ORDER BY c_custkey LIMIT 1000)
         SELECT l.o_orderkey, k.k AS o_custkey, l.o_orderstatus, l.o_totalprice,
                l.o_orderdate, l.o_orderpriority
-        FROM k LEFT JOIN ({LATEST_ORDER}) l ON l.o_custkey = k.k""",
+        FROM (SELECT k FROM k UNION ALL SELECT -1) k LEFT JOIN ({LATEST_ORDER}) l ON l.o_custkey = k.k""",
     "feature_last_write": """
         SELECT event_id, ts, user_id, event_type,
                CASE WHEN event_type = 'purchase' THEN -value ELSE value END AS value, props
@@ -90,6 +110,19 @@ ORACLES: dict[str, str] = {
                               RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW)
                  AS n_events_7d
         FROM events""",
+    "rolling_count_stream": """
+        SELECT event_id, user_id, ts,
+               count(*) OVER (PARTITION BY user_id ORDER BY ts
+                              RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW)
+                 AS n_events_7d
+        FROM events""",
+    "late_rows_stream": """
+        WITH m AS (SELECT max(ts) AS newest, date_trunc('day', max(ts)) - INTERVAL 9 DAYS AS first_day FROM events)
+        SELECT date_trunc('day', ts) AS window_start, user_id,
+               count(*) FILTER (ts >= first_day) AS n_counted,
+               count(*) FILTER (ts < first_day AND date_trunc('day', ts) + INTERVAL 1 DAY
+                                <= date_trunc('millisecond', newest) - INTERVAL 1 DAY) AS n_late
+        FROM events, m GROUP BY ALL""",
     "windowed_count_stream": """
         SELECT date_trunc('day', ts) AS window_start,
                date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,

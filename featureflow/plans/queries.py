@@ -8,24 +8,34 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featureflow.config import InputSpec, JobConfig, OutputSpec, TableSpec
 from featureflow.functions.codec import CORRUPT, JSON_OPTIONS, REASON, decode, encode, key_json, output_topic
 from featureflow.functions.schema import to_struct
-from featureflow.functions.time import epoch_micros
+from featureflow.functions.time import epoch_micros, to_wall_clock
 from featureflow.operators.checks import compare_rows
 from featureflow.operators.features import interval_join, trailing_count, windowed_count
 from featureflow.operators.registry import current_for, read_history, register
 from featureflow.operators.status import parse_status
 from featureflow.operators.store import FeatureStore
-from featureflow.plans.jobs import archive_base, archive_job, feature_store, live_job, replay_job
+from featureflow.operators.trailing import STATE_SETTINGS, stream_trailing_count
+from featureflow.plans.jobs import (
+    archive_base,
+    archive_job,
+    feature_store,
+    fold_archive_job,
+    live_job,
+    ordered_replay_job,
+    replay_job,
+)
 from featureflow.plans.tables import EVENTS_SCHEMA, ORDERS_SCHEMA, table_path
 from featureflow.session import is_missing_path, scratch_dir
 from featureflow.sources.files import folder_location, json_line_streams, read_json_lines, table_stream
 from featureflow.sources.topics import FileTransport, publish, read_topic_checked, read_topics
+from featureflow.streaming.late import CLOSED, late_split
 from featureflow.streaming.runner import run_bounded
 from featureflow.streaming.sinks import write_batch_folder
 
@@ -88,12 +98,14 @@ def topic_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _damaged(ev: DataFrame) -> DataFrame:
     """Events as topic records, four in ten damaged, each in another way: cut
     short, wrong type, null value, missing field."""
-    full = F.to_json(F.struct(*[F.col(c) for c in ev.columns]), JSON_OPTIONS)
-    no_user = F.to_json(F.struct(*[F.col(c) for c in ev.columns if c != "user_id"]), JSON_OPTIONS)
-    start = F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"))
+    def record(**other) -> Column:
+        own = [other.get(c, F.col(c)) for c in ev.columns]
+        return F.to_json(F.struct(*[v.alias(c) for c, v in zip(ev.columns, own) if v is not None]), JSON_OPTIONS)
+
+    full, no_user = record(), record(user_id=None)
     fault = F.col("event_id") % 10
-    value = (F.when(fault == 0, F.concat(start, F.lit(',"ts":"2024-')))
-             .when(fault == 1, F.concat(start, F.lit(',"value":"not a number"}')))
+    value = (F.when(fault == 0, F.left(full, F.floor(F.length(full) / 2).cast("int")))
+             .when(fault == 1, record(value=F.lit("not a number")))
              .when(fault == 2, F.lit(None).cast("string"))
              .when(fault == 3, no_user)
              .otherwise(full))
@@ -182,6 +194,54 @@ def archive_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "n_events")
 
 
+def archive_folded_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive's totals per type, replayed before it is folded, beside the
+    folding (half of the batches come after it) and from the folded files."""
+    root = scratch_dir(spark, "archive_folded_replay")
+    transport = FileTransport(f"{root}/topics", max_files_per_trigger=2)
+    ev = _read(spark, sf_dir, "events")
+    late = F.coalesce(F.col("event_id") % 2 == 1, F.lit(True))
+    cfg = JobConfig(app_name="events_app", bucket=root, inputs=[EVENTS], run_id=RUN, output=OutputSpec("update"), table=TOTALS_TABLE)
+
+    def archive(part: DataFrame) -> None:
+        publish(part.repartition(8), transport, "events", ["event_id"])
+        archive_job(spark, replace(cfg, output=OutputSpec("append")), EVENTS, transport, bounded=True).awaitTermination()
+
+    def replay(name: str) -> DataFrame:
+        # A replay has a checkpoint per code version.
+        own = replace(cfg, run_id=name, code_version=PHASES.index(name) + 1)
+        replay_job(spark, own, _totals_by_type, bounded=True).awaitTermination()
+        latest = feature_store(own).latest(spark, own.code_version, run_id=name)
+        return latest.select(F.lit(name).alias("phase"), "event_type", F.col("total_value").cast("double").alias("total_value"), "n_events")
+
+    archive(ev.filter(~late))
+    replay("during")
+    archive(ev.filter(late))
+    before = replay("before")
+    fold_archive_job(spark, cfg, "ts")
+    during = replay("during")
+    fold_archive_job(spark, cfg, "ts", expire=True, ended=[RUN])
+    return before.unionByName(during).unionByName(replay("after"))
+
+
+PHASES = ("before", "during", "after")
+
+
+def archive_ordered_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events archived in any order, folded by date and replayed in time order
+    into counts per user and day, with no tolerance for late rows."""
+    root = scratch_dir(spark, "archive_ordered_windows")
+    transport = FileTransport(f"{root}/topics", max_files_per_trigger=2)
+    publish(_read(spark, sf_dir, "events").repartition(6, F.xxhash64("event_id")), transport, "events", ["event_id"])
+    cfg = JobConfig(app_name="events_app", bucket=root, inputs=[EVENTS], run_id=RUN)
+    archive_job(spark, cfg, EVENTS, transport, bounded=True).awaitTermination()
+    fold_archive_job(spark, cfg, "ts", ended=[RUN])
+    rcfg = replace(cfg, run_id="ordered0", output=OutputSpec("update"), table=WINDOW_TABLE)
+    ordered_replay_job(spark, rcfg, lambda dfs: windowed_count(dfs[0], ["user_id"], "ts", "1 day", watermark="0 seconds"), "ts",
+                       slice_rows=max(1, _read(spark, sf_dir, "events").count() // 4))
+    return feature_store(rcfg).latest(spark, VERSION, run_id="ordered0")
+
+
 # ------------------------------------------------------------------- sinks
 
 def dual_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,15 +335,18 @@ def feature_lookup_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_lookup_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest order for a list of keys, given as text: the customers of one
-    nation and market segment, and one unknown key."""
+    """Latest order for a list of keys, given as text: the first customers of
+    one nation and market segment, and one unknown key.  A list is for requests
+    of a bounded size (``LIST_KEYS``); larger ones are key frames."""
     store = _store_from_table(spark, sf_dir, "orders", LATEST_ORDER, "feature_lookup_list")
     asked = (_read(spark, sf_dir, "customer")
              .filter((F.col("c_mktsegment") == "MACHINERY") & (F.col("c_nationkey") == 3))
-             .select("c_custkey").collect())  # the request: a few keys
+             .select("c_custkey").orderBy("c_custkey").limit(LIST_KEYS).collect())
     return store.lookup(spark, VERSION, [(str(r[0]),) for r in asked] + [("-1",)])
 
 
+#: Keys of the largest list request.
+LIST_KEYS = 1_000
 EVENT_VALUES = TableSpec(["event_id"], EVENTS_SCHEMA)
 
 
@@ -347,6 +410,57 @@ def windowed_count_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest(spark, VERSION, run_id=RUN)
 
 
+TRAILING_TABLE = TableSpec(["event_id"], [
+    {"name": "event_id", "type": "long"},
+    {"name": "user_id", "type": "long"},
+    {"name": "ts", "type": "timestamp_ntz"},
+    {"name": "n_events_7d", "type": "long"},
+], order_by=["n_events_7d"])
+
+
+def rolling_count_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with its user's event count over the trailing 7 days, kept
+    live: the events arrive in four parts, each a micro-batch of a stateful
+    stream restarted on its checkpoint."""
+    root = scratch_dir(spark, "rolling_count_stream")
+    store = FeatureStore(f"{root}/store", TRAILING_TABLE)
+    ev = _read(spark, sf_dir, "events")
+    for part in _time_slices(ev):
+        part.write.mode("append").parquet(f"{root}/src")
+        stream = spark.readStream.schema(ev.schema).parquet(f"{root}/src")
+        counts = stream_trailing_count(stream, ["user_id"], "ts", "7 days", "event_id", watermark="1 day", out="n_events_7d")
+        run_bounded(counts, store.writer(VERSION, RUN), OutputSpec("update"), f"{root}/checkpoint",
+                    final_no_data_batch=False, settings=STATE_SETTINGS)
+    return store.latest(spark, VERSION, run_id=RUN)
+
+
+def late_rows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per user and day where the newest ten days arrive first: what the
+    aggregation counted, and what came too late for it and was kept aside."""
+    root = scratch_dir(spark, "late_rows_stream")
+    store = FeatureStore(f"{root}/store", WINDOW_TABLE)
+    ev = _read(spark, sf_dir, "events")
+    newest = F.date_trunc("day", F.lit(ev.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")) - F.expr("INTERVAL 9 DAYS")
+    recent = F.coalesce(F.col("ts") >= newest, F.lit(True))
+
+    def write_late(batch_df: DataFrame, batch_id: int) -> None:
+        write_batch_folder(batch_df, f"{root}/late", {"run_id": RUN, "batch_id": batch_id})
+
+    for part in (ev.filter(recent), ev.filter(~recent)):
+        part.write.mode("append").parquet(f"{root}/src")
+        stream = spark.readStream.schema(ev.schema).parquet(f"{root}/src")
+        both, write = late_split(
+            stream, lambda df: windowed_count(df, ["user_id"], "ts", "1 day", watermark="1 day"), "ts", "1 day", "1 day",
+            f"{root}/watermarks", store.writer(VERSION, RUN), write_late)
+        run_bounded(both, write, OutputSpec("update"), f"{root}/checkpoint")
+    late_schema = T.StructType([*ev.schema.fields, T.StructField(CLOSED, T.LongType())])
+    late = _read_or_empty(spark, f"{root}/late", late_schema).groupBy(
+        to_wall_clock(F.timestamp_micros(CLOSED)).alias("window_start"), "user_id").agg(F.count(F.lit(1)).alias("n_late"))
+    counted = store.latest(spark, VERSION, run_id=RUN).select("window_start", "user_id", F.col("n_events").alias("n_counted"))
+    rows = counted.withColumn("n_late", F.lit(0).cast("long")).unionByName(late.withColumn("n_counted", F.lit(0).cast("long")))
+    return rows.groupBy("window_start", "user_id").agg(F.sum("n_counted").alias("n_counted"), F.sum("n_late").alias("n_late"))
+
+
 INTERACTIONS = ("click", "view")
 
 
@@ -488,6 +602,8 @@ REGISTRY = {
     "archive_bad_rows": archive_bad_rows,
     "stream_identity": stream_identity,
     "archive_replay": archive_replay,
+    "archive_folded_replay": archive_folded_replay,
+    "archive_ordered_windows": archive_ordered_windows,
     "dual_fanout": dual_fanout,
     "topic_encode": topic_encode,
     "feature_latest": feature_latest,
@@ -499,7 +615,9 @@ REGISTRY = {
     "feature_lookup_list": feature_lookup_list,
     "feature_last_write": feature_last_write,
     "rolling_count": rolling_count,
+    "rolling_count_stream": rolling_count_stream,
     "windowed_count_stream": windowed_count_stream,
+    "late_rows_stream": late_rows_stream,
     "multi_input_union": multi_input_union,
     "multi_input_join": multi_input_join,
     "registry_assign": registry_assign,

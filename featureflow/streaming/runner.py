@@ -10,6 +10,8 @@ state of the batch is committed, and Spark checks it.
 from __future__ import annotations
 
 import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Callable
 
 from pyspark.errors import AnalysisException
@@ -68,38 +70,49 @@ def start_stream(df: DataFrame, write: BatchWriter, output: OutputSpec,
 
 def dropped_rows(query: StreamingQuery) -> int:
     """Rows that the watermark dropped as late, over the recent progress of a
-    query: zero means that every row it read was counted."""
+    query (Spark keeps the last 100 batches).  For a whole run add a
+    ``streaming.late.DroppedRows`` listener; to keep the rows, ``late_split``."""
     return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
 
 
 def run_bounded(df: DataFrame, write: BatchWriter, output: OutputSpec,
-                checkpoint: str, final_no_data_batch: bool = True) -> StreamingQuery:
+                checkpoint: str, final_no_data_batch: bool = True,
+                settings: dict[str, str] | None = None) -> StreamingQuery:
     """Run over all available input, wait for the end, raise on failure.
 
     After the last data, Spark runs one more batch to advance the watermark.
     It emits closed windows and outer-join rows; for queries that emit
     nothing on it (inner joins, update mode) ``final_no_data_batch=False``
-    skips it.  The setting is applied only while this query starts (a query
-    keeps its own copy of the session settings).
+    skips it.  That and other ``settings`` are applied only while this query
+    starts (a query keeps its own copy of the session settings).
     """
-    spark = df.sparkSession
-    with _START_LOCK:
-        if final_no_data_batch:
-            q = start_stream(df, write, output, checkpoint, bounded=True)
-        else:
-            before = spark.conf.get(NO_DATA_BATCHES, None)
-            spark.conf.set(NO_DATA_BATCHES, "false")
-            try:
-                q = start_stream(df, write, output, checkpoint, bounded=True)
-            finally:
-                if before is None:
-                    spark.conf.unset(NO_DATA_BATCHES)
-                else:
-                    spark.conf.set(NO_DATA_BATCHES, before)
+    settings = dict(settings or {})
+    if not final_no_data_batch:
+        settings[NO_DATA_BATCHES] = "false"
+    with held_settings(df.sparkSession, settings):
+        q = start_stream(df, write, output, checkpoint, bounded=True)
     q.awaitTermination()
     return q
 
 
+@contextmanager
+def held_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Session settings for a query that starts within; no other query of this
+    module starts meanwhile."""
+    with _START_LOCK:
+        before = {k: spark.conf.get(k, None) for k in settings}
+        try:
+            for k, v in settings.items():
+                spark.conf.set(k, v)
+            yield
+        finally:
+            for k, v in before.items():
+                if v is None:
+                    spark.conf.unset(k)
+                else:
+                    spark.conf.set(k, v)
+
+
 def claim_run(spark: SparkSession, runs_root: str, run_id: str, checkpoint: str) -> None:
     """Tie ``run_id`` to ``checkpoint`` for good.
 

@@ -124,6 +124,16 @@ class AtomicFile:
         self.fs.move(self.temporary, self.path)
 
 
+def own_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, lengthened where ``columns`` has them."""
+    taken = {c.lower() for c in columns}
+
+    def free(name: str) -> str:
+        return free(name + "_") if name.lower() in taken else name
+
+    return [free(name) for name in wanted]
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 4, is 2; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

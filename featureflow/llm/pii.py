@@ -27,12 +27,19 @@ Equal entities (after normalising case and punctuation) have equal surrogates
 everywhere, without a table.  Permutations keep distinct entities distinct;
 what is not a permutation (given names, letters of other scripts) is checked:
 all distinct entities are grouped by surrogate, and of those that collide all
-but one are moved by a higher attempt number until none does.  These few
-exceptions reach their texts by a join on the document.
+but one, and those that would stay as they are, are moved by a higher attempt
+number until there are none.  From attempt ``WIDE`` on a surname gets two more
+letters with each attempt, so a form with fewer surrogates than entities is
+widened; after ``MOST`` rounds what is left keeps its last surrogate (an entity
+whose form has no other, such as a one-letter address).  These few exceptions
+reach their texts by a join on the document.
+
+Candidates are found once and stored with their texts.
 
 Defined results: null texts stay null, empty and clean texts stay as they are;
 repeated rows get equal results; null ids are treated like any other; an empty
-table gives no rows; other columns are ignored or kept, whatever their names.
+table gives no rows; other columns are kept, whatever their names, but a column
+``_pii_kinds`` is replaced.
 """
 
 from __future__ import annotations
@@ -96,6 +103,9 @@ _ANY = "|".join(PATTERNS[t] for t in ("email", "ip", "ssn", "phone", "card", "na
 #: Texts without any of these have no candidate.
 _HINT = rf"[@\d]|{_TITLED}|{_KNOWN}"
 ROUNDS = 4
+#: Attempts from which surnames are lengthened, and rounds of the check.
+WIDE = 3
+MOST = 12
 
 #: Classes of characters that move among themselves.
 CLASSES = (
@@ -330,10 +340,24 @@ def _assembled(m: Column, kind: Column, parts: Column, tweak: Column) -> Column:
         .otherwise(_filled(m, digits)))
 
 
-def surrogate(m: Column, kind: Column, key: str, attempt: Column) -> Column:
-    tweak = F.concat_ws("\x1f", F.lit(key), kind, attempt.cast("string"))
+def _more_letters(m: Column, tweak: Column, attempt: Column) -> Column:
+    """Two letters for each attempt from ``WIDE`` on."""
+    def two(n: Column) -> Column:
+        return F.concat(F.substr(F.lit(CLASSES[2]), (n % 20 + 1).cast("int"), F.lit(1)),
+                        F.substr(F.lit(CLASSES[1]), (F.floor(n / 20) % 6 + 1).cast("int"), F.lit(1)))
+
+    name = F.array_join(_words(m), " ")
+    return F.array_join(F.transform(F.sequence(F.lit(WIDE), attempt), lambda k: two(_number(tweak, name, k.cast("string")))), "")
+
+
+def surrogate(m: Column, kind: Column, key: str, attempt: Column | None) -> Column:
+    """The surrogate of an entity; no attempt is the first."""
+    tweak = F.concat_ws("\x1f", F.lit(key), kind, F.lit("0") if attempt is None else attempt.cast("string"))
     parts = F.transform(_parts(m, kind), lambda p, i: permuted(p, F.concat(tweak, i.cast("string"))))
-    return _let(parts, lambda p: _assembled(m, kind, p, tweak))
+    first = _let(parts, lambda p: _assembled(m, kind, p, tweak))
+    if attempt is None:
+        return first
+    return F.when((kind == "name") & (attempt >= WIDE), F.concat(first, _more_letters(m, tweak, attempt))).otherwise(first)
 
 
 def entity_type(m: Column) -> Column:
@@ -362,31 +386,34 @@ def _candidates(text: Column) -> Column:
     return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """kind, norm, example, surrogate base rows: all distinct entities."""
-    found = docs.select(F.explode(_candidates(F.col("text"))).alias("m")).groupBy("m").count()
+def entities(docs: DataFrame, found: Column | None = None) -> DataFrame:
+    """kind, norm, example rows: all distinct entities of ``text``, whose
+    candidates are in ``found`` if they are known."""
+    found = _candidates(F.col("text")) if found is None else found
+    found = docs.select(F.explode(found).alias("m")).groupBy("m").count()
     typed = found.select("m", entity_type(F.col("m")).alias("kind")).where(F.col("kind").isNotNull())
     return typed.groupBy("kind", normalised(F.col("m"), F.col("kind")).alias("norm")).agg(F.min("m").alias("m"))
 
 
-def exceptions(docs: DataFrame, key: str) -> DataFrame | None:
-    """kind, norm, attempt of entities whose first surrogate collides with
-    another's (all but the smallest are moved); None if there are none."""
+def exceptions(docs: DataFrame, key: str, found: Column | None = None) -> DataFrame | None:
+    """kind, norm, attempt of entities whose first surrogate is another's (all
+    but the smallest are moved) or themselves; None if there are none."""
     def checked(rows: DataFrame) -> DataFrame:
         new = surrogate(F.col("m"), F.col("kind"), key, F.col("attempt"))
         return rows.withColumn("new", new).withColumn("new", normalised(F.col("new"), F.col("kind")))
 
-    rows = common.stored(checked(entities(docs).withColumn("attempt", F.lit(0))), "pii-entities")
-    while True:
+    rows = common.stored(checked(entities(docs, found).withColumn("attempt", F.lit(0))), "pii-entities")
+    same = F.col("new") == F.col("norm")
+    for _ in range(MOST):
         # The smallest of a colliding group stays; the groups are only counted.
         groups = rows.groupBy("kind", "new").agg(
             F.count("*").alias("n"), F.min(F.struct("attempt", "norm")).alias("first")).where("n > 1")
-        if groups.isEmpty():
+        if groups.isEmpty() and rows.where(same).isEmpty():
             break
         stays = F.col("n").isNull() | ((F.col("first.norm") == F.col("norm")) & (F.col("first.attempt") == F.col("attempt")))
         joined = rows.join(groups, ["kind", "new"], "left")
         rows = common.stored(checked(joined.select(
-            "kind", "norm", "m", F.when(stays, F.col("attempt")).otherwise(F.col("attempt") + 1).alias("attempt"))), "pii-entities")
+            "kind", "norm", "m", F.when(stays & ~same, F.col("attempt")).otherwise(F.col("attempt") + 1).alias("attempt"))), "pii-entities")
     moved = rows.where("attempt > 0").select("kind", "norm", "attempt")
     return None if moved.isEmpty() else moved
 
@@ -419,12 +446,12 @@ def _mentions_replaced(gap: Column, words: Column) -> Column:
     return F.array_join(F.zip_with(F.split(gap, _MENTION, -1), new, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
 
 
-def _replaced(text: Column, key: str, attempts: Column | None) -> Column:
+def _replaced(text: Column, candidates: Column, key: str, attempts: Column | None) -> Column:
     """(new text, kinds of the entities replaced) of a text."""
 
     def one(m: Column) -> Column:
         def of(kind: Column) -> Column:
-            attempt = F.lit(0)
+            attempt = None
             if attempts is not None:
                 name = F.concat_ws("\x1f", kind, normalised(m, kind))
                 attempt = F.coalesce(F.try_element_at(attempts, name), F.lit(0))
@@ -442,29 +469,33 @@ def _replaced(text: Column, key: str, attempts: Column | None) -> Column:
             F.filter(F.transform(found, lambda x: x["kind"]), lambda k: k.isNotNull()).alias("kinds"))
 
     clean = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))
-    return _let(F.transform(_candidates(text), one), lambda found: F.when(F.size(found) > 0, whole(found)).otherwise(clean))
+    return _let(F.transform(candidates, one), lambda found: F.when(F.size(found) > 0, whole(found)).otherwise(clean))
 
 
 def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` (all columns) with surrogates in ``text`` and a column
     ``_pii_kinds``: the types of the entities replaced, in order."""
     text = F.col("text")
-    moved = exceptions(docs, key)
+    columns = [c for c in docs.columns if c != "_pii_kinds"]
+    names = common.own_names(columns, "_pii_found", "_pii_hash", "_pii_sha", "_pii_attempts", "_pii")
+    found, hashed, sha, tries, done = names
+    rows = common.stored(docs.select(*(F.col(f"`{c}`") for c in columns)).withColumn(found, _candidates(text)), "pii-candidates")
+    moved = exceptions(rows, key, F.col(found))
     attempts = None
-    rows = docs
     if moved is not None:
         # Only texts that hold an exception learn of it, by a row key made of
         # what the result depends on: the text.
-        marked = docs.select(F.xxhash64(text).alias("_h"), F.sha2(text, 256).alias("_s"), F.explode(F.array_distinct(_candidates(text))).alias("m"))
-        marked = marked.select("_h", "_s", "m", entity_type(F.col("m")).alias("kind")).where("kind is not null")
-        marked = marked.select("_h", "_s", "kind", normalised(F.col("m"), F.col("kind")).alias("norm")).distinct()
-        own = marked.join(moved, ["kind", "norm"]).groupBy("_h", "_s").agg(F.map_from_entries(F.collect_list(F.struct(
-            F.concat_ws("\x1f", "kind", "norm"), "attempt"))).alias("_pii_attempts"))
-        rows = docs.withColumns({"_h": F.xxhash64(text), "_s": F.sha2(text, 256)}).join(own, ["_h", "_s"], "left").drop("_h", "_s")
-        attempts = F.coalesce("_pii_attempts", F.create_map().cast("map<string,int>"))
-    done = rows.withColumn("_pii", F.when(text.isNotNull(), _replaced(text, key, attempts)))
-    columns = [F.col("_pii.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return done.select(*columns, F.coalesce("_pii.kinds", F.array().cast("array<string>")).alias("_pii_kinds"))
+        marks = {hashed: F.xxhash64(text), sha: F.sha2(text, 256)}
+        marked = rows.where(F.size(found) > 0).withColumns(marks).select(hashed, sha, F.explode(F.array_distinct(F.col(found))).alias("m"))
+        marked = marked.select(hashed, sha, "m", entity_type(F.col("m")).alias("kind")).where("kind is not null")
+        marked = marked.select(hashed, sha, "kind", normalised(F.col("m"), F.col("kind")).alias("norm")).distinct()
+        own = marked.join(moved, ["kind", "norm"]).groupBy(hashed, sha).agg(F.map_from_entries(F.collect_list(F.struct(
+            F.concat_ws("\x1f", "kind", "norm"), "attempt"))).alias(tries))
+        rows = rows.withColumns(marks).join(own, [hashed, sha], "left")
+        attempts = F.coalesce(F.col(tries), F.create_map().cast("map<string,int>"))
+    rows = rows.withColumn(done, F.when(text.isNotNull(), _replaced(text, F.col(found), key, attempts)))
+    kept = [F.col(f"{done}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in columns]
+    return rows.select(*kept, F.coalesce(F.col(f"{done}.kinds"), F.array().cast("array<string>")).alias("_pii_kinds"))
 
 
 def new_key() -> str:

@@ -12,8 +12,9 @@ Words: A-Z lower-cased, then runs of digits, a-z and any non-ASCII characters.
 A window: ``window`` consecutive words of an item; an item of fewer words, but
 not none, is one window.
 
-The benchmark is a stated set of queries: it goes to the tasks in blocks of
-bounded size, one after another, against all documents.
+The benchmark is a stated set of queries: tasks build its windows in blocks of
+bounded size and store them in the shared folder; searching tasks read one block
+after another, and hold one.  The driver only knows the names of the blocks.
 
 Defined results: null and empty texts have no words and no hits; items without
 words are never found; repeated items count once by id; a null item id is an
@@ -24,6 +25,7 @@ other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -269,7 +271,7 @@ def search_blocks(texts: list[str | None], blocks) -> list[Hit]:
     """Hits of all blocks of the benchmark together."""
     out: list[Hit] | None = None
     for block in blocks:
-        hits = search_shard(texts, block.value)
+        hits = search_shard(texts, block)
         if out is None:
             out = hits
             continue
@@ -277,24 +279,66 @@ def search_blocks(texts: list[str | None], blocks) -> list[Hit]:
             all_hits.items |= hit.items
             if hit.spans:
                 all_hits.spans = merged(np.array(all_hits.spans + hit.spans))
-    return out or []
-
-
-def benchmark_blocks(benchmark: DataFrame, window: int) -> list:
-    """Broadcast blocks of windows, each of at most ``BLOCK_CHARS`` of text;
-    the driver holds one block at a time."""
-    sc = benchmark.sparkSession.sparkContext
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").alias("t"))
-    blocks, held, size = [], [], 0
-    for row in rows.toLocalIterator():
-        held.append((row["i"], row["t"]))
-        size += len(row["t"] or "")
-        if size >= BLOCK_CHARS:
-            blocks.append(sc.broadcast(windows_of(held, window)))
-            held, size = [], 0
-    if held or not blocks:
-        blocks.append(sc.broadcast(windows_of(held, window)))
-    return blocks
+    return search_shard(texts, Windows({}, [], [], [])) if out is None else out
+
+
+#: The block that this worker has read last, by its file.
+_HELD: dict[str, Windows] = {}
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Stored windows of a benchmark; iterating reads one block at a time."""
+
+    folder: str
+    names: tuple[str, ...]
+
+    def __iter__(self) -> Iterator[Windows]:
+        fs, root = common.file_system(self.folder)
+        for name in self.names:
+            path = f"{root}/{name}"
+            if path not in _HELD:
+                _HELD.clear()
+                with fs.open_input_file(path) as f:
+                    _HELD[path] = pickle.loads(f.read())
+            yield _HELD[path]
+
+
+def benchmark_blocks(benchmark: DataFrame, window: int) -> Blocks:
+    """The windows of a benchmark in files of about ``BLOCK_CHARS`` characters of
+    its text each (an item is never split), built by tasks."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(
+        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce(F.col("text"), F.lit("")).alias("t")).distinct()
+    chars = items.agg(F.sum(F.char_length("t"))).first()[0] or 0
+    n = max(1, -(-chars // BLOCK_CHARS))
+    folder = common.shared_folder(spark, "benchmark-windows")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = common.file_system(folder)
+        held: list[tuple[str, str]] = []
+        block = None
+
+        def write() -> Iterator[pa.RecordBatch]:
+            if held:
+                name = f"block-{block:06d}.pickle"
+                f = common.AtomicFile(fs, f"{root}/{name}")
+                f.write(pickle.dumps(windows_of(held, window), protocol=pickle.HIGHEST_PROTOCOL))
+                f.commit()
+                yield pa.RecordBatch.from_pydict({"name": [name]})
+                held.clear()
+
+        for batch in batches:
+            for b, i, t in zip(*(batch.column(c).to_pylist() for c in ("block", "i", "t"))):
+                if b != block:
+                    yield from write()
+                    block = b
+                held.append((i, t))
+        yield from write()
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(n)).cast("int"))
+    names = dealt.repartition("block").sortWithinPartitions("block", "i").mapInArrow(build, "name string").collect()
+    return Blocks(folder, tuple(sorted(r["name"] for r in names)))  # one per block
 
 
 SCHEMA = "doc_id long, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>"

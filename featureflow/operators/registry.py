@@ -5,7 +5,19 @@ Registrations are a table of requests ``(org, app, request_id, requested_at,
 primary_keys, fields)``.  Version = the app's current version + the
 request's rank among that app's new requests.  The rank comes from
 ``count_preceding``, so one app with a huge number of requests does not land
-in one task.  The history is append-only Parquet; one writer at a time.
+in one task.
+
+The history is a sequence of commits, each a folder of Parquet that counts once
+the marker with its number names it.  A marker is created only if absent, so of
+several writers that worked from the same state one takes the number; the others
+assign their versions again, from the state with its commit.  So any number of
+writers give versions without gap or repeat.
+
+Every ``FOLD_EVERY`` commits the one who made the last folds them: all history by
+app bucket, and a summary of every app's newest version.  Readers take the newest
+fold and the commits after it, at most about ``FOLD_EVERY`` folders however many
+registrations there were; current versions come from the summary alone.  What the
+newest two folds have replaced is deleted.
 """
 
 from __future__ import annotations
@@ -13,6 +25,8 @@ from __future__ import annotations
 import datetime as _dt
 import json
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,12 +35,15 @@ from pyspark.sql import types as T
 
 from featureflow.functions.schema import check_primary_keys, validate_fields
 from featureflow.operators.ranking import count_preceding
-from featureflow.session import is_missing_path
+from featureflow.session import create_marker, delete_dir, is_missing_path, list_dirs, list_files, read_marker
 
 KEYS = ["org", "app"]
 # The history is kept in folders by app, so that one app's rows are found.
 APP_BUCKET = "app_bucket"
 APP_BUCKETS = 64
+# Commits that are folded together, and attempts to commit beside other writers.
+FOLD_EVERY = 64
+ATTEMPTS = 100
 FIELD = T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.StringType())])
 REQUEST_SCHEMA = T.StructType([
     T.StructField("org", T.StringType()),
@@ -81,51 +98,131 @@ def request_errors(requests: DataFrame) -> Column:
     )
 
 
-def _history_path(registry_root: str) -> str:
-    return f"{registry_root.rstrip('/')}/history"
-
-
-_STORED = T.StructType(HISTORY_SCHEMA.fields + [
-    T.StructField(APP_BUCKET, T.IntegerType()), T.StructField("write_id", T.StringType())])
+SUMMARY_SCHEMA = T.StructType([f for f in HISTORY_SCHEMA.fields if f.name in (*KEYS, "code_version")])
+PART = "part"
 
 
 def _app_bucket() -> Column:
     return F.pmod(F.xxhash64(*KEYS), F.lit(APP_BUCKETS)).cast("int")
 
 
-def _append(rows: DataFrame, registry_root: str) -> str:
-    """Append history rows, in folders by app bucket and write; the write's id.
-    Rows are ranged by bucket, so a task writes few files, and a bucket with a
-    hot app is split by version."""
-    write_id = uuid.uuid4().hex
-    (rows.withColumn(APP_BUCKET, _app_bucket()).withColumn("write_id", F.lit(write_id))
-     .repartitionByRange(APP_BUCKET, "code_version")
-     .write.mode("append").partitionBy(APP_BUCKET, "write_id").parquet(_history_path(registry_root)))
-    return write_id
+def _folder(root: str, name: str) -> str:
+    return f"{root}/data/{PART}={name}"
 
 
-def read_history(spark: SparkSession, registry_root: str) -> DataFrame:
+@dataclass(frozen=True)
+class _State:
+    """The newest fold and the commits after it, by number and name."""
+
+    root: str
+    fold: tuple[int, str] | None
+    commits: tuple[tuple[int, str], ...]
+
+    @property
+    def number(self) -> int:
+        return self.commits[-1][0] if self.commits else self.fold[0] if self.fold else 0
+
+    def folders(self, kind: str = "history") -> list[str]:
+        folded = [_folder(self.root, f"{kind}-{self.fold[1]}")] if self.fold else []
+        return folded + [_folder(self.root, f"commit-{name}") for _, name in self.commits]
+
+
+def _state(spark: SparkSession, root: str) -> _State:
+    """From file names and the markers after the newest fold; no Spark job."""
+    folds = max((int(n) for n in list_files(spark, f"{root}/folds")), default=0)
+    fold = (folds, read_marker(spark, f"{root}/folds/{folds:09d}")) if folds else None
+    numbers = sorted(int(n) for n in list_files(spark, f"{root}/commits") if int(n) > folds)
+    return _State(root, fold, tuple((n, read_marker(spark, f"{root}/commits/{n:09d}")) for n in numbers))
+
+
+def _rows(spark: SparkSession, root: str, folders: list[str], schema: T.StructType) -> DataFrame:
+    """Rows of folders, with the app bucket; none if nothing is registered."""
+    schema = T.StructType([*schema.fields, T.StructField(APP_BUCKET, T.IntegerType())])
     try:
-        stored = spark.read.schema(_STORED).parquet(_history_path(registry_root))
+        stored = spark.read.schema(T.StructType([*schema.fields, T.StructField(PART, T.StringType())]))
+        return stored.option("basePath", f"{root}/data").parquet(*(folders or [_folder(root, "none")])).drop(PART)
     except AnalysisException as exc:
         if not is_missing_path(exc):
             raise
-        return spark.createDataFrame([], HISTORY_SCHEMA)
-    return stored.drop("write_id", APP_BUCKET)
+        return spark.createDataFrame([], schema)
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    """History rows in folders by app bucket.  Rows are ranged by bucket, so a
+    task writes few files, and a bucket with a hot app is split by version."""
+    (rows.withColumn(APP_BUCKET, _app_bucket()).repartitionByRange(APP_BUCKET, "code_version")
+     .write.partitionBy(APP_BUCKET).parquet(path))
+
+
+def _commit(spark: SparkSession, registry_root: str, build: Callable[[_State], DataFrame]) -> str:
+    """Append the rows that ``build`` makes from a state, if that is still the
+    newest one, else again; the folder of the commit."""
+    root = registry_root.rstrip("/")
+    for _ in range(ATTEMPTS):
+        state = _state(spark, root)
+        name = f"{state.number + 1:09d}-{uuid.uuid4().hex[:12]}"
+        folder = _folder(root, f"commit-{name}")
+        _write(build(state), folder)
+        if create_marker(spark, f"{root}/commits/{state.number + 1:09d}", name):
+            if len(state.commits) + 1 >= FOLD_EVERY:
+                fold_history(spark, root)
+            return folder
+        delete_dir(spark, folder, f"{root}/data")
+    raise RuntimeError(f"{root}: {ATTEMPTS} attempts to commit met other writers")
+
+
+def fold_history(spark: SparkSession, registry_root: str) -> int:
+    """Fold all commits so far; the number of the newest fold."""
+    root = registry_root.rstrip("/")
+    state = _state(spark, root)
+    if not state.commits:
+        return state.number
+    name = f"{state.number:09d}-{uuid.uuid4().hex[:12]}"
+    made = [_folder(root, f"{kind}-{name}") for kind in ("history", "current")]
+    _write(_rows(spark, root, state.folders(), HISTORY_SCHEMA).drop(APP_BUCKET), made[0])
+    _write(current_versions(_rows(spark, root, made[:1], HISTORY_SCHEMA)), made[1])
+    if not create_marker(spark, f"{root}/folds/{state.number:09d}", name):
+        for folder in made:  # another one folded the same
+            delete_dir(spark, folder, f"{root}/data")
+        return state.number
+    # Readers may still be on the fold before this one: what that one has
+    # replaced goes.
+    previous = state.fold[0] if state.fold else 0
+    for own in list_dirs(spark, f"{root}/data"):
+        kind, number, _ = own.removeprefix(f"{PART}=").split("-")
+        if int(number) < previous or (kind == "commit" and int(number) == previous):
+            delete_dir(spark, f"{root}/data/{own}", f"{root}/data")
+    for n in list_files(spark, f"{root}/commits"):
+        if int(n) <= previous:
+            delete_dir(spark, f"{root}/commits/{n}", f"{root}/commits")
+    for n in list_files(spark, f"{root}/folds"):
+        if int(n) < previous:
+            delete_dir(spark, f"{root}/folds/{n}", f"{root}/folds")
+    return state.number
+
+
+def read_history(spark: SparkSession, registry_root: str) -> DataFrame:
+    state = _state(spark, registry_root.rstrip("/"))
+    return _rows(spark, state.root, state.folders(), HISTORY_SCHEMA).drop(APP_BUCKET)
+
+
+def read_current(spark: SparkSession, registry_root: str) -> DataFrame:
+    """``(org, app, code_version)``: the newest version of every app, from the
+    summary of the newest fold and the commits after it."""
+    state = _state(spark, registry_root.rstrip("/"))
+    return current_versions(_rows(spark, state.root, state.folders("current"), SUMMARY_SCHEMA))
 
 
 def history_of(spark: SparkSession, registry_root: str, org: str, app: str) -> DataFrame:
     """The history of one app; only the folders of its bucket are read."""
+    return _history_of(spark, _state(spark, registry_root.rstrip("/")), org, app)
+
+
+def _history_of(spark: SparkSession, state: _State, org: str, app: str) -> DataFrame:
     one = spark.range(1).select(F.lit(org).alias("org"), F.lit(app).alias("app"))
     bucket = one.select(_app_bucket()).first()[0]
-    try:
-        stored = spark.read.schema(_STORED).parquet(_history_path(registry_root))
-    except AnalysisException as exc:
-        if not is_missing_path(exc):
-            raise
-        return spark.createDataFrame([], HISTORY_SCHEMA)
     mine = (F.col(APP_BUCKET) == bucket) & (F.col("org") == org) & (F.col("app") == app)
-    return stored.filter(mine).drop("write_id", APP_BUCKET)
+    return _rows(spark, state.root, state.folders(), HISTORY_SCHEMA).filter(mine).drop(APP_BUCKET)
 
 
 def current_versions(history: DataFrame) -> DataFrame:
@@ -174,12 +271,14 @@ def rejected(requests: DataFrame) -> DataFrame:
 
 
 def register(spark: SparkSession, registry_root: str, requests: DataFrame) -> DataFrame:
-    """Assign versions, append them to the history and return the written
-    rows (read back, so later reads see exactly what was stored)."""
-    assigned = assign_versions(requests, read_history(spark, registry_root))
-    write_id = _append(assigned, registry_root)
-    return (spark.read.schema(_STORED).parquet(_history_path(registry_root))
-            .filter(F.col("write_id") == write_id).drop("write_id", APP_BUCKET))
+    """Assign versions, commit them to the history and return the written rows
+    (read back, so later reads see exactly what was stored).  Only the apps'
+    current versions are read, not their histories."""
+    def build(state: _State) -> DataFrame:
+        return assign_versions(requests, _rows(spark, state.root, state.folders("current"), SUMMARY_SCHEMA))
+
+    folder = _commit(spark, registry_root, build)
+    return _rows(spark, registry_root.rstrip("/"), [folder], HISTORY_SCHEMA).drop(APP_BUCKET)
 
 
 def register_schema(spark: SparkSession, registry_root: str, org: str, app: str,
@@ -192,10 +291,13 @@ def register_schema(spark: SparkSession, registry_root: str, org: str, app: str,
     fields = validate_fields(schema)
     check_primary_keys(primary_keys, fields)
     now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    # One request: its version is simply the current one plus one.
-    history = history_of(spark, registry_root, org, app)
-    version = (history.agg(F.max("code_version")).first()[0] or 0) + 1
-    row = spark.createDataFrame(
-        [(org, app, version, 0, now, list(primary_keys), json.dumps(fields))], HISTORY_SCHEMA)
-    _append(row, registry_root)
-    return version
+    given = 0
+
+    def build(state: _State) -> DataFrame:
+        # One request: its version is simply the current one plus one.
+        nonlocal given
+        given = (_history_of(spark, state, org, app).agg(F.max("code_version")).first()[0] or 0) + 1
+        return spark.createDataFrame([(org, app, given, 0, now, list(primary_keys), json.dumps(fields))], HISTORY_SCHEMA)
+
+    _commit(spark, registry_root, build)
+    return given

@@ -18,7 +18,7 @@ from featureflow.functions.schema import to_struct
 from featureflow.functions.time import epoch_micros, to_wall_clock
 from featureflow.operators.checks import compare_rows
 from featureflow.operators.features import interval_join, trailing_count, windowed_count
-from featureflow.operators.registry import current_for, read_history, register
+from featureflow.operators.registry import current_for, fold_history, read_current, register
 from featureflow.operators.status import parse_status
 from featureflow.operators.store import FeatureStore
 from featureflow.operators.trailing import STATE_SETTINGS, stream_trailing_count
@@ -541,13 +541,15 @@ def registry_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Current version of every customer's app and of as many unknown apps (0)."""
+    """Current version of every customer's app and of as many unknown apps (0),
+    from the summary of a folded history."""
     root = scratch_dir(spark, "registry_current")
     register(spark, f"{root}/registry", _schema_requests(spark, sf_dir))
+    fold_history(spark, f"{root}/registry")
     cust = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
     keys = cust.unionByName(cust.select((-F.col("k") - 1).alias("k")))
     apps = keys.select(F.lit(ORG).alias("org"), F.col("k").cast("string").alias("app"))
-    return current_for(read_history(spark, f"{root}/registry"), apps)
+    return current_for(read_current(spark, f"{root}/registry"), apps)
 
 
 STATES = {"F": "COMPLETED", "O": "RUNNING", "P": "SUBMITTED"}

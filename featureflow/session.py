@@ -3,6 +3,7 @@ scratch folder every job writes its intermediate tables and checkpoints to."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -128,6 +129,14 @@ def create_marker(spark: SparkSession, path: str, text: str) -> bool:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
+    if fs.getUri().getScheme() == "file":  # a local rename replaces; a link does not
+        try:
+            os.link(temporary.toUri().getPath(), p.toUri().getPath())
+        except FileExistsError:  # another writer was first
+            return False
+        finally:
+            fs.delete(temporary, False)
+        return True
     hadoop = jvm.org.apache.hadoop.fs
     context = hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
     no_overwrite = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)

@@ -119,10 +119,18 @@ def windowed_count(stream: DataFrame, keys: Sequence[str], ts: str, window: str,
                       *[F.col(quote(k)) for k in keys], F.col(out))
 
 
+#: Left rows of one (key, bucket) that are dealt out: more than this share of
+#: all.  There are fewer than 1 / HOT_SHARE of them, so they may be broadcast.
+HOT_SHARE = 1 / 256
+#: Parts that a hot (key, bucket) is dealt into.
+SALTS = 32
+
+
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
                   left_time: str, right_time: str, lower: str = "0 seconds",
                   upper: str = "1 day", bucket: str | None = None,
-                  watermark: str | None = None) -> DataFrame:
+                  watermark: str | None = None, hot_keys: Sequence[tuple] = (),
+                  salts: int = SALTS) -> DataFrame:
     """Inner join on ``keys`` where
     ``left_time + lower <= right_time <= left_time + upper``.
 
@@ -131,6 +139,13 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
     ``bucket`` (default ``upper - lower``): each left row sits in one bucket,
     each right row is copied to the few buckets its range can reach.  A hot
     key is thereby split by time instead of landing in one task.
+
+    A key that is hot within one bucket is dealt into ``salts`` parts: its left
+    rows go to one part each, its right rows to all of them, so that no task has
+    all of it.  On batch frames the hot (key, bucket) pairs are counted first
+    (those with more than ``HOT_SHARE`` of the left rows).  A stream's state must
+    be dealt alike in every batch, so there ``hot_keys`` names the keys, for the
+    life of its checkpoint; with few rows for so many parts nothing is lost.
     """
     lo, hi = interval_micros(lower), interval_micros(upper)
     if hi < lo:
@@ -147,12 +162,42 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
     r_us = epoch_micros(F.col("_rt"), T.TimestampType())
     R = R.withColumn("_rb", F.explode(F.sequence(F.floor((r_us - hi) / width),
                                                  F.floor((r_us - lo) / width))))
+    L, R = _dealt(L, R, keys, hot_keys, salts)
     Ls, Rs = L.alias("_l"), R.alias("_r")
     cond = [F.col(f"_l.{quote(k)}") == F.col(f"_r.{quote(k)}") for k in keys]
-    cond += [F.col("_l._lb") == F.col("_r._rb"),
+    cond += [F.col("_l._lb") == F.col("_r._rb"), F.col("_l._ls") == F.col("_r._rs"),
              F.col("_r._rt") >= F.col("_l._lt") + _micros_interval(lo),
              F.col("_r._rt") <= F.col("_l._lt") + _micros_interval(hi)]
     joined = Ls.join(Rs, cond, "inner")
     left_cols = [F.col(f"_l.{quote(c)}") for c in left.columns]
     right_cols = [F.col(f"_r.{quote(c)}") for c in right.columns if c not in keys]
     return joined.select(*left_cols, *right_cols)
+
+
+def _dealt(L: DataFrame, R: DataFrame, keys: Sequence[str], hot_keys: Sequence[tuple], salts: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the part that a row is dealt to (``_ls``, ``_rs``)."""
+    if any(len(k) != len(keys) for k in hot_keys):
+        raise ValueError(f"a hot key has {len(keys)} values")
+    of_key = [F.col(quote(k)) for k in keys]
+    part = F.pmod(F.xxhash64("_lt", *(F.col(quote(c)) for c in L.columns if not isinstance(L.schema[c].dataType, T.MapType))), F.lit(salts)).cast("int")
+    parts = F.sequence(F.lit(0), F.lit(salts - 1))
+    if L.isStreaming or R.isStreaming or hot_keys:
+        hot = F.lit(False)
+        for values in hot_keys:
+            own = F.lit(True)
+            for c, v in zip(of_key, values):
+                own = own & (c == F.lit(v))
+            hot = hot | F.coalesce(own, F.lit(False))
+        return (L.withColumn("_ls", F.when(hot, part).otherwise(0)),
+                R.withColumn("_rs", F.explode(F.when(hot, parts).otherwise(F.array(F.lit(0))))))
+    counts = L.groupBy(*of_key, "_lb").agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = counts.where(F.col("_n") > max(total * HOT_SHARE, salts)).select(*of_key, "_lb", F.lit(True).alias("_hot"))
+    listed = hot.collect()  # fewer than 1 / HOT_SHARE
+    if not listed:
+        return L.withColumn("_ls", F.lit(0)), R.withColumn("_rs", F.lit(0))
+    hot = F.broadcast(L.sparkSession.createDataFrame(listed, hot.schema))
+    L = L.join(hot, [*keys, "_lb"], "left").withColumn("_ls", F.when(F.col("_hot"), part).otherwise(0)).drop("_hot")
+    R = R.join(hot.withColumnRenamed("_lb", "_rb"), [*keys, "_rb"], "left").withColumn(
+        "_rs", F.explode(F.when(F.col("_hot"), parts).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return L, R

@@ -160,14 +160,17 @@ class FeatureStore:
         agg = rows.groupBy(*group).agg(F.max_by(payload, ordering).alias("_v"))
         return agg.select(*group, *[F.col("_v")[c].alias(c) for c in values])
 
-    def _rows(self, spark: SparkSession, code_version: int, run_id: str | None) -> DataFrame:
+    def _rows(self, spark: SparkSession, code_version: int, run_id: str | None,
+              request: DataFrame | None = None) -> DataFrame:
         """Changelog rows plus the newest snapshot, minus what it folded in.
 
         The fold points (one per run) become literal partition filters, so
         after a compaction only the batches written since are listed and read.
+        Of the snapshot only the buckets that the keys of ``request`` fall into
+        are read.
         """
         rows = self.changelog(spark, code_version, run_id)
-        snap = self._snapshot(spark, code_version, run_id)
+        snap = self._snapshot(spark, code_version, run_id, request)
         if snap is not None:
             snap_rows, folded, _ = snap
             rows = rows.filter(_after(folded)).select(snap_rows.columns).unionByName(snap_rows)
@@ -190,7 +193,10 @@ class FeatureStore:
 
         ``keys`` is a DataFrame or a list of tuples whose values are matched to
         the primary keys *by position* and cast to their types; text is
-        accepted for every type.  A key list, whose size Spark knows, is
+        accepted for every type.  Only the snapshot's buckets of the requested
+        keys are read.  A request of up to ``PUSHDOWN_KEYS`` keys, list or frame,
+        also becomes filters of the scan, which skip files and row groups by key
+        ranges and Bloom filters.  A key list, whose size Spark knows, is
         semi-joined below the aggregation, so only rows of the requested keys
         are aggregated (Spark broadcasts a short one).  A key frame may be of
         any size, so the aggregation comes first and keeps its partial step
@@ -209,11 +215,13 @@ class FeatureStore:
             raise ValueError(f"expected {len(self.keys)} key columns, got {len(keys.columns)}")
         req = keys.select(*[F.col(quote(c)).cast(self.schema[k].dataType).alias(k)
                             for c, k in zip(keys.columns, self.keys)])
-        rows = self._rows(spark, code_version, run_id)
+        rows = self._rows(spark, code_version, run_id, req)
         if texts is not None:
             found = self._newest(self._pushed(rows, texts).join(req, self.keys, "left_semi"))
         else:
-            found = self._newest(rows).join(req, self.keys, "left_semi")
+            # A frame's keys as texts, if they are few.
+            asked = req.select(*[F.col(quote(k)).cast("string") for k in self.keys]).distinct().limit(PUSHDOWN_KEYS + 1).collect()
+            found = self._newest(self._pushed(rows, [tuple(r) for r in asked])).join(req, self.keys, "left_semi")
         return req.join(found, self.keys, "left").select(
             *[F.col(quote(n)) for n in self.schema.fieldNames()])
 
@@ -236,7 +244,7 @@ class FeatureStore:
             return rows
         for i, k in enumerate(self.keys):
             dtype = self.schema[k].dataType
-            if not isinstance(dtype, T.FractionalType) or isinstance(dtype, T.DecimalType):
+            if not isinstance(dtype, T.FractionalType | T.BinaryType) or isinstance(dtype, T.DecimalType):
                 values = sorted({t[i] for t in texts if t[i] is not None})
                 rows = rows.filter(F.col(quote(k)).isin([F.lit(v).cast(dtype) for v in values]))
         return rows
@@ -277,11 +285,16 @@ class FeatureStore:
         rows = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
         return rows.withColumn("code_version", F.lit(code_version).cast("int"))
 
-    def _snapshot(self, spark: SparkSession, code_version: int, run_id: str | None):
-        """Newest complete snapshot: (rows, {run_id: last folded batch}, id)."""
+    def _snapshot(self, spark: SparkSession, code_version: int, run_id: str | None, request: DataFrame | None = None):
+        """Newest complete snapshot: (rows, {run_id: last folded batch}, id);
+        with a request only the buckets of its keys."""
         for snap_id, manifest in self._complete(spark, code_version):
             folded = {r: b for r, b in manifest["folded"].items() if run_id is None or r == run_id}
-            rows = self._bucket_rows(spark, code_version, manifest["buckets"])
+            buckets = manifest["buckets"]
+            if request is not None:
+                asked = {r[0] for r in request.select(self._bucket(manifest["of"])).distinct().collect()}  # at most ``of``
+                buckets = {b: i for b, i in buckets.items() if b in asked}
+            rows = self._bucket_rows(spark, code_version, buckets)
             if run_id is not None:
                 rows = rows.filter(F.col("run_id") == run_id)
             return rows, folded, snap_id
@@ -360,7 +373,7 @@ class FeatureStore:
         order = [F.col(BUCKET), *[F.col(quote(k)) for k in self.keys]]
         (self._newest(rows, "run_id").withColumn(BUCKET, self._bucket(of))
          .repartitionByRange(*order).sortWithinPartitions(*order)
-         .write.mode("overwrite").partitionBy(BUCKET).parquet(f"{base}/snapshot_id={snap_id}/rows"))
+         .write.mode("overwrite").options(**{f"parquet.bloom.filter.enabled#{k}": "true" for k in self.keys}).partitionBy(BUCKET).parquet(f"{base}/snapshot_id={snap_id}/rows"))
         # The manifest is written last: a snapshot without it is never read.
         manifest = {"folded": {**folded, **last}, "of": of,
                     "buckets": {**old["buckets"], **dict.fromkeys(touched, snap_id)}}

@@ -87,6 +87,11 @@ ORACLES: dict[str, str] = {
                l.o_orderdate, l.o_orderpriority
         FROM customer c LEFT JOIN ({LATEST_ORDER}) l ON l.o_custkey = c.c_custkey
         WHERE c.c_mktsegment = 'BUILDING'""",
+    "feature_lookup_compacted": f"""
+        SELECT l.o_orderkey, c.c_custkey AS o_custkey, l.o_orderstatus, l.o_totalprice,
+               l.o_orderdate, l.o_orderpriority
+        FROM customer c LEFT JOIN ({LATEST_ORDER}) l ON l.o_custkey = c.c_custkey
+        WHERE c.c_nationkey = 7""",
     "feature_lookup_missing": f"""
         WITH k AS (SELECT c_custkey AS k FROM customer
                    UNION ALL SELECT -c_custkey - 1 FROM customer)

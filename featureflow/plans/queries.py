@@ -325,6 +325,20 @@ def feature_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.lookup(spark, VERSION, keys)
 
 
+def feature_lookup_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest order for the customers of one nation, from a table whose older
+    half is folded into a snapshot: only the buckets of the keys are read."""
+    root = scratch_dir(spark, "feature_lookup_compacted")
+    store = FeatureStore(f"{root}/store", LATEST_ORDER)
+    orders = _read(spark, sf_dir, "orders")
+    orders.repartition(2, F.xxhash64("o_orderkey")).write.parquet(f"{root}/src")
+    stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", "1").parquet(f"{root}/src")
+    run_bounded(stream, store.writer(VERSION, RUN), OutputSpec("append"), f"{root}/checkpoint")
+    store.compact(spark, VERSION)
+    keys = _read(spark, sf_dir, "customer").filter(F.col("c_nationkey") == 7).select("c_custkey")
+    return store.lookup(spark, VERSION, keys)
+
+
 def feature_lookup_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest order for every customer key and for as many unknown keys
     (negative), which come back with null features."""
@@ -613,6 +627,7 @@ REGISTRY = {
     "feature_latest_compacted": feature_latest_compacted,
     "feature_scan": feature_scan,
     "feature_lookup": feature_lookup,
+    "feature_lookup_compacted": feature_lookup_compacted,
     "feature_lookup_missing": feature_lookup_missing,
     "feature_lookup_list": feature_lookup_list,
     "feature_last_write": feature_last_write,

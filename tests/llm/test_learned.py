@@ -218,3 +218,88 @@ def test_svm_separates(seed):
     y = np.where(x @ np.arange(1, 6) + 0.5 > 0, 1, -1)
     w = svm.train(x, y, cost=100, epochs=200)
     assert np.mean(np.sign(x @ w[:-1] + w[-1]) == y) > 0.98
+
+
+def renumbered(spark, docs, labels, held, others):
+    """The same rows under other ids, none of which crosses the hold-out."""
+    ids = [r["doc_id"] for r in docs.select("doc_id").distinct().collect()]
+    fresh = {True: iter(held), False: iter(others)}
+    new = spark.createDataFrame([(i, next(fresh[is_held_out(i)])) for i in ids], "doc_id long, new long")
+
+    def moved(df):
+        return df.join(new, "doc_id").drop("doc_id").withColumnRenamed("new", "doc_id")
+
+    return moved(docs), moved(labels), dict(new.collect())
+
+
+def test_ids_have_no_part_in_scores(spark):
+    from .conftest import SF
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    free = range(10**6, 10**6 + 5_000)
+    held, others = [k for k in free if is_held_out(k)][::-1], [k for k in free if not is_held_out(k)][::-1]
+    docs2, labels2, new = renumbered(spark, docs, labels, held, others)
+    scores = [{r["doc_id"]: r["score"] for r in toxicity.score_documents(d, toxicity.learn(d, x)).collect()} for d, x in ((docs, labels), (docs2, labels2))]
+    assert all(scores[0][i] == scores[1][new[i]] for i in scores[0])
+    said = [{r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(d, language.learn(d)).collect()} for d in (docs, docs2)]
+    assert all(said[0][i] == said[1][new[i]] for i in said[0])
+
+
+@pytest.mark.parametrize("text", ["½", "² ³", "Ⅷ", "12 34", "?!", "", None, "①"])
+def test_texts_without_a_letter_are_undetermined(spark, text):
+    docs = spark.createDataFrame([(k, f"some words {k}", "en") for k in range(8)] + [(100, text, "de")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language.identify(docs, language.learn(docs)).collect()}
+    assert (got[100]["lang_pred"], got[100]["score"]) == ("und", 0.0) and got[0]["lang_pred"] == "en"
+
+
+def test_every_label_can_be_learned(spark):
+    """More labels than there are languages, one of them with most rows."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(60)]
+    rows = [(k, " ".join([words[k % 60]] * 6), f"x{k % 60:03d}") for k in range(60 * 12)]
+    rows += [(10_000 + k, "common words of one label " * 3, "zz") for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language.labelled_sample(docs)
+    assert {r["lang"] for r in sample.select("lang").distinct().collect()} == {f"x{k:03d}" for k in range(60)} | {"zz"}
+    assert sample.where("lang = 'zz'").count() == 1  # copies are one text
+    got = language.identify(docs, language.learn(docs)).join(docs.select("doc_id", "lang"), "doc_id")
+    assert got.where("lang_pred != lang").count() == 0
+
+
+def test_languages_against_plain_machines(spark):
+    """Features and votes computed plainly from the same weights."""
+    from .conftest import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.learn(docs)
+
+    def plain_features(text):
+        spaced = [c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in f" {text} ".lower().encode()]
+        counts = Counter()
+        for a, b, c in zip(spaced, spaced[1:], spaced[2:]):
+            if (b, c) != (0x20, 0x20):
+                counts[((a << 16 | b << 8 | c) * 0x9E3779B1 % 2**32) >> 20] += 1
+        total = sum(counts.values())
+        return {k: (v / total) ** 0.5 for k, v in counts.items()}
+
+    def margin(w, x):
+        return float(w[-1]) + sum(float(w[k]) * v for k, v in x.items())
+
+    def plain_prediction(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und"
+        x = plain_features(text)
+        family = max(range(len(model.families)), key=lambda k: margin(model.by_family[k], x)) if len(model.families) > 1 else 0
+        own = model.languages[model.families[family]]
+        votes, total = Counter(), Counter()
+        pairs = [(a, b) for a in range(len(own)) for b in range(a + 1, len(own))]
+        for (a, b), w in zip(pairs, model.by_pair[model.families[family]]):
+            m = margin(w, x)
+            votes[a if m > 0 else b] += 1
+            total[a] += m
+            total[b] -= m
+        return own[max(range(len(own)), key=lambda k: (votes[k], total[k], -k))]
+
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, model).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    assert {d: plain_prediction(t) for d, t in texts.items()} == got

@@ -186,3 +186,36 @@ def test_query_and_edge_cases(spark, texts, edge, empty):
     assert kept.columns == [c for c in edge.columns if c != "_pii"] + ["_pii_kinds"]
     assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(EDGE_TEXTS)
     assert pii.with_surrogates(empty.drop("_pii"), KEY).collect() == []
+
+
+def names_table(spark, names):
+    return spark.createDataFrame([(k, f"Yesterday Mr {n} came.") for k, n in enumerate(names)], "doc_id long, text string")
+
+
+def test_no_name_stays_and_none_meets_another(spark):
+    """Thousands of short names: some would stay as they are or collide."""
+    vowels, consonants = "aeiouy", "bcdfghjklmnpqrstvwxz"
+    names = [c.upper() + v + d for c in consonants for v in vowels for d in ["", *consonants]][:2_000]
+    rows = pii.with_surrogates(names_table(spark, names), KEY).collect()
+    new = [r["text"].split()[2] for r in rows]
+    assert all(n != names[r["doc_id"]] for n, r in zip(new, rows)) and len(set(new)) == len(names)
+
+
+def test_a_form_with_too_few_surrogates_is_widened(spark):
+    """625 surnames of two unlisted letters have 400 surrogates of two."""
+    letters = [chr(c) for c in range(0x101, 0x17F, 2) if chr(c).islower() and chr(c).upper() != chr(c) and len(chr(c).upper()) == 1][:25]
+    names = [a.upper() + b for a in letters for b in letters]
+    assert len(names) == 625
+    rows = pii.with_surrogates(names_table(spark, names), KEY).collect()
+    new = [r["text"].split()[2] for r in rows]
+    assert len(set(new)) == 625 and not set(new) & set(names)
+
+
+def test_columns_of_any_name_beside_exceptions(spark):
+    docs = names_table(spark, ["Xe", "Mo", "Ăe", "Še", "Že", "Če"] * 2).selectExpr(
+        "*", "1 as _h", "2 as _s", "3 as _pii_attempts", "4 as _pii_found", "5 as _pii_hash", "6 as _pii_sha", "7 as _pii", "8 as m", "9 as kind")
+    rows = pii.with_surrogates(docs, KEY).collect()
+    assert [c for c in rows[0].__fields__ if c != "_pii_kinds"] == docs.columns
+    assert len(rows) == 12 and all(tuple(r)[2:-1] == (1, 2, 3, 4, 5, 6, 7, 8, 9) for r in rows)
+    assert len({r["text"] for r in rows}) == 6
+    assert pii.exceptions(docs, KEY) is None or pii.exceptions(docs, KEY).count() >= 1

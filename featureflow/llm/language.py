@@ -5,10 +5,10 @@ trigrams (lower case, everything but letters a space).  One linear support
 vector machine per family against the rest predicts the family; then one per
 pair of languages of that family (one versus one) votes for the language.
 
-The model is fitted on a bounded sample of labelled documents: at most
-``PER_LANGUAGE`` of each of the ``LANGUAGES`` most frequent labels, and
-``SAMPLE`` in all, chosen by a hash of the row.  Everything else covers all
-rows and whole texts.
+The model is fitted on a bounded sample of labelled documents: of every label
+the same number of distinct texts, at most ``PER_LANGUAGE`` and ``SAMPLE`` in all
+(but one at least), chosen by a hash of the text, so ids have no part in a
+prediction.  Everything else covers all rows and whole texts.
 
 Defined results: ``und`` with score 0 for texts that are null or have no
 letter, and for all texts if there is nothing to learn from; with one label
@@ -19,7 +19,6 @@ whatever their names.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -27,18 +26,17 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common, svm
 
 #: Bounds of the sample that the model is fitted on.
 PER_LANGUAGE = 600
-LANGUAGES = 200
 SAMPLE = 4_000
 #: Hashed trigrams.
 FEATURES = 1 << 12
 _CHUNK = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
 _LETTERS_ONLY = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
 #: Families by ISO 639-1 code.  A label that is not listed is a
@@ -68,7 +66,7 @@ def family_of(language: str) -> str:
 
 def features(text: str) -> np.ndarray | None:
     """Unit vector of a whole text; None if it has no letter."""
-    if not _LETTER.search(text):
+    if not any(map(str.isalpha, text)):
         return None
     counts = np.zeros(FEATURES, np.int64)
     raw = np.frombuffer((" " + text + " ").lower().encode().translate(_LETTERS_ONLY), np.uint8)
@@ -132,17 +130,16 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
 
 
 def labelled_sample(docs: DataFrame) -> DataFrame:
-    """text, lang: the bounded sample; see the module."""
+    """text, lang, hash: the bounded sample; see the module."""
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~common.held_out())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return usable.select("text", "lang").limit(0)
-    each = max(1, min(PER_LANGUAGE, SAMPLE // len(counts)))
-    spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
-    share = F.lit(0.0)
-    for row in counts:  # at most LANGUAGES
-        share = F.when(F.col("lang") == row["lang"], min(1.0, each / row["count"])).otherwise(share)
-    return usable.where(spread < share).select("text", "lang").limit(2 * SAMPLE)
+    usable = usable.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("hash"))
+    labels = usable.groupBy("lang").agg(F.count("*")).count()
+    each = max(1, min(PER_LANGUAGE, SAMPLE // max(1, labels)))
+    # Copies are one text; the first texts of a label are taken before they meet.
+    first = W.partitionBy("lang").orderBy("hash")
+    chosen = usable.select("lang", "hash").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).drop("n")
+    # At most the larger of SAMPLE and the number of labels: broadcast.
+    return usable.join(F.broadcast(chosen), ["lang", "hash"], "left_semi").dropDuplicates(["lang", "hash"])
 
 
 def learn(docs: DataFrame) -> Model | None:
@@ -153,18 +150,21 @@ def learn(docs: DataFrame) -> Model | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in common.text_slices(batch):
-                got = [(features(t), lang) for t, lang in zip(texts, batch.column("lang").slice(first, len(texts)).to_pylist())]
-                got = [(x, lang) for x, lang in got if x is not None]
-                at = [np.flatnonzero(x).astype(np.int32) for x, _ in got]
+                got = [(features(t), *own) for t, *own in zip(
+                    texts, *(batch.column(c).slice(first, len(texts)).to_pylist() for c in ("lang", "hash")))]
+                got = [(x, *own) for x, *own in got if x is not None]
+                at = [np.flatnonzero(x).astype(np.int32) for x, *_ in got]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lang for _, lang in got], pa.string()),
+                    pa.array([lang for _, lang, _ in got], pa.string()),
+                    pa.array([h for *_, h in got], pa.int64()),
                     pa.array(at, pa.list_(pa.int32())),
-                    pa.array([x[k] for (x, _), k in zip(got, at)], pa.list_(pa.float32())),
-                ], ["lang", "at", "value"])
+                    pa.array([x[k] for (x, *_), k in zip(got, at)], pa.list_(pa.float32())),
+                ], ["lang", "hash", "at", "value"])
 
-    rows = labelled_sample(docs).mapInArrow(run, "lang string, at array<int>, value array<float>").toArrow()
+    rows = labelled_sample(docs).mapInArrow(run, "lang string, hash long, at array<int>, value array<float>").toArrow()
     if not rows.num_rows:
         return None
+    rows = rows.sort_by([("lang", "ascending"), ("hash", "ascending")])  # however they came
     x = np.zeros((rows.num_rows, FEATURES), np.float32)
     for k, (at, value) in enumerate(zip(rows.column("at"), rows.column("value"))):
         x[k, at.values.to_numpy()] = value.values.to_numpy()

@@ -37,6 +37,7 @@ from featureflow.sources.files import (
     sample_frame,
 )
 from featureflow.sources.topics import read_topic_checked, read_topics
+from featureflow.streaming.outbox import outbox_writer
 from featureflow.streaming.runner import BatchWriter, checkpoint_path, claim_run, run_bounded, start_stream
 from featureflow.streaming.sinks import (
     archive_writer,
@@ -68,11 +69,13 @@ def _runs_root(cfg: JobConfig, kind: str) -> str:
 
 
 def live_job(spark: SparkSession, cfg: JobConfig, process: Process, transport,
-             bounded: bool = False, drop_bad: bool = True) -> StreamingQuery:
+             bounded: bool = False, drop_bad: bool = True, outbox: bool = False) -> StreamingQuery:
     """Topics -> process -> (versioned output topic, feature table).
 
     Each micro-batch is cached once and written to both sinks; the topic is
-    at-least-once, the feature table idempotent per batch id.  Undecodable
+    at-least-once, the feature table idempotent per batch id.  With ``outbox``
+    the batch is committed to the table and the topic published from there, with
+    record ids by which ``outbox.read_published`` drops repeats.  Undecodable
     records do not reach ``process`` (the archive and ``quarantine_job`` keep
     them with their raw text), so they never become rows with null keys;
     ``drop_bad=False`` lets them through as all-null rows.
@@ -81,8 +84,11 @@ def live_job(spark: SparkSession, cfg: JobConfig, process: Process, transport,
     store = feature_store(cfg)
     df = conform(df, store.schema)  # fail at start; both sinks get the declared columns
     topic = output_topic(cfg.app_name, cfg.code_version)
-    write = fan_out(topic_writer(transport, topic, store.keys),
-                    store.writer(cfg.code_version, cfg.run_id))
+    if outbox:
+        write = outbox_writer(store, transport, topic, cfg.code_version, cfg.run_id)
+    else:
+        write = fan_out(topic_writer(transport, topic, store.keys),
+                        store.writer(cfg.code_version, cfg.run_id))
     cp = checkpoint_path(cfg.bucket, cfg.checkpoint_location, cfg.app_name,
                          cfg.code_version, "live")
     claim_run(spark, _runs_root(cfg, f"v{cfg.code_version}"), cfg.run_id, cp)

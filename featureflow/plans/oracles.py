@@ -71,6 +71,9 @@ ORACLES: dict[str, str] = {
         SELECT 'topic' AS sink, {EVENT_COLS} FROM events
         UNION ALL SELECT 'changelog', {EVENT_COLS} FROM events
         UNION ALL SELECT 'latest', {EVENT_COLS} FROM ({LATEST_EVENT})""",
+    "dual_fanout_outbox": f"""
+        SELECT 'topic' AS sink, {EVENT_COLS} FROM events
+        UNION ALL SELECT 'table', {EVENT_COLS} FROM events""",
     "topic_encode": f"""
         SELECT 'events_latest_v1' AS topic, '{{"user_id":' || user_id || '}}' AS key, {EVENT_COLS}
         FROM ({LATEST_EVENT})""",

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +36,7 @@ from featureflow.session import is_missing_path, scratch_dir
 from featureflow.sources.files import folder_location, json_line_streams, read_json_lines, table_stream
 from featureflow.sources.topics import FileTransport, publish, read_topic_checked, read_topics
 from featureflow.streaming.late import CLOSED, late_split
+from featureflow.streaming.outbox import read_published
 from featureflow.streaming.runner import run_bounded
 from featureflow.streaming.sinks import write_batch_folder
 
@@ -262,6 +263,36 @@ def dual_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(of(store.latest(spark, VERSION), "latest")))
 
 
+class _Failing(FileTransport):
+    """A transport that fails once after it has written."""
+
+    def __init__(self, root: str):
+        super().__init__(root, max_files_per_trigger=2)
+        self.failures = 1
+
+    def write_batch(self, records: DataFrame) -> None:
+        super().write_batch(records)
+        if self.failures:
+            self.failures -= 1
+            raise ConnectionError("the topic is not reachable")
+
+
+def dual_fanout_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live job with an outbox whose topic fails once after it was written; the
+    job is started again.  The rows of each sink, the topic's read once each."""
+    root = scratch_dir(spark, "dual_fanout_outbox")
+    publish(_read(spark, sf_dir, "events").repartition(4), FileTransport(f"{root}/topics"), "events", ["event_id"])
+    transport = _Failing(f"{root}/topics")
+    cfg = JobConfig(app_name="fanout", bucket=root, inputs=[EVENTS], table=LATEST_EVENT, run_id=RUN)
+    try:
+        live_job(spark, cfg, lambda dfs: dfs[0], transport, bounded=True, outbox=True).awaitTermination()
+    except StreamingQueryException:
+        live_job(spark, cfg, lambda dfs: dfs[0], transport, bounded=True, outbox=True).awaitTermination()
+    topic = read_published(spark, transport, output_topic(cfg.app_name, cfg.code_version), EVENTS_SCHEMA)
+    rows = [topic.withColumn("sink", F.lit("topic")), feature_store(cfg).changelog(spark, VERSION).withColumn("sink", F.lit("table"))]
+    return rows[0].unionByName(rows[1].select(*rows[0].columns)).select("sink", *[f["name"] for f in EVENTS_SCHEMA])
+
+
 def topic_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest row per user published to the app's versioned topic as JSON
     key/value records, then read and decoded again."""
@@ -621,6 +652,7 @@ REGISTRY = {
     "archive_folded_replay": archive_folded_replay,
     "archive_ordered_windows": archive_ordered_windows,
     "dual_fanout": dual_fanout,
+    "dual_fanout_outbox": dual_fanout_outbox,
     "topic_encode": topic_encode,
     "feature_latest": feature_latest,
     "feature_latest_composite": feature_latest_composite,

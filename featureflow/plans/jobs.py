@@ -279,16 +279,16 @@ def sample_output(spark: SparkSession, cfg: JobConfig, process: Process) -> Data
 
 
 def check_on_samples(spark: SparkSession, cfg: JobConfig, process: Process,
-                     raise_on_diff: bool = True) -> DataFrame:
+                     raise_on_diff: bool = True, tolerance: float | None = None) -> DataFrame:
     """Run ``process`` on the samples and compare with ``cfg.assertions``
-    typed by the table's output schema (or the output's own schema).
-    Returns the difference report (empty when the function is right)."""
+    typed by the table's output schema (or the output's own schema), floating-point
+    values within ``tolerance``.  Returns the difference report (empty when the function is right)."""
     out = sample_output(spark, cfg, process)
     schema = cfg.table.output_schema if cfg.table is not None else out.schema
     expected = expected_frame(spark, cfg.assertions, schema)
     if raise_on_diff:
-        assert_rows(out, expected)
-    return compare_rows(out, expected)
+        assert_rows(out, expected, tolerance=tolerance)
+    return compare_rows(out, expected, tolerance)
 
 
 def compaction_job(spark: SparkSession, cfg: JobConfig, expire: bool = False) -> int:

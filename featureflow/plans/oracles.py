@@ -191,4 +191,13 @@ ORACLES: dict[str, str] = {
                CAST(abs(sum(d)) AS BIGINT) AS n_rows
         FROM tagged GROUP BY c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, exact
         HAVING sum(d) <> 0""",
+    "assertion_report_tolerance": """
+        SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 2) AS c_acctbal, c_mktsegment, side, 1::BIGINT AS n_rows, differs
+        FROM (
+          SELECT *, 'missing' AS side, 'c_acctbal' AS differs FROM customer WHERE c_mktsegment = 'AUTOMOBILE' AND c_nationkey IS DISTINCT FROM 3
+          UNION ALL
+          SELECT * REPLACE (c_acctbal + 0.25 AS c_acctbal), 'extra', CASE WHEN c_nationkey IS DISTINCT FROM 3 THEN 'c_acctbal' END
+          FROM customer WHERE c_mktsegment = 'AUTOMOBILE'
+          UNION ALL
+          SELECT *, 'extra', NULL FROM customer WHERE c_nationkey = 3 AND c_mktsegment <> 'AUTOMOBILE')""",
 }

@@ -4,15 +4,16 @@ Examples are a bounded sample of the distinct texts of labelled documents
 (``EXAMPLES``, chosen by a hash of the text); everything is counted over them, so
 copies weigh nothing.  Terms are words and beginnings of words that differ
 significantly between toxic and other examples (chi-square at least
-``CHI_SQUARE``, at most ``TERMS``, the strongest first).  All words together are
-one more term, of low weight, so that the share of marked words counts.  Texts
-are compared by TF-IDF cosine over these terms.
+``CHI_SQUARE``; as many as do).  All words together are one more term, of low
+weight, so that the share of marked words counts.  Texts are compared by TF-IDF
+cosine over these terms.
 
-The index is inverted and block-max: the postings of a term lie in blocks of
-``BLOCK`` examples, each with the term's largest weight.  A search takes blocks
-by descending bound (query weights times block maxima) and stops when no bound
-reaches the similarity of the k-th neighbour found, so the neighbours are
-exactly the nearest ones, ties by example order.
+The index is inverted and block-max: the postings (example, weight) of a term lie
+in blocks of ``BLOCK`` examples, each with the term's largest weight.  A search
+takes blocks by descending bound (query weights times block maxima) and stops
+when no bound reaches the similarity of the k-th neighbour found, so the
+neighbours are exactly the nearest ones.  Ties go by example order, which depends
+on the texts only: no id has a part in a score.
 
 Neighbours vote with weights that fall with their distance.  The raw vote is
 calibrated to a probability by isotonic regression on leave-one-out votes of
@@ -42,7 +43,6 @@ from . import common
 
 #: Bounds of what the model is fitted on and holds.
 EXAMPLES = 8_192
-TERMS = 1_000
 CHI_SQUARE = 15.0
 LEAST_EXAMPLES = 5  # with a term
 #: Index and vote.
@@ -114,18 +114,32 @@ class Index:
     base_rate: float
     no_term_rate: float
     steps: tuple[np.ndarray, np.ndarray] | None = None
-    postings: np.ndarray | None = None  # term x block x example of the block: weights
-    maxima: np.ndarray | None = None  # term x block: the largest of them
+    #: Postings by block, then term, then example; of each block, and the end,
+    #: its first one.
+    first: np.ndarray | None = None
+    terms: np.ndarray | None = None
+    examples: np.ndarray | None = None
+    weights: np.ndarray | None = None
+    maxima: np.ndarray | None = None  # term x block: the largest weight there
     toxic: np.ndarray | None = None
     names: list[int] = field(default_factory=list)
 
     def add(self, vectors: list[list[tuple[int, float]]], toxic: list[bool], names: list[int]) -> None:
         self.toxic, self.names = np.array(toxic, bool), names
-        self.postings = np.zeros((len(self.idf), -(-len(vectors) // BLOCK), BLOCK))
-        for e, vector in enumerate(vectors):
-            for t, w in vector:
-                self.postings[t, e // BLOCK, e % BLOCK] = w
-        self.maxima = self.postings.max(axis=2)
+        postings = sorted((e // BLOCK, t, e, w) for e, vector in enumerate(vectors) for t, w in vector)
+        block, self.terms, self.examples = (np.array([p[k] for p in postings], np.int64) for k in range(3))
+        self.weights = np.array([w for *_, w in postings], np.float64)
+        blocks = -(-len(vectors) // BLOCK)
+        self.first = np.searchsorted(block, np.arange(blocks + 1))
+        self.maxima = np.zeros((len(self.idf), blocks))
+        np.maximum.at(self.maxima, (self.terms, block), self.weights)
+
+    @property
+    def postings(self) -> np.ndarray:
+        """All postings as term x block x example of the block."""
+        out = np.zeros((len(self.idf), -(-len(self.toxic) // BLOCK) * BLOCK))
+        out[self.terms, self.examples] = self.weights
+        return out.reshape(len(self.idf), -1, BLOCK)
 
     def vector(self, counts: dict[int, int], words: int) -> list[tuple[int, float]]:
         """Unit TF-IDF vector; the last term is every word."""
@@ -137,10 +151,11 @@ class Index:
     def nearest(self, query: list[tuple[int, float]], k: int = NEIGHBOURS, but: int = -1) -> list[tuple[float, int]]:
         """(similarity, example) of the k nearest, nearest first, ties by
         example; only examples that share a term."""
-        terms = [t for t, _ in query]
-        weights = np.array([w for _, w in query])
-        bound = weights @ self.maxima[terms]
-        order = np.argsort(-bound, kind="stable")
+        asked, own_weights = [t for t, _ in query], np.array([w for _, w in query])
+        by_term = np.zeros(len(self.idf))
+        by_term[asked] = own_weights
+        bound = own_weights @ self.maxima[asked]
+        order = np.argsort(-bound, kind="stable")[:np.count_nonzero(bound)]
         examples, similar = np.zeros(0, np.int64), np.zeros(0)
         done, step = 0, FIRST_BLOCKS
         while done < len(order):
@@ -148,9 +163,12 @@ class Index:
                 break
             blocks = order[done:done + step]
             done, step = done + step, 2 * step
-            scores = np.tensordot(weights, self.postings[np.ix_(terms, blocks)], axes=1)
+            sizes = self.first[blocks + 1] - self.first[blocks]
+            at = np.concatenate([np.arange(a, a + n) for a, n in zip(self.first[blocks].tolist(), sizes.tolist())])
+            place = np.repeat(np.arange(len(blocks)) * BLOCK, sizes) + self.examples[at] % BLOCK
+            scores = np.bincount(place, by_term[self.terms[at]] * self.weights[at], len(blocks) * BLOCK)
             # Rounded, so that equal similarities are ties whatever their terms.
-            scores = np.round(scores, 9).ravel()
+            scores = np.round(scores, 9)
             own = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             found = (scores > 0) & (own != but)
             examples, similar = np.concatenate([examples, own[found]]), np.concatenate([similar, scores[found]])
@@ -183,9 +201,9 @@ class Index:
 
 
 def labelled_examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id (the smallest), toxic, text of the bounded sample of distinct
-    texts that may be learned from.  At most ``EXAMPLES`` rows are broadcast,
-    the texts stay in place."""
+    """doc_id (the smallest), toxic, text and its hash of the bounded sample of
+    distinct texts that may be learned from.  At most ``EXAMPLES`` rows are
+    broadcast, the texts stay in place."""
     marked = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~common.held_out())
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
@@ -198,7 +216,7 @@ def labelled_examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .groupBy("hash").agg(F.min("doc_id").alias("doc_id"), (2 * F.count_if("toxic") >= F.count("*")).alias("toxic"))
         .orderBy("hash").limit(EXAMPLES)
     )
-    return texts.select("doc_id", "text", hashed).join(F.broadcast(chosen), ["doc_id", "hash"]).dropDuplicates(["hash"]).drop("hash")
+    return texts.select("doc_id", "text", hashed).join(F.broadcast(chosen), ["doc_id", "hash"]).dropDuplicates(["hash"])
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Index | None:
@@ -222,7 +240,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Index | None:
     expected = (a * (n - toxic) - (df - a) * toxic)
     chi = n * expected * expected / (df * (n - df) * float(max(1, toxic)) * float(max(1, n - toxic)))
     terms = counted.where((df >= LEAST_EXAMPLES) & (df < n)).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(
-        F.desc("chi"), "term").limit(TERMS).collect()
+        F.desc("chi"), "term").collect()  # of EXAMPLES texts
     vocabulary = {r["term"]: k for k, r in enumerate(terms)}
     idf = np.array([*(np.log((1 + n) / (1 + r["df"])) + 1 for r in terms), EVERY_WORD])
 
@@ -231,19 +249,19 @@ def learn(docs: DataFrame, labels: DataFrame) -> Index | None:
         for batch in batches:
             found = [counter.count(x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("toxic"),
+                batch.column("doc_id"), batch.column("hash"), batch.column("toxic"),
                 pa.array([list(c) for c, _ in found], pa.list_(pa.int32())),
                 pa.array([list(c.values()) for c, _ in found], pa.list_(pa.int32())),
                 pa.array([n for _, n in found], pa.int64()),
-            ], ["doc_id", "toxic", "terms", "times", "words"])
+            ], ["doc_id", "hash", "toxic", "terms", "times", "words"])
 
-    rows = examples.mapInArrow(vectors_of, "doc_id long, toxic boolean, terms array<int>, times array<int>, words long").collect()
+    rows = examples.mapInArrow(vectors_of, "doc_id long, hash string, toxic boolean, terms array<int>, times array<int>, words long").collect()
     rate = toxic / n
     bare = [r["toxic"] for r in rows if not r["terms"]]
     index = Index(vocabulary, idf, rate, (sum(bare) + rate) / (len(bare) + 1))
     own = [(index.vector(dict(zip(r["terms"], r["times"])), r["words"]), r) for r in rows if r["terms"]]
     # Alike examples stand together, which keeps the bounds of blocks tight.
-    own.sort(key=lambda x: (max(x[0], key=lambda tw: tw[1])[0], x[0][-1][1], x[1]["doc_id"]))
+    own.sort(key=lambda x: (max(x[0], key=lambda tw: tw[1])[0], x[0][-1][1], x[1]["hash"]))
     index.add([v for v, _ in own], [r["toxic"] for _, r in own], [r["doc_id"] for _, r in own])
     if own:
         votes = np.array([index.vote(index.nearest(v, but=e)) for e, (v, _) in enumerate(own)])

@@ -41,6 +41,9 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import encoder
 
+#: Buckets in which the pieces of one length are ranked.
+BUCKETS = 256
+
 #: A set of equal bins: ((length, times), ...) and how many bins.
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 
@@ -240,9 +243,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """Add sequence_id and offset to stored pieces with a ``length`` column.
     ``pieces`` must be a stored table (it is read twice)."""
     spark = pieces.sparkSession
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bucketed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    # At most capacity x buckets rows, whatever the number of pieces.
+    bucketed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)))
+    # At most capacity x BUCKETS rows, whatever the number of pieces.
     counts = common.stored(bucketed.groupBy("length", "_bucket").agg(F.count("*").alias("_n")), "pack-counts")
     total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     places = plan_places(total, capacity)

@@ -40,13 +40,15 @@ _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 def with_record_types(pages: DataFrame, least: int) -> DataFrame:
     """page_id, url, payload, bytes, digest (hex SHA-1), refers_to (null: a
-    response).  The largest id of a payload comes from a grouped maximum and a
-    join, whose hot payloads Spark can split."""
+    response).  The largest id of a payload that several pages have comes from a
+    grouped maximum and a join: most payloads are alone, so what is joined is
+    small, and Spark leaves the pages in place or splits a hot payload."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url",
         F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
-    largest = rows.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("page_id").alias("largest"))
+    largest = rows.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(
+        F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").drop("n")
     revisit = F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
     return rows.join(largest, ["digest", "bytes"], "left").select(
         "page_id", "url", "payload", "bytes", "digest", F.when(revisit, F.col("largest")).alias("refers_to"))

@@ -1,16 +1,18 @@
 """Exact trailing counts on a stream, in keyed state.
 
 ``stream_trailing_count`` gives every event the number of events of its key in
-``[time - width, time]``, as the batch operator ``trailing_count`` does.  A key's
-state is a ring of panes, short spans of time, each with the times and ids of its
-events; a micro-batch rewrites only the panes that its events fall into.  An event
-that arrives after later ones (within the watermark) changes their counts, so
-these are emitted again: counts only grow, and the largest is the newest.  A timer
-drops a pane when no event can reach back to it any more, that is when the
-watermark is a width beyond its end.
-
-State of a key is its events of the last width and the watermark's delay; it is
-kept in RocksDB, which arbitrary state with timers needs.
+``[time - width, time]``, as the batch operator ``trailing_count`` does.  Keys are
+hashed into buckets; a bucket's state is one value, the times and ids of the events
+of its keys, and its counts are arrays' work for all its keys at once.  So Python is
+called once per bucket and micro-batch, not per key, event or read of the state.
+An event that arrives after later ones (within the watermark) changes their counts,
+so these are emitted again: counts only grow, and the largest is the newest.  Events
+that none can reach back to any more, those a width behind the watermark, are
+dropped whenever their bucket has new rows, and by a timeout of the bucket, which is
+set to the end of a span (``SPANS`` of them make a width) so that a quiet bucket is
+not called for each event.
+
+State of a key is its events of the last width and the watermark's delay.
 
 Defined results: rows without a time have a null count; rows repeated or with a
 repeated or null id are counted each; a null key is a key of its own.
@@ -20,15 +22,15 @@ from __future__ import annotations
 
 import json
 import sys
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from featureflow.functions.schema import quote
 from featureflow.functions.time import epoch_micros, to_instant, to_wall_clock
@@ -38,77 +40,94 @@ from featureflow.session import ROCKSDB, STATE_STORE_CONF
 # Executors need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Panes in a width.
-PANES = 8
+#: Spans in a width; a quiet bucket's timeouts are as far apart.
+SPANS = 8
+#: Buckets of the keys; a checkpoint keeps the number it began with.
+BUCKETS = 4096
 #: Session settings that a query with such state starts with.
 STATE_SETTINGS = {STATE_STORE_CONF: ROCKSDB}
+#: Keys in any order, with the number of events of each; the events' times (64-bit
+#: numbers, as ``events`` are) by key and time, and their ids in that order.
+STATE = "keys string, events binary, times binary, ids string"
+RESULT = "_key string, _id string, _us long, _n long"
 
 
-class _Ring(StatefulProcessor):
-    """Counts of one key; see the module."""
+class _Counts:
+    """Counts of a bucket's keys; see the module."""
 
     def __init__(self, width: int):
-        self.width, self.pane = width, max(1, -(-width // PANES))
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.panes = handle.getMapState("panes", "pane long", "times binary, ids string")
-
-    def _useless_from(self, pane: int) -> int:
-        """When no event can reach back to a pane, in microseconds."""
-        return (pane + 1) * self.pane + self.width
-
-    def _set_timer(self, panes: Iterable[int]) -> None:
-        """One timer per key, for its oldest pane (milliseconds)."""
-        self.handle.registerTimer(-(-self._useless_from(min(panes)) // 1000) + 1)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new_ids, new_times = [], []
-        for df in rows:
-            df.columns = [*(f"_key{k}" for k in range(len(key))), "_id", "_us", "_et"]  # they come by position
-            known = df["_us"].notna()
+        self.width, self.span = width, max(1, -(-width // SPANS))
+
+    def __call__(self, bucket: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = state.getCurrentWatermarkMs()
+        keys, of, times, ids = [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object)
+        if state.exists:
+            names, events, at, held = state.get
+            keys, times, ids = json.loads(names), np.frombuffer(at, np.int64), np.array(json.loads(held), object)
+            of = np.repeat(np.arange(len(keys)), np.frombuffer(events, np.int64))
+            left = times >= watermark * 1000 - self.width
+            of, times, ids = of[left], times[left], ids[left]
+        old, number = len(times), {k: n for n, k in enumerate(keys)}
+        for df in () if state.hasTimedOut else rows:
+            known = df["_known"].to_numpy(bool)
             if not known.all():
-                yield self._out(key, df.loc[~known, "_id"].tolist(), [None] * int((~known).sum()), [None] * int((~known).sum()))
-            new_ids += df.loc[known, "_id"].astype(object).tolist()
-            new_times += df.loc[known, "_us"].astype("int64").tolist()
-        if not new_times:
-            return
-        order = np.argsort(np.array(new_times, np.int64), kind="stable")
-        times = np.array(new_times, np.int64)[order]
-        ids = [None if pd.isna(new_ids[k]) else new_ids[k] for k in order]
-        held = {k[0]: (np.frombuffer(v[0], np.int64), json.loads(v[1])) for k, v in self.panes.iterator()}
-        if not held:
-            self._set_timer([int(times[0]) // self.pane])
-        for pane in np.unique(times // self.pane).tolist():
-            a, b = np.searchsorted(times, [pane * self.pane, (pane + 1) * self.pane])
-            old = held.get(pane, (times[:0], []))
-            held[pane] = np.concatenate([old[0], times[a:b]]), old[1] + ids[a:b]
-            self.panes.updateValue((pane,), (held[pane][0].tobytes(), json.dumps(held[pane][1])))
-        every = np.concatenate([own for own, _ in held.values()])
-        names = [i for _, own in held.values() for i in own]
-        # Whoever has a new event in its span: the new ones, and later ones.
-        reached = np.searchsorted(times, every, side="right") > np.searchsorted(times, every - self.width, side="left")
-        at = np.flatnonzero(reached)
-        in_order = np.sort(every)
-        counts = np.searchsorted(in_order, every[at], side="right") - np.searchsorted(in_order, every[at] - self.width, side="left")
-        yield self._out(key, [names[k] for k in at.tolist()], every[at].tolist(), counts.tolist())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        panes = [k[0] for k in self.panes.keys()]
-        left = [p for p in panes if self._useless_from(p) >= now]
-        for pane in set(panes) - set(left):
-            self.panes.removeKey((pane,))
-        if left:
-            self._set_timer(left)
-        return iter(())
-
-    def _out(self, key, ids, times, counts) -> pd.DataFrame:
-        out = {f"_key{k}": pd.Series([v] * len(ids), dtype=object) for k, v in enumerate(key)}
-        return pd.DataFrame({**out, "_id": pd.Series(ids, dtype=object), "_us": pd.Series(times, dtype="Int64"), "_n": pd.Series(counts, dtype="Int64")})
-
-    def close(self) -> None:
-        pass
+                yield _out(df.loc[~known, "_key"], df.loc[~known, "_id"], None, None)
+            place, found = pd.factorize(df["_key"].to_numpy(object)[known])
+            place = np.array([number.setdefault(k, len(number)) for k in found], np.int64)[place]
+            of, times = np.concatenate([of, place]), np.concatenate([times, df["_us"].to_numpy(np.int64)[known]])
+            ids = np.concatenate([ids, df["_id"].to_numpy(object)[known]])
+        keys = np.array(list(number), object)
+        if len(times) > old:
+            order = np.lexsort([times, of])
+            new, of, times, ids = order >= old, of[order], times[order], ids[order]
+            # Key and time, and key and start of the span, as numbers in one order.
+            every = np.unique(np.concatenate([times, times - self.width]))
+            end = of * len(every) + np.searchsorted(every, times)
+            start = of * len(every) + np.searchsorted(every, times - self.width)
+            # Whoever has a new event in its span: the new ones, and later ones.
+            reached = np.searchsorted(end[new], end, side="right") > np.searchsorted(end[new], start, side="left")
+            counts = np.searchsorted(end, end[reached], side="right") - np.searchsorted(end, start[reached], side="left")
+            yield _out(keys[of[reached]], ids[reached], times[reached], counts)
+        if len(times):
+            events = np.bincount(of, minlength=len(keys))
+            state.update((json.dumps(keys[events > 0].tolist()), events[events > 0].astype(np.int64).tobytes(),
+                          times.tobytes(), json.dumps(ids.tolist())))
+            useless = (int(times.min()) // self.span + 1) * self.span + self.width
+            state.setTimeoutTimestamp(max(-(-useless // 1000) + 1, watermark + 1, 1))
+        elif state.exists:
+            state.remove()
+
+
+def _out(keys, ids, times: np.ndarray | None, counts: np.ndarray | None) -> pd.DataFrame:
+    numbers = {"_us": times, "_n": counts}
+    return pd.DataFrame({"_key": np.asarray(keys, object), "_id": np.asarray(ids, object),
+                         **{c: pd.array([pd.NA] * len(ids) if v is None else v, dtype="Int64") for c, v in numbers.items()}})
+
+
+def _to_text(value: Column, dtype: T.DataType) -> Column:
+    """A key's value as text, the same for equal values; see ``_from_text``."""
+    if isinstance(dtype, T.TimestampType):  # in local time some have the same text
+        return F.unix_micros(value).cast("string")
+    if isinstance(dtype, T.BinaryType):
+        return F.base64(value)
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return (value + F.lit(0.0).cast(dtype)).cast("string")  # one zero
+    if isinstance(dtype, (T.StructType, T.ArrayType)):
+        return F.to_json(F.struct(value.alias("v")), _NESTED)
+    return value.cast("string")
+
+
+def _from_text(text: Column, dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.TimestampType):
+        return F.timestamp_micros(text.cast("long"))
+    if isinstance(dtype, T.BinaryType):
+        return F.unbase64(text)
+    if isinstance(dtype, (T.StructType, T.ArrayType)):
+        return F.from_json(text, T.StructType([T.StructField("v", dtype)]), _NESTED)["v"]
+    return text.cast(dtype)
+
+
+_NESTED = {"timeZone": "UTC", "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
 
 
 def stream_trailing_count(stream: DataFrame, keys: Sequence[str], ts: str, width: str, id_col: str,
@@ -122,14 +141,18 @@ def stream_trailing_count(stream: DataFrame, keys: Sequence[str], ts: str, width
     dtype = stream.schema[ts].dataType
     if not isinstance(stream.schema[id_col].dataType, (T.StringType, T.IntegralType)):
         raise ValueError(f"ids are text or whole numbers, {id_col!r} is not")
+    fields = [stream.schema[k].dataType for k in keys]
+    texts = [_to_text(F.col(quote(k)), t) for k, t in zip(keys, fields)]
+    time = epoch_micros(F.col("_et"), T.TimestampType())
+    # Text, and times without nulls, so that pandas makes no floats of them.
     rows = stream.withColumn("_et", to_instant(F.col(quote(ts)), dtype)).withWatermark("_et", watermark).select(
-        *(F.col(quote(k)).alias(f"_key{n}") for n, k in enumerate(keys)), F.col(quote(id_col)).alias("_id"),
-        epoch_micros(F.col("_et"), T.TimestampType()).alias("_us"), "_et")
-    fields = {f.name: f.dataType for f in rows.schema.fields}
-    names = [f"_key{n}" for n in range(len(keys))]
-    result = T.StructType([*(T.StructField(n, fields[n]) for n in names), T.StructField("_id", fields["_id"]),
-                           T.StructField("_us", T.LongType()), T.StructField("_n", T.LongType())])
-    counted = rows.groupBy(*names).transformWithStateInPandas(_Ring(us), result, "Update", "EventTime")
+        (F.to_json(F.array(*texts)) if texts else F.lit("[]")).alias("_key"), F.col(quote(id_col)).cast("string").alias("_id"),
+        F.coalesce(time, F.lit(0)).alias("_us"), time.isNotNull().alias("_known"), "_et")
+    bucket = F.pmod(F.xxhash64("_key"), F.lit(BUCKETS)).cast("int").alias("_bucket")
+    counted = rows.select(bucket, "*").groupBy("_bucket").applyInPandasWithState(
+        _Counts(us), RESULT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
     time = F.timestamp_micros("_us")
     time = to_wall_clock(time) if isinstance(dtype, T.TimestampNTZType) else time
-    return counted.select(*(F.col(n).alias(k) for n, k in zip(names, keys)), F.col("_id").alias(id_col), time.alias(ts), F.col("_n").alias(out))
+    parts = F.from_json("_key", "array<string>")
+    return counted.select(*(_from_text(parts[n], t).alias(k) for n, (k, t) in enumerate(zip(keys, fields))),
+                          F.col("_id").cast(stream.schema[id_col].dataType).alias(id_col), time.alias(ts), F.col("_n").alias(out))

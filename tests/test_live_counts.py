@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from featureflow import OutputSpec
+from featureflow.operators import trailing
 from featureflow.operators.features import windowed_count
 from featureflow.operators.trailing import STATE_SETTINGS, stream_trailing_count
 from featureflow.streaming.late import CLOSED, DroppedRows, late_split
@@ -72,6 +73,40 @@ def test_trailing_state_expires(spark, tmp):
     assert max(sizes[4:]) <= max(sizes[:4])
 
 
+def test_trailing_state_is_taken_by_bucket(spark, tmp):
+    """One read and write of the state per bucket that has rows, whatever the
+    number of its keys and their spans; keys of any type come back."""
+    rows = [(2**60 + i, i % 40, START + timedelta(days=i // 40)) for i in range(400)]
+    rows += [(None, None, START), (1, 7, None)]
+    schema, at = "id long, who long, at timestamp", "timestamp_micros(1000000 * who)"
+    spark.createDataFrame(rows, schema).coalesce(1).selectExpr("*", f"{at} AS seen", "cast(cast(who AS string) AS binary) AS raw", "who / 3.0D AS part", "struct(who, id * 0 AS z) AS both").write.parquet(f"{tmp}/src")
+    source, got = spark.read.parquet(f"{tmp}/src"), []
+    keys = ["who", "seen", "raw", "part", "both"]
+    df = stream_trailing_count(spark.readStream.schema(source.schema).parquet(f"{tmp}/src"), keys, "at", "2 days", "id", watermark="1 day", out="n")
+    q = run_bounded(df, lambda d, b: got.extend(d.collect()), OutputSpec("update"), f"{tmp}/checkpoint",
+                    settings=STATE_SETTINGS, final_no_data_batch=False)
+    [state] = q.lastProgress["stateOperators"]
+    # The null id's and the null time's row change the struct: 40 + 1 keys have events.
+    assert state["numRowsUpdated"] <= 41
+    want = source.selectExpr(*keys, "id", "at", "if(at is null, null, count(at) over (partition by who, both order by at range between interval 2 days preceding and current row)) AS n")
+    assert sorted(map(repr, got)) == sorted(map(repr, want.collect()))
+
+
+def test_trailing_buckets_of_many_keys(spark, tmp, monkeypatch):
+    """Keys that share a bucket are counted apart, over several batches."""
+    monkeypatch.setattr(trailing, "BUCKETS", 3)
+    rng, got = random.Random(3), {}
+    rows = [(i, rng.choice(["a", "b", "c", "d", 'e"', "f,", "", None]), START + timedelta(minutes=rng.randint(0, 900))) for i in range(300)]
+
+    def write(df, batch):
+        for r in df.collect():
+            got[r["id"]] = r["who"], max(r["n"], got.get(r["id"], ("", 0))[1])
+
+    run_parts(spark, tmp, [rows[:100], rows[100:110], rows[110:]],
+              lambda df: stream_trailing_count(df, ["who"], "at", "2 hours", "id", watermark="30 days", out="n"), write, STATE_SETTINGS)
+    assert got == {i: (who, n) for i, who, _, n in plain_counts(rows, timedelta(hours=2))}
+
+
 def test_trailing_ids_are_checked(spark):
     df = spark.range(1).select(F.lit(1.5).alias("x"), F.lit(START).alias("at"))
     with pytest.raises(ValueError, match="whole numbers"):

@@ -42,6 +42,9 @@ BUCKET = "_bucket"
 # Key buckets of a table's snapshots; a snapshot keeps the number it began with.
 BUCKETS = 64
 
+# Rows of a changelog or snapshot file.  Reads sort a scan task's rows by key (the
+# partial step of the latest view); a file of one row group is one task.
+FILE_ROWS = 500_000
 
 # Key lists of up to this many tuples are also pushed to the scan.
 PUSHDOWN_KEYS = 1_000
@@ -117,7 +120,7 @@ class FeatureStore:
         spark = df.sparkSession
         create_marker(spark, marker, str(time.time_ns() // 1000))
         stamped = conform(df, self.schema).withColumn(COMMITTED, F.lit(int(read_marker(spark, marker))).cast("long"))
-        write_batch_folder(stamped, self.changelog_path, place)
+        write_batch_folder(stamped, self.changelog_path, place, FILE_ROWS)
 
     # ----------------------------------------------------------------- read
     def _read(self, spark: SparkSession, base: str, path: str,
@@ -373,7 +376,8 @@ class FeatureStore:
         order = [F.col(BUCKET), *[F.col(quote(k)) for k in self.keys]]
         (self._newest(rows, "run_id").withColumn(BUCKET, self._bucket(of))
          .repartitionByRange(*order).sortWithinPartitions(*order)
-         .write.mode("overwrite").options(**{f"parquet.bloom.filter.enabled#{k}": "true" for k in self.keys}).partitionBy(BUCKET).parquet(f"{base}/snapshot_id={snap_id}/rows"))
+         .write.mode("overwrite").options(**{f"parquet.bloom.filter.enabled#{k}": "true" for k in self.keys})
+         .option("maxRecordsPerFile", FILE_ROWS).partitionBy(BUCKET).parquet(f"{base}/snapshot_id={snap_id}/rows"))
         # The manifest is written last: a snapshot without it is never read.
         manifest = {"folded": {**folded, **last}, "of": of,
                     "buckets": {**old["buckets"], **dict.fromkeys(touched, snap_id)}}

@@ -362,9 +362,11 @@ def feature_lookup_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_dir(spark, "feature_lookup_compacted")
     store = FeatureStore(f"{root}/store", LATEST_ORDER)
     orders = _read(spark, sf_dir, "orders")
-    orders.repartition(2, F.xxhash64("o_orderkey")).write.parquet(f"{root}/src")
-    stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", "1").parquet(f"{root}/src")
-    run_bounded(stream, store.writer(VERSION, RUN), OutputSpec("append"), f"{root}/checkpoint")
+    half = F.pmod(F.xxhash64("o_orderkey"), F.lit(2))
+    for n in range(2):  # a micro-batch each, of as many files as the scan has tasks
+        orders.filter(half == n).write.mode("append").parquet(f"{root}/src")
+        stream = spark.readStream.schema(orders.schema).parquet(f"{root}/src")
+        run_bounded(stream, store.writer(VERSION, RUN), OutputSpec("append"), f"{root}/checkpoint")
     store.compact(spark, VERSION)
     keys = _read(spark, sf_dir, "customer").filter(F.col("c_nationkey") == 7).select("c_custkey")
     return store.lookup(spark, VERSION, keys)

@@ -33,15 +33,16 @@ def fan_out(*writers: BatchWriter) -> BatchWriter:
 _PARTITION_VALUE = re.compile(r"^[A-Za-z0-9][A-Za-z0-9._-]*$")
 
 
-def write_batch_folder(df: DataFrame, path: str, partition: dict[str, str | int]) -> None:
+def write_batch_folder(df: DataFrame, path: str, partition: dict[str, str | int], file_rows: int | None = None) -> None:
     """Replace one partition folder ``path/name=value/...`` by the rows of
     ``df``: writing the same batch again replaces it instead of adding rows,
-    and writing no rows empties it."""
+    and writing no rows empties it.  ``file_rows`` bounds the rows of a file."""
     bad = [v for v in partition.values() if not _PARTITION_VALUE.match(str(v))]
     if bad:
         raise ValueError(f"{bad} cannot name a folder: use letters, digits, '.', '_' and '-'")
     folder = "/".join([path.rstrip("/"), *(f"{k}={v}" for k, v in partition.items())])
-    df.drop(*partition).write.mode("overwrite").parquet(folder)
+    writer = df.drop(*partition).write.mode("overwrite")
+    (writer.option("maxRecordsPerFile", file_rows) if file_rows else writer).parquet(folder)
 
 
 def archive_writer(base: str, app_name: str, topic: str, run_id: str) -> BatchWriter:

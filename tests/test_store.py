@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from featureflow.config import OutputSpec, TableSpec
+from featureflow.operators import store as store_module
 from featureflow.operators.store import FOLD_POINTS, FeatureStore
+from featureflow.plans import queries
 from featureflow.plans.tables import EVENTS_SCHEMA, table_path
-from featureflow.streaming.runner import run_bounded
+from featureflow.streaming.runner import held_settings, run_bounded
 
 from conftest import SF01, rows
 
@@ -332,3 +334,36 @@ def test_expire_keeps_what_readers_need(spark, tmp):
     from featureflow.session import delete_dir
     with pytest.raises(ValueError):
         delete_dir(spark, f"{tmp}/elsewhere", f"{tmp}/table")
+
+
+def test_files_are_bounded_in_rows(spark, tmp, monkeypatch):
+    """One task's rows of a changelog batch or a snapshot are several files."""
+    monkeypatch.setattr(store_module, "FILE_ROWS", 10)
+    store = FeatureStore(tmp, TableSpec(["k"], SCHEMA, order_by=["t"]))
+    for b in range(2):
+        store.write_batch(_df(spark, [(k, b, "v") for k in range(95)]).coalesce(1), 1, "r", b)
+    held = store.changelog(spark, 1).groupBy(F.input_file_name()).count().collect()
+    assert len(held) == 20 and max(r["count"] for r in held) == 10
+    monkeypatch.setattr(store_module, "FILE_ROWS", 1)
+    store.compact(spark, 1)
+    held = spark.read.parquet(f"{tmp}/snapshots/code_version=1/snapshot_id=1/rows").groupBy(F.input_file_name()).count().collect()
+    assert len(held) == 95
+    assert sorted(r["k"] for r in rows(store.latest(spark, 1))) == list(range(95))
+
+
+def test_lookup_query_keeps_the_tasks_of_its_input(spark, tmp, monkeypatch):
+    """Each half of the orders is as many files as the scan has tasks, not one."""
+    at = datetime(2024, 1, 1)
+    orders = spark.createDataFrame([(i if i % 50 else None, i % 7, "O", 1.0, at, "1-URGENT") for i in range(400)],
+                                   "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string")
+    orders.repartition(4).write.parquet(f"{tmp}/sf/orders.parquet")
+    spark.createDataFrame([(k, 7) for k in range(9)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp}/sf/customer.parquet")
+    monkeypatch.setattr(queries, "scratch_dir", lambda spark, label: f"{tmp}/scratch")
+    with held_settings(spark, {"spark.sql.files.openCostInBytes": "134217728"}):  # a task per file
+        got = rows(queries.feature_lookup_compacted(spark, f"{tmp}/sf"))
+    assert sorted((r["o_custkey"], r["o_orderkey"]) for r in got if r["o_custkey"] < 7) == [
+        (k, max(i for i in range(400) if i % 50 and i % 7 == k)) for k in range(7)]
+    assert [r["o_orderkey"] for r in got if r["o_custkey"] >= 7] == [None, None]
+    for batch in range(2):
+        folder = f"{tmp}/scratch/store/changelog/code_version=1/run_id=run0/batch_id={batch}"
+        assert len([f for f in os.listdir(folder) if f.endswith(".parquet")]) == 4
